@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from termweave.llm.sharding import op3_sharding
+from termweave.llm import language, packing, sharding, warc
 
-QUERIES = {"op3_sharding": op3_sharding}
+QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op3_sharding": sharding.op3_sharding,
+    "op7_language_id": language.op7_language_id,
+    "op8_warc": warc.op8_warc,
+}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_warc": warc.ORACLE}
