@@ -107,3 +107,45 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def arrow_rows(batches, *names: str):
+    """For each Arrow batch, its columns as lists (null: None), so that long ids never pass through floats."""
+    for batch in batches:
+        yield [batch.column(n).to_pylist() for n in names]
+
+
+def arrow_schema(ddl: str):
+    """The Arrow schema of a Spark DDL string of longs, ints, strings, doubles, booleans, binaries and arrays of longs."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.strip().split(" ") for field in ddl.split(","))])
+
+
+def arrow_batch(ddl: str, *columns):
+    import pyarrow as pa
+
+    schema = arrow_schema(ddl)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def bit_filter(keys: DataFrame, column: str, count: int, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
+    """A bitmap of the long keys, by their lowest bits: at least 16 bits a key, and at most `most_bits` (16 MB) in all.
+
+    It has no false negatives at any size. Beyond its bound only more false positives pass, which the exact step that
+    follows each use removes.
+    """
+    bits = 1 << 16
+    while bits < 16 * count and bits < most_bits:
+        bits *= 2
+    words = keys.select(F.expr(f"shiftright({column} & {bits - 1}L, 6)").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63L as int))").alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
+    return out, bits
+
+
+def in_filter(bitmap: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    """Which of the uint64 keys the bitmap may hold."""
+    return (bitmap[((keys & np.uint64(bits - 1)) >> np.uint64(6)).astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) != 0

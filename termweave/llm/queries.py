@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from termweave.llm import language, packing, sharding, warc
+from termweave.llm import decontamination, language, packing, sharding, substrings, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_sharding": sharding.op3_sharding,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_language_id": language.op7_language_id,
     "op8_warc": warc.op8_warc,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {"op8_warc": warc.ORACLE}
