@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termweave.llm import decontamination, language, packing, sharding, substrings, warc
+from termweave.llm import decontamination, language, lines, packing, sharding, substrings, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,7 +10,8 @@ QUERIES = {
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_language_id": language.op7_language_id,
     "op8_warc": warc.op8_warc,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {"op8_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op8_warc": warc.ORACLE, "op9_line_dedup": lines.ORACLE}
