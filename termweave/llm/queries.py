@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from termweave.llm import decontamination, language, lines, packing, sharding, substrings, warc
+from termweave.llm import decontamination, jaccard, language, lines, packing, sharding, substrings, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_sharding": sharding.op3_sharding,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_language_id": language.op7_language_id,
@@ -14,4 +15,4 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {"op8_warc": warc.ORACLE, "op9_line_dedup": lines.ORACLE}
+ORACLE: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op8_warc": warc.ORACLE, "op9_line_dedup": lines.ORACLE}
