@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from termweave.llm import decontamination, jaccard, language, lines, packing, sharding, substrings, warc
+from termweave.llm import decontamination, jaccard, language, lines, neighbours, packing, quality, sharding, substrings, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_sharding": sharding.op3_sharding,
+    "op4_quality": quality.op4_quality,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_nearest": neighbours.op6_nearest,
     "op7_language_id": language.op7_language_id,
     "op8_warc": warc.op8_warc,
     "op9_line_dedup": lines.op9_line_dedup,
