@@ -62,26 +62,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = self.one(word)
+        return h
+
+
 class WordHashes:
     """64-bit hashes of words, kept in a dictionary of bounded size."""
 
     def __init__(self, most: int = 400_000) -> None:
         import xxhash
 
-        self.of, self.most, self.one = {}, most, xxhash.xxh3_64_intdigest
+        self.known, self.most = _Known(), most
+        self.known.one = xxhash.xxh3_64_intdigest
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, one = self.of, self.one
-        if len(known) > self.most:
-            known.clear()
-        out = np.empty(len(words), np.uint64)
-        try:
-            out[:] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words) - known.keys():
-                known[w] = one(w)
-            out[:] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        return out
+        if len(self.known) > self.most:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -105,6 +104,12 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

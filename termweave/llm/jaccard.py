@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WordHashes, arrow_batch, arrow_rows, ascii_words, bit_filter, gram_hashes, in_filter, mix64, signed, table, written
+from termweave.llm.common import WordHashes, arrow_batch, arrow_rows, ascii_words, bit_filter, distinct, gram_hashes, in_filter, mix64, signed, table, written
 
 SHINGLE, PERCENT = 5, 75
 #: One document in so many is looked at for frequent shingles; those it finds this often come last in the order.
@@ -40,7 +40,7 @@ def shingles(text: str | None, hashes: WordHashes, n: int = SHINGLE) -> np.ndarr
         return np.empty(0, np.uint64)
     if len(words) < n:
         return mix64(gram_hashes(words, len(words)) ^ np.uint64(len(words)))
-    return np.unique(gram_hashes(words, n))
+    return distinct(gram_hashes(words, n))
 
 
 def prefix(own: np.ndarray, often: tuple[np.ndarray, int] | None, percent: int = PERCENT) -> np.ndarray:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WordHashes, arrow_batch, arrow_rows, bit_filter, gram_hashes, in_filter, plain_words, signed, table, written
+from termweave.llm.common import WordHashes, arrow_batch, arrow_rows, bit_filter, distinct, gram_hashes, in_filter, plain_words, signed, table, written
 
 WINDOW = 50
 
@@ -49,7 +49,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for keys, texts in arrow_rows(batches, "doc_id", "text"):
             out, own = [], []
             for key, text in zip(keys, texts, strict=True):
-                a = np.unique(anchors(hashes(plain_words(text)), window))
+                a = distinct(anchors(hashes(plain_words(text)), window))
                 if len(a):
                     out.append(a)
                     own.append(np.full(len(a), key, np.int64))
