@@ -1,6 +1,642 @@
-"""The registered queries of the engine and their DuckDB twins."""
+"""The registered queries of the engine and their DuckDB twins. Doubles are rounded to 6 decimals on both sides."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from termweave.functions import hashing, text
+from termweave.operators import audits, evaluation, explain, models, policy, retrieval, review
+from termweave.operators import spans as intervals
+from termweave.plans import frames
+from termweave.plans.frames import FEEDBACK, MULTILABEL, PARTS, PREDICTIONS, REVIEW, SPANS, read, rounded
+from termweave.sources import records
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- sources, splits
+
+
+@query(f"SELECT o_orderkey, {frames.split_sql('o_orderkey')} AS split FROM orders")
+def split_document(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", hashing.split_by_hash(F.col("o_orderkey")).alias("split"))
+
+
+@query(f"SELECT o_custkey, count(*) AS n_orders, {frames.split_sql('o_custkey', 7)} AS split FROM orders GROUP BY o_custkey")
+def split_subject(spark, d):
+    o = read(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
+    return o.withColumn("split", hashing.split_by_hash(F.col("o_custkey"), 7))
+
+
+@query("SELECT doc_id, CASE WHEN lower(source) = 'src0' THEN 'test' WHEN ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::UBIGINT::DOUBLE / 4294967295.0 < 0.15 THEN 'val' ELSE 'train' END AS split FROM documents")
+def split_cross_source(spark, d):
+    return read(spark, d, "documents").select("doc_id", hashing.cross_source_split(F.col("source"), F.col("doc_id"), "SRC0").alias("split"))
+
+
+@query(f"WITH s AS (SELECT o_custkey, {frames.split_sql('o_orderkey')} AS split FROM orders) SELECT o_custkey, count(DISTINCT split)::BIGINT AS n_splits FROM s GROUP BY o_custkey HAVING count(DISTINCT split) > 1")
+def leakage_check(spark, d):
+    o = read(spark, d, "orders").select("o_custkey", hashing.split_by_hash(F.col("o_orderkey")).alias("split"))
+    return records.group_leaks(o, "o_custkey")
+
+
+@query("WITH s AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, sha256(lower(trim(text))) AS h FROM documents WHERE text IS NOT NULL) SELECT h AS text_sha, count(*) AS n_test FROM s WHERE split = 'test' AND h IN (SELECT h FROM s WHERE split = 'train') GROUP BY h")
+def text_leakage(spark, d):
+    """Texts of the test part that the training part has too."""
+    s = read(spark, d, "documents").filter("text is not null").select(F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test").alias("split"), F.sha2(F.lower(F.trim("text")), 256).alias("text_sha"))
+    return s.filter("split = 'test'").join(s.filter("split = 'train'").select("text_sha").distinct(), "text_sha", "left_semi").groupBy("text_sha").agg(F.count(F.lit(1)).alias("n_test"))
+
+
+@query(f"WITH {PARTS} SELECT code, trim(term || ' ' || replace(synonyms, '|', ' ')) AS search_text, len(string_split(synonyms, '|'))::INT AS n_synonyms FROM terms")
+def terminology_prepare(spark, d):
+    t = records.terminology(frames.part_terms(spark, d), "PARTS")
+    return t.select("code", "search_text", F.size(F.split("synonyms", r"\|")).alias("n_synonyms"))
+
+
+@query(f"WITH {PARTS}, a AS (SELECT code, row_seq, unnest(list_prepend(term, string_split(synonyms, '|'))) AS alias, generate_subscripts(list_prepend(term, string_split(synonyms, '|')), 1) - 1 AS i FROM terms) SELECT code, min(i)::INT AS alias_idx, lower(alias) AS alias FROM a GROUP BY code, lower(alias)")
+def alias_table(spark, d):
+    return records.alias_rows(frames.part_terms(spark, d)).select("code", "alias_idx", F.lower("alias").alias("alias"))
+
+
+@query(f"""WITH {PARTS}, m AS (SELECT gold_code, text AS mention, min(row_seq) AS seq FROM recs WHERE split = 'train' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY gold_code ORDER BY seq, mention) AS n FROM m)
+SELECT gold_code AS code, max(mention) FILTER (n = 1) AS term, coalesce(string_agg(mention, ' | ' ORDER BY n) FILTER (n BETWEEN 2 AND 20), '') AS synonyms FROM r WHERE n <= 20 GROUP BY gold_code""")
+def train_terminology(spark, d):
+    rows = frames.part_records(spark, d).filter("split = 'train'").withColumn("mention", F.col("text"))
+    return records.train_terminology(rows, 20).select("code", "term", "synonyms")
+
+
+@query("""WITH n AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders),
+dx AS (SELECT l_orderkey, trim(l_partkey::VARCHAR) AS code, l_linenumber, l_orderkey AS k FROM lineitem WHERE l_linestatus = 'F'),
+often AS (SELECT code FROM dx GROUP BY code HAVING count(*) >= 3),
+f AS (SELECT o_custkey, d.code, min(l_linenumber) AS seq FROM n JOIN dx d ON d.l_orderkey = n.o_orderkey SEMI JOIN often ON often.code = d.code WHERE r = 1 GROUP BY ALL)
+SELECT o_custkey::VARCHAR AS record_id, count(*)::INT AS n_gold_codes, string_agg(f.code, ',' ORDER BY seq, f.code) AS codes, string_agg(coalesce(p_name, ''), ',' ORDER BY seq, f.code) AS terms FROM f LEFT JOIN part ON p_partkey::VARCHAR = f.code GROUP BY o_custkey""")
+def multilabel_prepare(spark, d):
+    """Customers as stays: the latest order is the note, its lines of one status the diagnoses, parts the dictionary."""
+    o, li, p = read(spark, d, "orders"), read(spark, d, "lineitem"), read(spark, d, "part")
+    notes = o.select(F.col("o_custkey").alias("subject_id"), F.col("o_custkey").cast("string").alias("hadm_id"), F.col("o_orderkey").alias("note_id"), F.col("o_orderdate").alias("charttime"), F.col("o_orderpriority").alias("text"))
+    latest = notes.groupBy("hadm_id").agg(F.max_by("note_id", F.struct("charttime", "note_id")).alias("l_orderkey"))
+    often = li.filter("l_linestatus = 'F'").groupBy("l_partkey").count().filter("count >= 3").select("l_partkey")
+    dx = li.join(often, "l_partkey", "left_semi").join(latest, "l_orderkey").select("hadm_id", F.col("l_partkey").cast("string").alias("icd_code"), F.when(F.col("l_linestatus") == "F", "10").otherwise("9").alias("icd_version"), F.col("l_linenumber").alias("seq_num"))
+    names = p.select(F.col("p_partkey").cast("string").alias("icd_code"), F.lit("10").alias("icd_version"), F.col("p_name").alias("long_title"))
+    out = records.multilabel_records(notes, dx, names)
+    return out.select("record_id", "n_gold_codes", F.array_join("gold_codes", ",").alias("codes"), F.array_join("gold_terms", ",").alias("terms"))
+
+
+@query("SELECT DISTINCT event_id::VARCHAR AS record_id, trim(event_type) AS mention, regexp_replace(trim(user_id::VARCHAR || '.0'), '\\.0$', '') AS gold_code FROM events WHERE event_type <> 'view'")
+def corpus_adapter(spark, d):
+    e = read(spark, d, "events").filter("event_type <> 'view'")
+    rows = e.select(F.lit("events").alias("original_dataset"), F.col("event_id").alias("instance_id"), F.concat(F.lit(" "), "event_type").alias("phrase"), F.concat(F.col("user_id").cast("string"), F.lit(".0")).alias("single_mapped_meddra_codes"))
+    return records.single_code_corpus(rows).select("record_id", "mention", "gold_code")
+
+
+@query("SELECT c_custkey FROM customer ORDER BY sha256('11:' || c_custkey), c_custkey LIMIT 50")
+def seeded_sample(spark, d):
+    return hashing.sample(read(spark, d, "customer").select("c_custkey"), 50, F.col("c_custkey"), 11)
+
+
+@query()
+def fingerprint(spark, d):
+    return hashing.fingerprint(read(spark, d, "orders"))
+
+
+# ---- retrieval
+
+
+def grams_sql(t: str, low: int, high: int) -> str:
+    return f"""flatten(list_transform(list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda w: w <> ''), lambda w: flatten(list_transform(list_filter(range({low}, {high + 1}), lambda n: n = {low} OR n <= length(w) + 2),
+      lambda n: list_transform(range(1, greatest(length(w) + 2 - n, 0) + 2), lambda i: substring(' ' || w || ' ', i, n))))))"""
+
+
+def words_sql(t: str) -> str:
+    w = f"regexp_extract_all(lower({t}), '[\\pL\\pN_][\\pL\\pN_]+')"
+    return f"list_concat({w}, list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+
+
+def space_sql(name: str, items: str, grams: str, sublinear: bool) -> str:
+    tf = "(1 + ln(tf))" if sublinear else "tf"
+    return f"""{name}_tf AS (SELECT item, gram, count(*) AS tf FROM (SELECT item, unnest({grams}) AS gram FROM ({items})) GROUP BY ALL),
+{name}_idf AS (SELECT gram, ln((1.0 + (SELECT count(DISTINCT item) FROM ({items}))) / (1.0 + count(*))) + 1.0 AS idf FROM {name}_tf GROUP BY gram),
+{name}_w AS (SELECT item, gram, w / sqrt(sum(w * w) OVER (PARTITION BY item)) AS w FROM (SELECT item, gram, {tf} * idf AS w FROM {name}_tf JOIN {name}_idf USING (gram)))"""
+
+
+def sims_sql(name: str, queries: str, grams: str, sublinear: bool) -> str:
+    tf = "(1 + ln(tf))" if sublinear else "tf"
+    return f"""{name}_qt AS (SELECT query, gram, count(*) AS tf FROM (SELECT query, unnest({grams}) AS gram FROM ({queries})) GROUP BY ALL),
+{name}_q AS (SELECT query, gram, w / sqrt(sum(w * w) OVER (PARTITION BY query)) AS w FROM (SELECT query, gram, {tf} * idf AS w FROM {name}_qt JOIN {name}_idf USING (gram))),
+{name}_s AS (SELECT query, item, sum(q.w * c.w) AS sim FROM {name}_q q JOIN {name}_w c USING (gram) GROUP BY ALL)"""
+
+
+def top_sql(k: int, weight: float) -> str:
+    """Scores of all codes, zeros included, as the reference ranks them."""
+    return f"""hist AS (SELECT gold_code, text, min(row_seq) AS seq, gold_code || '|' || text AS item FROM recs WHERE split = 'train' GROUP BY gold_code, text),
+q AS (SELECT DISTINCT text AS query, text FROM recs WHERE split = 'test'),
+{space_sql('t', 'SELECT code AS item, term AS text FROM terms', grams_sql('text', 3, 5), False)},
+{sims_sql('t', 'SELECT query, text FROM q', grams_sql('text', 3, 5), False)},
+{space_sql('h', 'SELECT item, text FROM hist', grams_sql('text', 3, 5), False)},
+{sims_sql('h', 'SELECT query, text FROM q', grams_sql('text', 3, 5), False)},
+hs AS (SELECT query, gold_code AS code, max(sim) AS s FROM h_s JOIN hist USING (item) GROUP BY ALL),
+allof AS (SELECT q.query, t.code, t.row_seq, coalesce(a.sim, 0) AS terminology_score, coalesce(b.s, 0) AS history_score, {1 - weight} * coalesce(a.sim, 0) + {weight} * coalesce(b.s, 0) AS score
+  FROM q CROSS JOIN terms t LEFT JOIN t_s a ON a.query = q.query AND a.item = t.code LEFT JOIN hs b ON b.query = q.query AND b.code = t.code),
+top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, row_seq) AS rank FROM allof QUALIFY rank <= {k})"""
+
+
+def coder(spark, d, weight: float = 0.25, k: int = 5):
+    r = frames.part_records(spark, d).cache()
+    return retrieval.HistoricalCoder(weight, k).fit(r.filter("split = 'train'"), frames.part_terms(spark, d)), r.filter("split = 'test'")
+
+
+@query(f"WITH {PARTS}, {top_sql(5, 0.25)} SELECT record_id, rank::INT AS rank, code, round(score, 6) AS score, round(terminology_score, 6) AS terminology_score, round(history_score, 6) AS history_score FROM recs r JOIN top ON top.query = r.text WHERE r.split = 'test'")
+def retrieve_topk(spark, d):
+    """The flagship: terminology and history spaces, fused, the best five codes of every test record."""
+    c, test = coder(spark, d)
+    return rounded(c.predict(test).select("record_id", "rank", "code", "score", "terminology_score", "history_score"))
+
+
+@query(f"""WITH {PARTS}, {top_sql(5, 0.25)}, c AS (SELECT query, max(score) FILTER (rank = 1) AS a, max(score) FILTER (rank = 2) AS b, max(code) FILTER (rank = 1) AS predicted_code FROM top GROUP BY query)
+SELECT record_id, predicted_code, round(least(greatest(0.5 * a + 0.5 * greatest(a - b, 0), 0), 1), 6) AS confidence, (predicted_code = gold_code)::INT AS correct FROM recs r JOIN c ON c.query = r.text WHERE r.split = 'test'""")
+def retrieve_confidence(spark, d):
+    c, test = coder(spark, d)
+    p = retrieval.predictions(c.predict(test)).join(test.select("record_id", "gold_code"), "record_id")
+    return rounded(p.select("record_id", "predicted_code", "confidence", (F.col("predicted_code") == F.col("gold_code")).cast("int").alias("correct")))
+
+
+@query(f"""WITH {PARTS}, {top_sql(10, 0.25)}, g AS (SELECT r.record_id, r.gold_code, min(rank) FILTER (code = r.gold_code) AS gr FROM recs r JOIN top ON top.query = r.text WHERE r.split = 'test' GROUP BY ALL)
+SELECT count(*) AS n, avg((coalesce(gr, 99) <= 1)::INT)::DOUBLE AS acc_at_1, round(avg((coalesce(gr, 99) <= 5)::INT), 6) AS recall_at_5, round(avg((coalesce(gr, 99) <= 10)::INT), 6) AS recall_at_10, sum((coalesce(gr, 99) > 5)::INT)::BIGINT AS failures_at_5, sum((coalesce(gr, 99) > 10)::INT)::BIGINT AS failures_at_10, round(avg(coalesce(1.0 / gr, 0)), 6) AS mrr FROM g""".replace("avg((coalesce(gr, 99) <= 1)::INT)::DOUBLE", "round(avg((coalesce(gr, 99) <= 1)::INT), 6)"))
+def retrieval_report(spark, d):
+    c, test = coder(spark, d, k=10)
+    p = retrieval.predictions(c.predict(test)).join(test.select("record_id", "gold_code"), "record_id")
+    return rounded(evaluation.metric_block(p.withColumn("codes", F.transform("candidates", lambda x: x["code"])), ks=(5, 10)))
+
+
+@query(f"""WITH {PARTS}, {top_sql(1, 0.25)}, n AS (SELECT query, text AS case_text, gold_code AS code, sim, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, seq) AS rank FROM h_s JOIN hist USING (item) QUALIFY rank <= 5)
+SELECT record_id, rank::INT AS rank, code, case_text, round(sim, 6) AS similarity FROM recs r JOIN n ON n.query = r.text WHERE r.split = 'test'""")
+def historical_cases(spark, d):
+    c, test = coder(spark, d)
+    return rounded(c.cases(test).select("record_id", "rank", "code", "case_text", "similarity"))
+
+
+@query(f"WITH {PARTS}, {space_sql('t', 'SELECT code AS item, term AS text FROM terms', grams_sql('text', 3, 5), False)} SELECT gram, round(idf, 6) AS idf FROM t_idf")
+def tfidf_char_idf(spark, d):
+    t = frames.part_terms(spark, d).select(F.col("code").alias("item"), F.col("term").alias("text"))
+    return rounded(retrieval.fit(t, retrieval.char_3_5).idf)
+
+
+@query(f"WITH {space_sql('t', 'SELECT item_id AS item, text FROM benchmark', words_sql('text'), True)} SELECT item, gram, round(w, 6) AS w FROM t_w")
+def tfidf_word_weights(spark, d):
+    b = read(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text")
+    return rounded(retrieval.fit(b, text.word_grams, sublinear=True).postings)
+
+
+ALIAS = f"""a0 AS (SELECT code, row_seq, unnest(list_prepend(term, string_split(synonyms, '|'))) AS alias, generate_subscripts(list_prepend(term, string_split(synonyms, '|')), 1) - 1 AS i FROM terms),
+alias AS (SELECT code, row_seq, alias, i, code || '|' || i AS item FROM (SELECT *, row_number() OVER (PARTITION BY code, lower(alias) ORDER BY i) AS n FROM a0) WHERE n = 1),
+hist AS (SELECT gold_code, text, gold_code || '|' || text AS item FROM recs WHERE split = 'train' GROUP BY gold_code, text),
+q AS (SELECT DISTINCT text AS query, text FROM recs WHERE split = 'test'),
+{space_sql('c', 'SELECT item, alias AS text FROM alias', grams_sql('text', 2, 5), True)}, {sims_sql('c', 'SELECT query, text FROM q', grams_sql('text', 2, 5), True)},
+{space_sql('w', 'SELECT item, alias AS text FROM alias', words_sql('text'), True)}, {sims_sql('w', 'SELECT query, text FROM q', words_sql('text'), True)},
+{space_sql('h', 'SELECT item, text FROM hist', grams_sql('text', 2, 5), True)}, {sims_sql('h', 'SELECT query, text FROM q', grams_sql('text', 2, 5), True)},
+f AS (SELECT coalesce(c_s.query, w_s.query) AS query, coalesce(c_s.item, w_s.item) AS item, 0.85 * coalesce(c_s.sim, 0) + 0.15 * coalesce(w_s.sim, 0) AS fused FROM c_s FULL JOIN w_s ON c_s.query = w_s.query AND c_s.item = w_s.item),
+b AS (SELECT query, code, fused, alias, row_number() OVER (PARTITION BY query, code ORDER BY round(fused, 12) DESC, i) AS n FROM f JOIN alias USING (item) QUALIFY n = 1),
+hs AS (SELECT query, gold_code AS code, max(sim) AS s FROM h_s JOIN hist USING (item) GROUP BY ALL),
+allof AS (SELECT q.query, t.code, t.row_seq, b.alias, coalesce(b.fused, 0) AS ts, 0.75 * coalesce(b.fused, 0) + 0.25 * coalesce(hs.s, 0) AS score FROM q CROSS JOIN terms t LEFT JOIN b ON b.query = q.query AND b.code = t.code LEFT JOIN hs ON hs.query = q.query AND hs.code = t.code),
+top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, round(ts, 12) DESC, row_seq) AS rank FROM allof QUALIFY rank <= 5)"""
+
+
+@query(f"WITH {PARTS}, {ALIAS} SELECT record_id, rank::INT AS rank, code, round(score, 6) AS score, round(ts, 6) AS terminology_score, alias AS matched_alias FROM recs r JOIN top ON top.query = r.text WHERE r.split = 'test'")
+def alias_hybrid_topk(spark, d):
+    r = frames.part_records(spark, d).cache()
+    c = retrieval.AliasCoder(0.25, 0.15, 5).fit(r.filter("split = 'train'"), frames.part_terms(spark, d))
+    return rounded(c.predict(r.filter("split = 'test'")).select("record_id", "rank", "code", "score", "terminology_score", "matched_alias"))
+
+
+def grid_sql() -> str:
+    parts = []
+    for w in (0.0, 0.25, 0.5, 0.75, 1.0):
+        parts.append(f"SELECT {w}::DOUBLE AS history_weight, query, code, row_number() OVER (PARTITION BY query ORDER BY round({1 - w} * terminology_score + {w} * history_score, 12) DESC, row_seq) AS rank FROM allof")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"""WITH {PARTS}, {top_sql(5, 0.25)}, grid AS ({grid_sql()})
+SELECT history_weight, round(avg((rank <= 1)::INT), 6) AS acc_at_1, round(avg((rank <= 5)::INT), 6) AS acc_at_5 FROM recs r JOIN grid g ON g.query = r.text AND g.code = r.gold_code WHERE r.split = 'test' GROUP BY history_weight""")
+def weight_grid(spark, d):
+    """Accuracy for each history weight, from one table of component scores."""
+    c, test = coder(spark, d)
+    return rounded(weight_accuracy(c, test, (0.0, 0.25, 0.5, 0.75, 1.0)))
+
+
+def weight_accuracy(c, part, weights):
+    texts = retrieval.query_text(part).select(F.xxhash64("query_text").alias("query"), F.col("query_text").alias("text")).distinct()
+    parts = c.components(texts).cache()
+    named = retrieval.query_text(part).withColumn("query", F.xxhash64("query_text")).join(part.select("record_id", "gold_code"), "record_id")
+    out = None
+    for w in weights:
+        top = retrieval.ranked(c.fused(parts, w), c.codes, texts, 5).withColumnRenamed("code", "gold_code")
+        hit = named.join(top, ["query", "gold_code"], "left")
+        row = hit.agg(F.lit(w).alias("history_weight"), F.avg(F.coalesce((F.col("rank") <= 1).cast("int"), F.lit(0))).alias("acc_at_1"), F.avg(F.coalesce((F.col("rank") <= 5).cast("int"), F.lit(0))).alias("acc_at_5"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+s AS (SELECT q.vec_id AS query, 'L' || i.label AS code, max(list_dot_product(q.v, i.v)) AS dense_score FROM n q JOIN n i ON q.vec_id % 50 = 0 AND i.vec_id % 7 = 3 GROUP BY ALL),
+m AS (SELECT *, CASE WHEN max(dense_score) OVER (PARTITION BY query) <= min(dense_score) OVER (PARTITION BY query) THEN 0 ELSE (dense_score - min(dense_score) OVER (PARTITION BY query)) / (max(dense_score) OVER (PARTITION BY query) - min(dense_score) OVER (PARTITION BY query)) END AS scaled FROM s)
+SELECT query, code, round(dense_score, 6) AS dense_score, round(scaled, 6) AS scaled FROM m""")
+def dense_topk(spark, d):
+    """Queries against a coded dictionary of vectors: the best cosine of each code, scaled per query."""
+    e = read(spark, d, "embeddings")
+    q = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    i = e.filter(F.col("vec_id") % 7 == 3).select(F.concat(F.lit("L"), "label").alias("code"), F.col("embedding").alias("vector"))
+    return rounded(retrieval.dense_scores(q, i).withColumn("scaled", retrieval.min_max("dense_score", "query")))
+
+
+@query(f"""WITH {PREDICTIONS}, base AS (SELECT record_id, codes[i] AS code, scores[i] AS s, scores[i] * (1 + (ascii(substr(codes[i], 3, 1)) - 48)) / 10.0 AS dn FROM (SELECT *, unnest(range(1, len(codes) + 1)) AS i FROM pred)),
+d AS (SELECT *, CASE WHEN max(dn) OVER w <= min(dn) OVER w THEN 0 ELSE (dn - min(dn) OVER w) / (max(dn) OVER w - min(dn) OVER w) END AS ds FROM base WINDOW w AS (PARTITION BY record_id)),
+lp AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY s DESC, code) AS a, row_number() OVER (PARTITION BY record_id ORDER BY dn DESC, code) AS b FROM d),
+r AS (SELECT record_id, code, 0.7 * CASE WHEN a <= 3 THEN s ELSE 0 END + 0.3 * ds AS score FROM lp WHERE a <= 3 OR b <= 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, code) AS rank FROM r)
+SELECT record_id AS query, rank::INT AS rank, code, round(score, 6) AS score FROM p WHERE rank <= 2""")
+def pooled_fusion(spark, d):
+    """Lexical and dense pools of three, fused."""
+    c = frames.candidates(spark, d).join(frames.predictions(spark, d).select("record_id"), "record_id").withColumnRenamed("record_id", "query")
+    dense = c.select("query", "code", (F.col("score") * (1 + F.substring("code", 3, 1).cast("int")) / 10.0).alias("dense_score"))
+    return rounded(retrieval.advanced(c, dense, pool=3, top_k=2, dense_weight=0.3).select("query", "rank", "code", "score"))
+
+
+ML_RANK = f"""
+tr AS (SELECT doc_id::VARCHAR AS record_id, text, 'B' || lang AS lang_code, 'S' || (doc_id % 5) AS s FROM documents WHERE doc_id % 10 = 1 AND text IS NOT NULL),
+lab AS (SELECT record_id AS item, unnest([lang_code, s]) AS code FROM tr),
+trm AS (SELECT DISTINCT code, min(item) AS row_seq FROM lab GROUP BY code),
+q AS (SELECT item_id AS query, text FROM benchmark)"""
+
+
+@query()
+def multilabel_centroid(spark, d):
+    """Benchmark texts against the mean training vectors of language and group codes."""
+    docs = read(spark, d, "documents").filter((F.col("doc_id") % 10 == 1) & F.col("text").isNotNull())
+    train = docs.select(F.col("doc_id").cast("string").alias("record_id"), "text", F.array(F.concat(F.lit("B"), "lang"), F.concat(F.lit("S"), (F.col("doc_id") % 5).cast("string"))).alias("gold_codes"))
+    codes = train.select(F.explode("gold_codes").alias("code")).distinct().select("code", F.col("code").alias("term"), F.xxhash64("code").alias("row_seq"))
+    notes = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("record_id"), "text")
+    return rounded(retrieval.MultiLabelCoder(1.0, 3).fit(train, codes).rank(notes).select("record_id", "rank", "code", "score"))
+
+
+# ---- evaluation
+
+
+@query(f"WITH {PREDICTIONS} SELECT count(*) AS n, round(avg(list_contains(codes[1:1], gold_code)::INT), 6) AS accuracy_at_1, round(avg(list_contains(codes[1:3], gold_code)::INT), 6) AS accuracy_at_3, round(avg(list_contains(codes[1:5], gold_code)::INT), 6) AS accuracy_at_5 FROM pred")
+def accuracy_at_k(spark, d):
+    return rounded(evaluation.accuracy_at_k(frames.predictions(spark, d), (1, 3, 5)))
+
+
+@query(f"""WITH {PREDICTIONS}, r AS (SELECT *, coalesce(list_position(codes[1:20], gold_code), 0) AS gr FROM pred) SELECT status, count(*) AS n, round(avg((gr = 1)::INT), 6) AS acc_at_1, round(avg((gr BETWEEN 1 AND 5)::INT), 6) AS recall_at_5, round(avg((gr BETWEEN 1 AND 20)::INT), 6) AS recall_at_20,
+sum(1 - (gr BETWEEN 1 AND 5)::INT)::BIGINT AS failures_at_5, sum(1 - (gr BETWEEN 1 AND 20)::INT)::BIGINT AS failures_at_20, round(avg(CASE WHEN gr > 0 THEN 1.0 / gr ELSE 0 END), 6) AS mrr FROM r GROUP BY status""")
+def metrics_by_group(spark, d):
+    return rounded(evaluation.metric_block(frames.predictions(spark, d), "status", (5, 20)))
+
+
+@query(f"WITH {PREDICTIONS} SELECT count(*) FILTER (confidence >= 0.6) AS n_auto, round(avg((confidence >= 0.6)::INT), 6) AS coverage, round(avg(correct) FILTER (confidence >= 0.6), 6) AS accuracy FROM pred")
+def coverage_accuracy(spark, d):
+    return rounded(evaluation.coverage_accuracy(frames.predictions(spark, d), 0.6))
+
+
+DIAG = """diag AS (SELECT pred.*, nullif(coalesce(list_position(codes[1:10], gold_code), 0), 0) AS gold_candidate_rank, CASE WHEN gold_code IN (SELECT code FROM seen) THEN 'seen_code' ELSE 'unseen_code' END AS code_novelty,
+  CASE WHEN predicted_code = gold_code THEN 'correct' WHEN coalesce(list_position(codes[1:10], gold_code), 0) = 0 THEN 'candidate_generation_failure' ELSE 'ranking_failure' END AS error_type FROM pred)"""
+
+
+def diagnosed(spark, d):
+    return evaluation.diagnostics(frames.predictions(spark, d), frames.seen_codes(spark, d))
+
+
+@query(f"WITH {PREDICTIONS}, {DIAG} SELECT record_id, gold_candidate_rank::BIGINT AS gold_candidate_rank, code_novelty, error_type FROM diag")
+def diagnostics(spark, d):
+    return diagnosed(spark, d).select("record_id", F.col("gold_candidate_rank").cast("long").alias("gold_candidate_rank"), "code_novelty", "error_type")
+
+
+@query(f"""WITH {PREDICTIONS}, {DIAG}, x AS (SELECT 'all' AS subgroup, * FROM diag UNION ALL SELECT code_novelty, * FROM diag)
+SELECT g.subgroup, count(x.record_id) AS n, round(avg(x.correct), 6) AS acc_at_1, round(avg(list_contains(codes[1:5], gold_code)::INT), 6) AS recall_at_5, round(avg(list_contains(codes[1:10], gold_code)::INT), 6) AS recall_at_10 FROM (VALUES ('all'), ('seen_code'), ('unseen_code')) g(subgroup) LEFT JOIN x USING (subgroup) GROUP BY g.subgroup""")
+def subgroup_metrics(spark, d):
+    return rounded(evaluation.subgroup_metrics(diagnosed(spark, d)))
+
+
+@query(f"""WITH {PREDICTIONS}, {DIAG}, x AS (SELECT 'all' AS subgroup, error_type FROM diag UNION ALL SELECT code_novelty, error_type FROM diag)
+SELECT g.subgroup, e.error_type, count(x.subgroup) AS n, round(coalesce(count(x.subgroup) / any_value(tot.n)::DOUBLE, 0), 6) AS rate FROM (VALUES ('all'), ('seen_code'), ('unseen_code')) g(subgroup) LEFT JOIN (SELECT subgroup, count(*) AS n FROM x GROUP BY subgroup) tot USING (subgroup) CROSS JOIN (VALUES ('correct'), ('candidate_generation_failure'), ('ranking_failure')) e(error_type) LEFT JOIN x ON x.subgroup = g.subgroup AND x.error_type = e.error_type GROUP BY ALL""")
+def failure_summary(spark, d):
+    return rounded(evaluation.failure_summary(diagnosed(spark, d)))
+
+
+CURVE = """curve AS (SELECT confidence AS threshold, (sum(n) OVER w)::BIGINT AS n_auto, (sum(ok) OVER w)::BIGINT AS n_correct FROM (SELECT confidence, count(*) AS n, sum(correct) AS ok FROM {0} GROUP BY confidence) WINDOW w AS (ORDER BY confidence DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"WITH {PREDICTIONS}, {CURVE.format('pred')} SELECT threshold, n_auto, n_correct, round(n_auto / (SELECT count(*)::DOUBLE FROM pred), 6) AS coverage, round(n_correct / n_auto::DOUBLE, 6) AS accuracy FROM curve")
+def coverage_curve(spark, d):
+    return rounded(evaluation.coverage_curve(frames.predictions(spark, d)))
+
+
+@query(f"WITH {PREDICTIONS}, {CURVE.format('pred')} SELECT threshold, n_auto, n_correct, round(n_auto / (SELECT count(*)::DOUBLE FROM pred), 6) AS coverage, round(n_correct / n_auto::DOUBLE, 6) AS accuracy FROM curve WHERE n_correct / n_auto::DOUBLE + 1e-12 >= 0.03 ORDER BY n_auto DESC, accuracy DESC, threshold LIMIT 1")
+def threshold_max_coverage(spark, d):
+    return rounded(evaluation.threshold_max_coverage(frames.predictions(spark, d), 0.03))
+
+
+@query(f"""WITH {PREDICTIONS}, v AS (SELECT * FROM pred WHERE split = 'val'), te AS (SELECT * FROM pred WHERE split = 'test'), {CURVE.format('v')},
+t AS (SELECT unnest([0.02, 0.03, 0.05, 0.99])::DOUBLE AS target), c AS (SELECT target, threshold, n_auto, row_number() OVER (PARTITION BY target ORDER BY n_auto DESC, n_correct DESC, threshold) AS r FROM t JOIN curve ON n_correct / n_auto::DOUBLE + 1e-12 >= target QUALIFY r = 1),
+g AS (SELECT target, count(*) AS n, count(*) FILTER (confidence >= threshold) AS a, avg(correct) FILTER (confidence >= threshold) AS acc FROM c JOIN te ON true GROUP BY target)
+SELECT t.target, c.threshold, c.n_auto AS val_n_auto, coalesce(g.a, 0) AS test_n_auto, round(coalesce(g.a, 0) / (SELECT count(*) FROM te)::DOUBLE, 6) AS test_coverage, round(g.acc, 6) AS test_accuracy, coalesce(g.acc + 1e-12 >= t.target, false) AS target_met FROM t LEFT JOIN c USING (target) LEFT JOIN g USING (target)""")
+def policy_stress(spark, d):
+    p = frames.predictions(spark, d)
+    return rounded(evaluation.policy_stress(p.filter("split = 'val'"), p.filter("split = 'test'"), (0.02, 0.03, 0.05, 0.99)))
+
+
+@query(f"""WITH {MULTILABEL}, g AS (SELECT record_id, sum(gold)::INT AS g, count(*)::INT AS n, {', '.join(f'sum(gold) FILTER (rank <= {k}) AS h{k}' for k in (1, 2, 5))} FROM mlr GROUP BY record_id)
+SELECT count(*) AS n_notes, {', '.join(f'round(avg(h{k} / greatest(least(n, {k}), 1)::DOUBLE), 6) AS precision_at_{k}, round(avg(h{k} / greatest(g, 1)::DOUBLE), 6) AS recall_at_{k}' for k in (1, 2, 5))} FROM g""")
+def ml_ranking_metrics(spark, d):
+    return rounded(evaluation.ranking_metrics(frames.multilabel(spark, d), (1, 2, 5)))
+
+
+@query(f"""WITH {MULTILABEL}, g AS (SELECT record_id, sum(gold) AS g, sum((score >= 0.5)::INT) AS p, sum(gold * (score >= 0.5)::INT) AS tp FROM ml GROUP BY record_id), a AS (SELECT count(*) AS n, sum(g) AS g, sum(p) AS p, sum(tp) AS tp, avg(CASE WHEN g + p > 0 THEN 2.0 * tp / (g + p) ELSE 0 END) AS f, avg((tp = g AND tp = p)::INT) AS e FROM g)
+SELECT n AS n_notes, round(tp / p::DOUBLE, 6) AS micro_precision, round(tp / g::DOUBLE, 6) AS micro_recall, round(2.0 * tp / (p + g), 6) AS micro_f1, round(f, 6) AS macro_f1, round(e, 6) AS exact_match, p::BIGINT AS n_proposals, round(p / n::DOUBLE, 6) AS mean_proposals FROM a""")
+def ml_threshold_metrics(spark, d):
+    return rounded(evaluation.threshold_metrics(frames.multilabel(spark, d), 0.5))
+
+
+@query(f"""WITH {MULTILABEL}, c AS (SELECT score AS threshold, sum(count(*)) OVER w AS n, sum(sum(gold)) OVER w AS ok FROM ml GROUP BY score WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT threshold, n::BIGINT AS n_proposals, round(ok / n::DOUBLE, 6) AS precision, round(ok / (SELECT sum(gold) FROM ml)::DOUBLE, 6) AS recall FROM c WHERE ok / n::DOUBLE + 1e-12 >= 0.33 ORDER BY recall DESC, n DESC, precision DESC, threshold DESC LIMIT 1""")
+def ml_pr_threshold(spark, d):
+    return rounded(evaluation.threshold_max_recall(frames.multilabel(spark, d), 0.33))
+
+
+@query(f"WITH {PREDICTIONS}, {MULTILABEL} SELECT CASE WHEN code IN (SELECT code FROM seen) THEN 'seen_code' ELSE 'unseen_code' END AS code_novelty, count(*) AS n_gold, round(avg((rank <= 2)::INT), 6) AS recall_at_2 FROM mlr WHERE gold = 1 GROUP BY 1")
+def novelty_recall(spark, d):
+    return rounded(evaluation.novelty_recall(frames.multilabel(spark, d), frames.seen_codes(spark, d), 2))
+
+
+@query(f"""WITH {PREDICTIONS}, r AS (SELECT *, CASE WHEN confidence >= 0.7 THEN 'AUTO_CANDIDATE' ELSE 'TOP_K_HUMAN_CHOICE' END AS route FROM pred WHERE scores[1] >= 0.05 UNION ALL SELECT *, 'FULL_EXPERT_REVIEW' FROM pred WHERE scores[1] < 0.05)
+SELECT route, count(*) AS n, round(count(*) / (SELECT count(*)::DOUBLE FROM r), 6) AS coverage, round(avg(correct), 6) AS acc_at_1, round(avg(list_contains(codes[1:5], gold_code)::INT), 6) AS recall_at_5 FROM r GROUP BY route""")
+def route_metrics(spark, d):
+    p = frames.predictions(spark, d)
+    top = F.get("scores", F.lit(0))
+    return rounded(evaluation.route_metrics(p.withColumn("route", policy.route_case(F.col("confidence"), 0.7, policy.ood_flag(top)))))
+
+
+@query(f"""WITH {PREDICTIONS}, p AS (SELECT gold_code, codes[1] AS b, CASE WHEN record_id % 3 = 0 AND len(codes) > 1 THEN codes[2] ELSE codes[1] END AS a, record_id % 3 = 0 AS ok FROM pred)
+SELECT count(*) AS n, round(avg((b = gold_code)::INT), 6) AS acc_before, round(avg((a = gold_code)::INT), 6) AS acc_after, sum((a = gold_code AND b <> gold_code)::INT)::BIGINT AS corrected, sum((b = gold_code AND a <> gold_code)::INT)::BIGINT AS harmed, sum((a = gold_code)::INT - (b = gold_code)::INT)::BIGINT AS net,
+round(avg((a = gold_code)::INT) FILTER (ok), 6) AS acc_accepted, round(avg((a = gold_code)::INT) FILTER (NOT ok), 6) AS acc_fallback, round(avg((a = gold_code)::INT) - avg((b = gold_code)::INT), 6) AS delta FROM p""")
+def paired_comparison(spark, d):
+    p = frames.predictions(spark, d)
+    third = F.col("record_id") % 3 == 0
+    return rounded(evaluation.paired_comparison(p.select("gold_code", F.col("predicted_code").alias("before"), F.when(third & (F.size("codes") > 1), F.get("codes", F.lit(1))).otherwise(F.col("predicted_code")).alias("after"), third.alias("accepted"))))
+
+
+# ---- policy
+
+
+UNC = """u0 AS (SELECT record_id, confidence, scores, list_max(scores) AS top, list_transform(scores, lambda x: exp(x - list_max(scores))) AS e FROM pred),
+u1 AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS p FROM u0),
+unc AS (SELECT record_id, confidence, top AS top_score, CASE WHEN len(scores) > 1 THEN scores[1] - scores[2] ELSE scores[1] END AS score_margin, CASE WHEN len(scores) > 1 THEN -list_sum(list_transform(p, lambda x: x * ln(x + 1e-12))) / ln(len(scores)) ELSE 0 END AS normalised_entropy, list_max(p) AS top_softmax_share FROM u1)"""
+
+
+@query(f"WITH {PREDICTIONS}, {UNC} SELECT record_id, round(top_score, 6) AS top_score, round(score_margin, 6) AS score_margin, round(normalised_entropy, 6) AS normalised_entropy, round(top_softmax_share, 6) AS top_softmax_share FROM unc")
+def uncertainty(spark, d):
+    return rounded(frames.predictions(spark, d).select("record_id", policy.uncertainty("scores").alias("u")).select("record_id", "u.*"))
+
+
+@query(f"WITH {PREDICTIONS}, {UNC} SELECT record_id, CASE WHEN top_score < 0.05 THEN 'FULL_EXPERT_REVIEW' WHEN confidence >= 0.85 AND normalised_entropy <= 1.0 AND score_margin >= 0.08 THEN 'AUTO_CANDIDATE' WHEN confidence >= 0.45 THEN 'TOP_K_HUMAN_CHOICE' ELSE 'FULL_EXPERT_REVIEW' END AS route FROM unc WHERE abs(normalised_entropy - 1) > 1e-9 OR confidence < 0.85")
+def routing(spark, d):
+    """Routes of the orders; those whose entropy is 1 up to rounding are left to the tests."""
+    rows = frames.predictions(spark, d).select("record_id", "confidence", policy.uncertainty("scores").alias("u")).filter("abs(u.normalised_entropy - 1) > 1e-9 or confidence < 0.85")
+    return rows.select("record_id", policy.route(F.col("confidence"), F.col("u.normalised_entropy"), F.col("u.score_margin"), ood=policy.ood_flag(F.col("u.top_score"))).alias("route"))
+
+
+@query("""WITH g AS (SELECT o_custkey % 40 AS k, count(*) AS n, sum((o_orderstatus <> 'P')::INT)::BIGINT AS s FROM orders GROUP BY 1)
+SELECT k, n, s, round(list_sum(list_transform(range(0, n - s + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + (n - j) * ln(0.7) + j * ln(0.3)))), 6) AS tail FROM g""")
+def binomial_tail(spark, d):
+    g = read(spark, d, "orders").groupBy((F.col("o_custkey") % 40).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("o_orderstatus") != "P").cast("long")).alias("s"))
+    return rounded(g.withColumn("tail", policy.binomial_tail(F.col("s"), F.col("n"), 0.7)))
+
+
+@query(f"""WITH {PREDICTIONS}, flip AS (SELECT confidence, 1 - correct AS correct FROM pred), {CURVE.format('flip')},
+x AS (SELECT *, list_sum(list_transform(range(0, n_auto - n_correct + 1), lambda j: exp(lgamma(n_auto + 1) - lgamma(j + 1) - lgamma(n_auto - j + 1) + (n_auto - j) * ln(0.97) + j * ln(0.03)))) AS tail FROM curve WHERE n_auto >= 20)
+SELECT threshold, n_auto, n_correct, round(n_correct / n_auto::DOUBLE, 6) AS accuracy FROM x WHERE tail <= 0.05 ORDER BY n_auto DESC, threshold LIMIT 1""")
+def policy_lower_bound(spark, d):
+    """The largest automatic part whose accuracy is at least 0.97 with confidence 0.95 (errors and hits exchanged, as these predictions mostly miss)."""
+    p = frames.predictions(spark, d).withColumn("correct", 1 - F.col("correct"))
+    return rounded(policy.threshold_by_lower_bound(p, 0.97).select("threshold", "n_auto", "n_correct", "accuracy"))
+
+
+@query(f"WITH {PREDICTIONS} SELECT count(*) AS total_n, count(*) FILTER (confidence >= 0.55) AS n_auto, sum(1 - correct) FILTER (confidence >= 0.55)::BIGINT AS n_errors, round(avg((confidence >= 0.55)::INT), 6) AS coverage, round(avg(correct) FILTER (confidence >= 0.55), 6) AS accuracy FROM pred WHERE split = 'test'".replace("sum(1 - correct) FILTER (confidence >= 0.55)::BIGINT", "(sum(1 - correct) FILTER (confidence >= 0.55))::BIGINT"))
+def frozen_threshold(spark, d):
+    return rounded(policy.apply_threshold(frames.predictions(spark, d).filter("split = 'test'"), 0.55))
+
+
+# ---- explanation
+
+
+@query()
+def sentences(spark, d):
+    docs = read(spark, d, "documents").filter("text is not null")
+    return explain.sentences(docs, "doc_id").select("doc_id", "start", "end", F.sha2("quote", 256).alias("quote_sha"))
+
+
+def _assertion_sql(t: str) -> str:
+    edge = lambda words: f"regexp_matches(lower({t}), '(^|[^\\pL\\pN_])({words})($|[^\\pL\\pN_])')"
+    return "CASE " + " ".join(f"WHEN {edge(words)} THEN '{name}'" for name, words in text.ASSERTIONS) + " ELSE 'affirmed' END"
+
+
+@query(f"SELECT conv_id, turn, {_assertion_sql('text')} AS assertion FROM conversations")
+def assertion_class(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", text.assertion("text").alias("assertion"))
+
+
+def evidence_rows(spark, d):
+    """Documents as records: their fourth and fifth words are the mention, a benchmark item's first words the term."""
+    docs = read(spark, d, "documents").filter("text is not null")
+    w = F.split("text", r"\s+")
+    term = F.concat_ws(" ", F.get(w, F.lit(7)), F.get(w, F.lit(8)))
+    return docs.select(F.col("doc_id").alias("record_id"), "text", F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", F.get(w, F.lit(3)), F.get(w, F.lit(4)))).otherwise("").alias("mention"), term.alias("term"), F.get(w, F.lit(12)).alias("synonyms")).fillna("")
+
+
+@query()
+def evidence_spans(spark, d):
+    s = explain.evidence_spans(evidence_rows(spark, d)).select("record_id", F.explode("spans").alias("s"))
+    return rounded(s.select("record_id", "s.start", "s.end", "s.source", "s.score", F.sha2("s.quote", 256).alias("quote_sha")))
+
+
+@query()
+def explanation_audit(spark, d):
+    """Evidence, its assertion classes and the quality gate, over all documents."""
+    rows = evidence_rows(spark, d)
+    e = rows.join(explain.evidence_spans(rows), "record_id").withColumn("decision", F.when(F.col("record_id") % 2 == 0, "AUTO_CANDIDATE").otherwise("HUMAN_REVIEW"))
+    e = e.withColumn("explanation_status", F.when(F.size("spans") > 0, "grounded").otherwise("insufficient_grounding")).withColumn("why", F.lit("")).withColumn("comprehensiveness_drop", F.lit(None).cast("double"))
+    g = explain.apply_quality_gate(explain.quality(explain.audit_context(e)))
+    return g.select("record_id", "quality_gate", "decision", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("SELECT doc_id, sha256(substr(text, 1, 3) || repeat(' ', least(greatest(length(text) - 3, 0), 5)) || substr(text, 9)) AS masked_sha FROM documents WHERE text IS NOT NULL AND length(text) >= 8")
+def masked_spans(spark, d):
+    docs = read(spark, d, "documents").filter("length(text) >= 8")
+    spans = F.array(F.struct(F.lit(3).alias("start"), F.lit(8).alias("end")))
+    return docs.select("doc_id", F.sha2(text.without_spans("text", spans), 256).alias("masked_sha"))
+
+
+@query()
+def candidate_rationales(spark, d):
+    c, test = coder(spark, d, k=3)
+    top = c.predict(test).join(test.select("record_id", "text", "mention"), "record_id").cache()
+    terms = frames.part_terms(spark, d).withColumn("definition", F.lit(""))
+    return rounded(explain.candidate_rationales(top, terms, top_k=3).select("record_id", "rank", "code", "score", F.array_join("evidence_quotes", "; ").alias("quotes"), "rationale"))
+
+
+@query()
+def faithfulness(spark, d):
+    """How much of the predicted code's score the evidence carries."""
+    c, test = coder(spark, d, k=1)
+    p = c.predict(test).filter("rank = 1").join(test.select("record_id", "text", "mention"), "record_id").cache()
+    terms = records.with_blank(frames.part_terms(spark, d), "definition", "hierarchy", "system", "knowledge_source")
+    e = explain.explanations(p.select("record_id", "text", "mention", F.col("code").alias("predicted_code"), F.col("score").alias("confidence"), F.lit("AUTO_CANDIDATE").alias("decision")), terms).cache()
+    return rounded(explain.faithfulness(e, c).select("record_id", "predicted_code", "explanation_status", "original_score", "evidence_only_score", "evidence_removed_score", "sufficiency_gap", "comprehensiveness_drop"))
+
+
+# ---- intervals
+
+
+@query(f"WITH {SPANS} SELECT record_id, code, count(*)::BIGINT AS covered FROM px GROUP BY ALL")
+def interval_union(spark, d):
+    p, _ = frames.spans(spark, d)
+    return intervals.merged(p, "record_id", "code").groupBy("record_id", "code").agg(F.sum(F.col("e") - F.col("s")).alias("covered"))
+
+
+@query(f"WITH {SPANS} SELECT record_id, code, count(*)::BIGINT AS overlap FROM px JOIN rx USING (record_id, code, x) GROUP BY ALL")
+def interval_overlap(spark, d):
+    p, r = frames.spans(spark, d)
+    return intervals.overlap(intervals.merged(p, "record_id", "code"), intervals.merged(r, "record_id", "code"), "record_id", "code")
+
+
+@query(f"""WITH {SPANS}, k AS (SELECT DISTINCT record_id, code FROM sp WHERE f <> 'R'), r AS (SELECT record_id, code, count(*) AS r FROM rx GROUP BY ALL), p AS (SELECT record_id, code, count(*) AS p FROM px GROUP BY ALL), o AS (SELECT record_id, code, count(*) AS o FROM px JOIN rx USING (record_id, code, x) GROUP BY ALL), y AS (SELECT DISTINCT record_id, code, true AS y FROM sp WHERE f = 'R')
+SELECT record_id, code, round(CASE WHEN coalesce(p, 0) > 0 THEN coalesce(o, 0) / p::DOUBLE ELSE 0 END, 6) AS char_precision, round(CASE WHEN coalesce(r, 0) > 0 THEN coalesce(o, 0) / r::DOUBLE ELSE 0 END, 6) AS char_recall, round(CASE WHEN coalesce(r, 0) + coalesce(p, 0) > 0 THEN 2.0 * coalesce(o, 0) / (coalesce(r, 0) + coalesce(p, 0)) ELSE 0 END, 6) AS char_f1, coalesce(o, 0) > 0 AS any_overlap, coalesce(y, false) AS prediction_present
+FROM k LEFT JOIN r USING (record_id, code) LEFT JOIN p USING (record_id, code) LEFT JOIN o USING (record_id, code) LEFT JOIN y USING (record_id, code)""")
+def rationale_agreement(spark, d):
+    p, r = frames.spans(spark, d)
+    return rounded(intervals.rationale_agreement(p, r))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS doc_id, l_partkey % 3000 AS s, l_partkey % 3000 + l_quantity::INT - 3 AS e FROM lineitem), r AS (SELECT a.*, text FROM a LEFT JOIN documents USING (doc_id)),
+p AS (SELECT CASE WHEN text IS NULL THEN 'missing_record' WHEN s < 0 OR e <= s OR e > length(text) THEN 'invalid_offsets' END AS p FROM r)
+SELECT count(*) AS n, count(*) FILTER (p = 'missing_record') AS missing_record, count(*) FILTER (p = 'invalid_offsets') AS invalid_offsets, 0::BIGINT AS quote_mismatch FROM p""")
+def offset_validation(spark, d):
+    li = read(spark, d, "lineitem")
+    s = F.col("l_partkey") % 3000
+    a = li.select(F.col("l_orderkey").alias("record_id"), s.alias("start"), (s + F.col("l_quantity").cast("int") - 3).alias("end"), F.lit("").alias("quote"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "text", F.col("doc_id").alias("row_seq"))
+    return intervals.validate_offsets(a, docs)
+
+
+@query("SELECT question, count(v) AS n_rated, round(avg(v), 6) AS positive_rate FROM (SELECT 'quality' AS question, CASE quality WHEN 1 THEN 1 WHEN 0 THEN 0 END AS v FROM labels UNION ALL SELECT 'toxic', CASE toxic WHEN 1 THEN 1 WHEN 0 THEN 0 END FROM labels) GROUP BY question")
+def binary_ratings(spark, d):
+    return rounded(intervals.binary_ratings(read(spark, d, "labels"), "quality", "toxic"))
+
+
+# ---- audits
+
+
+@query("SELECT quantile_cont(length(text), 0.5)::DOUBLE AS median, quantile_cont(length(text), 0.95)::DOUBLE AS p95, quantile_cont(length(text), 0.99)::DOUBLE AS p99 FROM documents")
+def length_quantiles(spark, d):
+    q = read(spark, d, "documents").agg(F.percentile(F.length("text"), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("q"))
+    return rounded(q.select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("median", "p95", "p99"))]))
+
+
+@query(f"""WITH {PREDICTIONS}, g AS (SELECT DISTINCT gold_code FROM pred), m AS (SELECT count(*) AS m FROM g WHERE gold_code NOT IN (SELECT code FROM seen)), a AS (SELECT count(*) AS n_rows, count(DISTINCT record_id) AS n_documents, count(DISTINCT gold_code) AS n_codes, avg((record_id % 50 <> 0)::INT) AS o, count(*) FILTER (record_id % 9 = 0) AS dis FROM pred)
+SELECT n_rows, n_documents, n_codes, round(o, 6) AS offset_match_rate, dis AS n_discontinuous, 0::BIGINT AS n_duplicates, m AS n_missing_codes, round((n_codes - m) / n_codes::DOUBLE, 6) AS coverage, CASE WHEN (n_codes - m) / n_codes::DOUBLE < 0.95 THEN 'low_terminology_coverage' ELSE '' END AS failures FROM a, m""")
+def audit_annotations(spark, d):
+    p = frames.predictions(spark, d).withColumn("annotation_id", F.lit("T1")).withColumn("offset_match", (F.col("record_id") % 50 != 0).cast("string")).withColumn("is_discontinuous", F.when(F.col("record_id") % 9 == 0, "Yes").otherwise("No"))
+    a = audits.audit_annotations(p, frames.seen_codes(spark, d), min_offset=0.9)
+    return rounded(a.select("n_rows", "n_documents", "n_codes", "offset_match_rate", "n_discontinuous", "n_duplicates", "n_missing_codes", "coverage", F.array_join("hard_failures", ",").alias("failures")))
+
+
+@query(f"""WITH {PREDICTIONS}, {DIAG}, p AS (SELECT record_id, confidence, correct, code_novelty, CASE WHEN confidence >= 0.9 THEN 'AUTO_CANDIDATE' ELSE 'HUMAN_REVIEW' END AS decision, CASE WHEN record_id % 11 = 0 THEN 'insufficient_grounding' ELSE 'grounded' END AS st FROM diag), q AS (SELECT quantile_cont(confidence, 0.75) AS q FROM p),
+r AS (SELECT *, CASE WHEN decision = 'AUTO_CANDIDATE' AND correct = 0 THEN 1 WHEN correct = 0 AND confidence >= q THEN 2 WHEN correct = 0 AND code_novelty = 'unseen_code' THEN 3 WHEN st = 'insufficient_grounding' THEN 4 WHEN correct = 0 THEN 5 ELSE 6 END AS o FROM p, q),
+n AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY confidence DESC, record_id) AS place FROM r), k AS (SELECT *, row_number() OVER (ORDER BY o, place) AS i FROM n WHERE place <= 8 OR (o = 6 AND place <= 40))
+SELECT 'CASE-' || lpad(i::VARCHAR, 3, '0') AS case_id, record_id, ['auto_candidate_error', 'high_confidence_error', 'unseen_code_error', 'insufficient_evidence', 'other_error', 'correct_control'][o] AS review_reason FROM k WHERE i <= 40""")
+def review_casebook(spark, d):
+    p = diagnosed(spark, d).withColumn("decision", F.when(F.col("confidence") >= 0.9, "AUTO_CANDIDATE").otherwise("HUMAN_REVIEW")).withColumn("explanation_status", F.when(F.col("record_id") % 11 == 0, "insufficient_grounding").otherwise("grounded"))
+    return audits.casebook(p, 40).select("case_id", "record_id", "review_reason")
+
+
+# ---- review, feedback
+
+
+STATE = """st AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ts DESC, event_id DESC) AS r FROM log)"""
+
+
+@query(f"WITH {REVIEW}, {STATE} SELECT record_id, max(CASE WHEN kind = 'ENQUEUE' THEN 'PENDING' WHEN action = 'ESCALATE' THEN 'ESCALATED' ELSE 'RESOLVED' END) FILTER (r = 1) AS status, max(action) FILTER (r = 1) AS action, max(selected_code) FILTER (r = 1) AS selected_code, count(*) FILTER (kind = 'DECIDE') AS n_decisions FROM st GROUP BY record_id")
+def queue_state(spark, d):
+    return review.queue_state(frames.review_events(spark, d)).select("record_id", "status", "action", "selected_code", "n_decisions")
+
+
+@query(f"WITH {REVIEW}, {STATE} SELECT 'status' AS what, CASE WHEN kind = 'ENQUEUE' THEN 'PENDING' WHEN action = 'ESCALATE' THEN 'ESCALATED' ELSE 'RESOLVED' END AS name, count(*) AS n FROM st WHERE r = 1 GROUP BY ALL UNION ALL SELECT 'action', action, count(*) FROM log WHERE kind = 'DECIDE' GROUP BY action")
+def queue_summary(spark, d):
+    e = frames.review_events(spark, d)
+    return review.summary(review.queue_state(e), e)
+
+
+@query(f"""WITH {FEEDBACK} SELECT event_id, array_to_string(list_filter([CASE WHEN action IN ('ACCEPT_TOP1', 'SELECT_ALTERNATIVE') AND NOT list_contains(cands, code) THEN 'selected_code_not_in_original_topk' END, CASE WHEN action = 'RECODE_OUTSIDE_TOPK' AND list_contains(cands, code) THEN 'outside_topk_action_inconsistent' END], lambda x: x IS NOT NULL), ',') AS errors FROM fb""")
+def feedback_validation(spark, d):
+    return frames.feedback(spark, d).select("event_id", F.array_join(review.feedback_errors(), ",").alias("errors"))
+
+
+@query(f"WITH {FEEDBACK} SELECT count(*) AS n_feedback, {', '.join(f'''count(*) FILTER (action = '{a}') AS n_{a.lower()}''' for a in review.ACTIONS)}, round(avg((action = 'ACCEPT_TOP1')::INT), 6) AS top1_accept_rate, round(avg((action = 'SELECT_ALTERNATIVE')::INT), 6) AS topk_rescue_rate, round(avg((action = 'RECODE_OUTSIDE_TOPK')::INT), 6) AS outside_topk_rate FROM fb")
+def feedback_summary(spark, d):
+    return rounded(review.feedback_summary(frames.feedback(spark, d)))
+
+
+@query(f"WITH {FEEDBACK} SELECT event_id, record_id, d.source AS mention, code AS gold_code, action AS feedback_human_action FROM fb JOIN documents d ON d.doc_id::VARCHAR = record_id WHERE action NOT IN ('ESCALATE', 'NO_CODE') AND code <> ''")
+def feedback_memory(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), "text", F.col("source").alias("mention"), F.col("doc_id").alias("row_seq"))
+    f = frames.feedback(spark, d)
+    m = review.training_memory(f.withColumn("model_release", F.col("event_id").cast("string")), docs)
+    return m.select(F.col("feedback_source_release").cast("long").alias("event_id"), "record_id", "mention", "gold_code", "feedback_human_action")
+
+
+@query(f"""WITH {PREDICTIONS}, {REVIEW}, l AS (SELECT record_id, action, selected_code, row_number() OVER (PARTITION BY record_id ORDER BY ts DESC, event_id DESC) AS r FROM log WHERE kind = 'DECIDE' QUALIFY r = 1)
+SELECT p.record_id::VARCHAR AS record_id, predicted_code, coalesce(action, '') AS human_action, CASE WHEN action IS NULL OR action = 'ACCEPT_TOP1' THEN predicted_code WHEN action IN ('ESCALATE', 'NO_CODE') THEN '' ELSE selected_code END AS final_code,
+CASE WHEN action IS NULL THEN 'MODEL_ONLY' WHEN action = 'ESCALATE' THEN 'ESCALATED' WHEN action = 'NO_CODE' THEN 'NO_CODE' ELSE 'HUMAN_DECIDED' END AS final_status FROM pred p LEFT JOIN l ON l.record_id = p.record_id::VARCHAR""")
+def decision_trace(spark, d):
+    p = frames.predictions(spark, d).select(F.col("record_id").cast("string").alias("record_id"), "predicted_code")
+    return review.decision_trace(p, frames.review_events(spark, d))
+
+
+@query("SELECT c_custkey, CASE WHEN trim(c_name) = '' THEN '' ELSE substr(sha256(trim(c_name)), 1, 16) END AS reviewer_hash FROM customer")
+def reviewer_hash(spark, d):
+    return read(spark, d, "customer").select("c_custkey", review.reviewer_hash("c_name").alias("reviewer_hash"))
+
+
+# ---- model boundary
+
+
+@query(f"""WITH {PREDICTIONS}, r AS (SELECT record_id, codes, CASE record_id % 4 WHEN 0 THEN list_reverse(codes) WHEN 1 THEN list_append(codes, codes[1]) WHEN 2 THEN codes[2:] ELSE codes END AS ranked FROM pred)
+SELECT record_id, array_to_string(list_filter([CASE WHEN len(list_distinct(ranked)) <> len(ranked) THEN 'duplicate_ranked_codes' END, CASE WHEN list_sort(list_distinct(ranked)) <> list_sort(list_distinct(codes)) THEN 'candidate_set_changed' END], lambda x: x IS NOT NULL), ',') AS errors,
+CASE WHEN len(list_distinct(ranked)) = len(ranked) AND list_sort(ranked) = list_sort(codes) THEN ranked[1] ELSE codes[1] END AS first_code FROM r""")
+def rerank_validation(spark, d):
+    p = frames.predictions(spark, d)
+    m = F.col("record_id") % 4
+    ranked = F.when(m == 0, F.reverse("codes")).when(m == 1, F.concat("codes", F.slice("codes", 1, 1))).when(m == 2, F.slice("codes", F.lit(2), F.size("codes"))).otherwise(F.col("codes"))
+    p = p.withColumn("ranked", ranked).withColumn("errors", models.ranking_errors(F.col("ranked"), F.col("codes")))
+    objects = F.transform("codes", lambda c: F.struct(c.alias("code")))
+    first = F.get(models.reordered(objects, "ranked", F.size("errors") == 0), F.lit(0))["code"]
+    return p.select("record_id", F.array_join("errors", ",").alias("errors"), first.alias("first_code"))
+
+
+@query("SELECT event_id, (json_extract_string(props, '$.k'))::INT AS k, CASE WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 3 = 1 THEN 1 ELSE 0 END::INT AS n_codes FROM events")
+def tolerant_json(spark, d):
+    """Code lists out of JSON: objects, bare strings, and text that is no JSON."""
+    e = read(spark, d, "events")
+    m = F.col("event_id") % 3
+    body = F.when(m == 0, '[{"code":"A"},{"code":"B"}]').when(m == 1, '["A"]').otherwise("[{")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.size(evaluation.candidate_codes(body)).alias("n_codes"))
