@@ -44,11 +44,6 @@ def crc_unsigned(col: Column) -> Column:
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` of the UTF-8 bytes with A-Z lower-cased; null has none."""
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-
-
 def plain_words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+`, unchanged; null has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -62,25 +57,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Known(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = self.one(word)
-        return h
+#: White space of the contracts: 0x20 and 0x09 to 0x0D.
+_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+AT_ONCE = 4_000_000
 
 
-class WordHashes:
-    """64-bit hashes of words, kept in a dictionary of bounded size."""
+def hashed_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a byte string that ends in white space begin and end, and a 64-bit hash of each, eight bytes at a time."""
+    data = np.frombuffer(raw + bytes(16), np.uint8)
+    space = _SPACE[data[: len(raw)]]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(raw) and not space[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[::2], edge[1::2]
+    eight = np.ndarray((len(raw) + 8,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    with np.errstate(over="ignore"):
+        h = mix64((eight[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        long, at = np.flatnonzero(size > 8), 8
+        while len(long):
+            part = eight[start[long] + at] & _FIRST[np.minimum(size[long] - at, 8)]
+            h[long] = mix64(h[long] * np.uint64(0xD6E8FEB86659FD93) + part)
+            at += 8
+            long = long[size[long] > at]
+    return start, end, h
 
-    def __init__(self, most: int = 400_000) -> None:
-        import xxhash
 
-        self.known, self.most = _Known(), most
-        self.known.one = xxhash.xxh3_64_intdigest
+def hashed_words(texts: list[str | None], lower: bool):
+    """For each text, the 64-bit hashes of its words `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased if `lower`; null has none.
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+    Texts are taken together up to AT_ONCE characters, so that short ones cost no call each.
+    """
+    at = 0
+    while at < len(texts):
+        raw, size, to = [], 0, at
+        while to < len(texts) and (to == at or size < AT_ONCE):
+            raw.append((texts[to] or "").encode("utf-8", "surrogatepass"))
+            size += len(raw[-1])
+            to += 1
+        joined = b"\n".join(raw) + b"\n"
+        start, _, h = hashed_bytes(joined.translate(LOWER) if lower else joined)
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        yield from np.split(h, np.searchsorted(start, ends[:-1]))
+        at = to
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -154,3 +174,19 @@ def bit_filter(keys: DataFrame, column: str, count: int, most_bits: int = 1 << 2
 def in_filter(bitmap: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     """Which of the uint64 keys the bitmap may hold."""
     return (bitmap[((keys & np.uint64(bits - 1)) >> np.uint64(6)).astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) != 0
+
+
+def carried_schema(ddl: str, rows: DataFrame, keep: tuple[str, ...]):
+    """The Spark schema of `ddl` followed by the columns of `rows` named in `keep`."""
+    from pyspark.sql.types import StructType
+
+    return StructType([*StructType.fromDDL(ddl.replace(" long", " bigint")).fields, *(rows.schema[c] for c in keep)])
+
+
+def carried(out, batch, keep: tuple[str, ...]):
+    """The record batch `out` with the columns of `batch` named in `keep`, row by row."""
+    import pyarrow as pa
+
+    if not keep:
+        return out
+    return pa.RecordBatch.from_arrays([*out.columns, *(batch.column(c) for c in keep)], names=[*out.schema.names, *keep])

@@ -9,21 +9,28 @@ left. If its fullest window exceeds the capacity, the window count rises and the
 
 from __future__ import annotations
 
+import gc
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import table
+from termweave.llm.common import LOWER, arrow_batch, arrow_rows, hashed_bytes, table
 
 CAPACITY, PIECE, WINDOWS, EOD = 4096, 512, 128, 2
 #: Characters of text tokenised at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 12_000_000
+MARKS = re.compile(rb"[.,;:!?|]+$", re.MULTILINE)
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -80,27 +87,82 @@ def packed(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int
         k += 1
 
 
-def tokenizer_ids(path: str):
+@lru_cache(1)  # a Python worker keeps what it has learnt from task to task
+def tokenizer_ids(path: str, most: int = 1_000_000):
     """A function from a list of texts to their ids as uint32 arrays, without special tokens added.
 
-    White space separates the tokenizer's units whatever stands around, so ids are looked up by the text between
-    blanks and line ends; what is not known yet goes to the tokenizer in one batch. The dictionary is bounded.
+    White space separates the tokenizer's units whatever stands around, A-Z count as a-z, and sentence marks after a
+    letter are a unit of their own. So each distinct word (told by a 64-bit hash) goes to the tokenizer once, without
+    the marks at its end; its ids are laid down in one array, and a text's ids are gathered from there. What is kept is
+    bounded. Texts that may hold the tokenizer's special strings keep their case, as these depend on it.
     """
     from tokenizers import Tokenizer
 
-    tok, known = Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    place: dict[int, int] = {}  # hash -> number of the word
+    start, size, laid = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def plain(core: bytes) -> bool:
+        """Whether it is one unit of the tokenizer: letters that neither normalising nor lower-casing takes apart."""
+        if core.isalpha():  # ASCII
+            return True
+        word = core.decode("utf-8", "surrogatepass")
+        return word.isalpha() and word.lower().isalpha() and is_normalized("NFC", word)
+
+    def units(new: list[bytes]) -> dict[bytes, bytes]:
+        out, apart, joined = {}, [], []
+        for w in new:
+            (joined if plain(w) else apart).append(w)
+        for at in range(0, len(joined), 2000):
+            some = joined[at : at + 2000]
+            e = tok.encode(b" ".join(some).decode(), add_special_tokens=False)
+            raw = array("I", e.ids).tobytes()
+            edge = (np.searchsorted(np.fromiter(e.word_ids, np.int64, len(e)), np.arange(len(some) + 1)) * 4).tolist()
+            out.update(zip(some, map(raw.__getitem__, map(slice, edge, edge[1:])), strict=True))
+        for at in range(0, len(apart), 2000):
+            some = apart[at : at + 2000]
+            for w, e in zip(some, tok.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in some], add_special_tokens=False), strict=True):
+                out[w] = array("I", e.ids).tobytes()
+        return out
+
+    def learn(words: list[bytes]) -> list[bytes]:
+        stripped = MARKS.sub(b"", b"\n".join(words)).split(b"\n")
+        todo, ends = set(), []
+        for w, core in zip(words, stripped, strict=True):
+            if core != w and core and (core[-1] in LETTERS or core[-1] >= 128 and core.decode("utf-8", "surrogatepass")[-1].isalpha()):
+                todo.add(core)
+                todo.add(w[len(core) :])
+                ends.append(core)
+            else:
+                todo.add(w)
+                ends.append(w)
+        known = units(list(todo))
+        return [known[w] if w is core or len(w) == len(core) else known[core] + known[w[len(core) :]] for w, core in zip(words, ends, strict=True)]
 
     def ids(texts: list[str]) -> list[np.ndarray]:
-        if len(known) > 300_000:
-            known.clear()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts) - known.keys()) if parts else []
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
+        nonlocal start, size, laid
+        if len(place) > most:
+            place.clear()
+            start, size, laid = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        body = b"\n".join([t if b"<|" in t else t.translate(LOWER) for t in raw]) + b"\n"
+        begin, end, h = hashed_bytes(body)
+        each, first, which = np.unique(h, return_index=True, return_inverse=True)
+        number = np.array([place.get(x, -1) for x in each.tolist()], np.int64)
+        if len(new := np.flatnonzero(number < 0)):
+            at = first[new]
+            got = learn([body[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            number[new] = np.arange(len(start), len(start) + len(new))
+            place.update(zip(each[new].tolist(), number[new].tolist(), strict=True))
+            n = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            start = np.concatenate([start, len(laid) + np.cumsum(n) - n])
+            size = np.concatenate([size, n])
+            laid = np.concatenate([laid, np.frombuffer(b"".join(got), "<u4")])
+        word = number[which]
+        n = size[word]
+        out = laid[np.repeat(start[word] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        ends = np.searchsorted(begin, np.cumsum([len(r) + 1 for r in raw])[:-1])
+        return np.split(out, np.concatenate([[0], np.cumsum(n)])[ends])
 
     return ids
 
@@ -121,10 +183,12 @@ def cut(lengths: int, capacity: int, piece: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
     """A row per piece with the CRC of its ids; null text: empty, so that its document is the end id alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches) -> Iterator:
         ids = tokenizer_ids(tokenizer)
-        for pdf in batches:
-            texts, keys, at = pdf["text"].tolist(), pdf["doc_id"].tolist(), 0
+        gc.freeze()  # the dictionaries hold no cycles
+        gc.disable()
+        for keys, texts in arrow_rows(batches, "doc_id", "text"):
+            at = 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size < AT_ONCE):
@@ -135,10 +199,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int
                     own = np.append(own, np.uint32(EOD)).astype("<u4")
                     raw = memoryview(own.tobytes())
                     rows += [(key, s, m, zlib.crc32(raw[4 * s : 4 * (s + m)]), len(own)) for s, m in cut(len(own), capacity, piece)]
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield arrow_batch(PIECES, *map(list, zip(*rows, strict=True)))
                 at = end
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE, windows: int = WINDOWS) -> DataFrame:
@@ -148,37 +212,41 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int =
     empty table gives no rows. Columns other than doc_id and text are not looked at.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches) -> Iterator:
         part, made, held, tokens = TaskContext.get().partitionId(), 0, [], 0
 
-        def flush(pdf: pd.DataFrame) -> pd.DataFrame:
+        def flush(rows: pa.Table):
             nonlocal made
-            sizes = pdf["length"].to_numpy()
+            sizes = rows["length"].to_numpy()
             full = sizes == capacity
             window = np.empty(len(sizes), np.int64)
             window[full] = np.arange(full.sum())
             own, k = packed(sizes[~full], capacity)
             window[~full] = own + full.sum()
-            pdf = pdf.assign(sequence_id=(np.int64(part) << 40) + made + window)
+            order = np.argsort(window, kind="stable")
+            sizes, window = sizes[order], window[order]
+            before = np.cumsum(sizes) - sizes
+            offset = before - np.maximum.accumulate(np.where(np.r_[True, window[1:] != window[:-1]], before, 0))
+            rows = rows.take(pa.array(order)).append_column("sequence_id", pa.array((np.int64(part) << 40) + made + window)).append_column("offset", pa.array(offset))
             made += int(full.sum()) + k
-            pdf = pdf.sort_values(["sequence_id", "doc_id", "start"], kind="stable")
-            return pdf.assign(offset=pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"])
+            yield from rows.combine_chunks().to_batches()
 
-        for pdf in batches:
-            ends = np.cumsum(pdf["length"].where(pdf["length"] < capacity, 0).to_numpy()) + tokens
-            at = 0
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            sizes = rows["length"].to_numpy()
+            ends, at = np.cumsum(np.where(sizes < capacity, sizes, 0)) + tokens, 0
             for block in range(windows * capacity, int(ends[-1]) + 1 if len(ends) else 0, windows * capacity):
                 to = int(np.searchsorted(ends, block)) + 1
-                yield flush(pd.concat([*held, pdf.iloc[at:to]]))
+                yield from flush(pa.concat_tables([*held, rows.slice(at, to - at)]))
                 held, at = [], to
-            held.append(pdf.iloc[at:])
+            held.append(rows.slice(at))
             tokens = (int(ends[-1]) if len(ends) else tokens) % (windows * capacity)
-        if held and sum(map(len, held)):
-            yield flush(pd.concat(held))
+        if sum(map(len, held)):
+            yield from flush(pa.concat_tables(held))
 
     cut_up = pieces(docs, tokenizer, capacity, piece)
     dealt = cut_up.repartition(F.xxhash64("doc_id", "start", "ids_crc32")).sortWithinPartitions("doc_id", "start", "ids_crc32")
-    return dealt.mapInPandas(run, f"{PIECES}, sequence_id long, offset long")
+    return dealt.mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WordHashes, arrow_batch, arrow_rows, bit_filter, distinct, gram_hashes, in_filter, plain_words, signed, table, written
+from termweave.llm.common import arrow_batch, arrow_rows, bit_filter, distinct, gram_hashes, hashed_words, in_filter, plain_words, signed, table, written
 
 WINDOW = 50
 
@@ -45,11 +45,10 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def level1(batches) -> Iterator:
-        hashes = WordHashes()
         for keys, texts in arrow_rows(batches, "doc_id", "text"):
             out, own = [], []
-            for key, text in zip(keys, texts, strict=True):
-                a = distinct(anchors(hashes(plain_words(text)), window))
+            for key, words in zip(keys, hashed_words(texts, False), strict=True):
+                a = distinct(anchors(words, window))
                 if len(a):
                     out.append(a)
                     own.append(np.full(len(a), key, np.int64))
@@ -61,12 +60,11 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     told = spark.sparkContext.broadcast(bit_filter(found, "h", found.count()))
 
     def level2(batches) -> Iterator:
-        hashes, (bitmap, bits) = WordHashes(), told.value
+        bitmap, bits = told.value
         for keys, texts in arrow_rows(batches, "doc_id", "text"):
             out: list[list] = [[], [], []]
             size = 0
-            for key, text in zip(keys, texts, strict=True):
-                words = hashes(plain_words(text))
+            for key, words in zip(keys, hashed_words(texts, False), strict=True):
                 at = np.flatnonzero(in_filter(bitmap, bits, anchors(words, window)))
                 if len(at):
                     for c, x in zip(out, (signed(gram_hashes(words, window)[at]), np.full(len(at), key, np.int64), at), strict=True):
