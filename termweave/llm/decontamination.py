@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import arrow_batch, arrow_rows, table
+from termweave.llm.common import arrow_batch, carried, carried_schema, table
 
 PHRASE = 10
 #: Indexed symbols and document words of a shard.
@@ -178,13 +178,14 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, text: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated and, with `text`, the spans hit and the text without them.
 
     Phrases are `length` consecutive words of an item, or all words of an item with fewer. A null text, of a document
     or an item, has no words. Items of the same id count once. An empty benchmark hits nothing; an empty table gives
     no rows; repeated rows are judged one by one. Columns other than those used are not looked at. The benchmark is
-    the stated query set: it is held in blocks of a bounded size, each searched in every shard.
+    the stated query set: it is held in blocks of a bounded size, each searched in every shard. The columns named in
+    `keep` come along.
     """
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("item_id").isNotNull()).toLocalIterator()
     blocks, own, size = [], [], 0
@@ -198,8 +199,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, t
     ddl = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", starts array<long>, ends array<long>, text string" * text
 
     def run(batches) -> Iterator:
-        for keys, texts in arrow_rows(batches, "doc_id", "text"):
-            at = 0
+        for batch in batches:
+            keys, texts, at = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 0
             while at < len(keys):
                 split, total, end = [], 0, at
                 while end < len(keys) and (end == at or total < SHARD_WORDS):
@@ -225,10 +226,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, t
                         row += [[a for a, _ in spans], [b for _, b in spans], clean]
                     for c, x in zip(out, row, strict=True):
                         c.append(x)
-                yield arrow_batch(ddl, *out)
+                yield carried(arrow_batch(ddl, *out), batch.slice(at, end - at), keep)
                 at = end
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    return rows.mapInArrow(run, carried_schema(ddl, rows, keep))
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

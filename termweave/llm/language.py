@@ -15,18 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termweave.llm.common import mix64, table
+from termweave.llm.common import arrow_batch, carried, carried_schema, mix64, table
 
-#: The filters are fitted on at most this many labelled documents of each language, taken by a hash of their ids.
+#: The filters are fitted on about this many labelled documents of each language, taken by a hash of their ids.
 PER_LANGUAGE = 3000
 N, SLOTS, HASHES = 4, 1 << 20, 3
 #: An n-gram belongs to a language if it occurs this often and its share there is this part of its largest share.
 LEAST, PART = 3, 0.25
 AT_ONCE = 1_000_000
 UNKNOWN = "und"
+OUT = "doc_id long, lang_pred string, score double"
 
 
 def letters() -> np.ndarray:
@@ -106,24 +106,27 @@ def held_out(key: str = "doc_id"):
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, slots_: int = SLOTS, hashes: int = HASHES) -> dict:
     """The filters: languages, the table (a row of slots for every 64 languages), and each language's rate of false answers.
 
-    Learns from text and lang of the rows that are not held out, at most `per_language` of each language.
+    Learns from text and lang of the rows that are not held out, about `per_language` of each language.
     """
     from pyspark.sql.types import StringType
 
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select(F.col("doc_id"), F.col("lang").cast(StringType()).alias("lang"), "text")
-    ids = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    # At most per_language rows of each language, so the list of ids is bounded by the languages
-    sample = known.join(F.broadcast(ids.filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    # A bounded part of each language, by a hash of the ids: nothing is ranked, so no language meets in one task
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    langs = sorted(r["lang"] for r in sizes)
+    part = F.lit(0.0)
+    for r in sizes:
+        part = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["n"]))).otherwise(part)
+    sample = known.filter(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) < part * float(1 << 40))
     counts = grams(sample)
-    total = F.sum("c").over(W.partitionBy("lang"))
-    share = counts.withColumn("share", F.col("c") / total)
+    total = counts.groupBy("lang").agg(F.sum("c").alias("total"))
+    share = counts.join(F.broadcast(total), "lang").withColumn("share", F.col("c") / F.col("total"))  # a row a language
     best = share.groupBy("gram").agg(F.max("share").alias("best"))
     kept = share.filter(F.col("c") >= LEAST).join(best, "gram").filter(F.col("share") >= PART * F.col("best"))
     rows = kept.select("lang", "gram").toArrow()
     names = np.array(rows["lang"].to_pylist(), object)
     gram = rows["gram"].to_numpy().view(np.uint64)
-    langs = sorted(r[0] for r in ids.select("lang").distinct().collect())
     masks = np.zeros((max(1, -(-len(langs) // 64)), slots_), np.uint64)
     false = np.zeros(len(langs))
     for i, lang in enumerate(langs):
@@ -134,44 +137,46 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, slots_: int = SLOTS,
     return {"langs": langs, "masks": masks, "false": false, "hashes": hashes}
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
+def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred and score for every row; `und` and score 0 if the text is null or has no letter.
 
     The score is the winning language's corrected share of the sum of all. A text with letters, but no n-gram of any
     language, gets the first language in order of name, with score 0; so does every text with letters where nothing
-    was learned, then `und`. Ties go to the first name.
+    was learned, then `und`. Ties go to the first name. The columns named in `keep` come along.
     """
     told = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches) -> Iterator:
         is_letter, m = letters(), told.value
         langs, masks, false = m["langs"], m["masks"], m["false"]
         if len(langs) <= 8:
             masks = masks.astype(np.uint8)
-        for pdf in batches:
-            n = np.zeros(len(pdf))
-            hits = np.zeros((len(langs), len(pdf)))
-            has = np.zeros(len(pdf), bool)
-            for rows, own in parts(pdf["text"].tolist()):
+        for batch in batches:
+            keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            n = np.zeros(len(texts))
+            hits = np.zeros((len(langs), len(texts)))
+            has = np.zeros(len(texts), bool)
+            for rows, own in parts(texts):
                 h, owner, letter = stream(own, is_letter)
                 rows = np.array(rows)
                 has[rows] |= letter
                 to = rows[owner]
-                n += np.bincount(to, minlength=len(pdf))
+                n += np.bincount(to, minlength=len(texts))
                 at = slots(h, masks.shape[1], m["hashes"])
                 for w, mask in enumerate(masks):
                     found = mask[at[0]]
                     for s in at[1:]:
                         found &= mask[s]
                     for i in range(64 * w, min(64 * w + 64, len(langs))):
-                        hits[i] += np.bincount(to, weights=(found >> mask.dtype.type(i % 64)) & mask.dtype.type(1), minlength=len(pdf))
-            true = np.maximum(0, (hits - n * false[:, None]) / (1 - np.minimum(false, 0.999))[:, None]) if langs else np.zeros((1, len(pdf)))
+                        hits[i] += np.bincount(to, weights=(found >> mask.dtype.type(i % 64)) & mask.dtype.type(1), minlength=len(texts))
+            true = np.maximum(0, (hits - n * false[:, None]) / (1 - np.minimum(false, 0.999))[:, None]) if langs else np.zeros((1, len(texts)))
             best, total = true.argmax(0), true.sum(0)
             score = np.where(has & (total > 0), true.max(0) / np.maximum(total, 1e-300), 0.0)
             lang = np.array([*langs, UNKNOWN], object)[np.where(has & bool(langs), best, len(langs))]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score})
+            yield carried(arrow_batch(OUT, keys, lang, score), batch, keep)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c not in ("doc_id", "text")))
+    return rows.mapInArrow(run, carried_schema(OUT, rows, keep))
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

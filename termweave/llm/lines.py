@@ -123,28 +123,29 @@ def neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return true.groupBy("h1", "h2").agg(F.min("near_pos").alias("near"))
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: n_lines, n_removed and the text without the lines that an earlier line repeats.
 
     Lines lie between line feeds. A line of at least 12 characters goes if a line within one edit of it, itself
     included, occurs earlier (in a smaller doc_id, or further up); this is judged on the input. Shorter and empty lines
     stay. Null text has no lines and stays null. Rows without a doc_id come after all others and are kept from losing
     lines. Rows that repeat a doc_id are the same document: lines at the same place do not remove each other. An empty
-    table gives no rows. Columns other than doc_id and text are not looked at.
+    table gives no rows. Columns other than doc_id and text are not looked at; those named in `keep` come along.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
+    docs = full.select("doc_id", "text")
     distinct = written(distinct_lines(lines_of(docs)), "distinct")
     early = distinct.filter("copies > 1").select("h1", "h2", F.col("pos").alias("near"))
     early = written(early.unionByName(neighbours(docs, distinct)).groupBy("h1", "h2").agg(F.min("near").alias("near")), "early")
     gone = lines_of(docs).select("doc_id", "line_no", "pos", *fingerprints(F.col("line"))).join(within(early, early.count()), ["h1", "h2"])
     gone = gone.filter("pos > near").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "id")
-    rows = docs.join(gone, F.col("doc_id") == F.col("id"), "left").withColumn("lines", F.split("text", "\n"))
+    rows = full.join(gone, F.col("doc_id") == F.col("id"), "left").withColumn("lines", F.split("text", "\n"))
     size = F.coalesce(F.size("lines"), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     text = F.when(F.col("text").isNotNull() & F.col("gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")).otherwise(F.col("text"))
     n = F.when(F.col("text").isNull(), 0).otherwise(size)
     removed = F.when(F.col("gone").isNull() | F.col("text").isNull(), 0).otherwise(size - F.size(kept))
-    return rows.select("doc_id", n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"))
+    return rows.select("doc_id", n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"), *(F.col(f"keep_{c}").alias(c) for c in keep))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
