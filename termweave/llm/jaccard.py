@@ -7,11 +7,12 @@ its first |A| - ceil(0.75 |A|) + 1 shingles. Two documents within the distance s
 inside some region. Shingles that are frequent in a sample come last in the order, which only moves work: any order
 gives all links. Regions with the same documents are one.
 
-Inside a region, its smallest document is the pivot; all members' distances to it are computed exactly. Members that
-link with it are one component. Of those, only the boundary (members that the triangle inequality does not separate
-from all members that did not link) stays in the region with the members that did not link; the region joins itself
-again with new pivots, one of each of several components, four times as many each round, until each region holds one
-component. No pair is looked for twice, and none inside a component.
+Inside a region, its smallest document is the pivot; all members' distances to it are bounded by profiles (below) and
+computed exactly where the bound leaves a link possible. Members that link with it are one component. Of those, only
+the boundary (members that the triangle inequality does not separate from all members that did not link) stays in the
+region with the members that did not link. What stays joins itself in blocks: every two blocks of a region meet in one
+task, which rules out pairs by sizes and profiles and hands on the few that are left for exact comparison. No pair is
+looked for inside a component, none is left out, and none but possible links leaves a task.
 """
 
 from __future__ import annotations
@@ -22,20 +23,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WordHashes, arrow_batch, arrow_rows, ascii_words, bit_filter, distinct, gram_hashes, in_filter, mix64, signed, table, written
+from termweave.llm.common import arrow_batch, arrow_rows, bit_filter, distinct, gram_hashes, hashed_words, in_filter, mix64, signed, table, written
 
 SHINGLE, PERCENT = 5, 75
 #: One document in so many is looked at for frequent shingles; those it finds this often come last in the order.
-SAMPLE, OFTEN = 16, 6
+SAMPLE, OFTEN = 8, 3
 #: Members compared with one copy of a pivot in a task.
 STAR = 512
+#: Members of a region's block.
+BLOCK = 512
 #: A side of at most this many rows of fixed width is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
-def shingles(text: str | None, hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
-    words = hashes(ascii_words(text))
+def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the shingles of hashed words; fewer words are one shingle, none have none."""
     if not len(words):
         return np.empty(0, np.uint64)
     if len(words) < n:
@@ -53,6 +55,103 @@ def prefix(own: np.ndarray, often: tuple[np.ndarray, int] | None, percent: int =
     return own[:keep]
 
 
+def profile(own: np.ndarray) -> bytes:
+    """A bit for each class of the shingles' hashes: whether an odd number falls into it. Two to four classes a shingle.
+
+    Bits that differ between two documents each need a shingle that only one of them has, so |A xor B| is at least
+    their number. Profiles of different lengths are compared after the longer one is folded by exclusive or.
+    """
+    bits = max(64, 2 << int(len(own)).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(profiles: np.ndarray, words: int) -> np.ndarray:
+    """Profiles (a row of uint64 each) folded to `words` words."""
+    return np.bitwise_xor.reduce(profiles.reshape(len(profiles), -1, words), axis=1)
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of |A xor B| from two profiles."""
+    x, y = np.frombuffer(a, "<u8")[None], np.frombuffer(b, "<u8")[None]
+    m = min(x.shape[1], y.shape[1])
+    return int(np.bitwise_count(folded(x, m) ^ folded(y, m)).sum())
+
+
+def bounded(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, xor): sizes of the pair's sets and a lower bound of their symmetric difference."""
+    side = base.select("doc_id", "n_shingles", "profile")
+    rows = pairs.join(side.toDF("a", "n_a", "p_a"), "a").join(side.toDF("b", "n_b", "p_b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+    ddl = "a long, b long, n_a long, n_b long, xor long"
+
+    def run(batches) -> Iterator:
+        for batch in batches:
+            p, q = batch.column("p_a").to_pylist(), batch.column("p_b").to_pylist()
+            yield arrow_batch(ddl, *(batch.column(c) for c in ("a", "b", "n_a", "n_b")), list(map(least_difference, p, q)))
+
+    return rows.mapInArrow(run, ddl)
+
+
+def open_between(left: list, right: list, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of two blocks of (doc_id, label, n, profile), of different labels, that sizes and profiles leave open."""
+    for x in _same_length(left):
+        for y in _same_length(right):
+            m = min(x[3].shape[1], y[3].shape[1])
+            if max(x[3].shape[1], y[3].shape[1]) > 2 * m:
+                continue  # sizes differ by more than the similarity allows
+            p, q = folded(x[3], m), folded(y[3], m)
+            for at in range(len(p)):
+                total = x[2][at] + y[2]
+                xor = np.bitwise_count(q ^ p[at]).sum(1, dtype=np.int64)
+                xor = np.maximum(xor, np.abs(x[2][at] - y[2]))
+                for j in np.flatnonzero((100 * (total - xor) >= percent * (total + xor)) & (y[1] != x[1][at])):
+                    yield int(x[0][at]), int(y[0][j])
+
+
+def _same_length(rows: list) -> Iterator[tuple[np.ndarray, ...]]:
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(len(r[3]), []).append(r)
+    for own in by.values():
+        yield *(np.array([r[i] for r in own], np.int64) for i in range(3)), np.frombuffer(b"".join(r[3] for r in own), "<u8").reshape(len(own), -1)
+
+
+def open_pairs(members: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs inside regions (sig, doc_id, label), of different labels, that are not ruled out.
+
+    A region is dealt into blocks of about BLOCK members, and every two blocks of it meet in one task; only pairs that
+    sizes and profiles leave open come out.
+    """
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "label").join(base.select("doc_id", F.col("n_shingles").alias("n"), "profile"), "doc_id")
+    rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+
+    def met(key, own) -> list[tuple[int, int]]:
+        first, second = [r[1:] for r in own if r[0] == key[1]], [r[1:] for r in own if r[0] == key[2]]
+        return [(min(p), max(p)) for p in open_between(first, second, percent) if p[0] != p[1]]
+
+    def run(batches) -> Iterator:
+        key, own, found = None, [], set()
+        for cols in arrow_rows(batches, "sig", "lo", "hi", "block", "doc_id", "label", "n", "profile"):
+            for sig, lo, hi, *row in zip(*cols, strict=True):
+                if (sig, lo, hi) != key:
+                    if own:
+                        found.update(met(key, own))
+                    key, own = (sig, lo, hi), []
+                    if len(found) > 100_000:
+                        yield arrow_batch("a long, b long", *map(list, zip(*found, strict=True)))
+                        found = set()
+                own.append(row)
+        if own:
+            found.update(met(key, own))
+        if found:
+            yield arrow_batch("a long, b long", *map(list, zip(*found, strict=True)))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     """(node, label): for every node with an edge, the smallest node that it can reach. Large-star and small-star rounds."""
     now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct()
@@ -70,8 +169,8 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
         last = is_
 
 
-def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, both, n_a, n_b): the sizes of the sets of pairs of documents, and of their intersection.
+def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """(a, b, both, n_a, n_b): the sizes of the sets of `n_pairs` pairs of documents, and of their intersection.
 
     The members of a pivot `a` are dealt over as many tasks as it takes for each to have about STAR of them, each with
     a copy of the pivot's text.
@@ -79,18 +178,17 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", F.ceil(F.col("c") / STAR).cast("int").alias("salts"))
     members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("doc_id"))
     pivots = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("doc_id"))
-    wanted = written(members.unionByName(pivots), "wanted")
-    ids = wanted.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = wanted.join(texts, "doc_id").select("a", "salt", "role", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if 2 * n_pairs <= BROADCAST_ROWS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = members.unionByName(pivots).join(texts, "doc_id").select("a", "salt", "role", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     ddl = "a long, b long, both long, n_a long, n_b long"
 
     def run(batches) -> Iterator:
-        hashes, pivot, own = WordHashes(), None, None
-        for cols in arrow_rows(batches, "a", "role", "doc_id", "text"):
+        pivot, own = None, None
+        for *cols, texts in arrow_rows(batches, "a", "role", "doc_id", "text"):
             out: list[list] = [[], [], [], [], []]
-            for a, role, b, text in zip(*cols, strict=True):
-                mine = shingles(text, hashes)
+            for a, role, b, words in zip(*cols, hashed_words(texts, True), strict=True):
+                mine = shingles(words)
                 if role == 0:
                     pivot, own = a, mine
                     continue
@@ -105,19 +203,19 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, first): first is the smallest doc_id with the same set; null where there is none."""
-    ddl = "doc_id long, n_shingles long, set_id long, set_id2 long"
+    """(doc_id, n_shingles, set_id, set_id2, profile): the set's size, 128 bits that stand for it, and its profile."""
+    ddl = "doc_id long, n_shingles long, set_id long, set_id2 long, profile binary"
 
     def run(batches) -> Iterator:
-        hashes = WordHashes()
         for keys, texts in arrow_rows(batches, "doc_id", "text"):
-            n, one, two = [], [], []
-            for text in texts:
-                own = shingles(text, hashes)
+            n, one, two, by_class = [], [], [], []
+            for words in hashed_words(texts, True):
+                own = shingles(words)
                 n.append(len(own))
+                by_class.append(profile(own))
                 one.append(int(signed(np.add.reduce(mix64(own), keepdims=True))[0]) if len(own) else 0)
                 two.append(int(signed(np.bitwise_xor.reduce(mix64(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)), keepdims=True))[0]) if len(own) else 0)
-            yield arrow_batch(ddl, keys, n, one, two)
+            yield arrow_batch(ddl, keys, n, one, two, by_class)
 
     return docs.mapInArrow(run, ddl)
 
@@ -140,11 +238,10 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def emitted(rows: DataFrame, ddl: str, of) -> DataFrame:
         def run(batches) -> Iterator:
-            hashes = WordHashes()
             for keys, texts in arrow_rows(batches, "doc_id", "text"):
                 out, own, size = [], [], 0
-                for key, text in zip(keys, texts, strict=True):
-                    x = of(shingles(text, hashes))
+                for key, words in zip(keys, hashed_words(texts, True), strict=True):
+                    x = of(shingles(words))
                     out.append(x)
                     own.append(np.full(len(x), key, np.int64))
                     size += len(x)
@@ -180,48 +277,47 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Of equal sets, the first document alone takes part
     firsts = first.filter("first is not null").select(F.col("first").alias("doc_id"))
     members = members.join(firsts, "doc_id", "left_semi").select("sig", "doc_id").distinct()
-    links = _linked(docs, written(members, "members"), percent)
-    reached = components(links).filter("node <> label").select(F.col("node").alias("first"), "label")
+    labels = _labelled(docs, base, written(members, "members"), percent)
+    reached = labels.filter("node <> label").select(F.col("node").alias("first"), "label")
     out = first.join(reached, "first", "left").select(*same, F.coalesce("label", "first").alias("component"))
     rows = base.join(out, same, "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _linked(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) that are needed for the components, from regions (sig, doc_id)."""
+def _labelled(docs: DataFrame, base: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the linked documents, from regions (sig, doc_id)."""
     near = 1 - percent / 100
-    links = seen = None
-    pivots_of = 1
-    members = members.withColumn("label", F.col("doc_id"))
-    while True:
-        buckets = F.pmod(F.xxhash64("label"), F.lit(pivots_of))
-        pivots = members.groupBy("sig", buckets.alias("bucket")).agg(F.min(F.struct("doc_id", "label")).alias("p")).select("sig", F.col("p.doc_id").alias("a"), F.col("p.label").alias("a_label"))
-        pairs = members.join(pivots, "sig").filter("label <> a_label").select("a", F.col("doc_id").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        found = written(compared(docs, written(pairs, "pairs")), "compared").withColumn("union", F.col("n_a") + F.col("n_b") - F.col("both"))
-        true = found.filter(100 * F.col("both") >= percent * F.col("union")).select("a", "b")
-        links = true if links is None else links.unionByName(true)
-        seen = found.select("a", "b") if seen is None else seen.unionByName(found.select("a", "b"))
-        labels = written(components(links), "labels").withColumnRenamed("node", "doc_id")
-        members = members.drop("label").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        open_ = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-        members = members.join(open_, "sig")
-        if pivots_of == 1:
-            # Windows: linked members that the triangle inequality keeps apart from all that did not link go
-            d = found.select("a", F.col("b").alias("doc_id"), (1 - F.col("both") / F.col("union")).alias("d"))
-            at = members.join(pivots.select("sig", "a"), "sig").join(d, ["a", "doc_id"], "left")
-            mine = labels.select(F.col("doc_id").alias("a"), F.col("label").alias("now"))
-            at = at.join(mine, "a", "left").withColumn("inside", F.col("label") == F.coalesce("now", "a"))
-            outside = at.filter("not inside").groupBy("sig").agg(F.min("d").alias("nearest"))
-            at = at.filter("a <> doc_id").join(outside, "sig", "left")
-            members = at.filter(f"not inside or d >= nearest - {near} - 1e-9").select("sig", "doc_id", "label")
-        else:
-            members = members.join(pivots.select("sig", F.col("a").alias("doc_id")), ["sig", "doc_id"], "left_anti").select("sig", "doc_id", "label")
-        members = written(members, "members")
-        if members.isEmpty():
-            return written(links, "links")
-        pivots_of *= 4
+    one = base.filter("doc_id is not null").select("doc_id", "n_shingles", "profile").dropDuplicates(["doc_id"])
+    # Each region's pivot against its members. First a bound from the profiles; what it leaves open is compared exactly
+    pivots = members.groupBy("sig").agg(F.min("doc_id").alias("a"))
+    pairs = members.join(pivots, "sig").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    bound = written(bounded(pairs, one), "bounds")
+    left_open = F.expr(f"100 * (n_a + n_b - xor) >= {percent} * (n_a + n_b + xor)")
+    exact = compared(docs, bound.filter(left_open).select("a", "b"), bound.filter(left_open).count())
+    exact = written(exact.select("a", "b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("s"), F.expr(f"100 * both >= {percent} * (n_a + n_b - both)").alias("link"), F.lit(True).alias("exact")), "compared")
+    links = exact.filter("link").select("a", "b")
+    labels = components(links)
+    # For the others the similarity is at most s, so their distance is at least 1 - s
+    far = bound.filter(~left_open).select("a", "b", F.expr("greatest(n_a + n_b - xor, 0) / (n_a + n_b + xor)").alias("s"), F.lit(False).alias("link"), F.lit(False).alias("exact"))
+    d = far.unionByName(exact).select("a", F.col("b").alias("doc_id"), (1 - F.col("s")).alias("d"), "exact")
+    known = labels.withColumnRenamed("node", "doc_id")
+    members = members.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    several = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
+    # Windows: linked members that the triangle inequality keeps apart from all that did not link go
+    at = members.join(several, "sig").join(pivots, "sig").join(d, ["a", "doc_id"], "left")
+    at = at.join(known.toDF("a", "now"), "a", "left").withColumn("inside", F.col("label") == F.coalesce("now", "a"))
+    outside = at.filter("not inside").groupBy("sig").agg(F.min("d").alias("nearest"))
+    at = at.filter("a <> doc_id").join(outside, "sig", "left")
+    rest = written(at.filter(f"not inside or not coalesce(exact, false) or d >= nearest - {near} - 1e-9").select("sig", "doc_id", "label"), "rest")
+    # What is left of the regions joins itself
+    pairs = written(open_pairs(rest, one, percent), "open")
+    n_pairs = pairs.count()
+    if n_pairs:
+        more = compared(docs, pairs, n_pairs).filter(f"100 * both >= {percent} * (n_a + n_b - both)").select("a", "b")
+        more = written(more, "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+    return labels
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
