@@ -30,7 +30,8 @@ BLOCK_BYTES = 32 << 20
 
 #: Bytes outside words become blanks, A-Z become a-z; bytes of characters beyond ASCII stay.
 WORDS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The words of a text whose case is kept.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -423,7 +423,8 @@ def test_fm_index():
 def test_decontamination(spark, texts):
     rng = random.Random(14)
     long = [t for t in texts if t and len(t.split()) > 30]
-    items = [(i, " ".join(rng.choice(long).split()[3 : 3 + n]).upper()) for i, n in enumerate([25, 12, 10, 7, 3, 0, 11])] + [(98, None), (99, "nowhere at all to be found")]
+    texts = [*texts, long[0].upper(), "Ä" + long[1].title(), long[2].swapcase()]
+    items = [(i, " ".join(rng.choice(long).split()[3 : 3 + n]).upper()) for i, n in enumerate([25, 12, 10, 7, 3, 0, 11])] + [(50 + i, long[i]) for i in range(3)] + [(98, None), (99, "nowhere at all to be found")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: r for r in decontamination.decontaminate(table(spark, texts), bench).collect()}
     low = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or ""))
