@@ -60,7 +60,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 #: White space of the contracts: 0x20 and 0x09 to 0x0D.
 _SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 
 
 def hashed_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,9 +134,33 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def arrow_rows(batches, *names: str):
-    """For each Arrow batch, its columns as lists (null: None), so that long ids never pass through floats."""
+def given_back() -> None:
+    """Return freed memory to the system: Python workers are kept for the next task, beside an executor that may need it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def sliced(batches, rows: int = 1024):
+    """Arrow batches of at most so many rows: texts become Python strings a part at a time."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    given_back()
+
+
+def arrow_rows(batches, *names: str):
+    """For each part of an Arrow batch, its columns as lists (null: None), so that long ids never pass through floats."""
+    for batch in sliced(batches):
         yield [batch.column(n).to_pylist() for n in names]
 
 

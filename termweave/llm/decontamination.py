@@ -18,11 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import arrow_batch, carried, carried_schema, table
+from termweave.llm.common import arrow_batch, carried, carried_schema, sliced, table
 
 PHRASE = 10
 #: Indexed symbols and document words of a shard.
-SHARD_SYMBOLS, SHARD_WORDS = 400_000, 3_000_000
+SHARD_SYMBOLS, SHARD_WORDS = 400_000, 600_000
 #: Every so many suffix positions one is kept.
 SAMPLED = 16
 #: Texts of the benchmark that are searched at once; a larger benchmark is searched in several blocks.
@@ -200,7 +200,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, t
     ddl = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", starts array<long>, ends array<long>, text string" * text
 
     def run(batches) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, texts, at = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 0
             while at < len(keys):
                 split, total, end = [], 0, at

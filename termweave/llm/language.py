@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import arrow_batch, carried, carried_schema, mix64, table
+from termweave.llm.common import arrow_batch, carried, carried_schema, mix64, sliced, table
 
 #: The filters are fitted on about this many labelled documents of each language, taken by a hash of their ids.
 PER_LANGUAGE = 3000
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFra
         langs, masks, false = m["langs"], m["masks"], m["false"]
         if len(langs) <= 8:
             masks = masks.astype(np.uint8)
-        for batch in batches:
+        for batch in sliced(batches):
             keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             n = np.zeros(len(texts))
             hits = np.zeros((len(langs), len(texts)))

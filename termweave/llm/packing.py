@@ -9,7 +9,6 @@ left. If its fullest window exceeds the capacity, the window count rises and the
 
 from __future__ import annotations
 
-import gc
 import heapq
 import re
 import zlib
@@ -28,7 +27,7 @@ from termweave.llm.common import LOWER, arrow_batch, arrow_rows, hashed_bytes, t
 
 CAPACITY, PIECE, WINDOWS, EOD = 4096, 512, 128, 2
 #: Characters of text tokenised at once.
-AT_ONCE = 12_000_000
+AT_ONCE = 2_500_000
 MARKS = re.compile(rb"[.,;:!?|]+$", re.MULTILINE)
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -88,7 +87,7 @@ def packed(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int
 
 
 @lru_cache(1)  # a Python worker keeps what it has learnt from task to task
-def tokenizer_ids(path: str, most: int = 1_000_000):
+def tokenizer_ids(path: str, most: int = 600_000):
     """A function from a list of texts to their ids as uint32 arrays, without special tokens added.
 
     White space separates the tokenizer's units whatever stands around, A-Z count as a-z, and sentence marks after a
@@ -99,7 +98,8 @@ def tokenizer_ids(path: str, most: int = 1_000_000):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    place: dict[int, int] = {}  # hash -> number of the word
+    # Hashes in order, the number of each one's word, and where that word's ids lie
+    keys, number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     start, size, laid = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def plain(core: bytes) -> bool:
@@ -140,25 +140,28 @@ def tokenizer_ids(path: str, most: int = 1_000_000):
         return [known[w] if w is core or len(w) == len(core) else known[core] + known[w[len(core) :]] for w, core in zip(words, ends, strict=True)]
 
     def ids(texts: list[str]) -> list[np.ndarray]:
-        nonlocal start, size, laid
-        if len(place) > most:
-            place.clear()
+        nonlocal keys, number, start, size, laid
+        if len(keys) > most:
+            keys, number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             start, size, laid = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         body = b"\n".join([t if b"<|" in t else t.translate(LOWER) for t in raw]) + b"\n"
         begin, end, h = hashed_bytes(body)
         each, first, which = np.unique(h, return_index=True, return_inverse=True)
-        number = np.array([place.get(x, -1) for x in each.tolist()], np.int64)
-        if len(new := np.flatnonzero(number < 0)):
-            at = first[new]
+        near = np.searchsorted(keys, each)
+        told = np.zeros(len(each), bool)
+        inside = near < len(keys)
+        told[inside] = keys[near[inside]] == each[inside]
+        if not told.all():
+            at = first[~told]
             got = learn([body[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
-            number[new] = np.arange(len(start), len(start) + len(new))
-            place.update(zip(each[new].tolist(), number[new].tolist(), strict=True))
             n = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            keys, number = np.insert(keys, near[~told], each[~told]), np.insert(number, near[~told], np.arange(len(start), len(start) + len(got)))
             start = np.concatenate([start, len(laid) + np.cumsum(n) - n])
             size = np.concatenate([size, n])
             laid = np.concatenate([laid, np.frombuffer(b"".join(got), "<u4")])
-        word = number[which]
+            near = np.searchsorted(keys, each)
+        word = number[near][which]
         n = size[word]
         out = laid[np.repeat(start[word] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
         ends = np.searchsorted(begin, np.cumsum([len(r) + 1 for r in raw])[:-1])
@@ -185,8 +188,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int
 
     def run(batches) -> Iterator:
         ids = tokenizer_ids(tokenizer)
-        gc.freeze()  # the dictionaries hold no cycles
-        gc.disable()
         for keys, texts in arrow_rows(batches, "doc_id", "text"):
             at = 0
             while at < len(texts):

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import arrow_batch, arrow_rows, bit_filter, distinct, gram_hashes, hashed_words, in_filter, plain_words, signed, table, written
+from termweave.llm.common import arrow_batch, arrow_rows, bit_filter, distinct, gram_hashes, hashed_words, in_filter, plain_words, signed, sliced, table, written
 
 WINDOW = 50
 
@@ -95,7 +95,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: bool = True) ->
     rows = rows.join(gone, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "at")
 
     def run(batches) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(4 + text)]
             starts = batch.column("at")
             for i, (key, body) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
