@@ -308,8 +308,9 @@ def _labelled(docs: DataFrame, base: DataFrame, members: DataFrame, percent: int
     at = at.join(known.toDF("a", "now"), "a", "left").withColumn("inside", F.col("label") == F.coalesce("now", "a"))
     outside = at.filter("not inside").groupBy("sig").agg(F.min("d").alias("nearest"))
     at = at.filter("a <> doc_id").join(outside, "sig", "left")
-    rest = written(at.filter(f"not inside or not coalesce(exact, false) or d >= nearest - {near} - 1e-9").select("sig", "doc_id", "label"), "rest")
-    # What is left of the regions joins itself
+    rest = at.filter(f"not inside or not coalesce(exact, false) or d >= nearest - {near} - 1e-9")
+    # What is left of the regions joins itself; regions of one pivot together, so that a pair of a large group meets in few tasks
+    rest = written(rest.select(F.col("a").alias("sig"), "doc_id", "label").distinct(), "rest")
     pairs = written(open_pairs(rest, one, percent), "open")
     n_pairs = pairs.count()
     if n_pairs:
