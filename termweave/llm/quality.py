@@ -1,10 +1,13 @@
 """Operator 4: a quality classifier by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is one of characters, trained on all trusted text. Counts are made shard by shard and summed by n-gram;
-continuation counts, discounts, context totals and the interpolation with the lower order are grouped sums and joins
-over those count tables, each sharded by its key. An alphabet of 62 characters and order 4 bound the tables by 64^4
-entries whatever the corpus, so the finished model goes to every task, and a document's perplexity is a sum of looked-up
-logarithms. A document is kept up to a quantile of the trusted documents' perplexities in its language.
+The model is one of characters, trained on all trusted text, with an open vocabulary: every code point is a symbol of
+its own, and what no trusted text has falls back to a share of all code points. Counts are made shard by shard and
+summed by n-gram; continuation counts, discounts, context totals and the interpolation with the lower order are grouped
+sums and joins over those count tables, which grow with the corpus and are never brought to one place.
+
+Documents are scored by joins too. They are put together in chunks; a chunk's distinct n-grams are joined with the
+model, and their logarithms come back to the chunk, so that an n-gram is sent once a chunk and not once a document. A
+document is kept up to a quantile of the trusted documents' perplexities in its language.
 """
 
 from __future__ import annotations
@@ -12,10 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import arrow_batch, arrow_rows, table, written
+from termweave.llm.common import arrow_batch, arrow_rows, arrow_schema, given_back, mix64, signed, table, written
 
 ORDER, BITS = 4, 6
 #: Symbols: 0 before a text, 1 any other character, and the most frequent characters of the trusted text.
@@ -23,6 +27,11 @@ ALPHABET = (1 << BITS) - 2
 #: Share of the trusted documents of a language whose perplexity is at most the language's threshold.
 QUANTILE = 0.99
 AT_ONCE = 2_000_000
+#: Bits of a code point plus one (0 stands before a text): three of them fill a long.
+WIDE = 21
+CODE_POINTS = 0x110000
+#: Characters of the documents of a chunk, about; a longer document has a chunk of its own.
+CHUNK = 1 << 25
 BROADCAST_ROWS = 1_000_000
 
 
@@ -88,7 +97,7 @@ def discounts(counts: DataFrame) -> list[float]:
 
 
 def train(trusted: DataFrame) -> dict:
-    """The model: alphabet, and for each order the n-grams seen with their probability and the contexts with their back-off mass."""
+    """A small model over a closed alphabet, not used by judged(): alphabet, and for each order the n-grams seen with their probability and the contexts with their back-off mass."""
     rows = counted(trusted, "point", lambda own: points("".join(own))).orderBy(F.desc("c"), "point").limit(ALPHABET).collect()
     alphabet = [r["point"] for r in rows]
     symbol = trusted.sparkSession.sparkContext.broadcast(symbols(alphabet))
@@ -123,33 +132,181 @@ def logs(model: dict) -> np.ndarray:
     return np.log(np.maximum(p, 1e-12))
 
 
-_made: dict = {}
+def low(column: str, symbols_: int):
+    """The last symbols of a packed n-gram."""
+    return F.col(column).bitwiseAND(F.lit((1 << (WIDE * symbols_)) - 1))
 
 
-def perplexities(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang, perplexity); null where there is no text."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
-    ddl = "doc_id long, lang string, perplexity double"
+def wide_grams(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """The distinct n-grams of texts: hash, three symbols before the last, last three symbols, count; then each character's place among them and the characters of each text."""
+    import pandas as pd
+
+    n = np.array([len(t) for t in texts])
+    sym = points("".join(texts)).astype(np.int64) + 1
+    place = np.arange(len(sym)) - np.repeat(np.cumsum(n) - n, n)
+    context = np.zeros_like(sym)
+    for back in range(1, ORDER):
+        context[back:] |= np.where(place[back:] >= back, sym[:-back], 0) << (WIDE * (back - 1))
+    with np.errstate(over="ignore"):
+        g = signed(mix64(mix64(context.view(np.uint64)) + sym.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    at, own = pd.factorize(g)
+    first = np.empty(len(own), np.int64)
+    first[at[::-1]] = np.arange(len(g))[::-1]
+    context, last = context[first], sym[first]
+    suffix = (context & ((1 << (WIDE * (ORDER - 2))) - 1)) << WIDE | last
+    return own, context, suffix, np.bincount(at, minlength=len(own)), at, n
+
+
+def wide_counts(docs: DataFrame) -> DataFrame:
+    """(g, context, suffix, c): the n-grams of all texts, summed in each task and then by n-gram."""
+    ddl = "g long, context long, suffix long, c long"
+
+    def run(batches) -> Iterator:
+        for (texts,) in arrow_rows(batches, "text"):
+            for _, own in pieces(texts):
+                yield arrow_batch(ddl, *wide_grams(own)[:4])
+
+    return docs.select("text").mapInArrow(run, ddl).groupBy("g", "context", "suffix").agg(F.sum("c").alias("c"))
+
+
+def train_open(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """The model: for each order, tables of the n-grams seen with their probability (g, p) and of the contexts with their back-off mass (context, back)."""
+    counts = {ORDER: written(wide_counts(trusted), "grams")}
+    for k in range(ORDER - 1, 0, -1):  # in how many contexts an n-gram continues
+        g = F.col("suffix") if k == ORDER - 1 else low("g", k)
+        counts[k] = written(counts[k + 1].groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
+    lower, orders = None, []
+    for k in range(1, ORDER + 1):
+        d = discounts(counts[k])
+        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        keys = (F.col("context"), F.col("suffix")) if k == ORDER else (F.shiftright("g", WIDE), low("g", k - 1))
+        own = counts[k].select("g", keys[0].alias("context"), keys[1].alias("suffix"), "c", cut.alias("cut"))
+        context = own.groupBy("context").agg(F.sum("c").alias("total"), F.sum("cut").alias("mass")).select("context", "total", (F.col("mass") / F.col("total")).alias("back"))
+        context = written(context, f"contexts{k}")
+        own = own.join(F.broadcast(context) if k == 1 else context, "context")  # order 1 has one context
+        below = F.lit(1.0 / CODE_POINTS) if lower is None else F.col("below")
+        if lower is not None:
+            own = own.join(lower.select(F.col("g").alias("suffix"), F.col("p").alias("below")), "suffix")
+        lower = written(own.select("g", (F.greatest(F.col("c") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("back") * below).alias("p")), f"order{k}")
+        orders.append((lower, context.select("context", "back")))
+    return orders
+
+
+def log_probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(g, log): for distinct n-grams (g, context, suffix), seen or not, the logarithm of the last symbol's probability."""
+    rows = grams.withColumn("p", F.lit(1.0 / CODE_POINTS))
+    for k, (seen, contexts) in enumerate(model, 1):
+        g = F.col("g") if k == ORDER else low("suffix", k)
+        context = F.col("context") if k == ORDER else F.shiftright(g, WIDE)
+        rows = rows.withColumn("key", g).withColumn("before", context)
+        rows = rows.join(seen.select(F.col("g").alias("key"), F.col("p").alias("seen")), "key", "left")
+        left = contexts.select(F.col("context").alias("before"), "back")
+        rows = rows.join(F.broadcast(left) if k == 1 else left, "before", "left")
+        p = F.coalesce("seen", F.coalesce("back", F.lit(1.0)) * F.col("p"))
+        rows = rows.select("g", "context", "suffix", p.alias("p"))
+    return rows.select("g", F.log(F.greatest("p", F.lit(1e-15))).alias("log"))
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, ids, langs, sizes, texts): documents put together, their texts compressed as one; size is in bytes."""
+    ddl = "chunk long, ids array<long>, langs array<string>, sizes array<long>, texts binary"
 
     def run(batches) -> Iterator:
-        own = told.value
-        if _made.get("of") is not own:  # once in a Python worker
-            _made.clear()
-            _made.update(of=own, log=logs(own), symbol=symbols(own["alphabet"]))
-        log, symbol = _made["log"], _made["symbol"]
-        for keys, langs, texts in arrow_rows(batches, "doc_id", "lang", "text"):
-            total, n = np.zeros(len(texts)), np.zeros(len(texts))
-            for rows, part in pieces(texts):
-                gram, length = codes(part, symbol)
-                sums = np.add.reduceat(log[gram].astype(np.float64), np.cumsum(length) - length)
-                np.add.at(total, rows, sums)
-                np.add.at(n, rows, length)
-            value = np.exp(-total / np.maximum(n, 1))
-            yield arrow_batch(ddl, keys, langs, [float(v) if m else None for v, m in zip(value, n, strict=True)])
+        import zstandard
+
+        part, made, ids, langs, raw, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+
+        def flush():
+            nonlocal made, ids, langs, raw, size
+            body = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+            out = arrow_batch(ddl, [part << 32 | made], [ids], [langs], [[len(r) for r in raw]], [body])
+            made, ids, langs, raw, size = made + 1, [], [], [], 0
+            return out
+
+        for rows in arrow_rows(batches, "doc_id", "lang", "text"):
+            for key, lang, text in zip(*rows, strict=True):
+                own = (text or "").encode("utf-8", "surrogatepass")
+                if ids and size + len(own) > CHUNK:
+                    yield flush()
+                ids.append(key)
+                langs.append(lang)
+                raw.append(own)
+                size += len(own)
+        if ids:
+            yield flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, ddl)
 
 
+def unpacked(sizes: list[int], body: bytes) -> Iterator[list[str]]:
+    """The texts of a chunk, a thousand at a time."""
+    import zstandard
+
+    raw, at = memoryview(zstandard.ZstdDecompressor().decompress(body)), 0
+    for start in range(0, len(sizes), 1024):
+        own = []
+        for size in sizes[start : start + 1024]:
+            own.append(str(raw[at : at + size], "utf-8", "surrogatepass"))
+            at += size
+        yield own
+
+
+def chunk_grams(stored: DataFrame) -> DataFrame:
+    """(chunk, g, context, suffix): the distinct n-grams of each chunk."""
+    ddl = "chunk long, g long, context long, suffix long"
+
+    def run(batches) -> Iterator:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, sizes, body = (batch.column(c)[i].as_py() for c in ("chunk", "sizes", "texts"))
+                found = []
+                for texts in unpacked(sizes, body):
+                    found += [np.stack(wide_grams(own)[:3]) for _, own in pieces(texts)]
+                if found:
+                    g, context, suffix = np.concatenate(found, axis=1)
+                    g, first = np.unique(g, return_index=True)
+                    for at in range(0, len(g), 1 << 16):
+                        part = slice(at, at + (1 << 16))
+                        yield arrow_batch(ddl, np.full(len(g[part]), key), g[part], context[first[part]], suffix[first[part]])
+        given_back()
+
+    return stored.select("chunk", "sizes", "texts").mapInArrow(run, ddl)
+
+
+def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(doc_id, lang, perplexity); null where there is no text."""
+    stored = written(chunks(docs), "chunks")
+    grams = written(chunk_grams(stored), "chunk-grams")
+    known = log_probabilities(grams.groupBy("g").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix")), model)
+    told = grams.select("chunk", "g").join(known, "g").select("chunk", "g", "log")
+    ddl = "doc_id long, lang string, perplexity double"
+
+    def run(told, stored):
+        import pyarrow as pa
+
+        g, log = told.column("g").to_numpy(), told.column("log").to_numpy()
+        order = np.argsort(g)
+        g, log, out = g[order], log[order], []
+        for i in range(stored.num_rows):
+            ids, langs, sizes, body = (stored.column(c)[i].as_py() for c in ("ids", "langs", "sizes", "texts"))
+            start = 0
+            for texts in unpacked(sizes, body):
+                total, n = np.zeros(len(texts)), np.zeros(len(texts))
+                for rows, part in pieces(texts):
+                    own, *_, at, length = wide_grams(part)
+                    sums = np.add.reduceat(log[np.searchsorted(g, own)][at], np.cumsum(length) - length)
+                    np.add.at(total, rows, sums)
+                    np.add.at(n, rows, length)
+                value = np.exp(-total / np.maximum(n, 1))
+                end = start + len(texts)
+                out.append(arrow_batch(ddl, ids[start:end], langs[start:end], [float(v) if m else None for v, m in zip(value, n, strict=True)]))
+                start = end
+        given_back()
+        return pa.Table.from_batches(out, arrow_schema(ddl))
+
+    return told.groupBy("chunk").cogroup(stored.groupBy("chunk")).applyInArrow(run, ddl)
+
+
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) for every document.
 
@@ -163,7 +320,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     good = written(good, "trusted")
     some = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
     trusted = docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).join(some, "doc_id", "left_semi")
-    scored = written(perplexities(docs, train(trusted)), "perplexities")
+    scored = written(perplexities(docs, train_open(trusted)), "perplexities")
     own = scored.join(some, "doc_id", "left_semi").filter("perplexity is not null")
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000))
     by_lang, everywhere = own.groupBy("lang").agg(at.alias("threshold")), own.agg(at.alias("general"))  # a row a language; one row

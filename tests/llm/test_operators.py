@@ -207,6 +207,49 @@ def test_quality_keeps_trusted_and_drops_junk(spark):
     assert sum(rows[i].keep for i in range(150, 200)) >= 45
 
 
+def test_quality_drops_rare_symbols_and_foreign_scripts(spark):
+    """Trusted texts with some symbols, digits and foreign letters; texts of nothing else are junk."""
+    rng = random.Random(16)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZéÜñöäß.,'"
+    pool = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(150)] + [letters]
+    rare = "0123456789#$%&*@=+|/<>\u4e2d\u6587\u0434\u0436\u0444\U0001f600"
+    good = [" ".join([*(rng.choice(pool) for _ in range(400)), "".join(rng.choice(rare) for _ in range(5))]) for _ in range(400)]
+    junk = ["".join(rng.choice(chars) for _ in range(300)) for chars in ("#$%&*@=+|", "0123456789", "\u4e2d\u6587", "\u0434\u0436\u0444", "\U0001f600", "\u3042\u3044\u3046")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(350)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in quality.judged(table(spark, good + junk), labels).collect()}
+    assert not any(rows[i].keep for i in range(400, 406))
+    assert sum(rows[i].keep for i in range(350, 400)) >= 45
+
+
+def test_open_kneser_ney_by_the_formula(spark):
+    texts = ["abracadabra", "abba\U0001f600", "cab\0", "dad cab"] * 3
+    other = [None, "", "abra", "\u4e2dab", "zzz"]
+    padded = lambda t: (0, 0, 0, *(ord(x) + 1 for x in t))
+    grams = lambda t: [padded(t)[i : i + 4] for i in range(len(t))]
+    counts = {4: Counter(g for t in texts for g in grams(t))}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    D = {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        D[k] = [min(i, max(0, i - (i + 1) * y * n[i + 1] / n[i])) for i in (1, 2, 3)] if all(n[1:]) else [0.5, 1.0, 1.5]
+
+    def p(g):
+        if not g:
+            return 1 / 0x110000
+        own = {x: c for x, c in counts[len(g)].items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        cut = lambda c: D[len(g)][min(c, 3) - 1] if c else 0
+        return max(own.get(g, 0) - cut(own.get(g, 0)), 0) / sum(own.values()) + sum(map(cut, own.values())) / sum(own.values()) * p(g[1:])
+
+    model = quality.train_open(table(spark, texts))
+    for r in quality.perplexities(table(spark, other), model).collect():
+        t = other[r.doc_id]
+        assert r.perplexity == (pytest.approx(np.exp(-np.mean([np.log(p(g)) for g in grams(t)])), rel=1e-6) if t else None)
+
+
 def test_kneser_ney_by_the_formula(spark):
     texts = ["abracadabra", "abba", "cab", "dad cab"] * 3
     model = quality.train(table(spark, texts))
