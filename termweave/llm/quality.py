@@ -137,6 +137,11 @@ def low(column: str, symbols_: int):
     return F.col(column).bitwiseAND(F.lit((1 << (WIDE * symbols_)) - 1))
 
 
+def gram_hash(context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return signed(mix64(mix64(context.view(np.uint64)) + last.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def wide_grams(texts: list[str]) -> tuple[np.ndarray, ...]:
     """The distinct n-grams of texts: hash, three symbols before the last, last three symbols, count; then each character's place among them and the characters of each text."""
     import pandas as pd
@@ -147,8 +152,7 @@ def wide_grams(texts: list[str]) -> tuple[np.ndarray, ...]:
     context = np.zeros_like(sym)
     for back in range(1, ORDER):
         context[back:] |= np.where(place[back:] >= back, sym[:-back], 0) << (WIDE * (back - 1))
-    with np.errstate(over="ignore"):
-        g = signed(mix64(mix64(context.view(np.uint64)) + sym.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    g = gram_hash(context, sym)
     at, own = pd.factorize(g)
     first = np.empty(len(own), np.int64)
     first[at[::-1]] = np.arange(len(g))[::-1]
@@ -158,19 +162,19 @@ def wide_grams(texts: list[str]) -> tuple[np.ndarray, ...]:
 
 
 def wide_counts(docs: DataFrame) -> DataFrame:
-    """(g, context, suffix, c): the n-grams of all texts, summed in each task and then by n-gram."""
-    ddl = "g long, context long, suffix long, c long"
+    """(context, suffix, c): the n-grams of all texts, summed in each task and then by n-gram."""
+    ddl = "context long, suffix long, c long"
 
     def run(batches) -> Iterator:
         for (texts,) in arrow_rows(batches, "text"):
             for _, own in pieces(texts):
-                yield arrow_batch(ddl, *wide_grams(own)[:4])
+                yield arrow_batch(ddl, *wide_grams(own)[1:4])
 
-    return docs.select("text").mapInArrow(run, ddl).groupBy("g", "context", "suffix").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, ddl).groupBy("context", "suffix").agg(F.sum("c").alias("c"))
 
 
 def train_open(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """The model: for each order, tables of the n-grams seen with their probability (g, p) and of the contexts with their back-off mass (context, back)."""
+    """The model: for each order, tables of the n-grams seen with their probability (g, p; in the last order context, suffix, p) and of the contexts with their back-off mass (context, back)."""
     counts = {ORDER: written(wide_counts(trusted), "grams")}
     for k in range(ORDER - 1, 0, -1):  # in how many contexts an n-gram continues
         g = F.col("suffix") if k == ORDER - 1 else low("g", k)
@@ -180,31 +184,33 @@ def train_open(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         d = discounts(counts[k])
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         keys = (F.col("context"), F.col("suffix")) if k == ORDER else (F.shiftright("g", WIDE), low("g", k - 1))
-        own = counts[k].select("g", keys[0].alias("context"), keys[1].alias("suffix"), "c", cut.alias("cut"))
+        name = ("context", "suffix") if k == ORDER else ("g",)
+        own = counts[k].select(*name[:1] * (k < ORDER), keys[0].alias("context"), keys[1].alias("suffix"), "c", cut.alias("cut"))
         context = own.groupBy("context").agg(F.sum("c").alias("total"), F.sum("cut").alias("mass")).select("context", "total", (F.col("mass") / F.col("total")).alias("back"))
         context = written(context, f"contexts{k}")
         own = own.join(F.broadcast(context) if k == 1 else context, "context")  # order 1 has one context
         below = F.lit(1.0 / CODE_POINTS) if lower is None else F.col("below")
         if lower is not None:
             own = own.join(lower.select(F.col("g").alias("suffix"), F.col("p").alias("below")), "suffix")
-        lower = written(own.select("g", (F.greatest(F.col("c") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("back") * below).alias("p")), f"order{k}")
+        lower = written(own.select(*name, (F.greatest(F.col("c") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("back") * below).alias("p")), f"order{k}")
         orders.append((lower, context.select("context", "back")))
     return orders
 
 
 def log_probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(g, log): for distinct n-grams (g, context, suffix), seen or not, the logarithm of the last symbol's probability."""
+    """(context, suffix, log): for distinct n-grams (context, suffix), seen or not, the logarithm of the last symbol's probability."""
     rows = grams.withColumn("p", F.lit(1.0 / CODE_POINTS))
     for k, (seen, contexts) in enumerate(model, 1):
-        g = F.col("g") if k == ORDER else low("suffix", k)
-        context = F.col("context") if k == ORDER else F.shiftright(g, WIDE)
-        rows = rows.withColumn("key", g).withColumn("before", context)
-        rows = rows.join(seen.select(F.col("g").alias("key"), F.col("p").alias("seen")), "key", "left")
+        if k == ORDER:
+            rows = rows.withColumn("before", F.col("context")).join(seen.withColumnRenamed("p", "seen"), ["context", "suffix"], "left")
+        else:
+            rows = rows.withColumn("key", low("suffix", k)).withColumn("before", F.shiftright("key", WIDE))
+            rows = rows.join(seen.select(F.col("g").alias("key"), F.col("p").alias("seen")), "key", "left")
         left = contexts.select(F.col("context").alias("before"), "back")
         rows = rows.join(F.broadcast(left) if k == 1 else left, "before", "left")
         p = F.coalesce("seen", F.coalesce("back", F.lit(1.0)) * F.col("p"))
-        rows = rows.select("g", "context", "suffix", p.alias("p"))
-    return rows.select("g", F.log(F.greatest("p", F.lit(1e-15))).alias("log"))
+        rows = rows.select("context", "suffix", p.alias("p"))
+    return rows.select("context", "suffix", F.log(F.greatest("p", F.lit(1e-15))).alias("log"))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -212,13 +218,13 @@ def chunks(docs: DataFrame) -> DataFrame:
     ddl = "chunk long, ids array<long>, langs array<string>, sizes array<long>, texts binary"
 
     def run(batches) -> Iterator:
-        import zstandard
+        import bz2
 
         part, made, ids, langs, raw, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush():
             nonlocal made, ids, langs, raw, size
-            body = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+            body = bz2.compress(b"".join(raw))
             out = arrow_batch(ddl, [part << 32 | made], [ids], [langs], [[len(r) for r in raw]], [body])
             made, ids, langs, raw, size = made + 1, [], [], [], 0
             return out
@@ -240,9 +246,9 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def unpacked(sizes: list[int], body: bytes) -> Iterator[list[str]]:
     """The texts of a chunk, a thousand at a time."""
-    import zstandard
+    import bz2
 
-    raw, at = memoryview(zstandard.ZstdDecompressor().decompress(body)), 0
+    raw, at = memoryview(bz2.decompress(body)), 0
     for start in range(0, len(sizes), 1024):
         own = []
         for size in sizes[start : start + 1024]:
@@ -252,8 +258,8 @@ def unpacked(sizes: list[int], body: bytes) -> Iterator[list[str]]:
 
 
 def chunk_grams(stored: DataFrame) -> DataFrame:
-    """(chunk, g, context, suffix): the distinct n-grams of each chunk."""
-    ddl = "chunk long, g long, context long, suffix long"
+    """(chunk, context, suffix): the distinct n-grams of each chunk, in order, so that they take little room."""
+    ddl = "chunk long, context long, suffix long"
 
     def run(batches) -> Iterator:
         for batch in batches:
@@ -264,10 +270,11 @@ def chunk_grams(stored: DataFrame) -> DataFrame:
                     found += [np.stack(wide_grams(own)[:3]) for _, own in pieces(texts)]
                 if found:
                     g, context, suffix = np.concatenate(found, axis=1)
-                    g, first = np.unique(g, return_index=True)
-                    for at in range(0, len(g), 1 << 16):
-                        part = slice(at, at + (1 << 16))
-                        yield arrow_batch(ddl, np.full(len(g[part]), key), g[part], context[first[part]], suffix[first[part]])
+                    _, first = np.unique(g, return_index=True)
+                    first = first[np.lexsort((suffix[first], context[first]))]
+                    for at in range(0, len(first), 1 << 16):
+                        part = first[at : at + (1 << 16)]
+                        yield arrow_batch(ddl, np.full(len(part), key), context[part], suffix[part])
         given_back()
 
     return stored.select("chunk", "sizes", "texts").mapInArrow(run, ddl)
@@ -277,14 +284,15 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
     """(doc_id, lang, perplexity); null where there is no text."""
     stored = written(chunks(docs), "chunks")
     grams = written(chunk_grams(stored), "chunk-grams")
-    known = log_probabilities(grams.groupBy("g").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix")), model)
-    told = grams.select("chunk", "g").join(known, "g").select("chunk", "g", "log")
+    known = log_probabilities(grams.select("context", "suffix").distinct(), model)
+    told = grams.join(known, ["context", "suffix"]).select("chunk", "context", "suffix", "log")
     ddl = "doc_id long, lang string, perplexity double"
 
     def run(told, stored):
         import pyarrow as pa
 
-        g, log = told.column("g").to_numpy(), told.column("log").to_numpy()
+        context, suffix, log = (told.column(c).to_numpy() for c in ("context", "suffix", "log"))
+        g = gram_hash(context, suffix & ((1 << WIDE) - 1))
         order = np.argsort(g)
         g, log, out = g[order], log[order], []
         for i in range(stored.num_rows):
