@@ -30,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line repeats within one edit go; a document left without words goes too."""
-    return with_words(lines.without_repeated_lines(docs, keep=("lang", "source")))
+    """Lines that an earlier line repeats within one edit go, and short ones that it repeats exactly; a document left without words goes too."""
+    return with_words(lines.without_repeated_lines(docs, keep=("lang", "source"), exact_from=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from termweave.llm.common import table, written
 
-#: Shorter lines are left alone: they recur in any text, and one edit is much of them.
+#: Shorter lines are not compared within one edit, which is much of them; `exact_from` says from which length copies go.
 MIN_CHARS = 12
 PARTS = 16
 #: A side of at most this many rows of fixed width is broadcast; beyond it the join shuffles.
@@ -43,11 +43,11 @@ def within(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, line, pos) of the lines that take part; pos orders them by document, then line. Null ids come last."""
     at = F.expr("coalesce(cast(doc_id as decimal(20,0)), 9223372036854775808BD) * cast(2147483648 as decimal(10,0))")
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.filter(F.length("line") >= MIN_CHARS).withColumn("pos", (at + F.col("line_no")).cast("decimal(38,0)"))
+    return rows.filter(F.length("line") >= least).withColumn("pos", (at + F.col("line_no")).cast("decimal(38,0)"))
 
 
 def shared(keys: DataFrame) -> DataFrame:
@@ -123,21 +123,22 @@ def neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return true.groupBy("h1", "h2").agg(F.min("near_pos").alias("near"))
 
 
-def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...] = (), exact_from: int = MIN_CHARS) -> DataFrame:
     """Per document: n_lines, n_removed and the text without the lines that an earlier line repeats.
 
     Lines lie between line feeds. A line of at least 12 characters goes if a line within one edit of it, itself
-    included, occurs earlier (in a smaller doc_id, or further up); this is judged on the input. Shorter and empty lines
-    stay. Null text has no lines and stays null. Rows without a doc_id come after all others and are kept from losing
+    included, occurs earlier (in a smaller doc_id, or further up); this is judged on the input. Of shorter lines,
+    those of `exact_from` characters or more go if the same line occurs earlier; empty lines stay. Null text has no lines and stays null. Rows without a doc_id come after all others and are kept from losing
     lines. Rows that repeat a doc_id are the same document: lines at the same place do not remove each other. An empty
     table gives no rows. Columns other than doc_id and text are not looked at; those named in `keep` come along.
     """
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
     docs = full.select("doc_id", "text")
-    distinct = written(distinct_lines(lines_of(docs)), "distinct")
+    least = max(1, min(exact_from, MIN_CHARS))
+    distinct = written(distinct_lines(lines_of(docs, least)), "distinct")
     early = distinct.filter("copies > 1").select("h1", "h2", F.col("pos").alias("near"))
-    early = written(early.unionByName(neighbours(docs, distinct)).groupBy("h1", "h2").agg(F.min("near").alias("near")), "early")
-    gone = lines_of(docs).select("doc_id", "line_no", "pos", *fingerprints(F.col("line"))).join(within(early, early.count()), ["h1", "h2"])
+    early = written(early.unionByName(neighbours(docs, distinct.filter(F.col("n") >= MIN_CHARS))).groupBy("h1", "h2").agg(F.min("near").alias("near")), "early")
+    gone = lines_of(docs, least).select("doc_id", "line_no", "pos", *fingerprints(F.col("line"))).join(within(early, early.count()), ["h1", "h2"])
     gone = gone.filter("pos > near").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "id")
     rows = full.join(gone, F.col("doc_id") == F.col("id"), "left").withColumn("lines", F.split("text", "\n"))
     size = F.coalesce(F.size("lines"), F.lit(0))

@@ -39,6 +39,13 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 40
 
 
+def test_line_dedup_drops_copies_of_short_lines(spark):
+    texts = ["Les.\n\nthe first long line\nAnd ornd.", "Les.\n\nAnother long line\nLess", "And ornd.", "z\nthe first long lime\nz"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {0: texts[0], 1: "\nAnother long line\nLess", 3: "z"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
