@@ -17,6 +17,8 @@ from termweave.llm.common import crc_unsigned, fresh_path, table
 BUCKET_BYTES = 16 << 20
 #: Records of a bucket on average, at most.
 BUCKET_ROWS = 8192
+#: The starts of at most this many buckets are broadcast.
+BROADCAST_BUCKETS = 1_000_000
 SEED = 20240607
 
 
@@ -49,7 +51,8 @@ def shuffled(docs: DataFrame, n_shards: int, seed: int = SEED, text: str = "text
     blocks = counts.groupBy("block").agg(F.sum("c").alias("bc"))
     blocks = blocks.select("block", (F.sum("bc").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("bc")).alias("before"))
     starts = counts.join(blocks, "block").select("bucket", (F.col("before") + F.sum("c").over(W.partitionBy("block").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("start"))
-    placed = dealt.join(starts, "bucket").withColumn("p", F.col("start") + F.col("at"))
+    # Few rows of fixed width: a shuffle here would move all texts once more
+    placed = dealt.join(F.broadcast(starts) if buckets <= BROADCAST_BUCKETS else starts, "bucket").withColumn("p", F.col("start") + F.col("at"))
     placed = placed.withColumn("shard", F.expr(f"cast((p * {n_shards}) div {max(n, 1)} as int)"))
     # First position of shard i: ceil(i * n / shards)
     placed = placed.withColumn("slot", F.col("p") - F.expr(f"(cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}"))
@@ -64,7 +67,14 @@ def write_shards(docs: DataFrame, n_shards: int, path: str | None = None, **how)
     return path
 
 
+def read_shards(spark, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, size, text_crc32, shard, slot) of written shards: size and CRC from the texts that lie there."""
+    rows = spark.read.parquet(path)
+    size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 16
+    return rows.select(key, size.alias("size"), crc_unsigned(F.col(text)).alias("text_crc32"), F.col("shard").cast("int").alias("shard"), "slot")
+
+
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
-    """All documents into 40 shards, law `rows`."""
-    out = shuffled(table(spark, sf_dir, "documents"), 40, payload=False)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """All documents written into 40 shards, law `rows`, and read back."""
+    path = write_shards(table(spark, sf_dir, "documents"), 40)
+    return read_shards(spark, path).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

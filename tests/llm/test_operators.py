@@ -192,6 +192,18 @@ def test_sharding(spark, texts):
     assert spark.read.parquet(path).count() == len(texts)
 
 
+def test_op3_reads_its_rows_from_written_shards(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "fresh_path", lambda spark, tag: str(tmp_path / tag))
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in sharding.op3_sharding(spark, str(tmp_path)).collect()}
+    stored = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert len(stored) == len(rows) == len(texts)
+    for r in stored:
+        raw = (texts[r.doc_id] or "").encode()
+        own = rows[r.doc_id]
+        assert r.text == texts[r.doc_id] and (own.size, own.text_crc32, own.shard, own.slot) == (len(raw) + 16, zlib.crc32(raw), r.shard, r.slot)
+
+
 # 4
 
 
