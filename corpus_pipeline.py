@@ -23,10 +23,10 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found: those of null text or without a letter go, as do rows without a doc_id."""
+    """Documents in which a language is found: those of null text, without a letter or of no learned language (score 0) go, as do rows without a doc_id."""
     docs = docs.filter(F.col("doc_id").isNotNull()).select(*COLUMNS)
     found = language.predict(docs, language.fit(docs), keep=("text", "lang", "source", "n_chars"))
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

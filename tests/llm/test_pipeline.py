@@ -39,6 +39,12 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 40
 
 
+def test_language_id_drops_languages_never_learned(spark):
+    texts = [("the cat sat on the mat", "en"), ("le chat est sur la table", "fr")] * 30 + [("\u4e2d\u6587\u5b57\u7b26\u6d4b\u8bd5 \u6587\u5b57", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == set(range(60))
+
+
 def test_line_dedup_drops_copies_of_short_lines(spark):
     texts = ["Les.\n\nthe first long line\nAnd ornd.", "Les.\n\nAnother long line\nLess", "And ornd.", "z\nthe first long lime\nz"]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
