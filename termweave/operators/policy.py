@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,18 +50,62 @@ def route_case(confidence: Column, threshold: Column | float, ood: Column) -> Co
     return F.when(ood, "FULL_EXPERT_REVIEW").when(confidence >= threshold, "AUTO_CANDIDATE").otherwise("TOP_K_HUMAN_CHOICE")
 
 
+def tail_of(successes: np.ndarray, n: np.ndarray, t: float) -> np.ndarray:
+    """P(Bin(n, t) >= successes): the regularised incomplete beta function I_t(s, n - s + 1) by its continued fraction.
+
+    The fraction converges in some sqrt(n) steps at the worst, and in a few away from the mean.
+    """
+    s, n = np.asarray(successes, np.float64), np.asarray(n, np.float64)
+    out = np.where((s <= 0) | (t >= 1), 1.0, 0.0)
+    todo = np.flatnonzero((s > 0) & (s <= n) & (0 < t < 1))
+    if not len(todo):
+        return out
+    a, b = s[todo], n[todo] - s[todo] + 1
+    flip = t > (a + 1) / (a + b + 2)  # where the fraction of the other side converges faster
+    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - t, t)
+    lgamma = np.frompyfunc(math.lgamma, 1, 1)
+    front = np.exp((lgamma(a + b) - lgamma(a) - lgamma(b)).astype(np.float64) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    d = 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    c, f, m = np.ones_like(d), d.copy(), 0
+    while True:  # Lentz's method
+        m += 1
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + top * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + top / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            step = c * d
+            f = f * step
+        if np.all(np.abs(step - 1) < 1e-15) or m > 10 * int(np.sqrt((a + b).max())) + 1000:
+            break
+    value = front * f
+    out[todo] = np.clip(np.where(flip, 1 - value, value), 0.0, 1.0)
+    return out
+
+
 def binomial_tail(successes: Column, n: Column, t: float) -> Column:
-    """P(Bin(n, t) >= successes), summed over the failures in logarithms."""
-    if not 0 < t < 1:
-        return F.when((successes <= 0) | F.lit(t >= 1), 1.0).otherwise(0.0)
-    odds = math.log1p(-t) - math.log(t)
-    s = F.aggregate(
-        F.sequence(F.lit(0), (n - successes).cast("int")),
-        F.struct((n.cast("double") * F.lit(math.log(t))).alias("lt"), F.lit(0.0).alias("acc")),
-        lambda a, j: F.struct((a["lt"] + F.log(F.greatest(n - j, F.lit(1)).cast("double")) - F.log((j + 1).cast("double")) + F.lit(odds)).alias("lt"), (a["acc"] + F.exp(a["lt"])).alias("acc")),
-        lambda a: a["acc"],
-    )
-    return F.when(successes <= 0, 1.0).otherwise(F.least(s, F.lit(1.0)))
+    """P(Bin(n, t) >= successes)."""
+
+    @F.pandas_udf("double")
+    def tail(s: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(tail_of(s.to_numpy(), n.to_numpy(), t))
+
+    return tail(successes.cast("long"), n.cast("long"))
+
+
+def tail_bounds(successes: Column, n: Column, t: float) -> tuple[Column, Column]:
+    """Logarithms between which that of P(Bin(n, t) >= successes) lies: Chernoff's bound from above, Ash's from below.
+
+    At or below the mean the tail is at least a half, as the median is not under the mean's whole part.
+    """
+    p = successes / n
+    part = lambda x, y: F.when(x > 0, x * F.log(x / F.lit(y))).otherwise(0.0)
+    chernoff = -n * (part(p, t) + part(1 - p, 1 - t))
+    ash = F.when(successes >= n, chernoff).otherwise(chernoff - 0.5 * F.log(8 * n * p * (1 - p)))
+    above = p > t
+    return F.when(above, ash).otherwise(math.log(0.5)), F.when(above, chernoff).otherwise(0.0)
 
 
 def lower_bound(successes: int, n: int, alpha: float = 0.05) -> float | None:
@@ -72,11 +118,7 @@ def lower_bound(successes: int, n: int, alpha: float = 0.05) -> float | None:
         return 0.0
 
     def tail(t: float) -> float:
-        lt, acc = n * math.log(t), 0.0
-        for j in range(n - successes + 1):
-            acc += math.exp(lt)
-            lt += math.log(max(n - j, 1)) - math.log(j + 1) + math.log1p(-t) - math.log(t)
-        return acc
+        return float(tail_of(np.array([successes]), np.array([n]), t)[0])
 
     low, high = 0.0, 1.0
     for _ in range(200):
@@ -90,17 +132,27 @@ def lower_bound(successes: int, n: int, alpha: float = 0.05) -> float | None:
 def threshold_by_lower_bound(pred: DataFrame, target: float = 0.95, alpha: float = 0.05, min_auto: int = 20) -> DataFrame:
     """The threshold of most records whose lower bound reaches the target; no row where none does.
 
-    The bound reaches the target exactly if P(Bin(n, target) >= successes) is at most alpha, so only one number is
-    computed per threshold, and the bound itself for the chosen one alone.
+    The bound reaches the target exactly if P(Bin(n, target) >= successes) is at most alpha. Two closed bounds of that
+    tail settle nearly every threshold; it is computed for the few in between alone, and the lower bound itself for the
+    chosen threshold.
     """
-    rows = coverage_curve(pred).filter(F.col("n_auto") >= min_auto).withColumn("tail", binomial_tail(F.col("n_correct"), F.col("n_auto"), max(target - 1e-12, 0.0)))
-    chosen = rows.filter(F.col("tail") <= alpha).orderBy(F.desc("n_auto"), F.desc("accuracy"), "threshold").limit(1)
+    t = max(target - 1e-12, 0.0)
+    rows = coverage_curve(pred).filter(F.col("n_auto") >= min_auto)
+    if 0 < t < 1 and alpha < 0.5:
+        slack = 1e-9  # rounding of the logarithms
+        low, high = tail_bounds(F.col("n_correct"), F.col("n_auto"), t)
+        rows = rows.withColumn("low", low).withColumn("high", high).filter(F.col("low") <= math.log(alpha) + slack)
+        sure = rows.filter(F.col("high") <= math.log(alpha) - slack)
+        rows = sure.unionByName(rows.filter(F.col("high") > math.log(alpha) - slack).filter(binomial_tail(F.col("n_correct"), F.col("n_auto"), t) <= alpha))
+    else:
+        rows = rows.filter(binomial_tail(F.col("n_correct"), F.col("n_auto"), t) <= alpha)
+    chosen = rows.orderBy(F.desc("n_auto"), F.desc("accuracy"), "threshold").limit(1)
 
     def bound(batches):
         for pdf in batches:
-            yield pdf.assign(lower_bound=[lower_bound(int(s), int(n), alpha) for s, n in zip(pdf["n_correct"], pdf["n_auto"], strict=True)])
+            yield pdf.assign(tail=tail_of(pdf["n_correct"], pdf["n_auto"], t), lower_bound=[lower_bound(int(s), int(n), alpha) for s, n in zip(pdf["n_correct"], pdf["n_auto"], strict=True)])
 
-    out = chosen.select("threshold", "n_auto", "n_correct", "coverage", "accuracy", "tail")
+    out = chosen.select("threshold", "n_auto", "n_correct", "coverage", "accuracy")
     return out.mapInPandas(bound, "threshold double, n_auto long, n_correct long, coverage double, accuracy double, tail double, lower_bound double")
 
 

@@ -1,8 +1,9 @@
-"""Ranked candidates by TF-IDF similarity joins over inverted indexes, and their fusion.
+"""Ranked candidates by TF-IDF similarity, and their fusion.
 
-A space is fitted once: a table of grams with their inverse document frequencies, and postings (item, gram, w) of unit
-length. Texts are scored once each, however many records share them. The score tables are long; weights only enter in
-fuse functions, so a grid of weights costs no second join.
+A space is fitted once: a table of grams with their inverse document frequencies, and a vector of unit length for each
+item. Texts are scored once each, however many records share them, by blocked products (see products.py): a row comes
+out for each query and code, none for a pair of grams. Weights only enter in fuse functions, so a grid of weights costs
+no second product.
 """
 
 from __future__ import annotations
@@ -10,15 +11,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termweave.functions.text import char_grams, nonempty, word_grams
+from termweave.operators import products
 from termweave.sources.records import alias_rows, require_columns
 
-#: Postings of at most this many rows are broadcast to the queries; more are joined by a shuffle on the gram.
+#: A dictionary of at most this many grams is broadcast to the texts; a larger one is joined by a shuffle on the gram.
 BROADCAST_ROWS = 500_000
+#: What is kept for reuse, so that it can be given back.
+KEPT: list[DataFrame] = []
 
 
 def char_3_5(c) -> Column:
@@ -29,16 +35,34 @@ def char_2_5(c) -> Column:
     return char_grams(c, 2, 5)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cached until release(); what still needs it after that is computed anew."""
+    KEPT.append(df.cache())
+    return df
+
+
+def release() -> None:
+    """Give back the storage of everything that was kept."""
+    while KEPT:
+        KEPT.pop().unpersist()
+
+
 @dataclass(frozen=True)
 class Space:
-    """A fitted space. sublinear: term frequencies count as 1 + ln(tf)."""
+    """A fitted space. sublinear: term frequencies count as 1 + ln(tf). idf: (gram, gid, idf); numbers: weights stored in the items' vectors."""
 
     grams: Callable[[Column | str], Column]
     sublinear: bool
     idf: DataFrame
     postings: DataFrame
+    numbers: int
     small: bool
 
+    @property
+    def vectors(self) -> DataFrame:
+        """(item, ids, ws)"""
+        return as_vectors(self.postings)
+
 
 def counted(items: DataFrame, grams: Callable) -> DataFrame:
     """(item, gram, tf). Rows of an item stay where the item is, so nothing is shuffled twice."""
@@ -46,10 +70,26 @@ def counted(items: DataFrame, grams: Callable) -> DataFrame:
 
 
 def weighted(tf: DataFrame, idf: DataFrame, sublinear: bool) -> DataFrame:
-    """(item, gram, w) of unit length; grams that the space does not know are dropped before."""
+    """(item, gram, gid, w) of unit length; grams that the space does not know are dropped before."""
     w = tf.join(idf, "gram").withColumn("w", (F.lit(1.0) + F.log("tf") if sublinear else F.col("tf").cast("double")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("item")))
-    return w.select("item", "gram", (F.col("w") / norm).alias("w"))
+    return w.select("item", "gram", "gid", (F.col("w") / norm).alias("w"))
+
+
+def as_vectors(postings: DataFrame) -> DataFrame:
+    """(item, ids, ws): a row per item, its grams' ids ascending."""
+    pairs = F.array_sort(F.collect_list(F.struct("gid", "w")))
+    return postings.groupBy("item").agg(pairs.alias("v")).select("item", F.transform("v", lambda x: x["gid"]).alias("ids"), F.transform("v", lambda x: x["w"]).alias("ws"))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Grams with ids of 64 bits, by a hash whose seed is one under which no two of them meet."""
+    seed = 0
+    while True:
+        rows = df.withColumn("gid", F.xxhash64(F.lit(seed), "gram"))
+        if rows.groupBy("gid").count().filter("count > 1").isEmpty():
+            return rows
+        seed += 1
 
 
 def fit(corpus: DataFrame, grams: Callable, sublinear: bool = False, min_df: int = 1, max_features: int | None = None) -> Space:
@@ -62,26 +102,120 @@ def fit(corpus: DataFrame, grams: Callable, sublinear: bool = False, min_df: int
     if max_features is not None:
         df = df.orderBy(F.desc("total"), "gram").limit(max_features)
     n = corpus.agg(F.count_distinct("item").alias("n"))
-    idf = df.crossJoin(F.broadcast(n)).select("gram", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")).cache()
-    postings = weighted(tf, idf, sublinear).cache()
-    return Space(grams, sublinear, idf, postings, postings.count() <= BROADCAST_ROWS)
+    idf = kept(df.crossJoin(F.broadcast(n)).select("gram", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
+    size = idf.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("numbers")).first()
+    idf = numbered(idf).select("gram", "gid", "idf")
+    small = size["n"] <= BROADCAST_ROWS
+    return Space(grams, sublinear, idf, weighted(tf, F.broadcast(idf) if small else idf, sublinear), size["numbers"], small)
+
+
+def query_vectors(queries: DataFrame, space: Space) -> DataFrame:
+    """(query, ids, ws) of (query, text); queries without a known gram give no row."""
+    own = counted(queries.select(F.col("query").alias("item"), "text"), space.grams)
+    return as_vectors(weighted(own, F.broadcast(space.idf) if space.small else space.idf, space.sublinear)).withColumnRenamed("item", "query")
+
 
+def similarities(queries: DataFrame, space: Space, top: int | None = None, place: DataFrame | None = None) -> DataFrame:
+    """(query, item, sim): the cosine of every query and item that share a gram; queries are (query, text).
 
-def similarities(queries: DataFrame, space: Space) -> DataFrame:
-    """(query, item, sim): the cosine of every query and item that share a gram; queries are (query, text)."""
-    own = weighted(counted(queries.select(F.col("query").alias("item"), "text"), space.grams), F.broadcast(space.idf) if space.small else space.idf, space.sublinear)
-    side = space.postings.select("item", "gram", F.col("w").alias("v"))
-    pairs = own.withColumnRenamed("item", "query").join(F.broadcast(side) if space.small else side, "gram")
-    return pairs.groupBy("query", "item").agg(F.sum(F.col("w") * F.col("v")).alias("sim"))
+    With `top` only the first so many of each query, by the cosine to 9 decimals and then by `place` (item, place).
+    """
+    asked, items = query_vectors(queries, space), space.vectors
+    kinds = f"query {dict(asked.dtypes)['query']}, item {dict(items.dtypes)['item']}, sim double"
+    kind = products.kind_of(kinds)
+    schema = kind[1]
+    if top is not None:
+        items = items.join(place.select("item", F.col("place").cast("long").alias("place")), "item")
+
+    def load(table: pa.Table):
+        return products.Sparse(table["ids"], table["ws"]), table["item"], table["place"].to_numpy() if top is not None else None
+
+    def answer(block, batch):
+        index, names, order = block
+        which, found, sims = [], [], []
+        for i, (ids, ws) in enumerate(products.each(batch, "ids", "ws")):
+            s = index.scores(ids, ws)
+            at = np.flatnonzero(s)
+            if top is not None and len(at):
+                r = np.round(s[at], 9)
+                if len(at) > top:
+                    near = r >= np.partition(r, len(r) - top)[len(r) - top]
+                    at, r = at[near], r[near]
+                at = at[np.lexsort((order[at], -r))[:top]]
+            which.append(np.full(len(at), i))
+            found.append(at)
+            sims.append(s[at])
+        joined = lambda x, of: np.concatenate([np.empty(0, of), *x])
+        return products.made(schema, [batch.column("query").take(pa.array(joined(which, np.int64))), names.take(pa.array(joined(found, np.int64))), joined(sims, np.float64)])
+
+    return products.against(asked.withColumn("key", F.col("query")), items.withColumn("key", F.col("item")), space.numbers, load, answer, kind).select("query", "item", "sim")
+
+
+def best_by_code(queries: DataFrame, spaces: list[tuple[str, Space, float]], owners: DataFrame) -> DataFrame:
+    """(query, code, fused, a score for each space, item): the best item of each code that shares a gram with the query.
+
+    spaces: (name, space, weight) over the same items, fused by their weights. owners: (item, code, place); of items
+    whose fused scores are equal to 12 decimals, the smallest place stands for its code.
+    """
+    asked, items = None, owners.select("item", F.col("code"), F.col("place").cast("long").alias("place"))
+    for i, (_, space, _) in enumerate(spaces):
+        q = query_vectors(queries, space).withColumnsRenamed({"ids": f"ids{i}", "ws": f"ws{i}"})
+        asked = q if asked is None else asked.join(q, "query", "full_outer")
+        items = items.join(space.vectors.withColumnsRenamed({"ids": f"ids{i}", "ws": f"ws{i}"}), "item", "left")
+    none = lambda name: F.coalesce(name, F.array().cast("array<bigint>" if name.startswith("ids") else "array<double>")).alias(name)
+    fields = [f"{c}{i}" for i in range(len(spaces)) for c in ("ids", "ws")]
+    asked, items = asked.select("query", *map(none, fields)), items.select("item", "code", "place", *map(none, fields))
+    names, weights = [n for n, _, _ in spaces], [w for _, _, w in spaces]
+    kinds = f"query {dict(asked.dtypes)['query']}, code {dict(items.dtypes)['code']}, fused double, {', '.join(f'{n} double' for n in names)}, item {dict(items.dtypes)['item']}, place long"
+    kind = products.kind_of(kinds)
+    schema = kind[1]
+
+    def load(table: pa.Table):
+        group = products.one(table["code"]).dictionary_encode().indices.to_numpy()
+        order = np.lexsort((table["place"].to_numpy(), group))
+        table, group = table.take(pa.array(order)), group[order]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
+        return [products.Sparse(table[f"ids{i}"], table[f"ws{i}"]) for i in range(len(names))], table, first
+
+    def answer(block, batch):
+        indexes, table, first = block
+        parts = [products.each(batch, f"ids{i}", f"ws{i}") for i in range(len(names))]
+        which, found, values = [], [], [[] for _ in range(1 + len(names))]
+        for i in range(batch.num_rows if len(first) else 0):
+            own = [index.scores(*next(part)) for index, part in zip(indexes, parts, strict=True)]
+            fused = sum(w * s for w, s in zip(weights, own, strict=True))
+            some = np.flatnonzero(np.maximum.reduceat(sum(own), first))
+            r = np.round(fused, 12)
+            best = np.maximum.reduceat(r, first)
+            at = np.flatnonzero(r == np.repeat(best, np.diff(np.append(first, len(r)))))  # in the order of the places inside a code
+            at = at[np.searchsorted(at, first)][some]
+            which.append(np.full(len(at), i))
+            found.append(at)
+            for v, x in zip(values, (fused, *own), strict=True):
+                v.append(x[at])
+        joined = lambda x, of: np.concatenate([np.empty(0, of), *x])
+        rows = table.take(pa.array(joined(found, np.int64)))
+        return products.made(schema, [batch.column("query").take(pa.array(joined(which, np.int64))), rows["code"], *(joined(v, np.float64) for v in values), rows["item"], rows["place"]])
+
+    numbers = sum(space.numbers for _, space, _ in spaces)
+    out = products.against(asked.withColumn("key", F.col("query")), items.withColumn("key", F.col("item")), numbers, load, answer, kind)
+    # Items of a code may lie in several blocks: the best of the blocks' best
+    best = F.max_by(F.struct("fused", *names, "item"), F.struct(F.round("fused", 12), -F.col("place"))).alias("b")
+    return out.groupBy("query", "code").agg(best).select("query", "code", "b.*")
 
 
 def by_text(records: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Score each distinct query text once and give the scores to all records with it. Records are (record_id, query_text)."""
-    named = records.withColumn("query", F.xxhash64("query_text"))
+    named = records.withColumn("query", text_key("query_text"))
     texts = named.groupBy("query").agg(F.min("query_text").alias("text"))
     return named.select("record_id", "query").join(score(texts), "query")
 
 
+def text_key(c: Column | str) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(F.col(c) if isinstance(c, str) else c))
+
+
 def query_text(df: DataFrame) -> DataFrame:
     """(record_id, query_text): the mention, or the text where it has no characters."""
     return df.select("record_id", F.when(F.length("mention") > 0, F.col("mention")).otherwise(F.col("text")).alias("query_text"))
@@ -115,6 +249,16 @@ def ranked(scores: DataFrame, codes: DataFrame, queries: DataFrame, k: int, orde
     return lists.select("query", "x.*")
 
 
+def history_items(history: DataFrame) -> DataFrame:
+    """(gold_code, text, seq, copies, item): history rows of equal text and code stand as one."""
+    rows = history_text(history).groupBy("gold_code", "text").agg(F.min("row_seq").alias("seq"), F.count(F.lit(1)).alias("copies"))
+    return rows.withColumn("item", text_key(F.concat_ws("\u0001", "gold_code", "text")))
+
+
+def owners(history: DataFrame) -> DataFrame:
+    return history.select("item", F.col("gold_code").alias("code"), F.col("seq").alias("place"))
+
+
 def confidence(best: Column, second: Column) -> Column:
     """Half the best score and half its lead over the second, between 0 and 1."""
     b = F.coalesce(best, F.lit(0.0))
@@ -139,18 +283,18 @@ class HistoricalCoder:
     def fit(self, history: DataFrame, terms: DataFrame) -> HistoricalCoder:
         require_columns(history, {"text", "gold_code"})
         require_columns(terms, {"code", "term", "row_seq"})
-        self.codes = terms.select("code", "row_seq", "term").cache()
+        self.codes = kept(terms.select("code", "row_seq", "term"))
         body = "search_text" if "search_text" in terms.columns else "term"
         self.terms = fit(terms.select(F.col("code").alias("item"), F.col(body).alias("text")), char_3_5)
         # Rows of equal text and code score alike: one item for them, the first row
-        self.history = history_text(history).groupBy("gold_code", "text").agg(F.min("row_seq").alias("seq"), F.count(F.lit(1)).alias("copies")).withColumn("item", F.xxhash64("gold_code", "text")).cache()
+        self.history = kept(history_items(history))
         self.memory = fit(self.history.select("item", "text"), char_3_5)
         return self
 
     def components(self, texts: DataFrame) -> DataFrame:
         """(query, code, terminology_score, history_score) of what shares a gram with the query; texts are (query, text)."""
         term = similarities(texts, self.terms).select("query", F.col("item").alias("code"), F.col("sim").alias("terminology_score"))
-        past = similarities(texts, self.memory).join(self.history.select("item", F.col("gold_code").alias("code")), "item").groupBy("query", "code").agg(F.max("sim").alias("history_score"))
+        past = best_by_code(texts, [("history_score", self.memory, 1.0)], owners(self.history)).select("query", "code", "history_score")
         both = term.join(past, ["query", "code"], "full_outer").fillna(0.0)
         return both.join(self.codes.select("code"), "code", "left_semi")
 
@@ -165,7 +309,7 @@ class HistoricalCoder:
     def cases(self, records: DataFrame, n: int = 5) -> DataFrame:
         """(record_id, rank, code, text, similarity): the nearest history rows; equal rows stand as one."""
         def nearest(t: DataFrame) -> DataFrame:
-            s = similarities(t, self.memory).join(self.history, "item")
+            s = similarities(t, self.memory, n, self.history.select("item", F.col("seq").alias("place"))).join(self.history, "item")
             s = s.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "seq"))).filter(F.col("rank") <= n)
             return s.select("query", "rank", F.col("gold_code").alias("code"), F.col("text").alias("case_text"), F.col("sim").alias("similarity"))
 
@@ -174,9 +318,9 @@ class HistoricalCoder:
     def score_code(self, pairs: DataFrame, weight: float | None = None) -> DataFrame:
         """(key, score) for (key, text, code): the score of one code for a text; unknown codes and blank texts have 0."""
         w = self.weight if weight is None else weight
-        texts = pairs.select(F.xxhash64("text").alias("query"), "text").distinct()
+        texts = pairs.select(text_key("text").alias("query"), "text").distinct()
         parts = self.components(texts).withColumn("score", (1 - w) * F.col("terminology_score") + w * F.col("history_score"))
-        named = pairs.withColumn("query", F.xxhash64("text")).join(parts.select("query", "code", "score"), ["query", "code"], "left")
+        named = pairs.withColumn("query", text_key("text")).join(parts.select("query", "code", "score"), ["query", "code"], "left")
         return named.select("key", F.when(F.trim("text") == "", 0.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
@@ -189,23 +333,20 @@ class AliasCoder:
         self.hw, self.ww, self.k = history_weight, word_weight, top_k
 
     def fit(self, history: DataFrame, terms: DataFrame) -> AliasCoder:
-        self.codes = require_columns(terms, {"code", "term", "row_seq"}).select("code", "row_seq").cache()
-        self.aliases = alias_rows(terms).withColumn("item", F.xxhash64("code", "alias_idx")).cache()
+        self.codes = kept(require_columns(terms, {"code", "term", "row_seq"}).select("code", "row_seq"))
+        self.aliases = kept(alias_rows(terms).withColumn("item", text_key(F.concat_ws("\u0001", "code", "alias_idx"))))
         self.char = fit(self.aliases.select("item", F.col("alias").alias("text")), char_2_5, sublinear=True)
         self.word = fit(self.aliases.select("item", F.col("alias").alias("text")), word_grams, sublinear=True)
-        self.history = history_text(history).groupBy("gold_code", "text").agg(F.min("row_seq").alias("seq")).withColumn("item", F.xxhash64("gold_code", "text")).cache()
+        self.history = kept(history_items(history))
         self.memory = fit(self.history.select("item", "text"), char_2_5, sublinear=True)
         return self
 
     def components(self, texts: DataFrame, word_weight: float | None = None) -> DataFrame:
         """(query, code, terminology_score, history_score, char_score, word_score, matched_alias)."""
         w = self.ww if word_weight is None else word_weight
-        char = similarities(texts, self.char).withColumnRenamed("sim", "char_score")
-        word = similarities(texts, self.word).withColumnRenamed("sim", "word_score")
-        both = char.join(word, ["query", "item"], "full_outer").fillna(0.0).withColumn("fused", (1 - w) * F.col("char_score") + w * F.col("word_score"))
-        best = both.join(self.aliases, "item").groupBy("query", "code").agg(F.max_by(F.struct("fused", "char_score", "word_score", "alias"), F.struct(F.round("fused", 12), -F.col("alias_idx"))).alias("b"))
-        term = best.select("query", "code", F.col("b.fused").alias("terminology_score"), F.col("b.char_score").alias("char_score"), F.col("b.word_score").alias("word_score"), F.col("b.alias").alias("matched_alias"))
-        past = similarities(texts, self.memory).join(self.history.select("item", F.col("gold_code").alias("code")), "item").groupBy("query", "code").agg(F.max("sim").alias("history_score"))
+        best = best_by_code(texts, [("char_score", self.char, 1 - w), ("word_score", self.word, w)], self.aliases.select("item", "code", F.col("alias_idx").alias("place")))
+        term = best.join(self.aliases.select("item", F.col("alias").alias("matched_alias")), "item").select("query", "code", F.col("fused").alias("terminology_score"), "char_score", "word_score", "matched_alias")
+        past = best_by_code(texts, [("history_score", self.memory, 1.0)], owners(self.history)).select("query", "code", "history_score")
         return term.join(past, ["query", "code"], "full_outer").fillna(0.0).join(self.codes.select("code"), "code", "left_semi")
 
     def fused(self, parts: DataFrame, weight: float | None = None) -> DataFrame:
@@ -218,22 +359,45 @@ class AliasCoder:
         return by_text(query_text(records), lambda t: ranked(self.fused(self.components(t)), self.codes, t, self.k, order)).drop("query")
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def unit_length(v: Column | str) -> Column:
-    c = F.col(v) if isinstance(v, str) else v
-    norm = F.sqrt(dot(c, c))
-    return F.transform(c, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+def unit_rows(column) -> np.ndarray:
+    """A list column of one length as a matrix whose rows have unit length; a zero vector stays zero."""
+    at, numbers = products.lists(column)
+    x = numbers.reshape(len(at) - 1, -1) if len(at) > 1 else np.zeros((0, 0))
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
 def dense_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(query, code, dense_score): the largest cosine of each code's vectors. queries: (query, vector); items: (code, vector), a bounded dictionary."""
-    q = queries.select("query", unit_length("vector").alias("q"))
-    i = items.select("code", unit_length("vector").alias("v"))
-    return q.join(F.broadcast(i)).groupBy("query", "code").agg(F.max(dot("q", "v")).alias("dense_score"))
+    """(query, code, dense_score): the largest cosine of each code's vectors. queries: (query, vector); items: (code, vector), all of one length.
+
+    Blocks of queries are multiplied with blocks of items; a block hands on a row for each query and code.
+    """
+    items = items.select("code", F.col("vector").cast("array<double>").alias("vector"), F.xxhash64("code", "vector").alias("key"))
+    asked = queries.select("query", F.col("vector").cast("array<double>").alias("vector"), F.col("query").alias("key"))
+    numbers = items.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first()["n"]
+    kinds = f"query {dict(asked.dtypes)['query']}, code {dict(items.dtypes)['code']}, dense_score double"
+    kind = products.kind_of(kinds)
+    schema = kind[1]
+
+    def load(table: pa.Table):
+        table = table.sort_by("code")
+        codes = products.one(table["code"])
+        own = codes.to_pylist()
+        first = np.array([i for i in range(len(own)) if i == 0 or own[i] != own[i - 1]], np.int64)
+        return unit_rows(table["vector"]), codes.take(pa.array(first)), first
+
+    def answer(block, batch):
+        x, codes, first = block
+        if not len(first):
+            return products.made(schema, [batch.column("query").slice(0, 0), codes, np.empty(0)])
+        q, n, out = unit_rows(batch.column("vector")), len(first), []
+        for at in range(0, len(q), 256):
+            out.append(np.maximum.reduceat(q[at : at + 256] @ x.T, first, axis=1).ravel())
+        which, code = np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q))
+        return products.made(schema, [batch.column("query").take(pa.array(which)), codes.take(pa.array(code)), np.concatenate([np.empty(0), *out])])
+
+    out = products.against(asked, items, numbers, load, answer, kind)
+    return out.groupBy("query", "code").agg(F.max("dense_score").alias("dense_score"))
 
 
 def min_max(value: Column | str, *by: str) -> Column:
@@ -275,17 +439,17 @@ class MultiLabelCoder:
 
     def fit(self, history: DataFrame, terms: DataFrame) -> MultiLabelCoder:
         """history: (record_id, text, gold_codes array); terms: (code, term, row_seq)."""
-        self.codes = terms.select("code", "row_seq").cache()
+        self.codes = kept(terms.select("code", "row_seq"))
         body = "search_text" if "search_text" in terms.columns else "term"
         self.terms = fit(terms.select(F.col("code").alias("item"), F.col(body).alias("text")), char_3_5)
         n = history.count()
         self.notes = fit(history.select(F.col("record_id").alias("item"), "text"), word_grams, True, 1 if n < 50 else 2, self.most)
-        self.labels = history.select(F.col("record_id").alias("item"), F.explode(F.array_distinct("gold_codes")).alias("code")).join(self.codes.select("code"), "code", "left_semi").cache()
+        self.labels = history.select(F.col("record_id").alias("item"), F.explode(F.array_distinct("gold_codes")).alias("code")).join(self.codes.select("code"), "code", "left_semi")
         # The mean of a code's rows, again of unit length; the number of rows cancels out
-        mean = self.notes.postings.join(self.labels, "item").groupBy(F.col("code").alias("item"), "gram").agg(F.sum("w").alias("w"))
+        mean = self.notes.postings.join(self.labels, "item").groupBy(F.col("code").alias("item"), "gram", "gid").agg(F.sum("w").alias("w"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("item")))
-        centroids = mean.select("item", "gram", (F.col("w") / norm).alias("w")).cache()
-        self.centroids = Space(word_grams, True, self.notes.idf, centroids, centroids.count() <= BROADCAST_ROWS)
+        centroids = kept(mean.select("item", "gram", "gid", (F.col("w") / norm).alias("w")))
+        self.centroids = Space(word_grams, True, self.notes.idf, centroids, centroids.count(), self.notes.small)
         return self
 
     def scores(self, texts: DataFrame) -> DataFrame:

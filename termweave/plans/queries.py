@@ -152,7 +152,9 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12
 
 
 def coder(spark, d, weight: float = 0.25, k: int = 5):
-    r = frames.part_records(spark, d).cache()
+    """A fitted coder and the test records. What earlier queries kept is given back: whatever still needs it is computed anew."""
+    retrieval.release()
+    r = frames.part_records(spark, d)
     return retrieval.HistoricalCoder(weight, k).fit(r.filter("split = 'train'"), frames.part_terms(spark, d)), r.filter("split = 'test'")
 
 
@@ -189,13 +191,13 @@ def historical_cases(spark, d):
 @query(f"WITH {PARTS}, {space_sql('t', 'SELECT code AS item, term AS text FROM terms', grams_sql('text', 3, 5), False)} SELECT gram, round(idf, 6) AS idf FROM t_idf")
 def tfidf_char_idf(spark, d):
     t = frames.part_terms(spark, d).select(F.col("code").alias("item"), F.col("term").alias("text"))
-    return rounded(retrieval.fit(t, retrieval.char_3_5).idf)
+    return rounded(retrieval.fit(t, retrieval.char_3_5).idf.select("gram", "idf"))
 
 
 @query(f"WITH {space_sql('t', 'SELECT item_id AS item, text FROM benchmark', words_sql('text'), True)} SELECT item, gram, round(w, 6) AS w FROM t_w")
 def tfidf_word_weights(spark, d):
     b = read(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text")
-    return rounded(retrieval.fit(b, text.word_grams, sublinear=True).postings)
+    return rounded(retrieval.fit(b, text.word_grams, sublinear=True).postings.select("item", "gram", "w"))
 
 
 ALIAS = f"""a0 AS (SELECT code, row_seq, unnest(list_prepend(term, string_split(synonyms, '|'))) AS alias, generate_subscripts(list_prepend(term, string_split(synonyms, '|')), 1) - 1 AS i FROM terms),
@@ -214,7 +216,8 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12
 
 @query(f"WITH {PARTS}, {ALIAS} SELECT record_id, rank::INT AS rank, code, round(score, 6) AS score, round(ts, 6) AS terminology_score, alias AS matched_alias FROM recs r JOIN top ON top.query = r.text WHERE r.split = 'test'")
 def alias_hybrid_topk(spark, d):
-    r = frames.part_records(spark, d).cache()
+    retrieval.release()
+    r = frames.part_records(spark, d)
     c = retrieval.AliasCoder(0.25, 0.15, 5).fit(r.filter("split = 'train'"), frames.part_terms(spark, d))
     return rounded(c.predict(r.filter("split = 'test'")).select("record_id", "rank", "code", "score", "terminology_score", "matched_alias"))
 
@@ -235,16 +238,17 @@ def weight_grid(spark, d):
 
 
 def weight_accuracy(c, part, weights):
-    texts = retrieval.query_text(part).select(F.xxhash64("query_text").alias("query"), F.col("query_text").alias("text")).distinct()
-    parts = c.components(texts).cache()
-    named = retrieval.query_text(part).withColumn("query", F.xxhash64("query_text")).join(part.select("record_id", "gold_code"), "record_id")
-    out = None
-    for w in weights:
-        top = retrieval.ranked(c.fused(parts, w), c.codes, texts, 5).withColumnRenamed("code", "gold_code")
-        hit = named.join(top, ["query", "gold_code"], "left")
-        row = hit.agg(F.lit(w).alias("history_weight"), F.avg(F.coalesce((F.col("rank") <= 1).cast("int"), F.lit(0))).alias("acc_at_1"), F.avg(F.coalesce((F.col("rank") <= 5).cast("int"), F.lit(0))).alias("acc_at_5"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A row per weight: component scores are made once, and all weights are ranked in one window."""
+    named = retrieval.query_text(part).withColumn("query", retrieval.text_key("query_text")).join(part.select("record_id", "gold_code"), "record_id")
+    texts = named.groupBy("query").agg(F.min("query_text").alias("text"))
+    every = F.explode(F.array(*map(F.lit, weights))).alias("w")
+    asked = F.struct("w", "query").alias("query")
+    scores = c.components(texts).select("*", every)
+    scores = scores.select(asked, "code", ((1 - F.col("w")) * F.col("terminology_score") + F.col("w") * F.col("history_score")).alias("score")).filter("score > 0")
+    top = retrieval.ranked(scores, c.codes, texts.select("query", every).select(asked), 5).select("query", F.col("code").alias("gold_code"), "rank")
+    hit = named.select("gold_code", every, "query").select("gold_code", "w", asked).join(top, ["query", "gold_code"], "left")
+    within = lambda k: F.avg(F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0))).alias(f"acc_at_{k}")
+    return hit.groupBy(F.col("w").alias("history_weight")).agg(within(1), within(5))
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
