@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master alone and only where that is unset, a temporary one."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = tempfile.mkdtemp(prefix="termweave-")
     return shared_dir.own
@@ -35,6 +38,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Delete what written() has left in the shared folder, for use between jobs: no result that has not been read yet may need it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/termweave")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -149,11 +158,12 @@ def given_back() -> None:
         pass
 
 
-def sliced(batches, rows: int = 1024):
-    """Arrow batches of at most so many rows: texts become Python strings a part at a time."""
+def sliced(batches, rows: int = 1024, most: int = 8 << 20):
+    """Arrow batches of at most so many rows, and of about `most` bytes: texts become Python strings a part at a time. A larger row comes alone."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, rows if not batch.nbytes else batch.num_rows * most // batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
         del batch
     given_back()
 
