@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from termweave.llm.common import table, written
 
-#: Shorter lines are not compared within one edit, which is much of them; `exact_from` says from which length copies go.
-MIN_CHARS = 12
+#: Lines within one edit of each other count as repeats from this length on, as one edit is much of a shorter line; of
+#: shorter ones only exact copies go. Both lengths are parameters; 1 takes every line that is not empty.
+MIN_CHARS, EXACT_FROM = 12, 1
 PARTS = 16
-#: A side of at most this many rows of fixed width is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most this many bytes is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 8 << 20
 SECOND_SEED = 7919
 
 
@@ -39,11 +40,12 @@ def fingerprints(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(SECOND_SEED), line).alias("h2")]
 
 
-def within(side: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+def within(side: DataFrame, rows: int, width: int) -> DataFrame:
+    """The side, to be broadcast if so many rows of so many bytes are within the bound."""
+    return F.broadcast(side) if rows * width <= BROADCAST_BYTES else side
 
 
-def lines_of(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, line_no, line, pos) of the lines that take part; pos orders them by document, then line. Null ids come last."""
     at = F.expr("coalesce(cast(doc_id as decimal(20,0)), 9223372036854775808BD) * cast(2147483648 as decimal(10,0))")
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -81,15 +83,15 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("copies"), *same)
 
 
-def neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def neighbours(docs: DataFrame, distinct: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """(h1, h2, near): for lines within one edit of another, the earliest position of such a line that a key leads to."""
     blocks = written(halves(distinct), "halves")
     wanted = blocks.select("h1").distinct()
     n_wanted = wanted.count()
     # One text for each line that has a block left
-    one = distinct.select("h1", "h2", "pos").join(within(wanted, n_wanted), "h1", "left_semi")
-    texts = lines_of(docs).select(*fingerprints(F.col("line")), F.col("pos").alias("at"), "line")
-    texts = written(texts.join(within(one, n_wanted), ["h1", "h2"]).filter("at = pos").select("h1", "h2", "pos", "line").dropDuplicates(["h1", "h2"]), "lines")
+    one = distinct.select("h1", "h2", "pos").join(within(wanted, n_wanted, 16), "h1", "left_semi")
+    texts = lines_of(docs, least).select(*fingerprints(F.col("line")), F.col("pos").alias("at"), "line")
+    texts = written(texts.join(within(one, n_wanted, 48), ["h1", "h2"]).filter("at = pos").select("h1", "h2", "pos", "line").dropDuplicates(["h1", "h2"]), "lines")
     single = None
     while True:
         step = F.ceil((F.col("b") - F.col("a")) / PARTS).cast("int")
@@ -123,22 +125,22 @@ def neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return true.groupBy("h1", "h2").agg(F.min("near_pos").alias("near"))
 
 
-def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...] = (), exact_from: int = MIN_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...] = (), exact_from: int = EXACT_FROM, near_from: int = MIN_CHARS) -> DataFrame:
     """Per document: n_lines, n_removed and the text without the lines that an earlier line repeats.
 
-    Lines lie between line feeds. A line of at least 12 characters goes if a line within one edit of it, itself
-    included, occurs earlier (in a smaller doc_id, or further up); this is judged on the input. Of shorter lines,
-    those of `exact_from` characters or more go if the same line occurs earlier; empty lines stay. Null text has no lines and stays null. Rows without a doc_id come after all others and are kept from losing
+    Lines lie between line feeds. A line of at least `near_from` characters goes if a line within one edit of it and of
+    that length, itself included, occurs earlier (in a smaller doc_id, or further up); this is judged on the input. Of
+    shorter lines, those of `exact_from` characters or more go if the same line occurs earlier; empty lines stay. Null text has no lines and stays null. Rows without a doc_id come after all others and are kept from losing
     lines. Rows that repeat a doc_id are the same document: lines at the same place do not remove each other. An empty
     table gives no rows. Columns other than doc_id and text are not looked at; those named in `keep` come along.
     """
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
     docs = full.select("doc_id", "text")
-    least = max(1, min(exact_from, MIN_CHARS))
+    least, near_from = max(1, min(exact_from, near_from)), max(1, near_from)
     distinct = written(distinct_lines(lines_of(docs, least)), "distinct")
     early = distinct.filter("copies > 1").select("h1", "h2", F.col("pos").alias("near"))
-    early = written(early.unionByName(neighbours(docs, distinct.filter(F.col("n") >= MIN_CHARS))).groupBy("h1", "h2").agg(F.min("near").alias("near")), "early")
-    gone = lines_of(docs, least).select("doc_id", "line_no", "pos", *fingerprints(F.col("line"))).join(within(early, early.count()), ["h1", "h2"])
+    early = written(early.unionByName(neighbours(docs, distinct.filter(F.col("n") >= near_from), near_from)).groupBy("h1", "h2").agg(F.min("near").alias("near")), "early")
+    gone = lines_of(docs, least).select("doc_id", "line_no", "pos", *fingerprints(F.col("line"))).join(within(early, early.count(), 48), ["h1", "h2"])
     gone = gone.filter("pos > near").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "id")
     rows = full.join(gone, F.col("doc_id") == F.col("id"), "left").withColumn("lines", F.split("text", "\n"))
     size = F.coalesce(F.size("lines"), F.lit(0))
@@ -150,17 +152,18 @@ def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...] = (), exact_fr
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents without the lines that an earlier line repeats within one edit."""
+    """All documents without the lines that an earlier line repeats within one edit (shorter ones than MIN_CHARS: exactly)."""
     out = without_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: Lines within one edit share their first or their last half; those pairs are then compared place by place.
+#: Exact copies of lines of every length go. Lines of 12 characters or more within one edit share their first or their last half; those pairs are then compared place by place.
 ORACLE = """
 WITH line AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-taking AS (SELECT doc_id, no, line FROM line WHERE length(line) >= 12),
-one AS (SELECT line, min((doc_id::HUGEINT * 2147483648 + no)) AS pos, length(line) AS n FROM taking GROUP BY line),
+taking AS (SELECT doc_id, no, line FROM line WHERE line <> ''),
+every AS (SELECT line, min((doc_id::HUGEINT * 2147483648 + no)) AS pos, length(line) AS n FROM taking GROUP BY line),
+one AS (SELECT * FROM every WHERE n >= 12),
 half AS (
   SELECT line, n, pos, r, 'p' || left(line, (r // 2)::BIGINT) AS k FROM (SELECT *, unnest([n, n - 1]) AS r FROM one)
   UNION SELECT line, n, pos, r, 's' || right(line, (r - r // 2)::BIGINT) FROM (SELECT *, unnest([n, n - 1]) AS r FROM one)),
@@ -168,7 +171,7 @@ pair AS (SELECT DISTINCT a.line, a.n, b.line AS other, b.n AS m, b.pos AS other_
 near AS (
   SELECT line, min(other_pos) AS pos FROM pair WHERE len(list_filter(range(greatest(n, m)), lambda i:
     left(line, i) = left(other, i) AND substr(line, i + 1 + (n >= m)::INT) = substr(other, i + 1 + (m >= n)::INT))) > 0 GROUP BY line),
-early AS (SELECT one.line, least(one.pos, near.pos) AS pos FROM one LEFT JOIN near USING (line)),
+early AS (SELECT every.line, least(every.pos, near.pos) AS pos FROM every LEFT JOIN near USING (line)),
 gone AS (SELECT doc_id, no FROM taking JOIN early USING (line) WHERE doc_id::HUGEINT * 2147483648 + no > pos)
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed,
   sha256(CASE WHEN d.text IS NULL THEN '' WHEN g.n IS NULL THEN d.text ELSE array_to_string(

@@ -447,12 +447,12 @@ def test_lines(spark):
     for i, t in enumerate(docs):
         kept, gone = [], 0
         for s in t.split("\n") if t is not None else []:
-            if len(s) >= lines.MIN_CHARS and any(near(s, o) for o in seen):
+            long = len(s) >= lines.MIN_CHARS
+            if s and (s in seen or long and any(near(s, o) for o in seen if len(o) >= lines.MIN_CHARS)):
                 gone += 1
             else:
                 kept.append(s)
-            if len(s) >= lines.MIN_CHARS:
-                seen.append(s)
+            seen.append(s)
         r = got[i]
         assert (r.n_lines, r.n_removed, r.text) == (len(t.split("\n")) if t is not None else 0, gone, None if t is None else "\n".join(kept))
 
