@@ -2,7 +2,7 @@
 
 Documents are tokenised by partition. Each is cut into pieces of at most `piece` tokens (full sequences are cut off
 first), and the pieces, small rows without text, are dealt by a hash. Every partition takes its pieces in sorted order,
-in blocks of about `windows` sequences, and partitions each block into equal windows by multiway differencing: the two
+in blocks of about `windows` sequences (fewer where the pieces are small and many), and partitions each block into equal windows by multiway differencing: the two
 partial partitions of the largest spread merge, the fullest window of one on the emptiest of the other, until one is
 left. If its fullest window exceeds the capacity, the window count rises and the block is partitioned anew.
 """
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from termweave.llm.common import LOWER, arrow_batch, arrow_rows, hashed_bytes, table
 
 CAPACITY, PIECE, WINDOWS, EOD = 4096, 512, 128, 2
+#: Pieces of a block, at most: differencing keeps an order of the windows for each.
+MOST_PIECES = 16_384
 #: Characters of text tokenised at once.
 AT_ONCE = 2_500_000
 MARKS = re.compile(rb"[.,;:!?|]+$", re.MULTILINE)
@@ -170,6 +172,33 @@ def tokenizer_ids(path: str, most: int = 600_000):
     return ids
 
 
+def sequences(packed_: DataFrame, docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(sequence_id, ids): the packed sequences' token ids, not padded.
+
+    Placement is decided over small rows; the ids are cut again from the texts (tokenizing gives the same ids) and
+    travel once, to their sequence. Rows that repeat a doc_id are taken to be the same document.
+    """
+    ddl = "doc_id long, start long, length long, sequence_id long, offset long, ids binary"
+
+    def run(batches) -> Iterator:
+        of = tokenizer_ids(tokenizer)
+        for keys, texts, places in arrow_rows(batches, "doc_id", "text", "places"):
+            out: list[list] = [[], [], [], [], [], []]
+            for key, own, where in zip(keys, of([t or "" for t in texts]), places, strict=True):
+                own = np.append(own, np.uint32(EOD)).astype("<u4")
+                for x in where:
+                    for c, v in zip(out, (key, x["start"], x["length"], x["sequence_id"], x["offset"], own[x["start"] : x["start"] + x["length"]].tobytes()), strict=True):
+                        c.append(v)
+            yield arrow_batch(ddl, *out)
+
+    places = packed_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("places"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    cut_up = texts.join(places, texts["doc_id"].eqNullSafe(places["doc_id"])).select(texts["doc_id"], "text", "places").mapInArrow(run, ddl)
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    joined = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return cut_up.groupBy("sequence_id").agg(joined.alias("ids"))
+
+
 def cut(lengths: int, capacity: int, piece: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full sequences first, then pieces of near-equal length."""
     full = lengths // capacity
@@ -206,15 +235,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE, windows: int = WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE, windows: int = WINDOWS, most: int = MOST_PIECES) -> DataFrame:
     """Every id of every document in exactly one piece, each piece at an offset of a sequence of at most `capacity`.
 
-    Null and empty texts are a document of one id (the end id). Repeated rows are packed as often as they occur. An
+    Null and empty texts are a document of one id (the end id). A block has `windows` sequences' ids or `most` pieces, whichever is less. Repeated rows are packed as often as they occur. An
     empty table gives no rows. Columns other than doc_id and text are not looked at.
     """
 
     def run(batches) -> Iterator:
-        part, made, held, tokens = TaskContext.get().partitionId(), 0, [], 0
+        part, made, held, tokens, pieces_held = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def flush(rows: pa.Table):
             nonlocal made
@@ -235,18 +264,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int =
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             sizes = rows["length"].to_numpy()
-            ends, at = np.cumsum(np.where(sizes < capacity, sizes, 0)) + tokens, 0
-            for block in range(windows * capacity, int(ends[-1]) + 1 if len(ends) else 0, windows * capacity):
-                to = int(np.searchsorted(ends, block)) + 1
-                yield from flush(pa.concat_tables([*held, rows.slice(at, to - at)]))
-                held, at = [], to
-            held.append(rows.slice(at))
-            tokens = (int(ends[-1]) if len(ends) else tokens) % (windows * capacity)
-        if sum(map(len, held)):
+            ends, at = np.cumsum(np.where(sizes < capacity, sizes, 0)), 0
+            while at < len(sizes):
+                before = int(ends[at - 1]) if at else 0
+                to = min(int(np.searchsorted(ends, before + windows * capacity - tokens)) + 1, at + most - pieces_held, len(sizes))
+                held.append(rows.slice(at, to - at))
+                tokens, pieces_held, at = tokens + int(ends[to - 1]) - before, pieces_held + to - at, to
+                if tokens >= windows * capacity or pieces_held >= most:
+                    yield from flush(pa.concat_tables(held))
+                    held, tokens, pieces_held = [], 0, 0
+        if pieces_held:
             yield from flush(pa.concat_tables(held))
 
-    cut_up = pieces(docs, tokenizer, capacity, piece)
-    dealt = cut_up.repartition(F.xxhash64("doc_id", "start", "ids_crc32")).sortWithinPartitions("doc_id", "start", "ids_crc32")
+    # The number of the task that cut a piece takes part, so that a row that repeats very often is dealt out too
+    cut_up = pieces(docs, tokenizer, capacity, piece).withColumn("part", F.spark_partition_id())
+    dealt = cut_up.repartition(F.xxhash64("doc_id", "start", "ids_crc32", "part")).drop("part").sortWithinPartitions("doc_id", "start", "ids_crc32")
     return dealt.mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
