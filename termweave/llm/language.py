@@ -11,9 +11,9 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,45 +21,80 @@ from termweave.llm.common import arrow_batch, carried, carried_schema, mix64, sl
 
 #: The filters are fitted on about this many labelled documents of each language, taken by a hash of their ids.
 PER_LANGUAGE = 3000
-N, SLOTS, HASHES = 4, 1 << 20, 3
+N, HASHES = 4, 3
+#: Slots of a filter for each n-gram of the language that has most, and slots at least.
+SLOTS_PER_GRAM, LEAST_SLOTS = 12, 1 << 16
 #: An n-gram belongs to a language if it occurs this often and its share there is this part of its largest share.
 LEAST, PART = 3, 0.25
+#: Characters of text taken at once.
 AT_ONCE = 1_000_000
 UNKNOWN = "und"
 OUT = "doc_id long, lang_pred string, score double"
 
 
+@lru_cache(1)  # a Python worker makes it once, not in every task
 def letters() -> np.ndarray:
     """For every code point, whether it is a letter (categories L*)."""
     return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def stream(texts: list[str], is_letter: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of lower-cased letters and single blanks, the text of each, and which texts have letters."""
-    joined = "\0".join(texts).lower() if len(texts) != 1 else texts[0].lower()
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    cut = code == 0
-    if len(texts) == 1:
-        cut = np.zeros(len(code), bool)
-    elif cut.sum() != len(texts) - 1:  # a text holds U+0000 itself
-        code = np.frombuffer("\0".join(t.replace("\0", " ") for t in texts).lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        cut = code == 0
+def symbols(code: np.ndarray, is_letter: np.ndarray, after_letter: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the code points stay, and what they become: letters themselves, and one blank after each run of them."""
     letter = is_letter[code]
-    owner = np.cumsum(cut)
-    has = np.zeros(len(texts), bool)
-    has[np.unique(owner[letter])] = True
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # one blank after each run
-    keep &= ~cut | letter
-    sym, owner = np.where(letter, code, 32)[keep].astype(np.uint64), owner[keep]
-    if len(sym) < n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), has
+    keep[1:] |= letter[:-1]
+    if after_letter and len(keep):
+        keep[0] = True
+    return keep, np.where(letter, code, 32)[keep].astype(np.uint64)
+
+
+def hashes_of(sym: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of n symbols; runs of up to three symbols have different ones before mixing."""
     m = len(sym) - n + 1
+    if m <= 0:
+        return np.empty(0, np.uint64)
     h = np.zeros(m, np.uint64)
     for i in range(n):
         h = (h << np.uint64(21)) ^ (h >> np.uint64(43)) ^ sym[i : i + m]
-    same = owner[:m] == owner[n - 1 :]
-    return mix64(h[same]), owner[:m][same], has
+    return mix64(h)
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def stream(texts: list[str], is_letter: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of lower-cased letters and single blanks, the text of each, and which texts have letters."""
+    low = [t.lower() for t in texts]
+    size = np.array([len(t) for t in low], np.int64)
+    code = points("\0".join(low))
+    ends = np.cumsum(size + 1) - 1  # of each text, where the separator stands
+    owner = np.repeat(np.arange(len(texts)), size + 1)[: len(code)]
+    has = np.zeros(len(texts), bool)
+    has[np.unique(owner[is_letter[code]])] = True
+    keep, sym = symbols(code, is_letter)
+    owner = owner[keep]
+    h = hashes_of(sym, n)
+    same = owner[: len(h)] == owner[n - 1 :] if len(h) else np.zeros(0, bool)
+    # A text's last run ends without a blank, as nothing stands after it
+    last = np.zeros(len(code), bool)
+    last[ends[:-1]] = True
+    blank = last[keep]
+    if len(h):
+        same &= ~blank[n - 1 :]
+    return h[same], owner[: len(h)][same], has
+
+
+def long_stream(text: str, is_letter: np.ndarray, n: int = N, most: int = AT_ONCE) -> Iterator[tuple[np.ndarray, bool]]:
+    """Hashes of the n-grams of one text, part by part: the last n - 1 symbols of a part are carried over to the next."""
+    text, carry, after = text.lower(), np.empty(0, np.uint64), False
+    for at in range(0, len(text), most):
+        code = points(text[at : at + most])
+        _, sym = symbols(code, is_letter, after)
+        after = bool(is_letter[code[-1]])
+        sym = np.concatenate([carry, sym])
+        carry = sym[max(0, len(sym) - n + 1) :]
+        yield hashes_of(sym, n), bool(is_letter[code].any())
 
 
 def slots(h: np.ndarray, size: int, k: int) -> list[np.ndarray]:
@@ -67,45 +102,51 @@ def slots(h: np.ndarray, size: int, k: int) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) % np.uint64(size)).astype(np.int64) for i in range(k)]
 
 
-def parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """The texts in groups of about AT_ONCE characters; a longer text comes in several parts."""
-    rows: list[int] = []
-    own: list[str] = []
-    size = 0
-    for i, t in enumerate(texts):
-        for at in range(0, len(t or ""), AT_ONCE):
-            piece = t[at : at + AT_ONCE]
-            if own and size + len(piece) > AT_ONCE:
-                yield rows, own
-                rows, own, size = [], [], 0
-            rows.append(i)
-            own.append(piece)
-            size += len(piece)
-    if own:
-        yield rows, own
+def hashed(texts: list[str | None], is_letter: np.ndarray, most: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For parts of about `most` characters: hashes of n-grams, the text of each, and the texts and whether they have letters."""
+    at = 0
+    while at < len(texts):
+        if len(texts[at] or "") > most:
+            for h, letter in long_stream(texts[at], is_letter, most=most):
+                yield h, np.full(len(h), at), np.array([at]), np.array([letter])
+            at += 1
+            continue
+        rows, size = [], 0
+        while at < len(texts) and len(texts[at] or "") <= most and (not rows or size < most):
+            if texts[at]:
+                rows.append(at)
+                size += len(texts[at])
+            at += 1
+        if rows:
+            h, owner, letter = stream([texts[i] for i in rows], is_letter)
+            yield h, np.array(rows)[owner], np.array(rows), letter
 
 
 def grams(docs: DataFrame) -> DataFrame:
     """Counts by language and n-gram, summed in each task first."""
+    ddl = "lang string, gram long, c long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches) -> Iterator:
         is_letter = letters()
-        for pdf in batches:
-            for lang, own in pdf.groupby("lang"):
-                for _, some in parts(own["text"].tolist()):
-                    h, c = np.unique(stream(some, is_letter)[0], return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "c": c.astype(np.int64)})
+        for batch in sliced(batches):
+            langs, texts = np.array(batch.column("lang").to_pylist(), object), batch.column("text").to_pylist()
+            for lang in sorted(set(langs)):
+                for h, *_ in hashed([t for t, o in zip(texts, langs == lang, strict=True) if o], is_letter):
+                    h, c = np.unique(h, return_counts=True)
+                    yield arrow_batch(ddl, [lang] * len(h), h.view(np.int64), c)
 
-    return docs.select("lang", "text").mapInPandas(run, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return docs.select("lang", "text").mapInArrow(run, ddl).groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, slots_: int = SLOTS, hashes: int = HASHES) -> dict:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, slots_: int | None = None, hashes: int = HASHES) -> dict:
     """The filters: languages, the table (a row of slots for every 64 languages), and each language's rate of false answers.
 
+    `slots_`: slots of a filter, by default as many as the n-grams ask for.
+
     Learns from text and lang of the rows that are not held out, about `per_language` of each language.
     """
     from pyspark.sql.types import StringType
@@ -125,8 +166,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, slots_: int = SLOTS,
     best = share.groupBy("gram").agg(F.max("share").alias("best"))
     kept = share.filter(F.col("c") >= LEAST).join(best, "gram").filter(F.col("share") >= PART * F.col("best"))
     rows = kept.select("lang", "gram").toArrow()
-    names = np.array(rows["lang"].to_pylist(), object)
+    names = np.array(rows["lang"].to_pylist(), str)
     gram = rows["gram"].to_numpy().view(np.uint64)
+    if slots_ is None:  # sized by the n-grams, so that no script fills its filter
+        most, slots_ = int(np.unique(names, return_counts=True)[1].max(initial=0)) if len(names) else 0, LEAST_SLOTS
+        while slots_ < SLOTS_PER_GRAM * most:
+            slots_ *= 2
     masks = np.zeros((max(1, -(-len(langs) // 64)), slots_), np.uint64)
     false = np.zeros(len(langs))
     for i, lang in enumerate(langs):
@@ -156,11 +201,8 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFra
             n = np.zeros(len(texts))
             hits = np.zeros((len(langs), len(texts)))
             has = np.zeros(len(texts), bool)
-            for rows, own in parts(texts):
-                h, owner, letter = stream(own, is_letter)
-                rows = np.array(rows)
+            for h, to, rows, letter in hashed(texts, is_letter):
                 has[rows] |= letter
-                to = rows[owner]
                 n += np.bincount(to, minlength=len(texts))
                 at = slots(h, masks.shape[1], m["hashes"])
                 for w, mask in enumerate(masks):
