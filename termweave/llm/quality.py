@@ -17,15 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termweave.llm.common import arrow_batch, arrow_rows, arrow_schema, given_back, mix64, signed, table, written
 
-ORDER, BITS = 4, 6
-#: Symbols: 0 before a text, 1 any other character, and the most frequent characters of the trusted text.
-ALPHABET = (1 << BITS) - 2
-#: Share of the trusted documents of a language whose perplexity is at most the language's threshold.
+ORDER = 4
+#: Share of a language's trusted documents, among those held out of training, whose perplexity is at most its threshold.
 QUANTILE = 0.99
+#: Thresholds lie on a grid of so many steps for each factor e of perplexity, so that they do not depend on any order.
+STEPS = 1000
 AT_ONCE = 2_000_000
 #: Bits of a code point plus one (0 stands before a text): three of them fill a long.
 WIDE = 21
@@ -35,58 +36,31 @@ CHUNK = 1 << 25
 BROADCAST_ROWS = 1_000_000
 
 
-def pieces(texts: list[str | None], most: int = AT_ONCE) -> Iterator[tuple[list[int], list[str]]]:
-    """The texts in groups of about `most` characters; a longer text comes in parts, its count across a cut starting anew."""
+def pieces(texts: list[str | None], most: int = AT_ONCE) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """The texts in groups of about `most` characters; a longer text comes in parts, each after the first with the characters before it that an n-gram needs, and how many these are."""
     rows: list[int] = []
     own: list[str] = []
+    before: list[int] = []
     size = 0
     for i, t in enumerate(texts):
         for at in range(0, len(t or ""), most):
-            piece = t[at : at + most]
+            lead = min(at, ORDER - 1)
+            piece = t[at - lead : at + most]
             if own and size + len(piece) > most:
-                yield rows, own
-                rows, own, size = [], [], 0
+                yield rows, own, before
+                rows, own, before, size = [], [], [], 0
             rows.append(i)
             own.append(piece)
+            before.append(lead)
             size += len(piece)
     if own:
-        yield rows, own
+        yield rows, own, before
 
 
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def codes(texts: list[str], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, as an integer, and the characters of each text."""
-    n = np.array([len(t) for t in texts])
-    sym = symbol[points("".join(texts))].astype(np.int32)
-    place = np.arange(len(sym)) - np.repeat(np.cumsum(n) - n, n)
-    gram = sym.copy()
-    for back in range(1, ORDER):
-        gram[back:] |= np.where(place[back:] >= back, sym[:-back], 0) << (BITS * back)
-    return gram, n
-
-
-def symbols(alphabet: list[int]) -> np.ndarray:
-    out = np.ones(0x110000, np.uint8)
-    out[alphabet] = np.arange(2, 2 + len(alphabet))
-    return out
-
-
-def counted(docs: DataFrame, key: str, of) -> DataFrame:
-    """Counts of what `of(texts)` gives, summed in each task and then by key."""
-    import pyarrow as pa
-
-    def run(batches) -> Iterator:
-        for (texts,) in arrow_rows(batches, "text"):
-            for _, own in pieces(texts):
-                x, c = np.unique(of(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(c.astype(np.int64))], [key, "c"])
-
-    return docs.select("text").mapInArrow(run, f"{key} long, c long").groupBy(key).agg(F.sum("c").alias("c"))
-
-
 def discounts(counts: DataFrame) -> list[float]:
     """D1, D2 and D3+ from how many n-grams occur once, twice, three and four times."""
     n = counts.agg(*[F.coalesce(F.sum(F.when(F.col("c") == i, 1)), F.lit(0)).alias(f"n{i}") for i in range(1, 5)]).first()
@@ -96,42 +70,6 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(float(i), max(0.0, i - (i + 1) * y * n[f"n{i + 1}"] / n[f"n{i}"])) for i in range(1, 4)]
 
 
-def train(trusted: DataFrame) -> dict:
-    """A small model over a closed alphabet, not used by judged(): alphabet, and for each order the n-grams seen with their probability and the contexts with their back-off mass."""
-    rows = counted(trusted, "point", lambda own: points("".join(own))).orderBy(F.desc("c"), "point").limit(ALPHABET).collect()
-    alphabet = [r["point"] for r in rows]
-    symbol = trusted.sparkSession.sparkContext.broadcast(symbols(alphabet))
-    counts = {ORDER: written(counted(trusted, "g", lambda own: codes(own, symbol.value)[0]), "grams")}
-    for k in range(ORDER - 1, 0, -1):  # in how many contexts an n-gram continues
-        counts[k] = counts[k + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("c"))
-    lower, orders = None, []
-    for k in range(1, ORDER + 1):
-        d = discounts(counts[k])
-        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        own = counts[k].select("g", F.shiftright("g", BITS).alias("context"), F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)).alias("suffix"), "c", cut.alias("cut"))
-        context = own.groupBy("context").agg(F.sum("c").alias("total"), F.sum("cut").alias("mass")).select("context", "total", (F.col("mass") / F.col("total")).alias("back"))
-        own = own.join(context, "context")
-        below = F.lit(1.0 / (1 << BITS)) if lower is None else F.col("below")
-        if lower is not None:
-            own = own.join(lower.select(F.col("g").alias("suffix"), F.col("p").alias("below")), "suffix")
-        lower = written(own.select("g", (F.greatest(F.col("c") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("back") * below).alias("p")), f"order{k}")
-        seen, left = lower.toArrow(), context.select("context", "back").toArrow()  # at most 64^k rows
-        orders.append((seen["g"].to_numpy().astype(np.int32), seen["p"].to_numpy().astype(np.float32), left["context"].to_numpy().astype(np.int32), left["back"].to_numpy().astype(np.float32)))
-    return {"alphabet": alphabet, "orders": orders}
-
-
-def logs(model: dict) -> np.ndarray:
-    """The logarithm of the probability of every n-gram's last symbol, seen or not."""
-    p = np.full(1, 1.0 / (1 << BITS), np.float32)
-    for k, (g, seen, context, back) in enumerate(model["orders"], 1):
-        left = np.ones(1 << (BITS * (k - 1)), np.float32)
-        left[context] = back
-        p = np.repeat(p, 1 << BITS) if k == 1 else np.tile(p, 1 << BITS)
-        p = (p.reshape(len(left), -1) * left[:, None]).ravel()
-        p[g] = seen
-    return np.log(np.maximum(p, 1e-12))
-
-
 def low(column: str, symbols_: int):
     """The last symbols of a packed n-gram."""
     return F.col(column).bitwiseAND(F.lit((1 << (WIDE * symbols_)) - 1))
@@ -142,8 +80,11 @@ def gram_hash(context: np.ndarray, last: np.ndarray) -> np.ndarray:
         return signed(mix64(mix64(context.view(np.uint64)) + last.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def wide_grams(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """The distinct n-grams of texts: hash, three symbols before the last, last three symbols, count; then each character's place among them and the characters of each text."""
+def wide_grams(texts: list[str], before: list[int] | None = None) -> tuple[np.ndarray, ...]:
+    """The distinct n-grams of texts: hash, three symbols before the last, last three symbols, count; then each character's place among them and the characters of each text.
+
+    before: how many of each text's first characters are context alone.
+    """
     import pandas as pd
 
     n = np.array([len(t) for t in texts])
@@ -152,6 +93,9 @@ def wide_grams(texts: list[str]) -> tuple[np.ndarray, ...]:
     context = np.zeros_like(sym)
     for back in range(1, ORDER):
         context[back:] |= np.where(place[back:] >= back, sym[:-back], 0) << (WIDE * (back - 1))
+    if before is not None and any(before):
+        own = place >= np.repeat(before, n)
+        sym, context, n = sym[own], context[own], n - np.array(before)
     g = gram_hash(context, sym)
     at, own = pd.factorize(g)
     first = np.empty(len(own), np.int64)
@@ -167,13 +111,13 @@ def wide_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches) -> Iterator:
         for (texts,) in arrow_rows(batches, "text"):
-            for _, own in pieces(texts):
-                yield arrow_batch(ddl, *wide_grams(own)[1:4])
+            for _, own, before in pieces(texts):
+                yield arrow_batch(ddl, *wide_grams(own, before)[1:4])
 
     return docs.select("text").mapInArrow(run, ddl).groupBy("context", "suffix").agg(F.sum("c").alias("c"))
 
 
-def train_open(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """The model: for each order, tables of the n-grams seen with their probability (g, p; in the last order context, suffix, p) and of the contexts with their back-off mass (context, back)."""
     counts = {ORDER: written(wide_counts(trusted), "grams")}
     for k in range(ORDER - 1, 0, -1):  # in how many contexts an n-gram continues
@@ -267,7 +211,7 @@ def chunk_grams(stored: DataFrame) -> DataFrame:
                 key, sizes, body = (batch.column(c)[i].as_py() for c in ("chunk", "sizes", "texts"))
                 found = []
                 for texts in unpacked(sizes, body):
-                    found += [np.stack(wide_grams(own)[:3]) for _, own in pieces(texts)]
+                    found += [np.stack(wide_grams(own, before)[:3]) for _, own, before in pieces(texts)]
                 if found:
                     g, context, suffix = np.concatenate(found, axis=1)
                     _, first = np.unique(g, return_index=True)
@@ -300,8 +244,8 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
             start = 0
             for texts in unpacked(sizes, body):
                 total, n = np.zeros(len(texts)), np.zeros(len(texts))
-                for rows, part in pieces(texts):
-                    own, *_, at, length = wide_grams(part)
+                for rows, part, before in pieces(texts):
+                    own, *_, at, length = wide_grams(part, before)
                     sums = np.add.reduceat(log[np.searchsorted(g, own)][at], np.cumsum(length) - length)
                     np.add.at(total, rows, sums)
                     np.add.at(n, rows, length)
@@ -318,25 +262,45 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) for every document.
 
-    Trusted are the documents with labels, all of quality 1 and none toxic. A document is kept if its perplexity is at
-    most its language's threshold; a language without trusted documents takes the threshold of all trusted ones; null
-    is a language like others. Null and empty texts have no perplexity and are not kept. Without any trusted text
-    there is no threshold, and every document with text is kept. Repeated rows are judged alike; an empty table gives
+    Trusted are the documents with labels, all of quality 1 and none toxic. Four fifths of them train the model, and
+    the perplexities of the others give the thresholds. A document is kept if its perplexity is at most its language's
+    threshold; a language without trusted documents held out takes the threshold of all such; null is a language like
+    others. Null and empty texts have no perplexity and are not kept. Without any trusted
+    text held out there is no threshold, and every document with text is kept. Repeated rows are judged alike; an empty table gives
     no rows. Other columns are not looked at.
     """
-    good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id")
+    good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id")
     good = written(good, "trusted")
     some = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
     trusted = docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).join(some, "doc_id", "left_semi")
-    scored = written(perplexities(docs, train_open(trusted)), "perplexities")
-    own = scored.join(some, "doc_id", "left_semi").filter("perplexity is not null")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000))
-    by_lang, everywhere = own.groupBy("lang").agg(at.alias("threshold")), own.agg(at.alias("general"))  # a row a language; one row
-    rows = scored.join(F.broadcast(by_lang), scored["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"]).crossJoin(F.broadcast(everywhere))
+    scored = written(perplexities(docs, train(trusted.filter(~held_out()))), "perplexities")
+    own = scored.join(some, "doc_id", "left_semi").filter(F.col("perplexity").isNotNull() & held_out())
+    limits = written(thresholds(own, quantile), "thresholds")  # a row a language, and one for all
+    by_lang = limits.filter("not everywhere").select("lang", "threshold")
+    general = limits.filter("everywhere").select(F.col("threshold").alias("general"))
+    rows = scored.join(F.broadcast(by_lang), scored["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"]).join(F.broadcast(general), F.lit(True), "left")
     limit = F.coalesce("threshold", "general")
     return rows.select("doc_id", "lang", "perplexity", limit.alias("threshold"), (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))).alias("keep"))
 
 
+def held_out(key: str = "doc_id"):
+    """A fifth of the documents, by a hash of their ids: the model does not see them, and thresholds come from them."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+
+
+def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
+    """(lang, everywhere, threshold): the quantile of the perplexities of each language and of all, rounded up to the grid.
+
+    Counts by step of the grid are summed, so neither the order of merging nor the number of documents matters.
+    """
+    step = F.ceil(F.log("perplexity") * STEPS).cast("long")
+    rows = scored.select(F.explode(F.array(F.struct(F.col("lang"), F.lit(False).alias("everywhere")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("everywhere")))).alias("g"), step.alias("step"))
+    counts = rows.groupBy("g.lang", "g.everywhere", "step").agg(F.count(F.lit(1)).alias("c"))
+    w = W.partitionBy("lang", "everywhere")  # some ten thousand steps at most
+    counts = counts.withColumn("below", F.sum("c").over(w.orderBy("step").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    return counts.filter(F.col("below") >= quantile * F.col("n")).groupBy("lang", "everywhere").agg(F.exp(F.min("step") / F.lit(float(STEPS))).alias("threshold"))
+
+
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     """All documents, judged by a model of those that the labels trust."""
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
