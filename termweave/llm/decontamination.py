@@ -13,20 +13,22 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import arrow_batch, carried, carried_schema, sliced, table
+from termweave.llm.common import arrow_batch, carried, carried_schema, sliced, table, written
 
 PHRASE = 10
 #: Indexed symbols and document words of a shard.
-SHARD_SYMBOLS, SHARD_WORDS = 400_000, 600_000
+SHARD_SYMBOLS, SHARD_WORDS = 400_000, 300_000
 #: Every so many suffix positions one is kept.
 SAMPLED = 16
-#: Texts of the benchmark that are searched at once; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark texts that are searched at once. A larger benchmark is searched block by block, each block in a
+#: pass of its own, so that driver and workers never hold more than one.
+BLOCK_BYTES = 4 << 20
 
 #: Bytes outside words become blanks, A-Z become a-z; bytes of characters beyond ASCII stay.
 WORDS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -151,8 +153,12 @@ class Phrases:
             step[0] = b[0]
             step[np.cumsum(e - b)[:-1]] = b[1:] - e[:-1] + 1
             place = np.cumsum(step)
+            there = np.zeros(len(symbol) + 2, bool)
+            there[ids[place]] = True
             index = FMIndex(ids[place], len(symbol) + 2)
             for m, phrases, items in self.groups:
+                some = np.flatnonzero(there[phrases].all(1))  # the others have a word that the shard lacks
+                phrases = phrases[some]
                 low, high = index.ranges(phrases)
                 count = high - low
                 which = np.repeat(np.arange(len(phrases)), count)
@@ -161,7 +167,7 @@ class Phrases:
                     at = place[index.locate(rows)]
                     doc = np.searchsorted(starts, at, side="right") - 1
                     for d, w, p in zip(doc.tolist(), (at - starts[doc]).tolist(), which.tolist(), strict=True):
-                        yield d, w, m, items[p]
+                        yield d, w, m, items[some[p]]
             limit = to
 
 
@@ -179,59 +185,118 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def blocks_of(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark's items, in lists of about `most` bytes; one block at a time is on the driver."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    own, size = [], 0
+    for r in rows.filter(F.col("item_id").isNotNull()).toLocalIterator():
+        if own and size + len(r.text or "") > most:
+            yield own
+            own, size = [], 0
+        own.append((r.item_id, r.text))
+        size += len(r.text or "")
+    yield own
+
+
+def shards(batch) -> Iterator[tuple[int, int, list[list[bytes]]]]:
+    """(first row, row after the last, words of each) for parts of a batch of about SHARD_WORDS words."""
+    texts, at = batch.column("text"), 0
+    while at < len(texts):
+        split, total, end = [], 0, at
+        while end < len(texts) and (end == at or total < SHARD_WORDS):
+            split.append(words_of(texts[end].as_py()))
+            total += len(split[-1])
+            end += 1
+        yield at, end, split
+        at = end
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, text: bool = True, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated and, with `text`, the spans hit and the text without them.
 
     Phrases are `length` consecutive words of an item, or all words of an item with fewer. A null text, of a document
     or an item, has no words. Items of the same id count once. An empty benchmark hits nothing; an empty table gives
     no rows; repeated rows are judged one by one. Columns other than those used are not looked at. The benchmark is
-    the stated query set: it is held in blocks of a bounded size, each searched in every shard. The columns named in
-    `keep` come along.
+    the stated query set: blocks of it, of a bounded size, are searched in every shard. Of more than one block, each
+    has a pass whose hits are written, and a last pass merges them. The columns named in `keep` come along.
     """
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("item_id").isNotNull()).toLocalIterator()
-    blocks, own, size = [], [], 0
-    for r in rows:
-        own.append((r.item_id, r.text))
-        size += len(r.text or "")
-        if size > BLOCK_BYTES:
-            blocks.append(Phrases(own, length))
-            own, size = [], 0
-    told = [docs.sparkSession.sparkContext.broadcast(b) for b in [*blocks, Phrases(own, length)]]
+    spark = docs.sparkSession
     ddl = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", starts array<long>, ends array<long>, text string" * text
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
 
-    def run(batches) -> Iterator:
+    def judged(batch, found) -> Iterator:
+        """Output for a batch; found(first, end, words) gives (row of the part, first word, words, items) of every hit."""
+        keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+        for at, end, split in shards(batch):
+            change: dict[int, np.ndarray] = {}
+            items: dict[int, set] = defaultdict(set)
+            for d, w, m, own in found(at, end, split):
+                c = change.setdefault(d, np.zeros(len(split[d]) + 1, np.int32))
+                c[w] += 1
+                c[w + m] -= 1
+                items[d].update(own)
+            out: list[list] = [[] for _ in range(6 + 3 * text)]
+            for i, key in enumerate(keys[at:end]):
+                hit = np.cumsum(change[i][:-1]) > 0 if i in change else None
+                row = [key, len(split[i]), 0 if hit is None else int(hit.sum()), len(items.get(i, ())), hashlib.sha256(",".join(sorted(items.get(i, ()))).encode()).hexdigest(), hit is not None]
+                if text:
+                    body = texts[at + i].as_py()
+                    spans, clean = [] if hit is None else spans_of(body, hit), body
+                    for a, b in reversed(spans):
+                        clean = clean[:a] + clean[b:]
+                    row += [[a for a, _ in spans], [b for _, b in spans], clean]
+                for c, x in zip(out, row, strict=True):
+                    c.append(x)
+            yield carried(arrow_batch(ddl, *out), batch.slice(at, end - at), keep)
+
+    blocks = blocks_of(benchmark, block_bytes)
+    first = Phrases(next(blocks), length)
+    second = next(blocks, None)
+    if second is None:
+        told = spark.sparkContext.broadcast(first)
+
+        def run(batches) -> Iterator:
+            for batch in sliced(batches):
+                yield from judged(batch, lambda at, end, split: told.value.occurrences(split))
+
+        return rows.mapInArrow(run, carried_schema(ddl, rows, keep))
+
+    # A document's hits are found again by its id and 128 bits of its text; so repeated rows are judged alike
+    named = rows.withColumn("body", F.md5(F.coalesce("text", F.lit(""))))
+    hits = "doc_id long, body string, at long, size long, items array<string>"
+    parts = []
+    for items in chain([None, second], blocks):
+        told = spark.sparkContext.broadcast(first if items is None else Phrases(items, length))
+
+        def search(batches, told=told) -> Iterator:
+            for batch in sliced(batches):
+                keys, bodies = batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()
+                for at, _, split in shards(batch):
+                    out = [(keys[at + d], bodies[at + d], w, m, own) for d, w, m, own in told.value.occurrences(split)]
+                    if out:
+                        yield arrow_batch(hits, *map(list, zip(*out, strict=True)))
+
+        own = named.select("doc_id", "body", "text").dropDuplicates(["doc_id", "body"]).mapInArrow(search, carried_schema(hits, named, ()))
+        parts.append(written(own, "hits"))
+        told.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = every.groupBy(F.col("doc_id").alias("hit_id"), F.col("body").alias("hit_body")).agg(F.collect_list("at").alias("hit_at"), F.collect_list("size").alias("hit_size"), F.collect_list("items").alias("hit_items"))
+    joined = named.join(every, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("body") == F.col("hit_body")), "left").drop("body", "hit_id", "hit_body")
+
+    def merge(batches) -> Iterator:
         for batch in sliced(batches):
-            keys, texts, at = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 0
-            while at < len(keys):
-                split, total, end = [], 0, at
-                while end < len(keys) and (end == at or total < SHARD_WORDS):
-                    split.append(words_of(texts[end]))
-                    total += len(split[-1])
-                    end += 1
-                change: dict[int, np.ndarray] = {}
-                items: dict[int, set] = defaultdict(set)
-                for t in told:
-                    for d, w, m, own in t.value.occurrences(split):
-                        c = change.setdefault(d, np.zeros(len(split[d]) + 1, np.int32))
-                        c[w] += 1
-                        c[w + m] -= 1
-                        items[d].update(own)
-                out: list[list] = [[] for _ in range(6 + 3 * text)]
-                for i, (key, body) in enumerate(zip(keys[at:end], texts[at:end], strict=True)):
-                    hit = np.cumsum(change[i][:-1]) > 0 if i in change else None
-                    row = [key, len(split[i]), 0 if hit is None else int(hit.sum()), len(items.get(i, ())), hashlib.sha256(",".join(sorted(items.get(i, ()))).encode()).hexdigest(), hit is not None]
-                    if text:
-                        spans, clean = [] if hit is None else spans_of(body, hit), body
-                        for a, b in reversed(spans):
-                            clean = clean[:a] + clean[b:]
-                        row += [[a for a, _ in spans], [b for _, b in spans], clean]
-                    for c, x in zip(out, row, strict=True):
-                        c.append(x)
-                yield carried(arrow_batch(ddl, *out), batch.slice(at, end - at), keep)
-                at = end
+            where, sizes, owners = (batch.column(c) for c in ("hit_at", "hit_size", "hit_items"))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-    return rows.mapInArrow(run, carried_schema(ddl, rows, keep))
+            def found(at, end, split, where=where, sizes=sizes, owners=owners):
+                for i in range(at, end):
+                    for w, m, own in zip(where[i].as_py() or (), sizes[i].as_py() or (), owners[i].as_py() or (), strict=True):
+                        yield i - at, w, m, own
+
+            yield from judged(batch, found)
+
+    return joined.mapInArrow(merge, carried_schema(ddl, rows, keep))
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
