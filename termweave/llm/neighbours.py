@@ -4,7 +4,8 @@ A vector is approximated by a sum of full-dimensional codewords, one from each o
 fitted on a bounded sample: k-means on residuals, then least squares over all codebooks at once. Every vector is
 encoded by a beam search over the codebooks and stored with its codes and the norm of its approximation. A query makes
 a table of its products with all codewords; an approximate distance is then a sum of table entries and the stored norm.
-The best of each block of rows are compared exactly, on the original vectors.
+Blocks of queries meet blocks of the index in tasks of their own, so that neither is ever held whole; the best of each
+query by the approximation are joined with the original vectors and compared exactly.
 """
 
 from __future__ import annotations
@@ -12,19 +13,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termweave.llm.common import arrow_batch, table, written
+from termweave.operators import products
 
 #: Vectors that the codebooks are fitted on, about, by a hash of their ids.
 SAMPLE = 20_000
-BOOKS, WORDS, BEAM, ROUNDS = 16, 128, 4, 6
-#: Rows scored at once, and how many of them each query compares exactly.
-BLOCK, RERANK = 8192, 768
-#: Queries that a pass over the index answers.
-QUERIES = 2048
+BOOKS, WORDS, BEAM, ROUNDS = 32, 128, 4, 4
+#: Candidates that each query compares exactly.
+RERANK = 200
+#: Components are held within this size in the index, where squares are summed as floats; distances are not affected.
+LARGEST = 1e18
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -80,7 +83,7 @@ def fit(x: np.ndarray, m: int = BOOKS, k: int = WORDS, rounds: int = ROUNDS) ->
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that take part: an id, and finite components, not all zero, of the most frequent length."""
-    v = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    v = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.filter(F.coalesce(fine, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
     sizes = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -88,27 +91,28 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def matrix(column) -> np.ndarray:
-    """An Arrow list column without nulls as a matrix of floats."""
-    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
+    """An Arrow list column without nulls as a matrix."""
+    at, numbers = products.lists(column)
+    return numbers.reshape(len(at) - 1, -1) if len(at) > 1 else np.zeros((0, 1))
 
 
-def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """(vec_id, codes, norm, embedding) for every row."""
-    import pyarrow as pa
+def as_floats(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -LARGEST, LARGEST).astype(np.float32)
+
 
+def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
+    """(vec_id, codes, norm) for every row."""
     told = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches) -> Iterator:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x = matrix(part.column("embedding"))
-                codes = encode(x, told.value)
+                codes = encode(as_floats(matrix(part.column("embedding"))), told.value)
                 near = told.value[np.arange(codes.shape[1]), codes.astype(np.int64)].sum(1)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near.astype(np.float64) ** 2).sum(1)), part.column("embedding")], ["vec_id", "codes", "norm", "embedding"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near.astype(np.float64) ** 2).sum(1))], ["vec_id", "codes", "norm"])
 
-    return vectors.mapInArrow(run, "vec_id long, codes binary, norm double, embedding array<float>")
+    return vectors.mapInArrow(run, "vec_id long, codes binary, norm double")
 
 
 def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -120,65 +124,72 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], score[at]))[:k]]
 
 
-def search(stored: DataFrame, books: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int = RERANK) -> DataFrame:
-    """(query_id, vec_id, score): each task's k nearest of every query."""
-    m, words, _ = books.shape
-    tables = np.einsum("qd,mkd->qmk", queries, books).astype(np.float32)
-    told = stored.sparkSession.sparkContext.broadcast((ids, queries.astype(np.float64), tables))
-    ddl = "query_id long, vec_id long, score double"
+def search(stored: DataFrame, n: int, books: np.ndarray, asked: DataFrame, rerank: int = RERANK, most: int | None = None) -> DataFrame:
+    """(query_id, vec_id): the `rerank` rows of the index (of n rows) that are nearest by the approximation, for every query (vec_id, embedding)."""
+    m = books.shape[0]
+    told = stored.sparkSession.sparkContext.broadcast(books)
+    kind = products.kind_of("query_id long, vec_id long, score double")
+    schema = kind[1]
+
+    def load(table: pa.Table):
+        codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(table.num_rows, m)
+        return np.ascontiguousarray(codes.T), table["norm"].to_numpy(), table["vec_id"].to_numpy()
+
+    def answer(block, batch):
+        codes, norm, ids = block
+        own, which, found, scores = batch.column("query_id").to_numpy(), [], [], []
+        for i, q in enumerate(as_floats(matrix(batch.column("embedding")))):
+            look = 2 * (told.value @ q).astype(np.float64)  # a row of products for each codebook
+            score = norm.copy()
+            for j in range(m):
+                score -= look[j][codes[j]]
+            score[ids == own[i]] = np.inf
+            at = best_of(score, ids, rerank)
+            at = at[np.isfinite(score[at])]
+            which.append(np.full(len(at), own[i]))
+            found.append(ids[at])
+            scores.append(score[at])
+        joined = lambda x, of: np.concatenate([np.empty(0, of), *x])
+        return products.made(schema, [joined(which, np.int64), joined(found, np.int64), joined(scores, np.float64)])
+
+    items = stored.withColumn("key", F.col("vec_id"))
+    queries = asked.select(F.col("vec_id").alias("query_id"), "embedding", F.col("vec_id").alias("key"))
+    out = products.against(queries, items, n * (m // 8 + 2), load, answer, kind, most)
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    return out.withColumn("nth", nth).filter(F.col("nth") <= rerank).select("query_id", "vec_id").distinct()
+
+
+def exact(found: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score): the distances of the pairs (query_id, vec_id) on the original vectors."""
+    pairs = found.join(rows.select("vec_id", F.col("embedding").alias("x")), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
 
     def run(batches) -> Iterator:
-        own, q, look = told.value
-        best: list = [(np.empty(0), np.empty(0, np.int64))] * len(own)
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(start, BLOCK)
-                vec, x = part.column("vec_id").to_numpy(), matrix(part.column("embedding")).astype(np.float64)
-                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(vec), m).astype(np.int64)
-                norm = part.column("norm").to_numpy()
-                for i in range(len(own)):
-                    score = norm.copy()
-                    for j in range(m):
-                        score -= 2 * look[i, j][codes[:, j]]
-                    score[vec == own[i]] = np.inf
-                    at = best_of(score, vec, rerank)
-                    at = at[np.isfinite(score[at])]
-                    d = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
-                    d, v = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], vec[at]])
-                    at = best_of(d, v, k)
-                    best[i] = d[at], v[at]
-        n = [len(d) for d, _ in best]
-        if sum(n):
-            yield arrow_batch(ddl, np.repeat(own, n), np.concatenate([v for _, v in best]), np.concatenate([d for d, _ in best]))
-
-    return stored.mapInArrow(run, ddl)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE) -> DataFrame:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                yield arrow_batch("query_id long, vec_id long, score double", part.column("query_id"), part.column("vec_id"), np.sqrt(((matrix(part.column("x")) - matrix(part.column("q"))) ** 2).sum(1)))
+
+    return pairs.select("query_id", "vec_id", "x", "q").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, rerank: int = RERANK, most: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, by Euclidean distance on the vectors.
 
     A query's own id is no candidate. Vectors that are null or zero, that hold null or non-finite components, or whose
     length is not the most frequent one take no part, nor do rows without an id; of equal distances the smaller vec_id
-    comes first; rows that repeat an id are candidates each. Fewer candidates than k: all of them. An empty table gives
-    no rows. Columns other than vec_id and embedding are not looked at.
+    comes first; rows that repeat an id are candidates each, and as queries they are one. Fewer candidates than k: all
+    of them. An empty table gives no rows. Columns other than vec_id and embedding are not looked at.
     """
     rows = usable(vectors)
     n = rows.count()
     part = min(1.0, sample / max(n, 1))
     some = rows.filter(F.xxhash64("vec_id").bitwiseAND(F.lit((1 << 40) - 1)) < part * float(1 << 40)).select("embedding").toArrow()
-    books = fit(matrix(some["embedding"]))
+    books = fit(as_floats(matrix(some["embedding"])))
     stored = written(index(rows, books), "index")
-    asked = usable(queries)
-    n_asked = asked.count()
-    passes, found = -(-n_asked // QUERIES), None
-    for i in range(passes):  # a pass over the index for each block of the stated queries
-        block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).dropDuplicates(["vec_id"]).toArrow()
-        if len(block):
-            out = search(stored, books, block["vec_id"].to_numpy(), matrix(block["embedding"]), k)
-            found = out if found is None else found.unionByName(out)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = usable(queries).dropDuplicates(["vec_id"])
+    found = exact(search(stored, n, books, asked, max(rerank, k), most), rows, asked)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_nearest(spark, sf_dir: str) -> DataFrame:
