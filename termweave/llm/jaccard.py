@@ -162,7 +162,7 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = written(small.distinct(), "stars")
+        now = written(small.distinct(), "stars", narrow=True)
         is_ = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if is_ == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
@@ -233,7 +233,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = written(classes(docs), "classes")
     same = ["n_shingles", "set_id", "set_id2"]
-    first = written(base.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first")), "first")
+    first = written(base.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first")), "first", narrow=True)
     named = docs.filter(F.col("doc_id").isNotNull())
 
     def emitted(rows: DataFrame, ddl: str, of) -> DataFrame:
@@ -256,7 +256,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # The order of the shingles
     some = named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
     frequent = emitted(some, "sig long, doc_id long", lambda x: x).groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= OFTEN).select("sig")
-    frequent = written(frequent, "frequent")
+    frequent = written(frequent, "frequent", narrow=True)
     often = spark.sparkContext.broadcast(bit_filter(frequent, "sig", frequent.count()))
     # Regions: as many bits of a shingle as make chance meetings rare; meetings by chance only add comparisons
     total = base.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
@@ -266,7 +266,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return mix64(prefix(x, often.value, percent)) >> drop
 
     held = emitted(named, "sig long, doc_id long", sigs).groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).filter("lo < hi")
-    kept = written(held.groupBy("c", "lo", "hi", "x").agg(F.min("sig").alias("sig")).select("sig"), "regions")
+    kept = written(held.groupBy("c", "lo", "hi", "x").agg(F.min("sig").alias("sig")).select("sig"), "regions", narrow=True)
     told = spark.sparkContext.broadcast(bit_filter(kept, "sig", kept.count()))
 
     def wanted(x: np.ndarray) -> np.ndarray:
@@ -291,10 +291,10 @@ def _labelled(docs: DataFrame, base: DataFrame, members: DataFrame, percent: int
     # Each region's pivot against its members. First a bound from the profiles; what it leaves open is compared exactly
     pivots = members.groupBy("sig").agg(F.min("doc_id").alias("a"))
     pairs = members.join(pivots, "sig").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    bound = written(bounded(pairs, one), "bounds")
+    bound = written(bounded(pairs, one), "bounds", narrow=True)
     left_open = F.expr(f"100 * (n_a + n_b - xor) >= {percent} * (n_a + n_b + xor)")
     exact = compared(docs, bound.filter(left_open).select("a", "b"), bound.filter(left_open).count())
-    exact = written(exact.select("a", "b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("s"), F.expr(f"100 * both >= {percent} * (n_a + n_b - both)").alias("link"), F.lit(True).alias("exact")), "compared")
+    exact = written(exact.select("a", "b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("s"), F.expr(f"100 * both >= {percent} * (n_a + n_b - both)").alias("link"), F.lit(True).alias("exact")), "compared", narrow=True)
     links = exact.filter("link").select("a", "b")
     labels = components(links)
     # For the others the similarity is at most s, so their distance is at least 1 - s
@@ -310,12 +310,12 @@ def _labelled(docs: DataFrame, base: DataFrame, members: DataFrame, percent: int
     at = at.filter("a <> doc_id").join(outside, "sig", "left")
     rest = at.filter(f"not inside or not coalesce(exact, false) or d >= nearest - {near} - 1e-9")
     # What is left of the regions joins itself; regions of one pivot together, so that a pair of a large group meets in few tasks
-    rest = written(rest.select(F.col("a").alias("sig"), "doc_id", "label").distinct(), "rest")
-    pairs = written(open_pairs(rest, one, percent), "open")
+    rest = written(rest.select(F.col("a").alias("sig"), "doc_id", "label").distinct(), "rest", narrow=True)
+    pairs = written(open_pairs(rest, one, percent), "open", narrow=True)
     n_pairs = pairs.count()
     if n_pairs:
         more = compared(docs, pairs, n_pairs).filter(f"100 * both >= {percent} * (n_a + n_b - both)").select("a", "b")
-        more = written(more, "links")
+        more = written(more, "links", narrow=True)
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     return labels

@@ -27,7 +27,7 @@ SLOTS_PER_GRAM, LEAST_SLOTS = 12, 1 << 16
 #: An n-gram belongs to a language if it occurs this often and its share there is this part of its largest share.
 LEAST, PART = 3, 0.25
 #: Characters of text taken at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 250_000
 UNKNOWN = "und"
 OUT = "doc_id long, lang_pred string, score double"
 

@@ -85,7 +85,7 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
 def neighbours(docs: DataFrame, distinct: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """(h1, h2, near): for lines within one edit of another, the earliest position of such a line that a key leads to."""
-    blocks = written(halves(distinct), "halves")
+    blocks = written(halves(distinct), "halves", narrow=True)
     wanted = blocks.select("h1").distinct()
     n_wanted = wanted.count()
     # One text for each line that has a block left
@@ -99,14 +99,14 @@ def neighbours(docs: DataFrame, distinct: DataFrame, least: int = MIN_CHARS) ->
         parts = parts.select("h1", "n", "R", "line", "b", "step", F.explode(F.expr("sequence(a, b - 1, step)")).alias("a"))
         parts = parts.withColumn("b", F.least(F.col("a") + F.col("step"), F.col("b")))
         key = F.xxhash64("R", "a", "b", left("line", F.col("a")), right("line", F.col("n"), F.col("R") - F.col("b")))
-        parts = written(parts.select("h1", "n", "R", "a", "b", key.alias("key")), "blocks")
+        parts = written(parts.select("h1", "n", "R", "a", "b", key.alias("key")), "blocks", narrow=True)
         kept = parts.join(shared(parts), "key")
         done = kept.filter("b - a = 1")
         single = done if single is None else single.unionByName(done)
-        blocks = written(kept.filter("b - a > 1").drop("key"), "blocks")
+        blocks = written(kept.filter("b - a > 1").drop("key"), "blocks", narrow=True)
         if blocks.isEmpty():
             break
-    single = written(single, "single")
+    single = written(single, "single", narrow=True)
     # Replaced characters: lines of one length that are equal without the character at one place
     place = texts.select("h1", "pos")
     same_length = single.filter("R = n").select("h1", "key").join(place, "h1")
@@ -139,7 +139,7 @@ def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...] = (), exact_fr
     least, near_from = max(1, min(exact_from, near_from)), max(1, near_from)
     distinct = written(distinct_lines(lines_of(docs, least)), "distinct")
     early = distinct.filter("copies > 1").select("h1", "h2", F.col("pos").alias("near"))
-    early = written(early.unionByName(neighbours(docs, distinct.filter(F.col("n") >= near_from), near_from)).groupBy("h1", "h2").agg(F.min("near").alias("near")), "early")
+    early = written(early.unionByName(neighbours(docs, distinct.filter(F.col("n") >= near_from), near_from)).groupBy("h1", "h2").agg(F.min("near").alias("near")), "early", narrow=True)
     gone = lines_of(docs, least).select("doc_id", "line_no", "pos", *fingerprints(F.col("line"))).join(within(early, early.count(), 48), ["h1", "h2"])
     gone = gone.filter("pos > near").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "id")
     rows = full.join(gone, F.col("doc_id") == F.col("id"), "left").withColumn("lines", F.split("text", "\n"))
