@@ -265,8 +265,9 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def sigs(x: np.ndarray) -> np.ndarray:
         return mix64(prefix(x, often.value, percent)) >> drop
 
-    held = emitted(named, "sig long, doc_id long", sigs).groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).filter("lo < hi")
-    kept = written(held.groupBy("c", "lo", "hi", "x").agg(F.min("sig").alias("sig")).select("sig"), "regions", narrow=True)
+    held = emitted(named, "sig long, doc_id long", sigs).groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.xxhash64(F.lit(1), "doc_id").bitwiseAND(F.lit((1 << 31) - 1))).alias("y")).filter("lo < hi")
+    # The exclusive or of an id that comes twice is 0, so a sum tells regions of repeated rows apart
+    kept = written(held.groupBy("c", "lo", "hi", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "regions", narrow=True)
     told = spark.sparkContext.broadcast(bit_filter(kept, "sig", kept.count()))
 
     def wanted(x: np.ndarray) -> np.ndarray:
