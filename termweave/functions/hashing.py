@@ -29,6 +29,14 @@ def cross_source_split(source: Column, key: Column, test_source: str, val: float
     return F.when(F.lower(source) == test_source.lower(), "test").when(unit_unsalted(key) < val, "val").otherwise("train")
 
 
+def assert_all_splits(df: DataFrame, column: str = "split") -> DataFrame:
+    """The rows, if train, val and test all have some; ValueError otherwise."""
+    there = {r[column] for r in df.select(column).distinct().collect()}
+    if missing := sorted({"train", "val", "test"} - there):
+        raise ValueError(f"Splits without records: {missing}")
+    return df
+
+
 def sample(df: DataFrame, n: int, key: Column, seed: int) -> DataFrame:
     """n rows in the order of a seeded hash: the same rows on every run (not numpy's)."""
     return df.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), key).limit(n)

@@ -14,9 +14,6 @@ ASSERTIONS = (
     ("uncertain", "possible|possibly|probable|suspected|suspect|query|question of|may have|might have|rule out|r/o"),
     ("historical_or_resolved", "history of|previous|previously|past history|resolved|remote history"),
 )
-#: A sentence: no mark or line feed inside; marks at its end, or the end of the text.
-SENTENCE = r"([^.!?\n]+(?:[.!?]+|(?=\n?\z)))"
-
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -85,12 +82,6 @@ def local_context(text: Column | str, start: Column | str, end: Column | str, wi
     return trimmed(F.substring(t, left + 1, right - left))
 
 
-def sentence_pieces(text: Column | str) -> Column:
-    """Pieces of a text: the first is a gap, each later one a sentence, U+0002 and the gap after it."""
-    clean = F.translate(F.coalesce(col(text), F.lit("")), "\u0001\u0002", "  ")
-    return F.split(F.regexp_replace(clean, SENTENCE, "\u0001$1\u0002"), "\u0001", -1)
-
-
 def without_spans(text: Column | str, spans: Column | str) -> Column:
     """The text with the characters of the spans (struct of start and end) as blanks, so that offsets stay."""
     return F.aggregate(col(spans), col(text), lambda t, s: F.overlay(t, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))

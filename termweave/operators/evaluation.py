@@ -48,6 +48,48 @@ def metric_block(pred: DataFrame, group: str | None = None, ks=(5, 20, 50)) -> D
     return (pred.groupBy(group) if group else pred).agg(*aggs)
 
 
+def candidate_blocks(pred: DataFrame, seen: DataFrame, aliases: DataFrame, ks=(5, 20, 50)) -> DataFrame:
+    """metric_block for all records and for four subgroups: codes seen in training or not, and wordings that training has for the code or not.
+
+    pred: gold_code, codes, phrase; seen: code; aliases: (code, alias) of train_alias_map. An empty group has n = 0.
+    """
+    known = seen.select(F.col("code").alias("gold_code")).distinct().withColumn("_seen", F.lit(True))
+    worded = aliases.select(F.col("code").alias("gold_code"), F.col("alias").alias("_alias")).distinct().withColumn("_exact", F.lit(True))
+    rows = pred.withColumn("_alias", F.lower(F.trim("phrase"))).join(known, "gold_code", "left").join(worded, ["gold_code", "_alias"], "left")
+    # The names of the subgroups.
+    names = ("all", "seen_code", "unseen_code", "exact_gold_alias_seen_in_train", "novel_gold_wording")
+    groups = F.array(F.lit(names[0]), F.when(F.col("_seen").isNotNull(), names[1]).otherwise(names[2]), F.when(F.col("_exact").isNotNull(), names[3]).otherwise(names[4]))
+    got = metric_block(rows.withColumn("subgroup", F.explode(groups)), "subgroup", ks)
+    return labels(pred.sparkSession, "subgroup", names).join(got, "subgroup", "left").fillna(0, ["n"])
+
+
+def merged_predictions(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two systems' predictions of the same records side by side. Both: record_id, phrase, gold_code, predicted_code, correct, codes."""
+    side = lambda df, name: df.select("record_id", *[F.col(c).alias(f"{name}_{c}") for c in ("predicted_code", "correct", "codes")])
+    return first.select("record_id", "phrase", "gold_code").join(side(first, "baseline"), "record_id").join(side(second, "v2"), "record_id")
+
+
+def candidate_failures(merged: DataFrame, k: int = 5, most: int | None = 100) -> DataFrame:
+    """Records whose gold code is not among the first k of one system or the other; the first `most` in the order of their ids."""
+    tops = [F.slice(f"{n}_codes", 1, k).alias(f"{n}_top{k}") for n in ("baseline", "v2")]
+    inside = [F.array_contains(F.slice(f"{n}_codes", 1, k), F.col("gold_code")).alias(f"{n}_gold_in_top{k}") for n in ("baseline", "v2")]
+    rows = merged.select("record_id", "phrase", "gold_code", *inside, *tops).filter(f"not baseline_gold_in_top{k} or not v2_gold_in_top{k}")
+    return rows if most is None else rows.orderBy("record_id").limit(most)
+
+
+def multilabel_stress(val: DataFrame, test: DataFrame, targets=(0.90, 0.95, 0.98, 0.99)) -> list[dict]:
+    """For each target precision the threshold chosen on VAL and what it gives on TEST; without a threshold nothing is proposed."""
+    out = []
+    for target in targets:
+        chosen = threshold_max_recall(val, target).first()
+        m = threshold_metrics(test, chosen.threshold).first() if chosen else None
+        out.append({
+            "target_precision": target, "validation_threshold": chosen.threshold if chosen else None, "test_micro_precision": m.micro_precision if m else None, "test_micro_recall": m.micro_recall if m else 0.0,
+            "test_micro_f1": m.micro_f1 if m else 0.0, "test_mean_code_proposals_per_note": m.mean_proposals if m else 0.0, "target_met_on_test": bool(m) and m.micro_precision + SLACK >= target,
+        })
+    return out
+
+
 def coverage_accuracy(pred: DataFrame, threshold: float) -> DataFrame:
     auto = F.col("confidence") >= threshold
     return pred.agg(F.count_if(auto).alias("n_auto"), F.avg(auto.cast("int")).alias("coverage"), F.avg(F.when(auto, F.col("correct"))).alias("accuracy"))

@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termweave.functions.text import assertion, local_context, phrases, sentence_pieces, tokens, trimmed, without_spans
+from termweave.functions.text import assertion, local_context, phrases, tokens, trimmed, without_spans
+from termweave.operators.products import kind_of, made
+from termweave.operators.retrieval import kept, text_key
 
 SPAN = "array<struct<start:int,end:int,quote:string,source:string,score:double,matched_phrases:array<string>>>"
 NO_SUPPORT = ("insufficient_grounding", "insufficient_affirmed_evidence")
 
 
+# Fixed value: a sentence has no mark or line feed inside; marks stand at its end, or the text ends.
+SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|$)")
+#: Sentences that are handed on at once.
+AT_ONCE = 50_000
+
+
 def sentences(df: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
-    """(key, start, end, quote) of the sentences, trimmed, with offsets in characters. A line without an end mark before a line feed is none."""
-    rows = df.select(key, F.posexplode(sentence_pieces(text)).alias("i", "p"))
-    before = F.sum(F.length(F.replace("p", F.lit("\u0002"), F.lit("")))).over(W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("at", F.coalesce(before, F.lit(0))).filter("i > 0").withColumn("raw", F.substring_index("p", "\u0002", 1))
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))
-    rows = rows.select(key, (F.col("at") + lead).cast("int").alias("start"), trimmed("raw").alias("quote")).filter("quote <> ''")
-    return rows.select(key, "start", (F.col("start") + F.length("quote")).alias("end"), "quote")
+    """(key, start, end, quote) of the sentences, trimmed, with offsets in characters. A line without an end mark before a line feed is none.
+
+    One pass over each text where it lies: nothing is shuffled, and no task holds more than one text's sentences and
+    AT_ONCE others. A null text has none.
+    """
+    kind, schema = kind_of(f"{key} {dict(df.dtypes)[key]}, start int, end int, quote string")
+
+    def run(batches):
+        for batch in batches:
+            which, start, end, quote = [], [], [], []
+            for i, body in enumerate(batch.column(text)):
+                for m in SENTENCE.finditer(body.as_py() or ""):
+                    words = m.group()
+                    if own := words.strip():
+                        at = m.start() + len(words) - len(words.lstrip())
+                        which.append(i)
+                        start.append(at)
+                        end.append(at + len(own))
+                        quote.append(own)
+                if len(which) >= AT_ONCE:
+                    yield made(schema, [batch.column(key).take(pa.array(which, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(quote, pa.string())])
+                    which, start, end, quote = [], [], [], []
+            yield made(schema, [batch.column(key).take(pa.array(which, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(quote, pa.string())])
+
+    return df.select(key, text).mapInArrow(run, kind)
 
 
 def explicit_span() -> Column:
@@ -39,7 +68,7 @@ def evidence_spans(df: DataFrame, key: str = "record_id", max_spans: int = 3) ->
     """
     base = df.select(key, "text", "mention", "term", "synonyms").withColumn("explicit", explicit_span()).withColumn("phrases", phrases("term", "synonyms"))
     target = F.array_union(tokens(F.concat_ws(" ", F.col("phrases"))), tokens("mention"))
-    base = base.withColumn("target", target).withColumn("doc", F.xxhash64("text"))
+    base = base.withColumn("target", target).withColumn("doc", text_key("text"))
     cut = sentences(base.select("doc", "text").dropDuplicates(["doc"]), "doc").withColumn("words", tokens("quote"))
     rows = base.select(key, "doc", "mention", "explicit", "phrases", "target").join(cut, "doc")
     rows = rows.filter(F.col("explicit").isNull() | (F.col("end") <= F.col("explicit.start")) | (F.col("start") >= F.col("explicit.end")))
@@ -83,16 +112,18 @@ def audit_context(expl: DataFrame) -> DataFrame:
 
 
 def quality(expl: DataFrame) -> DataFrame:
-    """Adds failures, warnings and quality_gate. expl: text, evidence_quotes, explanation_status, context_review_required, term, comprehensiveness_drop."""
-    q = F.col("evidence_quotes")
-    verbatim = (F.size(q) > 0) & F.forall(q, lambda x: F.contains(F.col("text"), x))
+    """Adds failures, warnings, quality_gate and what they rest on. expl: text, evidence_quotes, explanation_status, context_review_required, term, comprehensiveness_drop."""
+    q, drop = F.coalesce("evidence_quotes", F.array().cast("array<string>")), F.col("comprehensiveness_drop")
+    text = F.coalesce("text", F.lit(""))
+    verbatim = (F.size(q) > 0) & F.forall(q, lambda x: F.contains(text, x))
+    knowledge = trimmed(F.coalesce("term", F.lit(""))) != ""
+    # The names of failures and warnings, in the order in which they are listed.
     failures = F.array_compact(F.array(
-        F.when(F.size(q) == 0, "no_evidence_quotes"), F.when(~verbatim, "non_verbatim_evidence"), F.when(F.coalesce("context_review_required", F.lit(False)), "clinical_context_requires_review"),
+        F.when(F.size(q) == 0, "no_evidence_quotes"), F.when((F.size(q) > 0) & ~verbatim, "non_verbatim_evidence"), F.when(F.coalesce("context_review_required", F.lit(False)), "clinical_context_requires_review"),
         F.when(F.col("explanation_status").isin(*NO_SUPPORT), F.col("explanation_status")),
     ))
-    drop = F.col("comprehensiveness_drop")
-    warnings = F.array_compact(F.array(F.when(F.coalesce("term", F.lit("")) == "", "missing_terminology_knowledge"), F.when(drop.isNull(), "faithfulness_not_available").when(drop <= 0, "evidence_removal_did_not_reduce_score")))
-    rows = expl.withColumn("failures", failures).withColumn("warnings", warnings)
+    warnings = F.array_compact(F.array(F.when(~knowledge, "missing_terminology_knowledge"), F.when(drop <= 0, "evidence_removal_did_not_reduce_score"), F.when(drop.isNull(), "faithfulness_not_available")))
+    rows = expl.withColumn("failures", failures).withColumn("warnings", warnings).withColumn("verbatim_evidence", verbatim).withColumn("knowledge_present", knowledge).withColumn("comprehensiveness_positive", drop > 0)
     return rows.withColumn("quality_gate", F.when(F.size("failures") > 0, "FAIL").when(F.size("warnings") > 0, "WARN").otherwise("PASS"))
 
 
@@ -117,6 +148,17 @@ def task_input_spans(expl: DataFrame, source: DataFrame) -> DataFrame:
     return rows.withColumn("spans", F.when(F.size(made) > 0, made).otherwise(F.col("spans"))).drop("spans_json")
 
 
+def aligned(pred: DataFrame, source: DataFrame) -> DataFrame:
+    """Predictions with text and mention of the records at the same place among their id's; both sides have an occurrence.
+
+    ValueError if a prediction has no record.
+    """
+    rows = pred.join(source.drop("gold_code"), ["record_id", "occurrence"], "left")
+    if not rows.filter("text is null").isEmpty():
+        raise ValueError("Not every prediction has its record")
+    return rows
+
+
 def with_occurrence(df: DataFrame, key: str = "record_id", order: str = "row_seq") -> DataFrame:
     """The number of each row among those of its record, for joins by position."""
     return df.withColumn("occurrence", F.row_number().over(W.partitionBy(key).orderBy(order)))
@@ -142,15 +184,24 @@ def explanations(pred: DataFrame, terms: DataFrame, cases: DataFrame | None = No
     return rows.withColumn("why", F.when(F.col("explanation_status") == "grounded", good).otherwise(bad))
 
 
+def with_provenance(expl: DataFrame) -> DataFrame:
+    """Adds the knowledge that an explanation rests on, and the terminology phrases that its spans hold."""
+    phrases_ = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["matched_phrases"]))))
+    knowledge = F.struct("term", "synonyms", "definition", "hierarchy", F.col("system").alias("coding_system"), "knowledge_source")
+    verbatim = (F.size("evidence_quotes") > 0) & F.forall("evidence_quotes", lambda q: F.contains(F.col("text"), q))
+    return expl.withColumn("external_knowledge", knowledge).withColumn("matched_terminology_phrases", phrases_).withColumn("evidence_verbatim", verbatim)
+
+
 def faithfulness(expl: DataFrame, coder) -> DataFrame:
     """Adds the code's score on the model's input, on the evidence alone and on the input without it, and their differences.
 
     The three texts of every row are scored in one batch.
     """
     body = F.when(F.trim(F.coalesce("mention", F.lit(""))) != "", F.trim("mention")).otherwise(F.col("text"))
+    expl = kept(expl)
     rows = expl.withColumn("input", body)
     spans = evidence_spans(rows.select("record_id", F.col("input").alias("text"), "mention", "term", "synonyms")).withColumnRenamed("spans", "model_spans")
-    rows = rows.join(spans, "record_id")
+    rows = kept(rows.join(spans, "record_id").select("record_id", "predicted_code", "input", "model_spans"))
     variants = F.array(F.struct(F.lit("whole").alias("kind"), F.col("input").alias("text")), F.struct(F.lit("only").alias("kind"), F.array_join(F.transform("model_spans", lambda s: s["quote"]), " ").alias("text")), F.struct(F.lit("removed").alias("kind"), without_spans("input", "model_spans").alias("text")))
     flat = rows.select("record_id", F.col("predicted_code").alias("code"), F.explode(variants).alias("v")).select(F.struct("record_id", "v.kind").alias("key"), "code", "v.text")
     s = coder.score_code(flat).select("key.record_id", "key.kind", "score").groupBy("record_id").pivot("kind", ["whole", "only", "removed"]).agg(F.first("score"))
@@ -188,12 +239,29 @@ def multilabel_explanations(ranked: DataFrame, notes: DataFrame, terms: DataFram
     return explanations(rows, terms).withColumn("record_id", F.col("note")).drop("note")
 
 
+def explainability_metrics(expl: DataFrame) -> DataFrame:
+    """One row: n, the rates of grounded and of verbatim explanations, and the mean gaps where they were measured."""
+    verbatim = (F.size("evidence_quotes") > 0) & F.forall("evidence_quotes", lambda q: F.contains(F.col("text"), q))
+    rate = lambda c: F.coalesce(F.avg(c.cast("int")), F.lit(0.0))
+    mean = lambda c: F.avg(c) if c in expl.columns else F.lit(None).cast("double")
+    return expl.agg(F.count(F.lit(1)).alias("n"), rate(F.col("explanation_status") == "grounded").alias("grounded_rate"), rate(verbatim).alias("verbatim_evidence_rate"), mean("sufficiency_gap").alias("mean_sufficiency_gap"), mean("comprehensiveness_drop").alias("mean_comprehensiveness_drop"))
+
+
+def as_html(expl: DataFrame) -> DataFrame:
+    """(record_id, html): a card for each explanation, with its evidence marked in the text."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    parts = [F.lit("<section><h2>"), safe("predicted_code"), F.lit(" "), safe("term"), F.lit("</h2><p>"), safe("decision"), F.lit(" "), safe("confidence"), F.lit("</p><p>"), safe("why"), F.lit("</p><div>"), highlighted("text", "spans"), F.lit("</div></section>")]
+    return expl.select("record_id", F.concat(*parts).alias("html"))
+
+
 def write_explanations(expl: DataFrame, path: str) -> dict:
-    """Write Parquet and JSON lines, and return the rates over all rows."""
+    """Write Parquet, JSON lines, cards in HTML and a table for experts to fill in, and return the rates over all rows."""
     expl.write.mode("overwrite").parquet(f"{path}/explanations.parquet")
     expl.write.mode("overwrite").json(f"{path}/explanations.jsonl")
-    verbatim = (F.size("evidence_quotes") > 0) & F.forall("evidence_quotes", lambda q: F.contains(F.col("text"), q))
-    return expl.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("explanation_status") == "grounded").cast("int")).alias("grounded_rate"), F.avg(verbatim.cast("int")).alias("verbatim_rate")).first().asDict()
+    as_html(expl).select("html").write.mode("overwrite").text(f"{path}/explanations.html")
+    blank = [F.lit("").alias(c) for c in ("expert_code_supported", "expert_evidence_complete", "expert_rationale_correct", "expert_comments")]
+    expl.select("record_id", F.col("system").alias("coding_system"), "predicted_code", F.col("term").alias("predicted_term"), "why", F.to_json("evidence_quotes").alias("evidence_quotes_json"), *blank).write.mode("overwrite").option("header", True).csv(f"{path}/rationale_review_template.csv")
+    return explainability_metrics(expl).first().asDict()
 
 
 def highlighted(text: Column | str, spans: Column | str) -> Column:

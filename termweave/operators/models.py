@@ -45,15 +45,17 @@ def payload_errors(payload: Column, allowed: Column, quotes: Column) -> Column:
     """The ranking's errors, and those of the rationales: one for each code, each with an exact quote. Sorted, each once."""
     own = F.coalesce(payload["candidate_rationales"], F.array().cast("array<struct<code:string,rationale:string,evidence_quotes:array<string>>>"))
     codes = F.transform(own, lambda x: x["code"])
+    # The names of the errors.
     none = F.array().cast("array<string>")
     empty = F.exists(own, lambda x: F.trim(F.coalesce(x["rationale"], F.lit(""))) == "")
     unquoted = F.exists(own, lambda x: F.size(F.coalesce(x["evidence_quotes"], none)) == 0)
     foreign = F.exists(own, lambda x: F.size(F.array_except(F.coalesce(x["evidence_quotes"], none), quotes)) > 0)
     more = F.array_compact(F.array(
-        F.when(F.array_sort(F.array_distinct(codes)) != F.array_sort(F.array_distinct(allowed)), "rationale_codes_differ"), F.when(F.size(F.array_distinct(codes)) != F.size(codes), "duplicate_rationale_codes"),
-        F.when(F.coalesce(empty, F.lit(False)), "empty_rationale"), F.when(F.coalesce(unquoted, F.lit(False)), "missing_evidence_quote"), F.when(F.coalesce(foreign, F.lit(False)), "evidence_not_verbatim"),
+        F.when(F.array_sort(F.array_distinct(codes)) != F.array_sort(F.array_distinct(allowed)), "rationale_candidate_set_changed"), F.when(F.size(F.array_distinct(codes)) != F.size(codes), "duplicate_rationale_codes"),
+        F.when(F.coalesce(empty, F.lit(False)), "missing_candidate_rationale"), F.when(F.coalesce(unquoted, F.lit(False)), "candidate_rationale_missing_real_evidence"), F.when(F.coalesce(foreign, F.lit(False)), "non_verbatim_or_unapproved_evidence"),
     ))
-    return F.array_sort(F.array_distinct(F.concat(ranking_errors(payload["ranked_codes"], allowed), more)))
+    missing = F.array_compact(F.array(F.when(payload["candidate_rationales"].isNull(), "candidate_rationales_not_list")))
+    return F.array_sort(F.array_distinct(F.concat(ranking_errors(payload["ranked_codes"], allowed), missing, more)))
 
 
 def reordered(candidates: Column | str, ranked: Column | str, accepted: Column) -> Column:
@@ -84,6 +86,28 @@ def call(rows: DataFrame, model: Callable[[dict], object], key: str, max_attempt
     return rows.mapInPandas(run, f"{key} string, payload_json string, error string")
 
 
+def rewritten(expl: DataFrame, model: Callable[[dict], object], allow: bool, classification: str, allowed=("public", "synthetic"), max_attempts: int = 2) -> DataFrame:
+    """Explanations whose `why` a model may put into other words; the code is locked.
+
+    Only rows with evidence and without a context to review are sent: no quotes, no call. An answer stands if it keeps
+    the code and quotes nothing but the row's evidence; else the deterministic sentence stays. Adds explanation_source
+    and rationale_errors. expl: record_id, predicted_code, term, why, evidence_quotes, context_review_required.
+    """
+    require_consent(allow, classification, allowed)
+    eligible = (F.size("evidence_quotes") > 0) & ~F.coalesce("context_review_required", F.lit(False))
+    key = F.to_json(F.struct("record_id", "predicted_code"))
+    sent = expl.filter(eligible).select(key.alias("pair"), "record_id", "predicted_code", "term", F.to_json("evidence_quotes").alias("evidence_quotes")).dropDuplicates(["pair"])
+    answer = F.from_json("payload_json", "struct<code:string,rationale:string,evidence_quotes:array<string>>").alias("answer")
+    got = call(sent, model, "pair", max_attempts).select("pair", answer, "error")
+    rows = expl.withColumn("pair", key).join(got, "pair", "left")
+    wrong = rationale_errors(F.col("answer.code"), F.col("answer.evidence_quotes"), F.col("answer.rationale"), F.col("predicted_code"), F.col("evidence_quotes"))
+    none = F.array().cast("array<string>")
+    errors = F.when(~eligible, none).when(F.col("error").isNotNull(), F.array(F.concat(F.lit("model_error:"), "error"))).when(F.col("answer").isNull(), F.array(F.lit("invalid_payload"))).otherwise(wrong)
+    rows = rows.withColumn("rationale_errors", errors)
+    fine = eligible & (F.size("rationale_errors") == 0)
+    return rows.withColumn("why", F.when(fine, F.col("answer.rationale")).otherwise(F.col("why"))).withColumn("explanation_source", F.when(fine, "llm_validated").otherwise("grounded_deterministic")).drop("pair", "answer", "error")
+
+
 def reranked(cases: DataFrame, model: Callable[[dict], object], allow: bool, classification: str) -> DataFrame:
     """cases: record_id, phrase, candidates (array of code, term, score). Adds accepted, errors and the candidates in their final order."""
     require_consent(allow, classification, ("public",))
@@ -92,4 +116,22 @@ def reranked(cases: DataFrame, model: Callable[[dict], object], allow: bool, cla
     allowed = F.transform("candidates", lambda x: x["code"])
     rows = rows.withColumn("errors", F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("model_error:"), "error"))).when(F.col("payload").isNull(), F.array(F.lit("invalid_payload"))).otherwise(payload_errors(F.col("payload"), allowed, F.array("phrase"))))
     rows = rows.withColumn("accepted", F.size("errors") == 0)
-    return rows.withColumn("candidates", reordered("candidates", F.col("payload.ranked_codes"), F.col("accepted"))).drop("payload_json", "error")
+    rows = rows.withColumn("answer", F.when(F.col("accepted"), F.col("payload"))).withColumn("baseline", F.col("candidates"))
+    return rows.withColumn("candidates", reordered("candidates", F.col("payload.ranked_codes"), F.col("accepted"))).drop("payload_json", "error", "payload")
+
+
+def case_options(answered: DataFrame, grounding: DataFrame) -> DataFrame:
+    """(record_id, options): every candidate of a case with its rank before and, where the answer stands, after; the model's rationale then, else the deterministic one.
+
+    answered: what reranked() gives; grounding: (record_id, code, rationale, evidence_quotes).
+    """
+    flat = answered.select("record_id", "answer", F.posexplode("baseline").alias("at", "c")).select("record_id", "answer", "at", "c.*")
+    flat = flat.join(grounding.select("record_id", "code", "rationale", "evidence_quotes"), ["record_id", "code"], "left")
+    own = F.get(F.filter("answer.candidate_rationales", lambda x: x["code"] == F.col("code")), F.lit(0))
+    known = own.isNotNull()
+    option = F.struct(
+        (F.col("at") + 1).alias("baseline_rank"), "code", "term", F.col("score").alias("model_score"), F.when(F.col("answer").isNotNull(), F.array_position(F.col("answer.ranked_codes"), F.col("code")).cast("int")).alias("reranked_rank"),
+        F.when(known, own["rationale"]).otherwise(F.col("rationale")).alias("display_rationale"), F.when(known, "llm_validated").otherwise("deterministic_grounded").alias("rationale_source"), "evidence_quotes",
+        F.when(known, own["evidence_quotes"]).otherwise(F.array().cast("array<string>")).alias("model_evidence_quotes"),
+    )
+    return flat.groupBy("record_id").agg(F.array_sort(F.collect_list(option)).alias("options"))

@@ -13,18 +13,23 @@ from termweave.operators.evaluation import coverage_curve
 
 
 def uncertainty(scores: Column | str, temperature: float = 1.0) -> Column:
-    """top_score, score_margin, normalised_entropy and top_softmax_share of candidate scores; nulls where there are none."""
-    s = F.col(scores) if isinstance(scores, str) else scores
-    top, n = F.array_max(s), F.size(s)
-    t = max(temperature, 1e-6)
-    e = F.transform(s, lambda x: F.exp(F.least(F.greatest((x - top) / t, F.lit(-50.0)), F.lit(50.0))))
+    """top_score, score_margin, normalised_entropy and top_softmax_share of candidate scores, in the candidates' order; nulls where there are none.
+
+    The top is the first candidate, whatever the others' scores (a reranker may have put a smaller one first). A null
+    score counts as 0.
+    """
+    c = F.col(scores) if isinstance(scores, str) else scores
+    s = F.transform(c, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    n, t = F.size(s), max(temperature, 1e-6)
+    best = F.array_max(s)
+    e = F.transform(s, lambda x: F.exp(F.least(F.greatest((x - best) / t, F.lit(-50.0)), F.lit(50.0))))
     total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
     entropy = F.aggregate(e, F.lit(0.0), lambda a, x: a - x / total * F.log(x / total + 1e-12))
-    order = F.sort_array(s, False)
+    at = lambda a, i: F.get(a, F.lit(i))
     some = n > 0
     return F.struct(
-        F.when(some, top).alias("top_score"), F.when(n > 1, F.get(order, F.lit(0)) - F.get(order, F.lit(1))).when(some, top).alias("score_margin"),
-        F.when(n > 1, entropy / F.log(n.cast("double"))).when(some, F.lit(0.0)).alias("normalised_entropy"), F.when(some, F.array_max(e) / F.nullif(total, F.lit(0.0))).alias("top_softmax_share"),
+        F.when(some, at(s, 0)).alias("top_score"), F.when(n > 1, at(s, 0) - at(s, 1)).when(some, at(s, 0)).alias("score_margin"),
+        F.when(n > 1, entropy / F.log(n.cast("double"))).when(some, F.lit(0.0)).alias("normalised_entropy"), F.when(some, at(e, 0) / F.nullif(total, F.lit(0.0))).alias("top_softmax_share"),
     )
 
 

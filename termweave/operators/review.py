@@ -96,14 +96,24 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
     return feedback.agg(F.count(F.lit(1)).alias("n_feedback"), *[F.count_if(F.col("human_action") == a).alias(f"n_{a.lower()}") for a in ACTIONS], share(ACTIONS[0]).alias("top1_accept_rate"), share(ACTIONS[1]).alias("topk_rescue_rate"), share(ACTIONS[2]).alias("outside_topk_rate"))
 
 
+# The version of audit artifacts, and the states that a decision can end in.
+ARTIFACT_SCHEMA_VERSION = "1.0"
+ADJUDICATED, ADJUDICATED_NO_CODE, ESCALATED = "HUMAN_ADJUDICATED", "HUMAN_ADJUDICATED_NO_CODE", "ESCALATED"
+
+
 def decision_trace(pred: DataFrame, events: DataFrame) -> DataFrame:
-    """The final code and status of every prediction: the reviewer's where one decided, else the model's."""
+    """The final code and status of every prediction (record_id, predicted_code, route_before_review; other columns come along).
+
+    A reviewer's code stands if one was selected; NO_CODE empties it. An escalated record keeps the prediction, as does
+    one that nobody decided, whose status is its route.
+    """
     last = events.filter("kind = 'DECIDE'").groupBy("record_id").agg(F.max_by(F.struct("action", "selected_code"), F.struct("ts", "event_id")).alias("l"))
-    a, code = F.col("l.action"), F.col("l.selected_code")
+    a, code = F.coalesce("l.action", F.lit("")), F.coalesce("l.selected_code", F.lit(""))
     rows = pred.join(last, "record_id", "left")
-    final = F.when(a.isNull() | (a == ACTIONS[0]), F.col("predicted_code")).when(a.isin("ESCALATE", "NO_CODE"), F.lit("")).otherwise(code)
-    state = F.when(a.isNull(), "MODEL_ONLY").when(a == "ESCALATE", "ESCALATED").when(a == "NO_CODE", "NO_CODE").otherwise("HUMAN_DECIDED")
-    return rows.select("record_id", "predicted_code", F.coalesce(a, F.lit("")).alias("human_action"), final.alias("final_code"), state.alias("final_status"))
+    chosen = a.isin(*ACTIONS[:3]) & (code != "")
+    final = F.when(chosen, code).when(a == "NO_CODE", "").otherwise(F.col("predicted_code"))
+    state = F.when(chosen, ADJUDICATED).when(a == "NO_CODE", ADJUDICATED_NO_CODE).when(a == "ESCALATE", ESCALATED).otherwise(F.col("route_before_review"))
+    return rows.select(*pred.columns, F.lit(ARTIFACT_SCHEMA_VERSION).alias("artifact_schema_version"), a.alias("human_action"), code.alias("human_selected_code"), final.alias("final_code"), state.alias("final_status"))
 
 
 def file_fingerprints(spark, paths: list[str]) -> DataFrame:
@@ -115,3 +125,27 @@ def changed_files(now: DataFrame, bundle: DataFrame) -> DataFrame:
     """Files of a bundle that are gone or differ."""
     both = bundle.join(now.select("path", F.col("sha256").alias("now")), "path", "left")
     return both.filter(~F.col("sha256").eqNullSafe(F.col("now"))).select("path", F.when(F.col("now").isNull(), "missing").otherwise("changed").alias("problem"))
+
+
+def audit_bundle(spark, release: str, files: dict[str, str], decision_semantics: dict) -> dict:
+    """A manifest of named files, with the SHA-256 of those that are there; the executors read them."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = lambda p: fs.Path(p)
+    there = {n: path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(p)) for n, p in files.items()}
+    sums = {n: file_fingerprints(spark, [p]).first()["sha256"] for n, p in files.items() if there[n]}
+    return {"artifact_schema_version": ARTIFACT_SCHEMA_VERSION, "release": release, "files": {n: {"path": p, "exists": there[n], "sha256": sums.get(n)} for n, p in files.items()}, "decision_semantics": dict(decision_semantics)}
+
+
+def bundle_errors(spark, bundle: dict) -> list[str]:
+    """What is wrong with a manifest: its version, files that it did not find, and files that are gone or changed since."""
+    out = [] if bundle.get("artifact_schema_version") == ARTIFACT_SCHEMA_VERSION else ["unsupported_artifact_schema_version"]
+    files = bundle.get("files") or {}
+    now = audit_bundle(spark, "", {n: i["path"] for n, i in files.items() if i.get("exists")}, {})["files"]
+    for n, i in files.items():
+        if not i.get("exists"):
+            out.append(f"missing_artifact:{n}")
+        elif not now[n]["exists"]:
+            out.append(f"artifact_no_longer_exists:{n}")
+        elif i.get("sha256") and now[n]["sha256"] != i["sha256"]:
+            out.append(f"artifact_hash_mismatch:{n}")
+    return out

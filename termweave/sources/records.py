@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from termweave.functions.text import collapsed, trimmed
@@ -98,7 +101,8 @@ def train_terminology(train: DataFrame, max_aliases: int = 50) -> DataFrame:
 def multilabel_records(notes: DataFrame, diagnoses: DataFrame, dictionary: DataFrame, min_code_frequency: int = 1, version: str = "10", max_notes: int | None = None) -> DataFrame:
     """A row per stay: its latest note, and its codes of one version in order of first appearance, with their titles.
 
-    Codes are trimmed before the dictionary is joined. Frequencies count diagnosis rows.
+    Codes are trimmed before the dictionary is joined. Frequencies count diagnosis rows. ValueError if the dictionary
+    has two titles for a code.
     """
     require_columns(notes, {"subject_id", "hadm_id", "note_id", "text"})
     require_columns(diagnoses, {"hadm_id", "icd_code", "icd_version"})
@@ -107,7 +111,8 @@ def multilabel_records(notes: DataFrame, diagnoses: DataFrame, dictionary: DataF
     notes = notes.filter(trimmed("hadm_id") != "")
     latest = notes.withColumn("_n", F.row_number().over(W.partitionBy("hadm_id").orderBy(*times))).filter("_n = 1").drop("_n")
     own = diagnoses.filter(trimmed(F.col("icd_version").cast("string")) == version).withColumn("code", trimmed("icd_code"))
-    titles = dictionary.filter(trimmed(F.col("icd_version").cast("string")) == version).select(trimmed("icd_code").alias("code"), "long_title").dropDuplicates(["code"])
+    titles = dictionary.filter(trimmed(F.col("icd_version").cast("string")) == version).select(trimmed("icd_code").alias("code"), "long_title")
+    titles = require_unique(titles.distinct(), "code")
     often = own.groupBy("code").count().filter(F.col("count") >= min_code_frequency).select("code")
     seq = "seq_num" if "seq_num" in own.columns else "row_seq"
     first = own.join(often, "code", "left_semi").groupBy("hadm_id", "code").agg(F.min(seq).alias("seq")).join(titles, "code", "left")
@@ -124,12 +129,29 @@ def dictionary_terminology(dictionary: DataFrame, version: str = "10", system: s
     return first_per(rows.filter("code <> ''"), "code")
 
 
-def standoff_annotations(spark: SparkSession, root: str, code_pattern: str = r"\d{6,9}") -> DataFrame:
-    """Records out of three folders of a stand-off corpus: text/*.txt, original/*.ann and meddra/*.ann.
+# The shape of a text-bound line of a stand-off file, and a code's digits.
+TEXTBOUND, CODE = r"^(T\d+)\t([^\t]+)\t(.*)$", r"(?i)(?:MedDRA\s*[:#]?\s*)?(\d{6,9})\b"
+
+
+def standoff_root(spark: SparkSession, root: str) -> str:
+    """The folder that holds text, original and meddra: root/cadec where that is there, else root. FileNotFoundError if one of the three is missing."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    there = lambda p: fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs.Path(p))
+    root = f"{root}/cadec" if there(f"{root}/cadec") else root
+    if missing := [n for n in ("text", "original", "meddra") if not there(f"{root}/{n}")]:
+        raise FileNotFoundError(f"{root} has no {', '.join(missing)}")
+    return root
+
+
+def standoff_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(text-bound annotations, code lines) of a stand-off corpus: text/*.txt, original/*.ann and meddra/*.ann.
 
-    A text-bound line is `T1<tab>TYPE 6 10;19 23<tab>words`; a code line names a T-id and a code. Spans outside the
-    text are dropped; offset_match tells whether the spans' words are the annotation's.
+    A text-bound line is `T1<tab>TYPE 6 10;19 23<tab>words`. Spans that are empty or reach beyond the text are left
+    out, and a line without a span left is invalid: it is not an annotation and does not replace an earlier one of its
+    id, as later valid lines do (those of meddra come after those of original). A code line names meddra, a T-id and a
+    code; its first code counts. Documents without a text or without a meddra file give nothing.
     """
+    root = standoff_root(spark, root)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1)
     texts = spark.read.text(f"{root}/text/*.txt", wholetext=True).select(F.col("value").alias("text")).withColumn("record_id", name)
 
@@ -137,49 +159,101 @@ def standoff_annotations(spark: SparkSession, root: str, code_pattern: str = r"\
         whole = spark.read.text(f"{root}/{folder}/*.ann", wholetext=True).withColumn("record_id", name)
         return whole.select("record_id", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
-    bound = lines("original").withColumn("part", F.lit(0)).unionByName(lines("meddra").withColumn("part", F.lit(1)))
-    shape = r"^(T\d+)\t([^\t]+)\t(.*)$"
-    bound = bound.filter(F.col("line").rlike(shape)).select("record_id", "part", "line_no", F.regexp_extract("line", shape, 1).alias("annotation_id"), F.regexp_extract("line", shape, 2).alias("kind"), F.regexp_extract("line", shape, 3).alias("mention"))
-    bound = bound.withColumn("_n", F.row_number().over(W.partitionBy("record_id", "annotation_id").orderBy(F.desc("part"), F.desc("line_no")))).filter("_n = 1").drop("_n", "part")
-    pair = r"(\d+)\s+(\d+)"
-    spans = F.transform(F.regexp_extract_all("kind", F.lit(pair), F.lit(0)), lambda p: F.struct(F.regexp_extract(p, pair, 1).cast("int").alias("start"), F.regexp_extract(p, pair, 2).cast("int").alias("end")))
-    bound = bound.withColumn("entity_type", F.regexp_extract("kind", r"^(\S+)", 1)).withColumn("spans", spans).join(texts, "record_id")
-    bound = bound.withColumn("spans", F.filter("spans", lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= F.length("text"))))
+    meddra = lines("meddra")
+    documents = texts.join(meddra.select("record_id").distinct(), "record_id", "left_semi")
+    bound = lines("original").withColumn("part", F.lit(0)).unionByName(meddra.withColumn("part", F.lit(1))).filter(F.col("line").startswith("T")).join(documents, "record_id")
+    shaped = F.col("line").rlike(TEXTBOUND) & F.regexp_extract("line", TEXTBOUND, 2).contains(" ")
+    kind, pair = F.regexp_extract("line", TEXTBOUND, 2), r"(\d+)\D+(\d+)"
+    segments = F.filter(F.split(F.regexp_replace(kind, r"^\S* ", ""), ";"), lambda p: p.rlike(pair))
+    spans = F.transform(segments, lambda p: F.struct(F.regexp_extract(p, pair, 1).cast("int").alias("start"), F.regexp_extract(p, pair, 2).cast("int").alias("end")))
+    spans = F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= F.length("text")))
+    bound = bound.select("record_id", "text", "part", "line_no", F.when(shaped, F.regexp_extract("line", TEXTBOUND, 1)).alias("annotation_id"), F.regexp_extract(kind, r"^(\S*) ", 1).alias("entity_type"), F.regexp_extract("line", TEXTBOUND, 3).alias("mention"), F.when(shaped, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    coded = meddra.filter(F.lower("line").contains("meddra")).join(documents.select("record_id"), "record_id", "left_semi")
+    coded = coded.select("record_id", "line_no", F.regexp_extract("line", r"\b(T\d+)\b", 1).alias("annotation_id"), F.regexp_extract("line", CODE, 1).alias("gold_code"), F.when(F.col("line").contains("\t"), F.substring_index("line", "\t", 1)).otherwise("").alias("normalization_id"))
+    return bound, coded.filter("annotation_id <> '' and gold_code <> ''")
+
+
+def standoff_annotations(spark: SparkSession, root: str) -> DataFrame:
+    """The coded annotations of a stand-off corpus, each annotation and code once; offset_match tells whether the spans' words are the annotation's."""
+    bound, coded = standoff_parts(spark, root)
+    last = bound.filter(F.size("spans") > 0).withColumn("_n", F.row_number().over(W.partitionBy("record_id", "annotation_id").orderBy(F.desc("part"), F.desc("line_no")))).filter("_n = 1").drop("_n", "part", "line_no")
+    once = coded.withColumn("_n", F.row_number().over(W.partitionBy("record_id", "annotation_id", "gold_code").orderBy("line_no"))).filter("_n = 1")
     words = F.array_join(F.transform("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])), " ")
-    coded = lines("meddra").filter(F.lower("line").contains("meddra"))
-    coded = coded.select("record_id", "line_no", F.regexp_extract("line", r"\b(T\d+)\b", 1).alias("annotation_id"), F.explode(F.regexp_extract_all(F.regexp_replace("line", r"\b[TN]\d+\b", " "), F.lit(code_pattern), F.lit(0))).alias("gold_code"))
-    coded = coded.filter("annotation_id <> ''").groupBy("record_id", "annotation_id", "gold_code").agg(F.min("line_no").alias("row_seq"))
-    out = coded.join(bound.drop("line_no"), ["record_id", "annotation_id"])
-    return out.select("record_id", "annotation_id", "entity_type", "text", "mention", "gold_code", "spans", (F.size("spans") > 1).alias("is_discontinuous"), (collapsed(words) == collapsed("mention")).alias("offset_match"), "row_seq")
-
-
-def parse_stats(annotations: DataFrame) -> DataFrame:
-    """One row of counts over parsed annotations."""
-    return annotations.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("record_id").alias("documents"), F.count_distinct("record_id", "annotation_id").alias("annotations"), F.count_distinct("gold_code").alias("codes"),
-        F.count_if("is_discontinuous").alias("discontinuous_rows"), F.coalesce(F.avg(F.col("offset_match").cast("int")), F.lit(0.0)).alias("offset_match_rate"),
+    out = once.select("record_id", "annotation_id", "gold_code", "normalization_id", F.col("line_no").alias("row_seq")).join(last, ["record_id", "annotation_id"])
+    start, end = F.array_min(F.transform("spans", lambda s: s["start"])), F.array_max(F.transform("spans", lambda s: s["end"]))
+    spans_json = F.to_json(F.transform("spans", lambda s: F.array(s["start"], s["end"])))
+    return out.select(
+        "record_id", "annotation_id", "normalization_id", "entity_type", "text", "mention", "gold_code", F.lit("").alias("gold_term"), "spans", spans_json.alias("spans_json"), start.alias("start"), end.alias("end"),
+        (F.size("spans") > 1).alias("is_discontinuous"), words.alias("offset_text"), (collapsed(words) == collapsed("mention")).alias("offset_match"), "row_seq",
     )
 
 
+def parse_stats(spark: SparkSession, root: str) -> DataFrame:
+    """One row of counts over a stand-off corpus: files, code lines with and without their annotation, invalid text-bound lines, and what came of them."""
+    bound, coded = standoff_parts(spark, root)
+    rows = standoff_annotations(spark, root)
+    files = spark.read.text(f"{standoff_root(spark, root)}/meddra/*.ann", wholetext=True).agg(F.count(F.lit(1)).alias("documents_seen"))
+    invalid = bound.agg(F.count_if(F.size("spans") == 0).alias("invalid_textbound"))
+    there = bound.filter(F.size("spans") > 0).select("record_id", "annotation_id").distinct().withColumn("there", F.lit(1))
+    seen = coded.join(there, ["record_id", "annotation_id"], "left").agg(F.count(F.lit(1)).alias("normalizations_seen"), F.count("there").alias("normalizations_matched"), F.count_if(F.col("there").isNull()).alias("missing_target"))
+    own = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("record_id").alias("unique_documents"), F.count_distinct("gold_code").alias("unique_codes"),
+        F.count_if("is_discontinuous").alias("discontinuous_annotations"), F.count_if("offset_match").alias("offset_match_count"), F.coalesce(F.avg(F.col("offset_match").cast("int")), F.lit(0.0)).alias("offset_match_rate"),
+    )
+    row = files.crossJoin(invalid).crossJoin(seen).crossJoin(own)
+    return row.withColumn("match_rate", F.coalesce(F.col("normalizations_matched") / F.nullif("normalizations_seen", F.lit(0)), F.lit(0.0))).withColumn("duplicate_rows_removed", F.col("normalizations_matched") - F.col("rows"))
+
+
 def choose_tabular(names: list[str], wanted: str) -> str | None:
     """The best table among a repository's file names: the wanted word, then a CSV, then no compression, then a short name, then the alphabet."""
     tables = [n for n in names if n.lower().endswith((".csv", ".tsv", ".csv.gz", ".tsv.gz"))]
     return min(tables, key=lambda n: (wanted.lower() not in n.lower(), ".csv" not in n.lower(), n.lower().endswith(".gz"), len(n), n), default=None)
 
 
-def paged_source(spark: SparkSession, fetch, total: int, page_size: int, schema: str) -> DataFrame:
-    """Rows of a paged service: `fetch(offset, length)` gives tuples, and each page is read by one row of a task."""
-    pages = spark.range(0, -(-total // page_size)).repartition(F.col("id"))
+class Page(InputPartition):
+    def __init__(self, offset: int, length: int) -> None:
+        self.offset, self.length = offset, length
 
-    def run(batches):
-        import pandas as pd
 
-        names = [f.split()[0] for f in schema.split(",")]
-        for pdf in batches:
-            for page in pdf["id"]:
-                yield pd.DataFrame(list(fetch(int(page) * page_size, page_size)), columns=names)
+def paged_format(name: str, fetch, total: int, page_size: int, ddl: str, attempts: int = 3) -> type[DataSource]:
+    """A Spark data source over a paged service: `fetch(offset, length)` gives the rows of a page as tuples.
 
-    return pages.mapInPandas(run, schema)
+    Each page is a partition of its own, read where the task runs, again if the fetch fails, up to `attempts` times.
+    Register it with `spark.dataSource.register` and read it by `name`.
+    """
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [Page(at, min(page_size, total - at)) for at in range(0, total, page_size)]
+
+        def read(self, partition):
+            for left in range(attempts - 1, -1, -1):
+                try:
+                    rows = list(fetch(partition.offset, partition.length))
+                    break
+                except OSError:
+                    if not left:
+                        raise
+            yield from (tuple(r) for r in rows)
+
+    class Source(DataSource):
+        def schema(self):
+            return ddl
+
+        def reader(self, schema):
+            return Reader()
+
+    Source.name = classmethod(lambda _: name)
+    return Source
+
+
+def paged_source(spark: SparkSession, fetch, total: int, page_size: int, schema: str) -> DataFrame:
+    """The rows of a paged service, through a data source registered for it; a service without rows gives none."""
+    if total <= 0:
+        return spark.createDataFrame([], schema)
+    name = f"paged_{uuid.uuid4().hex}"
+    spark.dataSource.register(paged_format(name, fetch, total, page_size, schema))
+    return spark.read.format(name).load()
 
 
 def group_leaks(df: DataFrame, group: str, split: str = "split") -> DataFrame:
