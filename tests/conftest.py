@@ -16,3 +16,12 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def given_back():
+    """What a test kept is given back, so that later plans are not compared with it."""
+    yield
+    from termweave.operators import retrieval
+
+    retrieval.release()
