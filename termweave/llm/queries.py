@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termweave.llm import decontamination, jaccard, language, lines, neighbours, packing, quality, resampling, sharding, substrings, warc
+from termweave.llm import decontamination, hardnegatives, jaccard, language, lines, neighbours, packing, quality, resampling, sharding, substrings, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_hard_negatives": hardnegatives.op11_hard_negatives,
     "op13_resampling": resampling.op13_resampling,
 }
 
-ORACLE: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op8_warc": warc.ORACLE, "op9_line_dedup": lines.ORACLE, "op13_resampling": resampling.ORACLE}
+ORACLE: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op8_warc": warc.ORACLE, "op9_line_dedup": lines.ORACLE, "op11_hard_negatives": hardnegatives.ORACLE, "op13_resampling": resampling.ORACLE}
