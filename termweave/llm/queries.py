@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termweave.llm import decontamination, hardnegatives, jaccard, language, lines, neighbours, packing, quality, resampling, sharding, substrings, warc
+from termweave.llm import decontamination, hardnegatives, htmltext, jaccard, language, lines, neighbours, packing, quality, resampling, sharding, substrings, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_hard_negatives": hardnegatives.op11_hard_negatives,
+    "op12_main_text": htmltext.op12_main_text,
     "op13_resampling": resampling.op13_resampling,
 }
 
