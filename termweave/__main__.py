@@ -114,8 +114,8 @@ def main(argv: list[str] | None = None) -> int:
         case "explain":
             say(jobs.explain_benchmark(read(a.records), terms(a.terminology), a.run, a.seed))
         case "packets":
-            pred = spark.read.parquet(f"{a.run}/predictions.parquet").select("record_id", "confidence", "candidates")
-            say(jobs.review_packets(pred.join(read(a.records).select("record_id", "text", "mention"), "record_id"), terms(a.terminology), a.out)[1])
+            pred = spark.read.parquet(f"{a.run}/predictions.parquet").select("record_id", "row_id", "confidence", "candidates")
+            say(jobs.review_packets(pred.join(read(a.records).select("row_id", "text", "mention"), "row_id"), terms(a.terminology), a.out)[1])
         case "casebook":
             say({"cases": jobs.casebook(a.run, spark, a.limit or 40).count()})
         case "rationales":

@@ -92,8 +92,8 @@ class AdvancedCoder:
         return retrieval.advanced(lexical, dense, self.pool, self.k, c.dense_weight if self.dense is not None else 0.0, scored if self.reranker is not None else None, c.reranker_weight)
 
     def predict(self, records: DataFrame) -> DataFrame:
-        """(record_id, rank, code, score, ...)"""
-        return retrieval.by_text(retrieval.query_text(records), self.ranked).drop("query")
+        """(record_id, rank, code, score, ...), with row_id where records have one or repeat."""
+        return retrieval.by_text(retrieval.query_text(retrieval.identified(records)), self.ranked).drop("query")
 
     def score_code(self, pairs: DataFrame) -> DataFrame:
         """(key, score) for (key, text, code): the final score of one code for a text, 0 outside the candidates."""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termweave.functions.hashing import sample
-from termweave.sources.records import require_columns
+from termweave.sources.records import require_columns, row_key
 
 # The quantiles that are reported.
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
@@ -62,13 +62,20 @@ def audit_annotations(records: DataFrame, terms: DataFrame | None = None, min_of
     return row.withColumn("hard_failures", failures).withColumn("warnings", warnings).withColumn("ready", F.size("hard_failures") == 0)
 
 
+#: Parts of a value's range, each summed by itself; a row for each of them is broadcast.
+BLOCKS = 4096
+
+
 def exact_quantiles(df: DataFrame, value: Column, points=QUANTILES) -> DataFrame:
     """One row with `quantiles`: exact, interpolated, as an array of doubles for `points`; null without rows.
 
-    Equal values are counted first, and running sums go over distinct values in blocks, so no task holds all rows.
+    Equal values are counted first, and running sums go over distinct values in BLOCKS equal parts of their range, so no
+    task holds all rows whatever the values' scale.
     """
     per = df.select(value.cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    per = per.withColumn("block", F.floor(F.col("v") / 256))
+    ends = per.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    block = F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(5e-324)) * BLOCKS)
+    per = per.crossJoin(F.broadcast(ends)).select("v", "c", F.when(F.col("lo") == F.col("hi"), F.lit(0).cast("long")).otherwise(block).alias("block"))
     sums = per.groupBy("block").agg(F.sum("c").alias("bc"))
     sums = sums.select("block", (F.sum("bc").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("bc")).alias("before"), F.sum("bc").over(W.partitionBy()).alias("n"))
     upto = F.col("before") + F.sum("c").over(W.partitionBy("block").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
@@ -136,13 +143,15 @@ def write_audit(audit: DataFrame, sample_: DataFrame, path: str) -> None:
 REASONS = ("auto_candidate_error", "high_confidence_error", "unseen_code_error", "insufficient_evidence", "other_error")
 
 
-def casebook(pred: DataFrame, max_cases: int = 40) -> DataFrame:
+def casebook(pred: DataFrame, max_cases: int = 40, seed: int = 42) -> DataFrame:
     """Cases for review: errors by reason, each reason with an equal share of places, then correct controls.
 
-    pred: record_id, confidence, correct, decision, code_novelty, explanation_status. Places that a reason leaves
-    unused go to controls alone. Within a reason the highest confidence comes first, ties by record_id.
+    pred: record_id (and row_id), confidence, correct, decision, code_novelty, explanation_status. Places that a reason
+    leaves unused go to controls alone. Within a reason the highest confidence comes first, ties by id; controls are a
+    sample in the order of a seeded hash of their ids.
     """
-    cut = exact_quantiles(pred, F.col("confidence") * 4096, (0.75,)).select((F.get("quantiles", F.lit(0)) / 4096).alias("p75"))  # blocks are for values over 256
+    key = row_key(pred)
+    cut = exact_quantiles(pred, F.col("confidence"), (0.75,)).select(F.get("quantiles", F.lit(0)).alias("p75"))
     wrong = F.coalesce("correct", F.lit(0)) == 0
     reason = (
         F.when((F.col("decision") == "AUTO_CANDIDATE") & wrong, REASONS[0]).when(wrong & (F.col("confidence") >= F.col("p75")), REASONS[1]).when(wrong & (F.col("code_novelty") == "unseen_code"), REASONS[2])
@@ -150,12 +159,14 @@ def casebook(pred: DataFrame, max_cases: int = 40) -> DataFrame:
     )
     rows = pred.crossJoin(F.broadcast(cut)).withColumn("review_reason", reason).drop("p75")
     share = max(1, max_cases // len(REASONS))
-    place = F.row_number().over(W.partitionBy("review_reason").orderBy(F.desc("confidence"), "record_id"))
+    control = F.col("review_reason") == "correct_control"
+    drawn = F.when(control, F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
+    place = F.row_number().over(W.partitionBy("review_reason").orderBy(F.desc(F.when(~control, F.col("confidence"))), drawn, key))
     rows = rows.withColumn("place", place).filter((F.col("place") <= share) | ((F.col("review_reason") == "correct_control") & (F.col("place") <= max_cases)))
     order = F.array_position(F.array(*map(F.lit, REASONS)), F.col("review_reason"))
     rows = rows.withColumn("order", F.when(order == 0, len(REASONS) + 1).otherwise(order)).orderBy("order", "place").limit(max_cases)
     number = F.row_number().over(W.orderBy("order", "place"))  # max_cases rows
-    return rows.withColumn("case_id", F.format_string("CASE-%03d", number)).drop("order", "place")
+    return rows.withColumn("casebook_id", F.format_string("CASE-%03d", number)).drop("order", "place")
 
 
 def write_casebook(cases: DataFrame, path: str) -> None:
@@ -166,5 +177,5 @@ def write_casebook(cases: DataFrame, path: str) -> None:
     safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     shown = [c for c in ("record_id", "gold_code", "predicted_code", "confidence", "decision", "mention", "text", "why", "evidence_quotes", "candidates") if c in flat.columns]
     rows = [F.concat(F.lit(f"<p><b>{c}</b> "), safe(c), F.lit("</p>")) for c in shown]
-    card = F.concat(F.lit("<section><h2>"), safe("case_id"), F.lit(" "), safe("review_reason"), F.lit("</h2>"), *rows, F.lit("</section>"))
-    flat.orderBy("case_id").select(card).coalesce(1).write.mode("overwrite").text(f"{path}/review_casebook.html")
+    card = F.concat(F.lit("<section><h2>"), safe("casebook_id"), F.lit(" "), safe("review_reason"), F.lit("</h2>"), *rows, F.lit("</section>"))
+    flat.orderBy("casebook_id").select(card).coalesce(1).write.mode("overwrite").text(f"{path}/review_casebook.html")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termweave.sources.records import row_keys
+
 ERRORS = ("correct", "candidate_generation_failure", "ranking_failure")
 SLACK = 1e-12
 
@@ -65,16 +67,17 @@ def candidate_blocks(pred: DataFrame, seen: DataFrame, aliases: DataFrame, ks=(5
 
 def merged_predictions(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two systems' predictions of the same records side by side. Both: record_id, phrase, gold_code, predicted_code, correct, codes."""
-    side = lambda df, name: df.select("record_id", *[F.col(c).alias(f"{name}_{c}") for c in ("predicted_code", "correct", "codes")])
-    return first.select("record_id", "phrase", "gold_code").join(side(first, "baseline"), "record_id").join(side(second, "v2"), "record_id")
+    keys = row_keys(first)
+    side = lambda df, name: df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("predicted_code", "correct", "codes")])
+    return first.select(*keys, "phrase", "gold_code").join(side(first, "baseline"), keys).join(side(second, "v2"), keys)
 
 
 def candidate_failures(merged: DataFrame, k: int = 5, most: int | None = 100) -> DataFrame:
     """Records whose gold code is not among the first k of one system or the other; the first `most` in the order of their ids."""
     tops = [F.slice(f"{n}_codes", 1, k).alias(f"{n}_top{k}") for n in ("baseline", "v2")]
     inside = [F.array_contains(F.slice(f"{n}_codes", 1, k), F.col("gold_code")).alias(f"{n}_gold_in_top{k}") for n in ("baseline", "v2")]
-    rows = merged.select("record_id", "phrase", "gold_code", *inside, *tops).filter(f"not baseline_gold_in_top{k} or not v2_gold_in_top{k}")
-    return rows if most is None else rows.orderBy("record_id").limit(most)
+    rows = merged.select(*row_keys(merged), "phrase", "gold_code", *inside, *tops).filter(f"not baseline_gold_in_top{k} or not v2_gold_in_top{k}")
+    return rows if most is None else rows.orderBy(*row_keys(rows)).limit(most)
 
 
 def multilabel_stress(val: DataFrame, test: DataFrame, targets=(0.90, 0.95, 0.98, 0.99)) -> list[dict]:

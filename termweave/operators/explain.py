@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from termweave.functions.text import assertion, local_context, phrases, tokens, trimmed, without_spans
 from termweave.operators.products import kind_of, made
 from termweave.operators.retrieval import kept, text_key
+from termweave.sources.records import row_key, row_keys
 
 SPAN = "array<struct<start:int,end:int,quote:string,source:string,score:double,matched_phrases:array<string>>>"
 NO_SUPPORT = ("insufficient_grounding", "insufficient_affirmed_evidence")
 
 
-# Fixed value: a sentence has no mark or line feed inside; marks stand at its end, or the text ends.
-SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|$)")
+# Fixed value: a sentence has no mark or line feed inside; marks stand at its end, or the text ends. A line that ends
+# without a mark is matched with its line feed, so that it is read once, and is none.
+SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|$|\n)")
 #: Sentences that are handed on at once.
 AT_ONCE = 50_000
 
@@ -37,7 +39,7 @@ def sentences(df: DataFrame, key: str = "record_id", text: str = "text") -> Data
             for i, body in enumerate(batch.column(text)):
                 for m in SENTENCE.finditer(body.as_py() or ""):
                     words = m.group()
-                    if own := words.strip():
+                    if words[-1] != "\n" and (own := words.strip()):
                         at = m.start() + len(words) - len(words.lstrip())
                         which.append(i)
                         start.append(at)
@@ -52,21 +54,24 @@ def sentences(df: DataFrame, key: str = "record_id", text: str = "text") -> Data
 
 
 def explicit_span() -> Column:
-    """The first place of the mention, whatever its case: a span of score 2, or null. Uses columns text and mention."""
+    """The first place of the mention, whatever its case: a span of score 2 with the phrases that it holds, or null. Uses columns text, mention and phrases."""
     m = F.trim(F.coalesce("mention", F.lit("")))
     at = F.expr("instr(lower(text), lower(trim(coalesce(mention, ''))))")
-    span = F.struct((at - 1).alias("start"), (at - 1 + F.length(m)).alias("end"), F.substring(F.col("text"), at, F.length(m)).alias("quote"), F.lit("explicit_mention").alias("source"), F.lit(2.0).alias("score"), F.array(m).alias("matched_phrases"))
+    quote = F.substring(F.col("text"), at, F.length(m))
+    held = F.filter("phrases", lambda p: F.contains(F.lower(quote), F.lower(p)))
+    span = F.struct((at - 1).alias("start"), (at - 1 + F.length(m)).alias("end"), quote.alias("quote"), F.lit("explicit_mention").alias("source"), F.lit(2.0).alias("score"), held.alias("matched_phrases"))
     return F.when((m != "") & (at > 0), span)
 
 
-def evidence_spans(df: DataFrame, key: str = "record_id", max_spans: int = 3) -> DataFrame:
-    """(key, spans): evidence for rows of (key, text, mention, term, synonyms), in the order of the text.
+def evidence_spans(df: DataFrame, key: str | None = None, max_spans: int = 3) -> DataFrame:
+    """(key, spans): evidence for rows of (key, text, mention, term, synonyms), in the order of the text; the key is row_id where there is one, else record_id.
 
     The explicit mention comes first; then sentences that do not overlap it, scored by the share of target words they
     hold, half a point for each phrase and one for the mention; the best `max_spans` stay. Each text is cut into
     sentences once, however many candidates share it.
     """
-    base = df.select(key, "text", "mention", "term", "synonyms").withColumn("explicit", explicit_span()).withColumn("phrases", phrases("term", "synonyms"))
+    key = key or row_key(df)
+    base = df.select(key, "text", "mention", "term", "synonyms").withColumn("phrases", phrases("term", "synonyms")).withColumn("explicit", explicit_span())
     target = F.array_union(tokens(F.concat_ws(" ", F.col("phrases"))), tokens("mention"))
     base = base.withColumn("target", target).withColumn("doc", text_key("text"))
     cut = sentences(base.select("doc", "text").dropDuplicates(["doc"]), "doc").withColumn("words", tokens("quote"))
@@ -79,7 +84,7 @@ def evidence_spans(df: DataFrame, key: str = "record_id", max_spans: int = 3) ->
     rows = rows.withColumn("hits", hits).withColumn("score", score).filter("score > 0")
     left = max_spans - F.when(F.col("explicit").isNull(), 0).otherwise(1)
     rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "start"))).filter(F.col("_n") <= left)
-    span = F.struct("start", "end", "quote", F.lit("sentence_overlap").alias("source"), "score", F.col("hits").alias("matched_phrases"))
+    span = F.struct("start", "end", "quote", F.lit("supporting_sentence").alias("source"), "score", F.col("hits").alias("matched_phrases"))
     found = rows.groupBy(key).agg(F.collect_list(span).cast(SPAN).alias("found"))
     none = F.array().cast(SPAN)
     own = F.when(F.col("explicit").isNull(), none).otherwise(F.array("explicit").cast(SPAN))
@@ -98,15 +103,19 @@ def audited_spans(text: Column | str, spans: Column | str) -> Column:
 
 
 def audit_context(expl: DataFrame) -> DataFrame:
-    """Keep as evidence only what is affirmed; without any, the status is insufficient and the decision HUMAN_REVIEW.
+    """Keep as evidence only what is affirmed; without any, the context needs review, the status is insufficient and the decision HUMAN_REVIEW.
 
-    expl: text, spans, decision, explanation_status, why.
+    Spans that are not affirmed beside some that are only leave the evidence. all_extracted_evidence_quotes has the
+    quotes of all spans, excluded_evidence_context the others with their class and context. expl: text, spans,
+    decision, explanation_status, why.
     """
     rows = expl.withColumn("spans", audited_spans("text", "spans"))
-    fine = F.transform(F.filter("spans", lambda s: s["clinical_assertion"] == "affirmed"), lambda s: s["quote"])
-    some = F.exists("spans", lambda s: s["clinical_assertion"] != "affirmed")
-    rows = rows.withColumn("evidence_quotes", fine).withColumn("context_review_required", some | (F.size(fine) == 0))
-    lost = F.size("evidence_quotes") == 0
+    fine = F.transform(F.filter("spans", lambda s: (s["clinical_assertion"] == "affirmed") & (s["quote"] != "")), lambda s: s["quote"])
+    other = F.filter("spans", lambda s: s["clinical_assertion"] != "affirmed")
+    excluded = F.transform(other, lambda s: F.struct(s["quote"].alias("quote"), s["clinical_assertion"].alias("clinical_assertion"), s["assertion_context"].alias("context")))
+    rows = rows.withColumn("all_extracted_evidence_quotes", F.transform("spans", lambda s: s["quote"])).withColumn("evidence_quotes", fine).withColumn("excluded_evidence_context", excluded)
+    lost, some = F.size("evidence_quotes") == 0, F.size("excluded_evidence_context") > 0
+    rows = rows.withColumn("context_review_required", lost)
     note = F.when(lost, F.concat("why", F.lit(" No affirmed evidence is left; expert review is recommended."))).when(some, F.concat("why", F.lit(" Spans that are not affirmed were left out as evidence."))).otherwise(F.col("why"))
     return rows.withColumn("why", note).withColumn("explanation_status", F.when(lost, NO_SUPPORT[1]).otherwise(F.col("explanation_status"))).withColumn("decision", F.when(lost, "HUMAN_REVIEW").otherwise(F.col("decision")))
 
@@ -134,26 +143,45 @@ def apply_quality_gate(rows: DataFrame) -> DataFrame:
 
 
 def quality_summary(rows: DataFrame) -> DataFrame:
+    """One row: the shares of each gate's outcome, and what the gate did to automatic decisions; zeros without rows."""
     auto = lambda c: F.col(c).isin("AUTO_CANDIDATE", "CODE_PROPOSAL").cast("int")
-    rate = lambda g: F.avg((F.col("quality_gate") == g).cast("int"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), rate("PASS").alias("pass_rate"), rate("WARN").alias("warn_rate"), rate("FAIL").alias("fail_rate"), F.sum((F.col("decision") != F.col("decision_before_gate")).cast("int")).alias("downgraded"), F.avg(auto("decision_before_gate")).alias("auto_rate_before"), F.avg(auto("decision")).alias("auto_rate_after"))
+    share = lambda c: F.coalesce(F.avg(c.cast("int")), F.lit(0.0))
+    before, after = share(auto("decision_before_gate")), share(auto("decision"))
+    rates = [share(F.col("quality_gate") == g).alias(f"{g.lower()}_rate") for g in ("PASS", "WARN", "FAIL")]
+    # The names of the summary.
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), *rates, F.count_if(F.col("decision") != F.col("decision_before_gate")).alias("n_decisions_downgraded"), before.alias("automatic_or_proposal_rate_before_quality_gate"),
+        after.alias("automatic_or_proposal_rate_after_quality_gate"), (before - after).alias("additional_review_rate_due_to_explanation_gate"),
+    )
+
+
+def quality_cases(rows: DataFrame) -> DataFrame:
+    """The gate's findings of every explanation, flat."""
+    return rows.select(
+        *row_keys(rows), "predicted_code", F.col("term").alias("predicted_term"), "quality_gate", F.to_json("failures").alias("quality_failures_json"), F.to_json("warnings").alias("quality_warnings_json"), "verbatim_evidence", "knowledge_present",
+        "comprehensiveness_positive", "decision_before_gate", F.col("decision").alias("decision_after_gate"), (F.col("decision") != F.col("decision_before_gate")).alias("decision_downgraded"),
+    )
 
 
 def task_input_spans(expl: DataFrame, source: DataFrame) -> DataFrame:
-    """Spans given with the task replace the evidence where they are valid. source: record_id, occurrence, spans_json ([[start, end], ...])."""
+    """Spans given with the task replace the evidence where they are valid. source: record_id, spans_json ([[start, end], ...]) and row_id or occurrence."""
     given = F.coalesce(F.from_json("spans_json", "array<array<int>>"), F.array().cast("array<array<int>>"))
-    rows = expl.join(source.select("record_id", "occurrence", "spans_json"), ["record_id", "occurrence"], "left")
+    keys = ["row_id"] if "row_id" in expl.columns and "row_id" in source.columns else ["record_id", "occurrence"]
+    rows = expl.join(source.select(*keys, "spans_json"), keys, "left")
     valid = F.filter(given, lambda p: (F.size(p) == 2) & (F.get(p, F.lit(0)) >= 0) & (F.get(p, F.lit(1)) > F.get(p, F.lit(0))) & (F.get(p, F.lit(1)) <= F.length("text")))
     made = F.transform(valid, lambda p: F.struct(F.get(p, F.lit(0)).alias("start"), F.get(p, F.lit(1)).alias("end"), F.substring(F.col("text"), F.get(p, F.lit(0)) + 1, F.get(p, F.lit(1)) - F.get(p, F.lit(0))).alias("quote"), F.lit("task_input_span").alias("source"), F.lit(3.0).alias("score"), F.array().cast("array<string>").alias("matched_phrases"))).cast(SPAN)
     return rows.withColumn("spans", F.when(F.size(made) > 0, made).otherwise(F.col("spans"))).drop("spans_json")
 
 
 def aligned(pred: DataFrame, source: DataFrame) -> DataFrame:
-    """Predictions with text and mention of the records at the same place among their id's; both sides have an occurrence.
+    """Predictions with text and mention of their rows of the source: by row_id, or, where a side has none, by record_id and occurrence.
 
     ValueError if a prediction has no record.
     """
-    rows = pred.join(source.drop("gold_code"), ["record_id", "occurrence"], "left")
+    if "row_id" in pred.columns and "row_id" in source.columns:
+        rows = pred.join(source.drop("gold_code", *(c for c in pred.columns if c != "row_id")), "row_id", "left")
+    else:
+        rows = pred.join(source.drop("gold_code"), ["record_id", "occurrence"], "left")
     if not rows.filter("text is null").isEmpty():
         raise ValueError("Not every prediction has its record")
     return rows
@@ -167,15 +195,17 @@ def with_occurrence(df: DataFrame, key: str = "record_id", order: str = "row_seq
 def explanations(pred: DataFrame, terms: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """A row per prediction: spans, quotes, status, a fixed sentence `why`, and up to two cases of the same code.
 
-    pred: record_id, text, mention, predicted_code, confidence, decision; cases: record_id, rank, code, case_text.
+    pred: record_id, text, mention, predicted_code, confidence, decision, and row_id where ids repeat; cases: record_id
+    (and row_id), rank, code, case_text.
     """
+    key = row_key(pred)
     t = terms.select(F.col("code").alias("predicted_code"), "term", "synonyms", "definition", "hierarchy", "system", "knowledge_source")
     rows = pred.join(t, "predicted_code", "left").fillna("", ["term", "synonyms", "definition", "hierarchy", "knowledge_source"]).fillna("unspecified", ["system"])
-    rows = rows.join(evidence_spans(rows), "record_id")
+    rows = rows.join(evidence_spans(rows), key)
     if cases is not None:
-        same = cases.join(pred.select("record_id", F.col("predicted_code").alias("code")), ["record_id", "code"])
-        same = same.withColumn("_n", F.row_number().over(W.partitionBy("record_id").orderBy("rank"))).filter("_n <= 2")
-        rows = rows.join(same.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("_n", "case_text"))).alias("historical_support")), "record_id", "left")
+        same = cases.join(pred.select(key, F.col("predicted_code").alias("code")), [key, "code"])
+        same = same.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("rank"))).filter("_n <= 2")
+        rows = rows.join(same.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "case_text"))).alias("historical_support")), key, "left")
     quotes = F.transform("spans", lambda s: s["quote"])
     rows = rows.withColumn("evidence_quotes", quotes).withColumn("explanation_status", F.when(F.size(quotes) > 0, "grounded").otherwise(NO_SUPPORT[0]))
     shown = F.array_join(F.transform(F.slice("evidence_quotes", 1, 2), lambda q: F.concat(F.lit("“"), q, F.lit("”"))), "; ")
@@ -198,45 +228,49 @@ def faithfulness(expl: DataFrame, coder) -> DataFrame:
     The three texts of every row are scored in one batch.
     """
     body = F.when(F.trim(F.coalesce("mention", F.lit(""))) != "", F.trim("mention")).otherwise(F.col("text"))
-    expl = kept(expl)
+    expl, key = kept(expl), row_key(expl)
     rows = expl.withColumn("input", body)
-    spans = evidence_spans(rows.select("record_id", F.col("input").alias("text"), "mention", "term", "synonyms")).withColumnRenamed("spans", "model_spans")
-    rows = kept(rows.join(spans, "record_id").select("record_id", "predicted_code", "input", "model_spans"))
+    spans = evidence_spans(rows.select(key, F.col("input").alias("text"), "mention", "term", "synonyms")).withColumnRenamed("spans", "model_spans")
+    rows = kept(rows.join(spans, key).select(key, "predicted_code", "input", "model_spans"))
     variants = F.array(F.struct(F.lit("whole").alias("kind"), F.col("input").alias("text")), F.struct(F.lit("only").alias("kind"), F.array_join(F.transform("model_spans", lambda s: s["quote"]), " ").alias("text")), F.struct(F.lit("removed").alias("kind"), without_spans("input", "model_spans").alias("text")))
-    flat = rows.select("record_id", F.col("predicted_code").alias("code"), F.explode(variants).alias("v")).select(F.struct("record_id", "v.kind").alias("key"), "code", "v.text")
-    s = coder.score_code(flat).select("key.record_id", "key.kind", "score").groupBy("record_id").pivot("kind", ["whole", "only", "removed"]).agg(F.first("score"))
-    out = expl.join(s, "record_id", "left")
+    flat = rows.select(key, F.col("predicted_code").alias("code"), F.explode(variants).alias("v")).select(F.struct(F.col(key).alias("row"), "v.kind").alias("key"), "code", "v.text")
+    s = coder.score_code(flat).select(F.col("key.row").alias(key), "key.kind", "score").groupBy(key).pivot("kind", ["whole", "only", "removed"]).agg(F.first("score"))
+    out = expl.join(s, key, "left")
     return out.select(*expl.columns, F.col("whole").alias("original_score"), F.col("only").alias("evidence_only_score"), F.col("removed").alias("evidence_removed_score"), (F.col("whole") - F.col("only")).alias("sufficiency_gap"), (F.col("whole") - F.col("removed")).alias("comprehensiveness_drop"))
 
 
 def candidate_rationales(candidates: DataFrame, terms: DataFrame, cases: DataFrame | None = None, top_k: int = 5) -> DataFrame:
-    """A row per displayed candidate with its own evidence. candidates: record_id, text, mention, rank, code, score."""
+    """A row per displayed candidate with its own evidence. candidates: record_id (and row_id), text, mention, rank, code, score."""
+    key = row_key(candidates)
     rows = candidates.filter(F.col("rank") <= top_k).join(terms.select("code", "term", "synonyms", "definition"), "code", "left").fillna("", ["term", "synonyms", "definition"])
-    rows = rows.withColumn("pair", F.concat_ws("\u0001", "record_id", "code"))
+    rows = rows.withColumn("pair", F.concat_ws("\u0001", key, "code"))
     rows = rows.join(evidence_spans(rows, "pair"), "pair")
     if cases is not None:
-        near = cases.withColumn("_n", F.row_number().over(W.partitionBy("record_id", "code").orderBy("rank"))).filter("_n <= 2")
-        rows = rows.join(near.groupBy("record_id", "code").agg(F.array_sort(F.collect_list(F.struct("_n", "case_text"))).alias("historical_support")), ["record_id", "code"], "left")
+        near = cases.withColumn("_n", F.row_number().over(W.partitionBy(key, "code").orderBy("rank"))).filter("_n <= 2")
+        rows = rows.join(near.groupBy(key, "code").agg(F.array_sort(F.collect_list(F.struct("_n", "case_text"))).alias("historical_support")), [key, "code"], "left")
     quotes = F.transform("spans", lambda s: s["quote"])
     why = F.when(F.size(quotes) > 0, F.concat(F.lit("Supported by: "), F.array_join(quotes, "; "))).otherwise("No words of the text support this candidate.")
     return rows.drop("pair").withColumn("evidence_quotes", quotes).withColumn("rationale", why)
 
 
 def review_packets(rationales: DataFrame, routed: DataFrame) -> DataFrame:
-    """A nested row per record: its route and uncertainty, and its candidates in order, with blank fields for the reviewer."""
+    """A nested row per record, or per row_id: its route and uncertainty, and its candidates in order, with blank fields for the reviewer."""
+    keys = row_keys(routed)
     option = F.struct("rank", "code", "term", "score", "evidence_quotes", "rationale")
-    nested = rationales.groupBy("record_id").agg(F.array_sort(F.collect_list(option)).alias("candidate_options"))
+    nested = rationales.groupBy(*keys).agg(F.array_sort(F.collect_list(option)).alias("candidate_options"))
     blank = [F.lit("").alias(c) for c in ("human_action", "human_selected_code", "reviewer_reason")]
-    return routed.select("record_id", "route", "uncertainty").join(nested, "record_id").select("*", *blank)
+    return routed.select(*keys, "route", "uncertainty").join(nested, keys).select("*", *blank)
 
 
-def multilabel_explanations(ranked: DataFrame, notes: DataFrame, terms: DataFrame, threshold: float, fallback: int = 5) -> DataFrame:
-    """Proposals at or above the threshold (else the best `fallback`), each explained; decision CODE_PROPOSAL. notes: record_id, text, gold_codes."""
+def multilabel_explanations(ranked: DataFrame, notes: DataFrame, terms: DataFrame, threshold: float, fallback: int = 5, cases: DataFrame | None = None) -> DataFrame:
+    """Proposals at or above the threshold (else the best `fallback`), each explained; decision CODE_PROPOSAL. notes: record_id, text, gold_codes.
+
+    A row_id names the pair of note and code; cases: row_id, rank, code, case_text.
+    """
     any_ = F.max((F.col("score") >= threshold).cast("int")).over(W.partitionBy("record_id"))
     kept = ranked.withColumn("_any", any_).filter(((F.col("_any") == 1) & (F.col("score") >= threshold)) | ((F.col("_any") == 0) & (F.col("rank") <= fallback)))
-    rows = kept.join(notes, "record_id").withColumn("note", F.col("record_id")).withColumn("record_id", F.concat_ws("\u0001", "record_id", "code"))
-    rows = rows.select("record_id", "note", "text", F.lit("").alias("mention"), F.col("code").alias("predicted_code"), F.col("score").alias("confidence"), F.lit("CODE_PROPOSAL").alias("decision"), F.array_contains("gold_codes", F.col("code")).alias("gold_code_present"))
-    return explanations(rows, terms).withColumn("record_id", F.col("note")).drop("note")
+    rows = kept.join(notes, "record_id").select("record_id", F.concat_ws("#", "record_id", "code").alias("row_id"), "text", F.lit("").alias("mention"), F.col("code").alias("predicted_code"), F.col("score").alias("confidence"), F.lit("CODE_PROPOSAL").alias("decision"), F.array_contains("gold_codes", F.col("code")).alias("gold_code_present"))
+    return explanations(rows, terms, cases)
 
 
 def explainability_metrics(expl: DataFrame) -> DataFrame:
@@ -248,10 +282,10 @@ def explainability_metrics(expl: DataFrame) -> DataFrame:
 
 
 def as_html(expl: DataFrame) -> DataFrame:
-    """(record_id, html): a card for each explanation, with its evidence marked in the text."""
+    """(record_id, row_id where there is one, html): a card for each explanation, with its evidence marked in the text."""
     safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     parts = [F.lit("<section><h2>"), safe("predicted_code"), F.lit(" "), safe("term"), F.lit("</h2><p>"), safe("decision"), F.lit(" "), safe("confidence"), F.lit("</p><p>"), safe("why"), F.lit("</p><div>"), highlighted("text", "spans"), F.lit("</div></section>")]
-    return expl.select("record_id", F.concat(*parts).alias("html"))
+    return expl.select(*row_keys(expl), F.concat(*parts).alias("html"))
 
 
 def write_explanations(expl: DataFrame, path: str) -> dict:
@@ -260,7 +294,7 @@ def write_explanations(expl: DataFrame, path: str) -> dict:
     expl.write.mode("overwrite").json(f"{path}/explanations.jsonl")
     as_html(expl).select("html").write.mode("overwrite").text(f"{path}/explanations.html")
     blank = [F.lit("").alias(c) for c in ("expert_code_supported", "expert_evidence_complete", "expert_rationale_correct", "expert_comments")]
-    expl.select("record_id", F.col("system").alias("coding_system"), "predicted_code", F.col("term").alias("predicted_term"), "why", F.to_json("evidence_quotes").alias("evidence_quotes_json"), *blank).write.mode("overwrite").option("header", True).csv(f"{path}/rationale_review_template.csv")
+    expl.select(*row_keys(expl), F.col("system").alias("coding_system"), "predicted_code", F.col("term").alias("predicted_term"), "why", F.to_json("evidence_quotes").alias("evidence_quotes_json"), *blank).write.mode("overwrite").option("header", True).csv(f"{path}/rationale_review_template.csv")
     return explainability_metrics(expl).first().asDict()
 
 

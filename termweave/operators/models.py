@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.sources.records import row_key, row_keys
+
 PAYLOAD = "struct<ranked_codes:array<string>,overall_uncertainty:string,candidate_rationales:array<struct<code:string,rationale:string,evidence_quotes:array<string>>>>"
 
 
@@ -95,8 +97,8 @@ def rewritten(expl: DataFrame, model: Callable[[dict], object], allow: bool, cla
     """
     require_consent(allow, classification, allowed)
     eligible = (F.size("evidence_quotes") > 0) & ~F.coalesce("context_review_required", F.lit(False))
-    key = F.to_json(F.struct("record_id", "predicted_code"))
-    sent = expl.filter(eligible).select(key.alias("pair"), "record_id", "predicted_code", "term", F.to_json("evidence_quotes").alias("evidence_quotes")).dropDuplicates(["pair"])
+    key = F.to_json(F.struct(*row_keys(expl), "predicted_code"))
+    sent = expl.filter(eligible).select(key.alias("pair"), *row_keys(expl), "predicted_code", "term", F.to_json("evidence_quotes").alias("evidence_quotes")).dropDuplicates(["pair"])
     answer = F.from_json("payload_json", "struct<code:string,rationale:string,evidence_quotes:array<string>>").alias("answer")
     got = call(sent, model, "pair", max_attempts).select("pair", answer, "error")
     rows = expl.withColumn("pair", key).join(got, "pair", "left")
@@ -109,10 +111,11 @@ def rewritten(expl: DataFrame, model: Callable[[dict], object], allow: bool, cla
 
 
 def reranked(cases: DataFrame, model: Callable[[dict], object], allow: bool, classification: str) -> DataFrame:
-    """cases: record_id, phrase, candidates (array of code, term, score). Adds accepted, errors and the candidates in their final order."""
+    """cases: record_id (and row_id), phrase, candidates (array of code, term, score). Adds accepted, errors and the candidates in their final order."""
     require_consent(allow, classification, ("public",))
-    answers = call(cases.select("record_id", "phrase", F.to_json("candidates").alias("candidates")), model, "record_id")
-    rows = cases.join(answers, "record_id", "left").withColumn("payload", F.from_json("payload_json", PAYLOAD))
+    key = row_key(cases)
+    answers = call(cases.select(*row_keys(cases), "phrase", F.to_json("candidates").alias("candidates")), model, key)
+    rows = cases.join(answers, key, "left").withColumn("payload", F.from_json("payload_json", PAYLOAD))
     allowed = F.transform("candidates", lambda x: x["code"])
     rows = rows.withColumn("errors", F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("model_error:"), "error"))).when(F.col("payload").isNull(), F.array(F.lit("invalid_payload"))).otherwise(payload_errors(F.col("payload"), allowed, F.array("phrase"))))
     rows = rows.withColumn("accepted", F.size("errors") == 0)
@@ -121,12 +124,13 @@ def reranked(cases: DataFrame, model: Callable[[dict], object], allow: bool, cla
 
 
 def case_options(answered: DataFrame, grounding: DataFrame) -> DataFrame:
-    """(record_id, options): every candidate of a case with its rank before and, where the answer stands, after; the model's rationale then, else the deterministic one.
+    """(record_id, row_id where there is one, options): every candidate of a case with its rank before and, where the answer stands, after; the model's rationale then, else the deterministic one.
 
-    answered: what reranked() gives; grounding: (record_id, code, rationale, evidence_quotes).
+    answered: what reranked() gives; grounding: (record_id, row_id, code, rationale, evidence_quotes).
     """
-    flat = answered.select("record_id", "answer", F.posexplode("baseline").alias("at", "c")).select("record_id", "answer", "at", "c.*")
-    flat = flat.join(grounding.select("record_id", "code", "rationale", "evidence_quotes"), ["record_id", "code"], "left")
+    keys = row_keys(answered)
+    flat = answered.select(*keys, "answer", F.posexplode("baseline").alias("at", "c")).select(*keys, "answer", "at", "c.*")
+    flat = flat.join(grounding.select(*keys, "code", "rationale", "evidence_quotes"), [*keys, "code"], "left")
     own = F.get(F.filter("answer.candidate_rationales", lambda x: x["code"] == F.col("code")), F.lit(0))
     known = own.isNotNull()
     option = F.struct(
@@ -134,4 +138,4 @@ def case_options(answered: DataFrame, grounding: DataFrame) -> DataFrame:
         F.when(known, own["rationale"]).otherwise(F.col("rationale")).alias("display_rationale"), F.when(known, "llm_validated").otherwise("deterministic_grounded").alias("rationale_source"), "evidence_quotes",
         F.when(known, own["evidence_quotes"]).otherwise(F.array().cast("array<string>")).alias("model_evidence_quotes"),
     )
-    return flat.groupBy("record_id").agg(F.array_sort(F.collect_list(option)).alias("options"))
+    return flat.groupBy(*keys).agg(F.array_sort(F.collect_list(option)).alias("options"))

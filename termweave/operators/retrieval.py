@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.text import char_grams, nonempty, word_grams
 from termweave.operators import products
-from termweave.sources.records import alias_rows, require_columns
+from termweave.sources.records import alias_rows, require_columns, row_keys, with_row_id
 
 #: A dictionary of at most this many grams is broadcast to the texts; a larger one is joined by a shuffle on the gram.
 BROADCAST_ROWS = 500_000
@@ -205,10 +205,10 @@ def best_by_code(queries: DataFrame, spaces: list[tuple[str, Space, float]], own
 
 
 def by_text(records: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Score each distinct query text once and give the scores to all records with it. Records are (record_id, query_text)."""
+    """Score each distinct query text once and give the scores to all rows with it. Records are (record_id, query_text) and row_id, where there is one."""
     named = records.withColumn("query", text_key("query_text"))
     texts = named.groupBy("query").agg(F.min("query_text").alias("text"))
-    return named.select("record_id", "query").join(score(texts), "query")
+    return named.select(*row_keys(named), "query").join(score(texts), "query")
 
 
 def text_key(c: Column | str) -> Column:
@@ -217,8 +217,8 @@ def text_key(c: Column | str) -> Column:
 
 
 def query_text(df: DataFrame) -> DataFrame:
-    """(record_id, query_text): the mention, or the text where it has no characters."""
-    return df.select("record_id", F.when(F.length("mention") > 0, F.col("mention")).otherwise(F.col("text")).alias("query_text"))
+    """(record_id, query_text), and row_id where there is one: the mention, or the text where it has no characters."""
+    return df.select(*row_keys(df), F.when(F.length("mention") > 0, F.col("mention")).otherwise(F.col("text")).alias("query_text"))
 
 
 def history_text(df: DataFrame) -> DataFrame:
@@ -265,11 +265,19 @@ def confidence(best: Column, second: Column) -> Column:
     return F.least(F.greatest(0.5 * b + 0.5 * F.greatest(b - F.coalesce(second, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
-def predictions(top: DataFrame, key: str = "record_id") -> DataFrame:
-    """A row per record: predicted_code, confidence and the candidates in order."""
+def identified(records: DataFrame) -> DataFrame:
+    """The records, with row_ids if they have none and an id repeats."""
+    if "row_id" in records.columns or records.groupBy("record_id").count().filter("count > 1").isEmpty():
+        return records
+    return with_row_id(records)
+
+
+def predictions(top: DataFrame, key: str | None = None) -> DataFrame:
+    """A row per record, or per row_id where there is one: predicted_code, confidence and the candidates in order."""
+    by = row_keys(top) if key is None else [key]
     score = lambda i: F.max(F.when(F.col("rank") == i, F.col("score")))
     item = F.array_sort(F.collect_list(F.struct("rank", "code", "score")))
-    return top.groupBy(key).agg(F.max(F.when(F.col("rank") == 1, F.col("code"))).alias("predicted_code"), confidence(score(1), score(2)).alias("confidence"), item.alias("candidates"))
+    return top.groupBy(*by).agg(F.max(F.when(F.col("rank") == 1, F.col("code"))).alias("predicted_code"), confidence(score(1), score(2)).alias("confidence"), item.alias("candidates"))
 
 
 class HistoricalCoder:
@@ -303,8 +311,8 @@ class HistoricalCoder:
         return parts.withColumn("score", (1 - w) * F.col("terminology_score") + w * F.col("history_score")).filter("score > 0")
 
     def predict(self, records: DataFrame) -> DataFrame:
-        """(record_id, rank, code, score, terminology_score, history_score) for records with record_id, text and mention."""
-        return by_text(query_text(records), lambda t: ranked(self.fused(self.components(t)), self.codes, t, self.k)).drop("query")
+        """(record_id, rank, code, score, terminology_score, history_score) for records with record_id, text and mention; with row_id where records have one or repeat."""
+        return by_text(query_text(identified(records)), lambda t: ranked(self.fused(self.components(t)), self.codes, t, self.k)).drop("query")
 
     def cases(self, records: DataFrame, n: int = 5) -> DataFrame:
         """(record_id, rank, code, text, similarity): the nearest history rows; equal rows stand as one."""
@@ -313,7 +321,7 @@ class HistoricalCoder:
             s = s.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "seq"))).filter(F.col("rank") <= n)
             return s.select("query", "rank", F.col("gold_code").alias("code"), F.col("text").alias("case_text"), F.col("sim").alias("similarity"))
 
-        return by_text(query_text(records), nearest).drop("query")
+        return by_text(query_text(identified(records)), nearest).drop("query")
 
     def score_code(self, pairs: DataFrame, weight: float | None = None) -> DataFrame:
         """(key, score) for (key, text, code): the score of one code for a text; unknown codes and blank texts have 0."""
@@ -356,7 +364,7 @@ class AliasCoder:
 
     def predict(self, records: DataFrame) -> DataFrame:
         order = [F.desc(F.round("score", 12)), F.desc(F.round("terminology_score", 12)), F.col("row_seq")]
-        return by_text(query_text(records), lambda t: ranked(self.fused(self.components(t)), self.codes, t, self.k, order)).drop("query")
+        return by_text(query_text(identified(records)), lambda t: ranked(self.fused(self.components(t)), self.codes, t, self.k, order)).drop("query")
 
 
 def unit_rows(column) -> np.ndarray:

@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from termweave.functions.hashing import fingerprint, sample, split_by_hash
 from termweave.operators import advanced, contracts, evaluation, policy, retrieval
-from termweave.sources.records import assert_group_disjoint, group_leaks, require_columns, train_terminology
+from termweave.sources.records import assert_group_disjoint, group_leaks, require_columns, row_keys, train_terminology, with_row_id
 
 WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0)
 VERSION = "0.2"
 
 
 def scored(coder, part: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records with their query, component scores of the distinct query texts), both kept for reuse."""
-    named = retrieval.query_text(part).withColumn("query", retrieval.text_key("query_text")).join(part.select("record_id", "gold_code"), "record_id")
-    named = retrieval.kept(named.withColumnRenamed("query_text", "phrase"))
+    """(rows with their query, component scores of the distinct query texts), both kept for reuse. A row of the part stays one row, however often its id repeats."""
+    phrase = F.when(F.length("mention") > 0, F.col("mention")).otherwise(F.col("text"))
+    named = retrieval.kept(part.select(*row_keys(part), "gold_code", phrase.alias("phrase")).withColumn("query", retrieval.text_key("phrase")))
     return named, retrieval.kept(coder.components(texts_of(named)))
 
 
@@ -31,9 +31,9 @@ def texts_of(named: DataFrame) -> DataFrame:
 
 
 def with_codes(named: DataFrame, top: DataFrame) -> DataFrame:
-    """A row per record: phrase, gold_code, predicted_code, confidence, correct, candidates, codes. top: (query, rank, code, score)."""
+    """A row per row of `named`: phrase, gold_code, predicted_code, confidence, correct, candidates, codes. top: (query, rank, code, score)."""
     p = retrieval.predictions(top, "query").withColumn("codes", F.transform("candidates", lambda c: c["code"]))
-    return named.select("record_id", "phrase", "gold_code", "query").join(p, "query").drop("query").withColumn("correct", (F.col("predicted_code") == F.col("gold_code")).cast("int"))
+    return named.select(*row_keys(named), "phrase", "gold_code", "query").join(p, "query").drop("query").withColumn("correct", (F.col("predicted_code") == F.col("gold_code")).cast("int"))
 
 
 def predicted(coder, named: DataFrame, parts: DataFrame, weight: float, k: int) -> DataFrame:
@@ -42,7 +42,8 @@ def predicted(coder, named: DataFrame, parts: DataFrame, weight: float, k: int)
 
 
 def split_into(records: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(all, train, val, test); ValueError if one of them is empty or a record id lies in two."""
+    """(all, train, val, test), with row_ids; ValueError if one of them is empty or a record id lies in two."""
+    records = with_row_id(records)
     if "split" not in records.columns:
         records = records.withColumn("split", split_by_hash(F.col("record_id"), seed))
     records = retrieval.kept(records)
@@ -275,7 +276,7 @@ def confirmed_policy(coder, pool: DataFrame, used: DataFrame, n: int, target: fl
 
 
 def predict_uncoded(history: DataFrame, terms: DataFrame, new: DataFrame, frozen: dict, k: int = 10) -> DataFrame:
-    """Predictions of uncoded records under a frozen policy: AUTO_CANDIDATE from its threshold on, else HUMAN_REVIEW."""
+    """Predictions of uncoded records under a frozen policy, one for each row: AUTO_CANDIDATE from its threshold on, else HUMAN_REVIEW."""
     coder = retrieval.HistoricalCoder(frozen["history_weight"], k).fit(history, terms)
     p = retrieval.predictions(coder.predict(new))
     t = frozen.get("decision_threshold")

@@ -456,7 +456,16 @@ def frozen_threshold(spark, d):
 # ---- explanation
 
 
-@query()
+#: Sentences in SQL: pieces that tile the text, each with its place; white space that Python strips.
+SPACE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8195) || chr(8239) || chr(12288)"
+SENTENCES = f"""tiles AS (SELECT doc_id, length(text) AS n, regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?]+|\\n') AS p FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT doc_id, n, len(p) AS k, generate_subscripts(p, 1) AS i, unnest(p) AS piece, unnest(list_prepend(0, list_transform(p, lambda x: length(x)))[:len(p)]) AS size FROM tiles),
+laid AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY i) AS place, lead(piece) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM placed),
+sent AS (SELECT doc_id, (place + length(piece) - length(ltrim(piece, {SPACE})))::INT AS s, trim(piece, {SPACE}) AS quote FROM laid
+  WHERE NOT regexp_matches(piece, '^[.!?\\n]') AND (regexp_matches(piece, '[.!?]$') OR i = k OR (i = k - 1 AND after = chr(10))) AND trim(piece, {SPACE}) <> '')"""
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, s AS start, (s + length(quote))::INT AS \"end\", sha256(quote) AS quote_sha FROM sent")
 def sentences(spark, d):
     docs = read(spark, d, "documents").filter("text is not null")
     return explain.sentences(docs, "doc_id").select("doc_id", "start", "end", F.sha2("quote", 256).alias("quote_sha"))
@@ -480,13 +489,32 @@ def evidence_rows(spark, d):
     return docs.select(F.col("doc_id").alias("record_id"), "text", F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", F.get(w, F.lit(3)), F.get(w, F.lit(4)))).otherwise("").alias("mention"), term.alias("term"), F.get(w, F.lit(12)).alias("synonyms")).fillna("")
 
 
-@query()
+#: Evidence in SQL: the explicit mention, then the best sentences beside it, three in all.
+EVIDENCE = f"""w AS (SELECT doc_id, text, regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') AS w FROM documents WHERE text IS NOT NULL),
+given AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN concat_ws(' ', w[4], w[5]) ELSE '' END AS mention, concat_ws(' ', w[8], w[9]) AS term, coalesce(w[13], '') AS synonyms FROM w),
+named AS (SELECT *, trim(mention, ' ') AS m, list_filter(list_transform(list_prepend(term, regexp_split_to_array(synonyms, '[|;\\n]')), lambda x: trim(x, {SPACE})), lambda x: x <> '') AS p0 FROM given),
+phrased AS (SELECT doc_id, text, term, m, list_filter(p0, lambda x, i: list_position(list_transform(p0, lambda y: lower(y)), lower(x)) = i) AS phrases FROM named),
+target AS (SELECT *, list_distinct(list_transform(list_filter(regexp_extract_all(array_to_string(phrases, ' ') || ' ' || m, '[A-Za-z0-9]+'), lambda x: length(x) >= 2), lambda x: lower(x))) AS target,
+  CASE WHEN m <> '' AND instr(lower(text), lower(m)) > 0 THEN instr(lower(text), lower(m)) - 1 END AS es FROM phrased),
+scored AS (SELECT t.doc_id, s, s + length(quote) AS e, quote, m, es, len(list_intersect(target, list_transform(list_filter(regexp_extract_all(quote, '[A-Za-z0-9]+'), lambda x: length(x) >= 2), lambda x: lower(x)))) / greatest(len(target), 1)::DOUBLE
+  + 0.5 * len(list_filter(phrases, lambda x: contains(lower(quote), lower(x)))) + CASE WHEN m <> '' AND contains(lower(quote), lower(m)) THEN 1.0 ELSE 0.0 END AS score FROM target t JOIN sent USING (doc_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s) AS n FROM scored WHERE score > 0 AND (es IS NULL OR e <= es OR s >= es + length(m))),
+spans AS (SELECT doc_id, s::INT AS s, e::INT AS e, 'supporting_sentence' AS source, score, quote FROM best WHERE n <= CASE WHEN es IS NULL THEN 3 ELSE 2 END
+  UNION ALL SELECT doc_id, es::INT, (es + length(m))::INT, 'explicit_mention', 2.0, substr(text, es + 1, length(m)) FROM target WHERE es IS NOT NULL)"""
+
+
+@query(f"WITH {SENTENCES}, {EVIDENCE} SELECT doc_id AS record_id, s AS start, e AS \"end\", source, round(score::DOUBLE, 6) AS score, sha256(quote) AS quote_sha FROM spans")
 def evidence_spans(spark, d):
     s = explain.evidence_spans(evidence_rows(spark, d)).select("record_id", F.explode("spans").alias("s"))
     return rounded(s.select("record_id", "s.start", "s.end", "s.source", "s.score", F.sha2("s.quote", 256).alias("quote_sha")))
 
 
-@query()
+@query(f"""WITH {SENTENCES}, {EVIDENCE},
+around AS (SELECT doc_id, greatest(s - length(regexp_extract(substr(text, 1, s), '[^.\\n]*$')), s - 100, 0) AS l, CASE WHEN regexp_matches(substr(text, e + 1), '[.\\n]') THEN e + length(regexp_extract(substr(text, e + 1), '^[^.\\n]*[.\\n]')) ELSE least(length(text), e + 100) END AS r, text FROM spans JOIN target USING (doc_id)),
+judged AS (SELECT doc_id, count(*) FILTER ({_assertion_sql(f"trim(substr(text, l + 1, r - l), {SPACE})")} = 'affirmed') AS affirmed FROM around GROUP BY doc_id)
+SELECT doc_id AS record_id, CASE WHEN coalesce(affirmed, 0) = 0 THEN 'FAIL' ELSE 'WARN' END AS quality_gate, CASE WHEN doc_id % 2 = 0 AND affirmed > 0 THEN 'AUTO_CANDIDATE' ELSE 'HUMAN_REVIEW' END AS decision,
+CASE WHEN coalesce(affirmed, 0) = 0 THEN 'no_evidence_quotes,clinical_context_requires_review,insufficient_affirmed_evidence' ELSE '' END AS failures,
+CASE WHEN trim(term, {SPACE}) = '' THEN 'missing_terminology_knowledge,' ELSE '' END || 'faithfulness_not_available' AS warnings FROM target LEFT JOIN judged USING (doc_id)""")
 def explanation_audit(spark, d):
     """Evidence, its assertion classes and the quality gate, over all documents."""
     rows = evidence_rows(spark, d)
@@ -606,11 +634,11 @@ def audit_annotations(spark, d):
 
 @query(f"""WITH {PREDICTIONS}, {DIAG}, p AS (SELECT record_id, confidence, correct, code_novelty, CASE WHEN confidence >= 0.9 THEN 'AUTO_CANDIDATE' ELSE 'HUMAN_REVIEW' END AS decision, CASE WHEN record_id % 11 = 0 THEN 'insufficient_grounding' ELSE 'grounded' END AS st FROM diag), q AS (SELECT quantile_cont(confidence, 0.75) AS q FROM p),
 r AS (SELECT *, CASE WHEN decision = 'AUTO_CANDIDATE' AND correct = 0 THEN 1 WHEN correct = 0 AND confidence >= q THEN 2 WHEN correct = 0 AND code_novelty = 'unseen_code' THEN 3 WHEN st = 'insufficient_grounding' THEN 4 WHEN correct = 0 THEN 5 ELSE 6 END AS o FROM p, q),
-n AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY confidence DESC, record_id) AS place FROM r), k AS (SELECT *, row_number() OVER (ORDER BY o, place) AS i FROM n WHERE place <= 8 OR (o = 6 AND place <= 40))
-SELECT 'CASE-' || lpad(i::VARCHAR, 3, '0') AS case_id, record_id, ['auto_candidate_error', 'high_confidence_error', 'unseen_code_error', 'insufficient_evidence', 'other_error', 'correct_control'][o] AS review_reason FROM k WHERE i <= 40""")
+n AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY CASE WHEN o < 6 THEN -confidence END, CASE WHEN o = 6 THEN sha256('42:' || record_id) END, record_id) AS place FROM r), k AS (SELECT *, row_number() OVER (ORDER BY o, place) AS i FROM n WHERE place <= 8 OR (o = 6 AND place <= 40))
+SELECT 'CASE-' || lpad(i::VARCHAR, 3, '0') AS casebook_id, record_id, ['auto_candidate_error', 'high_confidence_error', 'unseen_code_error', 'insufficient_evidence', 'other_error', 'correct_control'][o] AS review_reason FROM k WHERE i <= 40""")
 def review_casebook(spark, d):
     p = diagnosed(spark, d).withColumn("decision", F.when(F.col("confidence") >= 0.9, "AUTO_CANDIDATE").otherwise("HUMAN_REVIEW")).withColumn("explanation_status", F.when(F.col("record_id") % 11 == 0, "insufficient_grounding").otherwise("grounded"))
-    return audits.casebook(p, 40).select("case_id", "record_id", "review_reason")
+    return audits.casebook(p, 40).select("casebook_id", "record_id", "review_reason")
 
 
 # ---- review, feedback

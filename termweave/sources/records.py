@@ -43,12 +43,40 @@ def with_blank(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def with_row_id(df: DataFrame, order: str = "row_seq") -> DataFrame:
+    """Rows with `row_id`, which tells apart the rows of a record: `record_id#row_seq`, and for rows that share both a number after it.
+
+    Made once, at the source or at the door of a driver, and carried from there on; a row_id that is there already
+    stays. Rows without a row_seq are numbered as they are read. Only where pairs repeat are rows shuffled.
+    """
+    if "row_id" in df.columns:
+        return df
+    fresh = order not in df.columns
+    df = df.withColumn(order, F.monotonically_increasing_id()) if fresh else df
+    base = F.concat(F.coalesce(F.col("record_id").cast("string"), F.lit("")), F.lit("#"), F.coalesce(F.col(order).cast("string"), F.lit("")))
+    if fresh or df.groupBy("record_id", order).count().filter("count > 1").isEmpty():
+        return df.withColumn("row_id", base)
+    nth = F.row_number().over(W.partitionBy("record_id", order).orderBy(F.xxhash64(*sorted(df.columns))))
+    return df.withColumn("_nth", nth).withColumn("row_id", F.when(F.col("_nth") == 1, base).otherwise(F.concat(base, F.lit("."), F.col("_nth")))).drop("_nth")
+
+
+def row_key(df: DataFrame) -> str:
+    """The column that tells rows apart: row_id where there is one, else record_id."""
+    return "row_id" if "row_id" in df.columns else "record_id"
+
+
+def row_keys(df: DataFrame) -> list[str]:
+    """The columns that name a row: record_id, and row_id where there is one."""
+    return ["record_id", "row_id"] if "row_id" in df.columns else ["record_id"]
+
+
 def records(df: DataFrame, mention_from_text: bool = False) -> DataFrame:
     """Coding records: record_id and text are required. A missing mention is blank, or with `mention_from_text` the text."""
     require_columns(df, {"record_id", "text"})
     if mention_from_text and "mention" not in df.columns:
         df = df.withColumn("mention", F.col("text"))
-    return with_blank(df, "record_id", "text", "mention", "gold_code", "gold_term")
+    df = with_blank(df, "record_id", "text", "mention", "gold_code", "gold_term")
+    return with_row_id(df) if "row_seq" in df.columns else df
 
 
 def first_per(df: DataFrame, key: str, order: str = "row_seq") -> DataFrame:
@@ -184,7 +212,7 @@ def standoff_annotations(spark: SparkSession, root: str) -> DataFrame:
     spans_json = F.to_json(F.transform("spans", lambda s: F.array(s["start"], s["end"])))
     return out.select(
         "record_id", "annotation_id", "normalization_id", "entity_type", "text", "mention", "gold_code", F.lit("").alias("gold_term"), "spans", spans_json.alias("spans_json"), start.alias("start"), end.alias("end"),
-        (F.size("spans") > 1).alias("is_discontinuous"), words.alias("offset_text"), (collapsed(words) == collapsed("mention")).alias("offset_match"), "row_seq",
+        (F.size("spans") > 1).alias("is_discontinuous"), words.alias("offset_text"), (collapsed(words) == collapsed("mention")).alias("offset_match"), "row_seq", F.concat("record_id", F.lit("#"), "annotation_id", F.lit("#"), "gold_code").alias("row_id"),
     )
 
 

@@ -33,7 +33,7 @@ def test_mention_span_and_scores(spark):
     rows = [("1", "I had Severe Muscle Pain today. The muscle hurt. Nothing else.", "severe muscle pain", "myalgia", "muscle|ache"), ("2", "Nothing here.", "", "fever", "")]
     df = spark.createDataFrame(rows, "record_id string, text string, mention string, term string, synonyms string")
     got = {r.record_id: r.spans for r in explain.evidence_spans(df).collect()}
-    assert [(s.source, s.quote) for s in got["1"]] == [("explicit_mention", "Severe Muscle Pain"), ("sentence_overlap", "The muscle hurt.")]
+    assert [(s.source, s.quote) for s in got["1"]] == [("explicit_mention", "Severe Muscle Pain"), ("supporting_sentence", "The muscle hurt.")]
     assert got["2"] == []
 
 
@@ -157,7 +157,7 @@ def test_pages_of_a_service(spark):
 def test_casebook_places(spark):
     rows = [("1", 0.9, 0, "AUTO_CANDIDATE", "seen_code", "grounded"), ("2", 0.5, 0, "HUMAN", "unseen_code", "grounded"), ("3", 0.8, 1, "HUMAN", "seen_code", "grounded")]
     p = spark.createDataFrame(rows, "record_id string, confidence double, correct int, decision string, code_novelty string, explanation_status string")
-    got = [(r.case_id, r.record_id, r.review_reason) for r in audits.casebook(p, 10).orderBy("case_id").collect()]
+    got = [(r.casebook_id, r.record_id, r.review_reason) for r in audits.casebook(p, 10).orderBy("casebook_id").collect()]
     assert got == [("CASE-001", "1", "auto_candidate_error"), ("CASE-002", "2", "unseen_code_error"), ("CASE-003", "3", "correct_control")]
 
 
@@ -287,7 +287,8 @@ def test_quality_names_each_failure_once(spark):
         (["clinical_context_requires_review"], ["evidence_removal_did_not_reduce_score"], "FAIL", "HUMAN_REVIEW"), ([], [], "PASS", "AUTO_CANDIDATE"), (["no_evidence_quotes"], [], "FAIL", "HUMAN_REVIEW"), ([], ["evidence_removal_did_not_reduce_score"], "WARN", "AUTO_CANDIDATE"),
     ]
     q = explain.quality_summary(df).first()
-    assert (q.n, q.downgraded, q.auto_rate_before, q.auto_rate_after) == (6, 3, 5 / 6, 2 / 6)
+    assert (q.n, q.n_decisions_downgraded, q.automatic_or_proposal_rate_before_quality_gate, q.automatic_or_proposal_rate_after_quality_gate) == (6, 3, 5 / 6, 2 / 6)
+    assert q.additional_review_rate_due_to_explanation_gate == 3 / 6 and explain.quality_cases(df.withColumn("record_id", F.lit("r"))).filter("decision_downgraded").count() == 3
 
 
 def test_annotation_audit(spark):
