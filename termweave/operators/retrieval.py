@@ -49,7 +49,7 @@ def release() -> None:
 
 @dataclass(frozen=True)
 class Space:
-    """A fitted space. sublinear: term frequencies count as 1 + ln(tf). idf: (gram, gid, idf); numbers: weights stored in the items' vectors."""
+    """A fitted space. sublinear: term frequencies count as 1 + ln(tf). idf: (gram, gid, idf); numbers: weights stored in the items' vectors; items: how many there are."""
 
     grams: Callable[[Column | str], Column]
     sublinear: bool
@@ -57,6 +57,7 @@ class Space:
     postings: DataFrame
     numbers: int
     small: bool
+    items: int = 1
 
     @property
     def vectors(self) -> DataFrame:
@@ -103,10 +104,10 @@ def fit(corpus: DataFrame, grams: Callable, sublinear: bool = False, min_df: int
         df = df.orderBy(F.desc("total"), "gram").limit(max_features)
     n = corpus.agg(F.count_distinct("item").alias("n"))
     idf = kept(df.crossJoin(F.broadcast(n)).select("gram", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
-    size = idf.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("numbers")).first()
+    size = idf.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("numbers")).crossJoin(n.withColumnRenamed("n", "items")).first()
     idf = numbered(idf).select("gram", "gid", "idf")
     small = size["n"] <= BROADCAST_ROWS
-    return Space(grams, sublinear, idf, weighted(tf, F.broadcast(idf) if small else idf, sublinear), size["numbers"], small)
+    return Space(grams, sublinear, idf, weighted(tf, F.broadcast(idf) if small else idf, sublinear), size["numbers"], small, size["items"])
 
 
 def query_vectors(queries: DataFrame, space: Space) -> DataFrame:
@@ -148,7 +149,7 @@ def similarities(queries: DataFrame, space: Space, top: int | None = None, place
         joined = lambda x, of: np.concatenate([np.empty(0, of), *x])
         return products.made(schema, [batch.column("query").take(pa.array(joined(which, np.int64))), names.take(pa.array(joined(found, np.int64))), joined(sims, np.float64)])
 
-    return products.against(asked.withColumn("key", F.col("query")), items.withColumn("key", F.col("item")), space.numbers, load, answer, kind).select("query", "item", "sim")
+    return products.against(asked.withColumn("key", F.col("query")), items.withColumn("key", F.col("item")), space.numbers, load, answer, kind, per_query=top or space.items).select("query", "item", "sim")
 
 
 def best_by_code(queries: DataFrame, spaces: list[tuple[str, Space, float]], owners: DataFrame) -> DataFrame:
@@ -198,12 +199,95 @@ def best_by_code(queries: DataFrame, spaces: list[tuple[str, Space, float]], own
         return products.made(schema, [batch.column("query").take(pa.array(joined(which, np.int64))), rows["code"], *(joined(v, np.float64) for v in values), rows["item"], rows["place"]])
 
     numbers = sum(space.numbers for _, space, _ in spaces)
-    out = products.against(asked.withColumn("key", F.col("query")), items.withColumn("key", F.col("item")), numbers, load, answer, kind)
+    out = products.against(asked.withColumn("key", F.col("query")), items.withColumn("key", F.col("item")), numbers, load, answer, kind, per_query=owners.count())
     # Items of a code may lie in several blocks: the best of the blocks' best
     best = F.max_by(F.struct("fused", *names, "item"), F.struct(F.round("fused", 12), -F.col("place"))).alias("b")
     return out.groupBy("query", "code").agg(best).select("query", "code", "b.*")
 
 
+def top_codes(queries: DataFrame, sides: list[tuple[list[tuple[str, Space, float]], DataFrame, float]], codes: DataFrame, k: int, tie: bool = False, most: int | None = None) -> DataFrame:
+    """(query, code, score, a score for each space, item0, item1, ...): what the k best codes of each query can be, k of each block of items.
+
+    sides: (spaces with names and weights, owners (item, code, place), share); a code's score is the sum over the sides
+    of the share times its best item's fused cosine. codes: (code, row_seq). Items are dealt into blocks by their code;
+    a code of more than half a block is cut into parts, each with the code's items of all other sides. A code's score
+    is then reached in the part that has its best item, so the k best of every block hold the k best of all.
+    """
+    most = products.MOST if most is None else most
+    numbers = sum(space.numbers for spaces, _, _ in sides for _, space, _ in spaces)
+    asked, rows, fields = None, None, []
+    wide = max(len(spaces) for spaces, _, _ in sides)
+    none = lambda c, of: F.coalesce(c, F.array().cast(of))
+    for i, (spaces, own, _) in enumerate(sides):
+        items = own.select("item", "code", F.col("place").cast("long").alias("place")).join(codes.select("code", "row_seq"), "code")
+        for j, (_, space, _) in enumerate(spaces):
+            q = query_vectors(queries, space).withColumnsRenamed({"ids": f"ids{i}_{j}", "ws": f"ws{i}_{j}"})
+            asked = q if asked is None else asked.join(q, "query", "full_outer")
+            items = items.join(space.vectors.withColumnsRenamed({"ids": f"ids{j}", "ws": f"ws{j}"}), "item", "left")
+            fields.append((f"{i}_{j}", "array<bigint>", "array<double>"))
+        ready = [none(F.col(f"ids{j}") if j < len(spaces) else F.lit(None).cast("array<bigint>"), "array<bigint>").alias(f"ids{j}") for j in range(wide)]
+        ready += [none(F.col(f"ws{j}") if j < len(spaces) else F.lit(None).cast("array<double>"), "array<double>").alias(f"ws{j}") for j in range(wide)]
+        items = items.select(F.lit(i).alias("side"), F.col("item").cast("binary").alias("item"), "code", "place", "row_seq", *ready)
+        rows = items if rows is None else rows.unionByName(items)
+    asked = asked.select("query", *[none(F.col(f"ids{n}"), a).alias(f"ids{n}") for n, a, _ in fields], *[none(F.col(f"ws{n}"), b).alias(f"ws{n}") for n, _, b in fields])
+    if numbers > most:
+        size = sum(F.size(f"ids{j}") for j in range(wide))
+        # At most 2 * numbers / most codes are that large
+        large = rows.groupBy("code", "side").agg(F.sum(size).alias("n")).filter(F.col("n") > most // 2).groupBy("code").agg(F.max_by(F.struct("side", "n"), "n").alias("l"))
+        large = large.select("code", F.col("l.side").alias("_side"), F.ceil(F.col("l.n") / (most // 2)).cast("int").alias("_parts"))
+        rows = rows.join(F.broadcast(large), "code", "left")
+        part = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(F.col("side") == F.col("_side"), F.array(F.pmod(F.xxhash64("item"), F.col("_parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
+        rows = rows.withColumn("_part", F.explode(part)).withColumn("key", F.xxhash64("code", "_part")).drop("_side", "_parts", "_part")
+    else:
+        rows = rows.withColumn("key", F.lit(0))
+    names = [n for spaces, _, _ in sides for n, _, _ in spaces]
+    counts, weights, shares = [len(s) for s, _, _ in sides], [[w for _, _, w in s] for s, _, _ in sides], [f for _, _, f in sides]
+    found = [f"item{i}" for i in range(len(sides))]
+    kind = products.kind_of(f"query {dict(asked.dtypes)['query']}, code {dict(rows.dtypes)['code']}, score double, {', '.join(f'side{i} double' for i in range(len(sides)))}, {', '.join(f'{n} double' for n in names)}, {', '.join(f'{f} binary' for f in found)}")
+    schema = kind[1]
+
+    def load(table: pa.Table):
+        code = products.one(table["code"]).dictionary_encode()
+        index, side, place = code.indices.to_numpy(), table["side"].to_numpy(), table["place"].to_numpy()
+        seq = np.zeros(len(code.dictionary), np.int64)
+        seq[index] = table["row_seq"].to_numpy()
+        own, items = [], []
+        for i, n in enumerate(counts):
+            at = np.flatnonzero(side == i)
+            mine = table.take(pa.array(at))
+            s = products.Side(index[at], place[at], [(products.one(mine[f"ids{j}"]), products.one(mine[f"ws{j}"])) for j in range(n)], weights[i])
+            own.append(s)
+            items.append(products.one(mine["item"]).take(pa.array(s.order)))
+        return own, items, code.dictionary, seq
+
+    def answer(block, batch):
+        own, items, names_, seq = block
+        parts = [[products.each(batch, f"ids{i}_{j}", f"ws{i}_{j}") for j in range(n)] for i, n in enumerate(counts)]
+        which, code, score = [], [], []
+        side, item, product = [[] for _ in counts], [[] for _ in counts], [[] for _ in names]
+        for q in range(batch.num_rows):
+            at, whole, by_side, of_side, by_space = products.best_codes(own, shares, [[next(p) for p in ps] for ps in parts], len(seq), seq, k, tie)
+            which.append(np.full(len(at), q))
+            code.append(at)
+            score.append(whole)
+            for i in range(len(counts)):
+                side[i].append(by_side[i])
+                item[i].append(of_side[i])
+            for out, x in zip(product, [x for xs in by_space for x in xs], strict=True):
+                out.append(x)
+        flat = lambda x, of: np.concatenate([np.empty(0, of), *x])
+        taken = [items[i].take(pa.array(np.maximum(a := flat(item[i], np.int64), 0), mask=a < 0)) if len(items[i]) else pa.nulls(len(flat(item[i], np.int64)), pa.binary()) for i in range(len(counts))]
+        return products.made(schema, [batch.column("query").take(pa.array(flat(which, np.int64))), names_.take(pa.array(flat(code, np.int64))), flat(score, np.float64), *(flat(s, np.float64) for s in side), *(flat(p, np.float64) for p in product), *taken])
+
+    return products.against(asked.withColumn("key", F.col("query")), rows, numbers, load, answer, kind, most, k)
+
+
+def best_of_parts(top: DataFrame, sides: list) -> DataFrame:
+    """One row for each query and code of top_codes(): the highest score, and on each side the best item of all parts of the code."""
+    best = [F.max_by(F.struct(f"side{i}", *[n for n, _, _ in spaces], f"item{i}"), f"side{i}").alias(f"b{i}") for i, (spaces, _, _) in enumerate(sides)]
+    return top.groupBy("query", "code").agg(F.max("score").alias("score"), *best).select("query", "code", "score", *[f"b{i}.*" for i in range(len(sides))])
+
+
 def by_text(records: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Score each distinct query text once and give the scores to all rows with it. Records are (record_id, query_text) and row_id, where there is one."""
     named = records.withColumn("query", text_key("query_text"))
@@ -312,7 +396,13 @@ class HistoricalCoder:
 
     def predict(self, records: DataFrame) -> DataFrame:
         """(record_id, rank, code, score, terminology_score, history_score) for records with record_id, text and mention; with row_id where records have one or repeat."""
-        return by_text(query_text(identified(records)), lambda t: ranked(self.fused(self.components(t)), self.codes, t, self.k)).drop("query")
+        return by_text(query_text(identified(records)), lambda t: ranked(self.top(t), self.codes, t, self.k)).drop("query")
+
+    def top(self, texts: DataFrame, most: int | None = None) -> DataFrame:
+        """(query, code, score, terminology_score, history_score) of the best codes alone, k at most from each block."""
+        own = self.codes.select(F.col("code").alias("item"), "code", F.lit(0).alias("place"))
+        sides = [([("terminology_score", self.terms, 1.0)], own, 1 - self.weight), ([("history_score", self.memory, 1.0)], owners(self.history), self.weight)]
+        return best_of_parts(top_codes(texts, sides, self.codes, self.k, most=most), sides).select("query", "code", "score", "terminology_score", "history_score")
 
     def cases(self, records: DataFrame, n: int = 5) -> DataFrame:
         """(record_id, rank, code, text, similarity): the nearest history rows; equal rows stand as one."""
@@ -364,7 +454,15 @@ class AliasCoder:
 
     def predict(self, records: DataFrame) -> DataFrame:
         order = [F.desc(F.round("score", 12)), F.desc(F.round("terminology_score", 12)), F.col("row_seq")]
-        return by_text(query_text(identified(records)), lambda t: ranked(self.fused(self.components(t)), self.codes, t, self.k, order)).drop("query")
+        return by_text(query_text(identified(records)), lambda t: ranked(self.top(t), self.codes, t, self.k, order)).drop("query")
+
+    def top(self, texts: DataFrame, most: int | None = None) -> DataFrame:
+        """(query, code, score, terminology_score, history_score, char_score, word_score, matched_alias) of the best codes alone, k at most from each block."""
+        alias = [("char_score", self.char, 1 - self.ww), ("word_score", self.word, self.ww)]
+        sides = [(alias, self.aliases.select("item", "code", F.col("alias_idx").alias("place")), 1 - self.hw), ([("history_score", self.memory, 1.0)], owners(self.history), self.hw)]
+        best = best_of_parts(top_codes(texts, sides, self.codes, self.k, True, most), sides)
+        best = best.join(self.aliases.select(F.col("item").alias("item0"), F.col("alias").alias("matched_alias")), "item0", "left")
+        return best.select("query", "code", "score", F.col("side0").alias("terminology_score"), "history_score", "char_score", "word_score", "matched_alias")
 
 
 def unit_rows(column) -> np.ndarray:
@@ -457,7 +555,7 @@ class MultiLabelCoder:
         mean = self.notes.postings.join(self.labels, "item").groupBy(F.col("code").alias("item"), "gram", "gid").agg(F.sum("w").alias("w"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("item")))
         centroids = kept(mean.select("item", "gram", "gid", (F.col("w") / norm).alias("w")))
-        self.centroids = Space(word_grams, True, self.notes.idf, centroids, centroids.count(), self.notes.small)
+        self.centroids = Space(word_grams, True, self.notes.idf, centroids, centroids.count(), self.notes.small, self.codes.count())
         return self
 
     def scores(self, texts: DataFrame) -> DataFrame:
