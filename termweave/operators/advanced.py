@@ -53,6 +53,11 @@ class DenseIndex:
         self.history = retrieval.kept(encoded(own, self.encode, "code"))
         return self
 
+    def pool(self, texts: DataFrame, history_weight: float, pool: int, wanted: DataFrame | None = None) -> DataFrame:
+        """(query, code, dense_score, low, high) of the best codes and those wanted (query, code)."""
+        asked = encoded(texts.select("query", "text"), self.encode, "query")
+        return retrieval.dense_pool(asked, self.terms, self.history, history_weight, pool, wanted)
+
     def scores(self, texts: DataFrame, history_weight: float) -> DataFrame:
         """(query, code, dense_score) for every query and code of the terminology; a code without history has history score 0."""
         asked = encoded(texts.select("query", "text"), self.encode, "query")
@@ -83,7 +88,9 @@ class AdvancedCoder:
         c = self.config
         parts = self.lexical.components(texts) if parts is None else parts
         lexical = retrieval.ranked(self.lexical.fused(parts, c.history_weight), self.lexical.codes, texts, self.pool)
-        dense = self.dense.scores(texts, c.history_weight) if self.dense is not None else lexical.select("query", "code", F.lit(0.0).alias("dense_score")).limit(0)
+        if self.dense is not None:
+            lexical = retrieval.kept(lexical)
+        dense = self.dense.pool(texts, c.history_weight, self.pool, lexical.select("query", "code")) if self.dense is not None else lexical.select("query", "code", F.lit(0.0).alias("dense_score")).limit(0)
 
         def scored(rows: DataFrame) -> DataFrame:
             pairs = rows.select("query", "code").join(texts.select("query", F.col("text").alias("query_text")), "query").join(self.texts, "code")

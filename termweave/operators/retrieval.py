@@ -502,10 +502,104 @@ def dense_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
         which, code = np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q))
         return products.made(schema, [batch.column("query").take(pa.array(which)), codes.take(pa.array(code)), np.concatenate([np.empty(0), *out])])
 
-    out = products.against(asked, items, numbers, load, answer, kind)
+    out = products.against(asked, items, numbers, load, answer, kind, per_query=items.select("code").distinct().count())
     return out.groupBy("query", "code").agg(F.max("dense_score").alias("dense_score"))
 
 
+def dense_pool(queries: DataFrame, terms: DataFrame, history: DataFrame, share: float, pool: int, wanted: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(query, code, dense_score, low, high): of each query the `pool` best codes and those in `wanted`, and the least and greatest score over all codes.
+
+    queries: (query, vector); terms and history: (code, vector), all of one length; wanted: (query, code). A code's
+    score is (1 - share) times its terms' best cosine plus share times its history's, 0 without any; ties go to the
+    smaller code. A code's vectors lie in one block. One that fills more than half a block is cut into parts; its score
+    leaves every part, so that least and greatest stay exact. A block hands on the pool, what is wanted, such codes
+    and one row more for each query.
+    """
+    most = products.MOST if most is None else most
+    own = terms.select("code").distinct()
+    side = lambda df, i: df.join(own, "code", "left_semi").select(F.lit(i).alias("side"), "code", F.col("vector").cast("array<double>").alias("vector"))
+    rows = side(terms, 0).unionByName(side(history, 1))
+    sizes = rows.groupBy("code", "side").agg(F.sum(F.size("vector")).alias("n"))
+    numbers = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = rows.withColumn("split", F.lit(False)).withColumn("key", F.xxhash64("code"))
+    if numbers > most:
+        # At most 2 * numbers / most codes are that large
+        large = sizes.filter(F.col("n") > most // 2).groupBy("code").agg(F.max_by(F.struct("side", "n"), "n").alias("l"))
+        large = large.select("code", F.col("l.side").alias("_side"), F.ceil(F.col("l.n") / (most // 2)).cast("int").alias("_parts"))
+        rows = rows.join(F.broadcast(large), "code", "left")
+        part = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(F.col("side") == F.col("_side"), F.array(F.pmod(F.xxhash64("vector"), F.col("_parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
+        rows = rows.withColumn("split", F.col("_parts").isNotNull()).withColumn("_whole", F.coalesce("_side", F.lit(-1))).withColumn("_part", F.explode(part)).withColumn("key", F.xxhash64("code", "_part")).drop("_side", "_parts", "_part")
+    else:
+        rows = rows.withColumn("_whole", F.lit(-1))
+    asked = queries.select("query", F.col("vector").cast("array<double>").alias("vector"))
+    none = F.array().cast(f"array<{dict(rows.dtypes)['code']}>")
+    if wanted is not None:
+        asked = asked.join(wanted.groupBy("query").agg(F.collect_set("code").alias("wanted")), "query", "left")
+    asked = asked.select("query", "vector", (F.coalesce("wanted", none) if wanted is not None else none).alias("wanted"))
+    kind = products.kind_of(f"query {dict(asked.dtypes)['query']}, code {dict(rows.dtypes)['code']}, dense_score double, split boolean, low double, high double")
+    schema = kind[1]
+
+    def load(table: pa.Table):
+        table = table.sort_by("code")
+        code = products.one(table["code"]).dictionary_encode()
+        index, kind_, n = code.indices.to_numpy(), table["side"].to_numpy(), len(code.dictionary)
+        split, whole = np.zeros(n, bool), np.full(n, -1)
+        split[index] = table["split"].to_numpy()
+        whole[index] = table["_whole"].to_numpy()
+        x = unit_rows(table["vector"])
+        parts = []
+        for i in (0, 1):
+            at = np.flatnonzero(kind_ == i)
+            first = np.flatnonzero(np.r_[True, index[at][1:] != index[at][:-1]]) if len(at) else np.empty(0, np.int64)
+            parts.append((x[at], first, index[at][first]))
+        names = code.dictionary
+        return parts, names, {v: j for j, v in enumerate(names.to_pylist())}, split, whole
+
+    def answer(block, batch):
+        parts, names, place, split, whole = block
+        q, n = unit_rows(batch.column("vector")), len(names)
+        which, code, score, ends = [], [], [], []
+        lists = batch.column("wanted").to_pylist()
+        for at in range(0, len(q), 256):
+            best = []
+            for x, first, of in parts:
+                s = np.zeros((len(q[at : at + 256]), n))
+                if len(first):
+                    s[:, of] = np.maximum.reduceat(q[at : at + 256] @ x.T, first, axis=1)
+                best.append(s)
+            fused = (1 - share) * best[0] + share * best[1]
+            # A part of a code without a vector of the side that was cut knows nothing of the code
+            for i, (_, _, of) in enumerate(parts):
+                blind = np.flatnonzero(split & (whole == i))
+                fused[:, np.setdiff1d(blind, of)] = -np.inf
+            for i, row in enumerate(fused):
+                some = np.flatnonzero(row >= np.partition(row, n - pool)[n - pool]) if n > pool else np.arange(n)
+                some = some[np.lexsort((some, -row[some]))[:pool]]
+                extra = [place[c] for c in lists[at + i] if c in place]
+                some = np.unique(np.concatenate([some, np.flatnonzero(split), np.array(extra, np.int64)])).astype(np.int64)
+                some = some[np.isfinite(row[some])]
+                which.append(np.full(len(some), at + i))
+                code.append(some)
+                score.append(row[some])
+                plain = row[~split]
+                ends.append((plain.min(), plain.max()) if len(plain) else (None, None))
+        flat = lambda x, of: np.concatenate([np.empty(0, of), *x])
+        w, c, k = flat(which, np.int64), flat(code, np.int64), len(ends)
+        column = lambda a, b, of: pa.concat_arrays([a.cast(of), b.cast(of)])
+        # The last rows have no code: they tell the least and greatest scores of the block
+        return products.made(schema, [
+            pa.concat_arrays([products.one(batch.column("query").take(pa.array(w))), products.one(batch.column("query"))]), column(names.take(pa.array(c)), pa.nulls(k), schema.field("code").type),
+            column(pa.array(flat(score, np.float64)), pa.nulls(k), pa.float64()), column(pa.array(split[c]), pa.nulls(k), pa.bool_()),
+            column(pa.nulls(len(c)), pa.array([a for a, _ in ends], pa.float64()), pa.float64()), column(pa.nulls(len(c)), pa.array([b for _, b in ends], pa.float64()), pa.float64()),
+        ])
+
+    out = products.against(asked.withColumn("key", F.col("query")), rows, numbers, load, answer, kind, most, pool + 1)
+    scores = out.filter("code is not null").groupBy("query", "code").agg(F.max("dense_score").alias("dense_score"), F.first("split").alias("split"))
+    cut = scores.filter("split").select("query", F.col("dense_score").alias("low"), F.col("dense_score").alias("high"))
+    ends = out.filter("code is null").select("query", "low", "high").unionByName(cut).groupBy("query").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return scores.drop("split").join(ends, "query")
+
+
 def min_max(value: Column | str, *by: str) -> Column:
     """Scaled to [0, 1] within each group; 0 where all are equal."""
     v = F.col(value) if isinstance(value, str) else value
@@ -518,12 +612,14 @@ def advanced(lexical: DataFrame, dense: DataFrame, pool: int = 50, top_k: int =
     """Pools the best lexical and dense candidates and fuses them; a reranker may score the pool.
 
     lexical: (query, code, score); dense: (query, code, dense_score) of every code, scaled over all of them before the
-    pools are made. A code from the dense pool alone has lexical score 0. Ties go to the smaller code.
+    pools are made, or what dense_pool() gives, which brings the ends of the scale along. A code from the dense pool
+    alone has lexical score 0. Ties go to the smaller code.
     """
     first = lambda df, c: df.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(F.desc(c), "code"))).filter(F.col("_n") <= pool).drop("_n")
     lex = first(lexical.select("query", "code", F.col("score").alias("lexical_score")), "lexical_score")
     if dense_weight > 0:
-        scaled = dense.withColumn("dense_scaled", min_max("dense_score", "query"))
+        within = F.when(F.col("high") <= F.col("low"), 0.0).otherwise((F.col("dense_score") - F.col("low")) / (F.col("high") - F.col("low"))) if "low" in dense.columns else min_max("dense_score", "query")
+        scaled = dense.withColumn("dense_scaled", within)
         names = lex.select("query", "code").union(first(scaled, "dense_score").select("query", "code")).distinct()
     else:
         scaled, names = dense.withColumn("dense_scaled", F.lit(0.0)), lex.select("query", "code")

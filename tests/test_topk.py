@@ -112,3 +112,33 @@ def test_batches_are_bounded(spark, monkeypatch):
     sizes = [r.n for r in got.collect()]
     assert max(sizes) <= 200 and sum(sizes) == 40 * texts.count()
     assert retrieval.similarities(texts, c.terms).count() > 200
+
+
+def test_dense_pools_are_those_of_all_scores(spark):
+    """Pools, wanted codes and the ends of the scale, in one block and in many, with negative cosines and a code that has half of all vectors."""
+    rng = np.random.default_rng(3)
+    codes = [f"C{i:02d}" for i in range(30)]
+    vec = lambda n: rng.normal(size=(n, 6)).round(3).tolist()
+    terms = spark.createDataFrame([(c, v) for c, v in zip(codes, vec(30), strict=True)], "code string, vector array<double>")
+    own = ["C04" if rng.random() < 0.5 else codes[rng.integers(20)] for _ in range(200)] + ["ZZ"]
+    history = spark.createDataFrame([(c, v) for c, v in zip(own, vec(201), strict=True)], "code string, vector array<double>")
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(vec(25))] + [(99, [0.0] * 6)], "query long, vector array<double>")
+    wanted = spark.createDataFrame([(i, codes[i % 30]) for i in range(25)] + [(3, "none"), (3, "C29")], "query long, code string")
+    for share in (0.0, 0.4, 1.0):
+        t = retrieval.dense_scores(queries, terms).withColumnRenamed("dense_score", "t")
+        h = retrieval.dense_scores(queries, history).withColumnRenamed("dense_score", "h")
+        every = t.join(h, ["query", "code"], "left").select("query", "code", ((1 - share) * F.col("t") + share * F.coalesce("h", F.lit(0.0))).alias("s")).toPandas()
+        for most in (None, 300):
+            got = retrieval.dense_pool(queries, terms, history, share, 4, wanted, most).toPandas()
+            for q, rows in every.groupby("query"):
+                mine = got[got["query"] == q].set_index("code")
+                order = rows.assign(r=rows["s"].round(12)).sort_values(["r", "code"], ascending=[False, True])
+                need = set(order["code"][:4]) | {c for i, c in [(i, codes[i % 30]) for i in range(25)] + [(3, "C29")] if i == q}
+                assert need <= set(mine.index) and len(mine) <= 4 + 2 + 8 * (1 if most is None else 8)
+                s = rows.set_index("code")["s"]
+                assert all(abs(mine["dense_score"][c] - s[c]) < 1e-12 for c in mine.index)
+                assert abs(mine["low"] - s.min()).max() < 1e-12 and abs(mine["high"] - s.max()).max() < 1e-12
+            lexical = wanted.filter("code <> 'none'").withColumn("score", F.lit(0.5))
+            full = spark.createDataFrame(every.rename(columns={"s": "dense_score"}))
+            rank = lambda d, lexical=lexical: sorted((r["query"], r["rank"], r["code"], round(r["score"], 9)) for r in retrieval.advanced(lexical, d, 4, 3, 0.5).collect())
+            assert rank(retrieval.dense_pool(queries, terms, history, share, 4, wanted, most)) == rank(full)
