@@ -1,34 +1,34 @@
 """Operator 10: benchmark decontamination with an FM-index per training shard.
 
-The documents of a task are cut into shards. A shard's words become symbols: a number for each word that occurs in the
-benchmark, and one separator for all others and for the ends of texts, as no phrase holds those. Runs of benchmark
-words shorter than the shortest phrase are left out, for the same reason. Over the rest an FM-index is built (suffix
-array, Burrows-Wheeler transform, wavelet matrix, sampled suffix positions); all phrases are searched backward at
-once, their occurrences located from the sampled positions, and the spans of words they cover merged.
+The documents of a task are cut into shards. A shard's words become symbols of its own, and one separator stands for
+words that the benchmark does not have and for the ends of texts, as no phrase holds those. Runs of benchmark words
+shorter than the shortest phrase are left out, for the same reason. Over the rest an FM-index is built once (suffix
+array, Burrows-Wheeler transform, wavelet matrix, sampled suffix positions). The benchmark's phrases come in blocks; a
+block's words are looked up among the shard's symbols, its phrases searched backward at once, their occurrences located
+from the sampled positions, and the spans of words they cover merged over all blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import arrow_batch, carried, carried_schema, sliced, table, written
+from termweave.llm.common import arrow_batch, carried, carried_schema, hashed_bytes, in_filter, sliced, table
 
 PHRASE = 10
-#: Indexed symbols and document words of a shard.
-SHARD_SYMBOLS, SHARD_WORDS = 400_000, 300_000
+#: Indexed symbols and characters of a shard.
+SHARD_SYMBOLS, SHARD_BYTES = 400_000, 2_000_000
 #: Every so many suffix positions one is kept.
 SAMPLED = 16
-#: Bytes of benchmark texts that are searched at once. A larger benchmark is searched block by block, each block in a
-#: pass of its own, so that driver and workers never hold more than one.
+#: Bytes of benchmark texts in a block: driver and workers hold one block at a time.
 BLOCK_BYTES = 4 << 20
+#: Bits of the bitmap of all words of the benchmark, by their hashes (1 MB).
+FILTER_BITS = 1 << 23
 
 #: Bytes outside words become blanks, A-Z become a-z; bytes of characters beyond ASCII stay.
 WORDS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -36,10 +36,6 @@ WORDS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(WORDS).split() if text else []
-
-
 class FMIndex:
     """Over an array of symbols 1..size-1; 0 ends the text."""
 
@@ -113,62 +109,100 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of benchmark items, as symbols: by length, an array of them and the items of each."""
+    """The windows of some benchmark items: 64-bit hashes of their words, and by length an array of places among these with the items of each distinct window."""
 
     def __init__(self, items: list[tuple[str, str | None]], length: int = PHRASE) -> None:
-        self.symbol: dict[bytes, int] = {}
-        owners: dict[tuple, set] = defaultdict(set)
+        named: dict[str, int] = {}
+        raw, lengths, who = [], [], []
         for item, text in items:
-            own = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in words_of(text)]
-            for at in range(max(1, len(own) - length + 1) if own else 0):
-                owners[tuple(own[at : at + length])].add(item)
-        self.groups = []
-        for m in sorted({len(p) for p in owners}):
-            own = [p for p in owners if len(p) == m]
-            self.groups.append((m, np.array(own, np.int64), [sorted(owners[p]) for p in own]))
-        self.shortest = min((m for m, *_ in self.groups), default=0)
-
-    def occurrences(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, list]]:
-        """(document, first word, words, items) of every occurrence."""
-        get, symbol = self.symbol.get, self.symbol
-        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        ids = np.ones(int(lengths.sum()) + len(docs), np.int64)
-        starts = np.cumsum(lengths + 1) - lengths - 1
-        for s, own in zip(starts, docs, strict=True):
-            ids[s : s + len(own)] = [get(w, 1) for w in own]
-        known = np.r_[False, ids > 1, False]
-        edge = np.flatnonzero(known[1:] != known[:-1])
-        begin, end = edge[::2], edge[1::2]
-        long = end - begin >= self.shortest
-        begin, end = begin[long], end[long]
-        if not len(begin):
+            h = word_hashes(text)[2]
+            if len(h):
+                raw.append(h)
+                lengths.append(len(h))
+                who.append(named.setdefault(item, len(named)))
+        self.items = list(named)
+        flat = np.concatenate([np.empty(0, np.uint64), *raw])
+        self.words, place = np.unique(flat, return_inverse=True)
+        size, who = np.array(lengths, np.int64), np.array(who, np.int64)
+        begin = np.cumsum(size) - size
+        #: (length, windows as places of words, where each window's items begin, the items)
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for m in sorted({min(int(n), length) for n in size}):
+            own = np.flatnonzero((size == m) if m < length else (size >= length))
+            count = size[own] - m + 1
+            starts = np.repeat(begin[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            windows = place[starts[:, None] + np.arange(m)].astype(np.int32)
+            windows, which = np.unique(windows, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.repeat(who[own], count)]), axis=1)
+            self.groups.append((m, windows, np.searchsorted(pairs[0], np.arange(len(windows) + 1)), pairs[1]))
+        self.shortest = self.groups[0][0] if self.groups else 0
+
+    def found(self, index: FMIndex, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, window of each occurrence, its place in the text, where each window's items begin, the items) for an index over `words`, whose symbols are their places and 2."""
+        if not len(words):
             return
-        ends = np.cumsum(end - begin + 1)  # each run, and the separator after it
-        limit = 0
-        while limit < len(begin):
-            done = ends[limit - 1] if limit else 0
-            to = max(limit + 1, int(np.searchsorted(ends, done + SHARD_SYMBOLS)))
-            b, e = begin[limit:to], end[limit:to] + 1
-            step = np.ones(int((e - b).sum()), np.int64)
-            step[0] = b[0]
-            step[np.cumsum(e - b)[:-1]] = b[1:] - e[:-1] + 1
-            place = np.cumsum(step)
-            there = np.zeros(len(symbol) + 2, bool)
-            there[ids[place]] = True
-            index = FMIndex(ids[place], len(symbol) + 2)
-            for m, phrases, items in self.groups:
-                some = np.flatnonzero(there[phrases].all(1))  # the others have a word that the shard lacks
-                phrases = phrases[some]
-                low, high = index.ranges(phrases)
-                count = high - low
-                which = np.repeat(np.arange(len(phrases)), count)
-                if len(which):
-                    rows = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(which))
-                    at = place[index.locate(rows)]
-                    doc = np.searchsorted(starts, at, side="right") - 1
-                    for d, w, p in zip(doc.tolist(), (at - starts[doc]).tolist(), which.tolist(), strict=True):
-                        yield d, w, m, items[some[p]]
-            limit = to
+        at = np.minimum(np.searchsorted(words, self.words), len(words) - 1)
+        symbol = np.where(words[at] == self.words, at + 2, 0)
+        for m, windows, edges, items in self.groups:
+            phrases = symbol[windows]
+            some = np.flatnonzero((phrases > 0).all(1))  # the others have a word that the shard lacks
+            low, high = index.ranges(phrases[some])
+            count = high - low
+            if count.any():
+                rows = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                yield m, np.repeat(some, count), index.locate(rows), edges, items
+
+
+def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end in its translated bytes, and their hashes."""
+    return hashed_bytes((text or "").encode("utf-8", "surrogatepass").translate(WORDS) + b" ")
+
+
+def shard_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of some texts, and where each text's begin (and the last one's end)."""
+    raw = [(t or "").encode("utf-8", "surrogatepass").translate(WORDS) + b" " for t in texts]
+    start, _, h = hashed_bytes(b"".join(raw))
+    return h, np.append(np.searchsorted(start, np.cumsum([0] + [len(r) for r in raw])[:-1]), len(h))
+
+
+def searched(h: np.ndarray, edges: np.ndarray, known: np.ndarray, shortest: int, blocks: list) -> Iterator[tuple]:
+    """What Phrases.found gives, with places of words in h, and the phrases: for the shard's indexes and every block of the benchmark.
+
+    Words that no phrase has (`known` is false; a phrase's word never is) and ends of texts become separators, and runs
+    too short for any phrase are left out. An index is built once and all blocks are searched in it.
+    """
+    if not shortest:
+        return
+    n = len(h)
+    breaks = np.zeros(n + 1, bool)
+    breaks[edges] = True  # a text begins here
+    # Runs of known words inside one text
+    begin = np.flatnonzero(known & (np.r_[True, ~known[:-1]] | breaks[:n]))
+    end = np.flatnonzero(known & (np.r_[~known[1:], True] | breaks[1:])) + 1
+    long = end - begin >= shortest
+    begin, end = begin[long], end[long]
+    ends = np.cumsum(end - begin + 1)  # each run, and the separator after it
+    at = 0
+    while at < len(begin):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + SHARD_SYMBOLS)))
+        b, e = begin[at:to], end[at:to]
+        size = e - b + 1
+        place = np.repeat(b - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        gap = np.cumsum(size) - 1
+        inside = np.ones(len(place), bool)
+        inside[gap] = False
+        words, symbol = np.unique(h[place[inside]], return_inverse=True)
+        symbols = np.ones(len(place), np.int64)
+        symbols[inside] = symbol + 2
+        index = FMIndex(symbols, len(words) + 2)
+        for told in blocks:
+            phrases = told.value
+            for m, window, where, starts, items in phrases.found(index, words):
+                yield m, window, place[where], starts, items, phrases.items
+            if len(blocks) > 1:
+                told.__dict__.pop("_value", None)  # a worker holds one block at a time
+        at = to
 
 
 def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -198,17 +232,16 @@ def blocks_of(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str |
     yield own
 
 
-def shards(batch) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """(first row, row after the last, words of each) for parts of a batch of about SHARD_WORDS words."""
+def shards(batch) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) for parts of a batch of about SHARD_BYTES; a longer text is one."""
     texts, at = batch.column("text"), 0
     while at < len(texts):
-        split, total, end = [], 0, at
-        while end < len(texts) and (end == at or total < SHARD_WORDS):
-            split.append(words_of(texts[end].as_py()))
-            total += len(split[-1])
-            end += 1
-        yield at, end, split
-        at = end
+        own, size = [], 0
+        while at + len(own) < len(texts) and (not own or size < SHARD_BYTES):
+            own.append(texts[at + len(own)].as_py())
+            size += len(own[-1] or "")
+        yield at, own
+        at += len(own)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, text: bool = True, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -216,87 +249,54 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, t
 
     Phrases are `length` consecutive words of an item, or all words of an item with fewer. A null text, of a document
     or an item, has no words. Items of the same id count once. An empty benchmark hits nothing; an empty table gives
-    no rows; repeated rows are judged one by one. Columns other than those used are not looked at. The benchmark is
-    the stated query set: blocks of it, of a bounded size, are searched in every shard. Of more than one block, each
-    has a pass whose hits are written, and a last pass merges them. The columns named in `keep` come along.
+    no rows; repeated rows are judged one by one. Columns other than those used are not looked at. Words are told apart
+    by 64 bits. The benchmark is the stated query set: it is sent out in blocks of a bounded size, all of which are
+    searched in each shard's index in the one pass over the documents; nothing is shuffled. The columns named in
+    `keep` come along.
     """
     spark = docs.sparkSession
     ddl = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", starts array<long>, ends array<long>, text string" * text
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-
-    def judged(batch, found) -> Iterator:
-        """Output for a batch; found(first, end, words) gives (row of the part, first word, words, items) of every hit."""
-        keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        for at, end, split in shards(batch):
-            change: dict[int, np.ndarray] = {}
-            items: dict[int, set] = defaultdict(set)
-            for d, w, m, own in found(at, end, split):
-                c = change.setdefault(d, np.zeros(len(split[d]) + 1, np.int32))
-                c[w] += 1
-                c[w + m] -= 1
-                items[d].update(own)
-            out: list[list] = [[] for _ in range(6 + 3 * text)]
-            for i, key in enumerate(keys[at:end]):
-                hit = np.cumsum(change[i][:-1]) > 0 if i in change else None
-                row = [key, len(split[i]), 0 if hit is None else int(hit.sum()), len(items.get(i, ())), hashlib.sha256(",".join(sorted(items.get(i, ()))).encode()).hexdigest(), hit is not None]
-                if text:
-                    body = texts[at + i].as_py()
-                    spans, clean = [] if hit is None else spans_of(body, hit), body
-                    for a, b in reversed(spans):
-                        clean = clean[:a] + clean[b:]
-                    row += [[a for a, _ in spans], [b for _, b in spans], clean]
-                for c, x in zip(out, row, strict=True):
-                    c.append(x)
-            yield carried(arrow_batch(ddl, *out), batch.slice(at, end - at), keep)
-
-    blocks = blocks_of(benchmark, block_bytes)
-    first = Phrases(next(blocks), length)
-    second = next(blocks, None)
-    if second is None:
-        told = spark.sparkContext.broadcast(first)
-
-        def run(batches) -> Iterator:
-            for batch in sliced(batches):
-                yield from judged(batch, lambda at, end, split: told.value.occurrences(split))
-
-        return rows.mapInArrow(run, carried_schema(ddl, rows, keep))
-
-    # A document's hits are found again by its id and 128 bits of its text; so repeated rows are judged alike
-    named = rows.withColumn("body", F.md5(F.coalesce("text", F.lit(""))))
-    hits = "doc_id long, body string, at long, size long, items array<string>"
-    parts = []
-    for items in chain([None, second], blocks):
-        told = spark.sparkContext.broadcast(first if items is None else Phrases(items, length))
-
-        def search(batches, told=told) -> Iterator:
-            for batch in sliced(batches):
-                keys, bodies = batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()
-                for at, _, split in shards(batch):
-                    out = [(keys[at + d], bodies[at + d], w, m, own) for d, w, m, own in told.value.occurrences(split)]
-                    if out:
-                        yield arrow_batch(hits, *map(list, zip(*out, strict=True)))
-
-        own = named.select("doc_id", "body", "text").dropDuplicates(["doc_id", "body"]).mapInArrow(search, carried_schema(hits, named, ()))
-        parts.append(written(own, "hits"))
-        told.destroy()
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy(F.col("doc_id").alias("hit_id"), F.col("body").alias("hit_body")).agg(F.collect_list("at").alias("hit_at"), F.collect_list("size").alias("hit_size"), F.collect_list("items").alias("hit_items"))
-    joined = named.join(every, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("body") == F.col("hit_body")), "left").drop("body", "hit_id", "hit_body")
-
-    def merge(batches) -> Iterator:
+    blocks, shortest, words = [], 0, np.zeros(FILTER_BITS // 64, np.uint64)
+    for items in blocks_of(benchmark, block_bytes):
+        block = Phrases(items, length)
+        if block.shortest:
+            shortest = min(shortest or block.shortest, block.shortest)
+            at = block.words & np.uint64(FILTER_BITS - 1)
+            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            blocks.append(spark.sparkContext.broadcast(block))
+    #: Words that some phrase may have: a word that is let through by chance only makes an index larger
+    told = spark.sparkContext.broadcast(words)
+
+    def run(batches) -> Iterator:
         for batch in sliced(batches):
-            where, sizes, owners = (batch.column(c) for c in ("hit_at", "hit_size", "hit_items"))
-
-            def found(at, end, split, where=where, sizes=sizes, owners=owners):
-                for i in range(at, end):
-                    for w, m, own in zip(where[i].as_py() or (), sizes[i].as_py() or (), owners[i].as_py() or (), strict=True):
-                        yield i - at, w, m, own
-
-            yield from judged(batch, found)
-
-    return joined.mapInArrow(merge, carried_schema(ddl, rows, keep))
+            keys = batch.column("doc_id").to_pylist()
+            for at, texts in shards(batch):
+                h, edges = shard_words(texts)
+                change, owned = np.zeros(len(h) + 1, np.int32), {}
+                known = in_filter(told.value, FILTER_BITS, h)
+                for m, window, place, starts, items, names in searched(h, edges, known, shortest, blocks):
+                    np.add.at(change, place, 1)
+                    np.add.at(change, place + m, -1)
+                    doc = np.searchsorted(edges, place, side="right") - 1
+                    pairs = np.unique(np.stack([doc, window]), axis=1)
+                    for d, w in pairs.T.tolist():
+                        owned.setdefault(d, set()).update(names[i] for i in items[starts[w] : starts[w + 1]])
+                hit = np.cumsum(change[:-1]) > 0
+                out: list[list] = [[] for _ in range(6 + 3 * text)]
+                for i, body in enumerate(texts):
+                    own, found = hit[edges[i] : edges[i + 1]], sorted(owned.get(i, ()))
+                    row = [keys[at + i], len(own), int(own.sum()), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), i in owned]
+                    if text:
+                        spans, clean = spans_of(body, own) if i in owned else [], body
+                        for a, b in reversed(spans):
+                            clean = clean[:a] + clean[b:]
+                        row += [[a for a, _ in spans], [b for _, b in spans], clean]
+                    for c, x in zip(out, row, strict=True):
+                        c.append(x)
+                yield carried(arrow_batch(ddl, *out), batch.slice(at, len(texts)), keep)
+
+    return rows.mapInArrow(run, carried_schema(ddl, rows, keep))
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
