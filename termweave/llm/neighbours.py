@@ -10,6 +10,7 @@ query by the approximation are joined with the original vectors and compared exa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ SAMPLE = 20_000
 BOOKS, WORDS, BEAM, ROUNDS = 32, 128, 4, 4
 #: Candidates that each query compares exactly.
 RERANK = 200
-#: Components are held within this size in the index, where squares are summed as floats; distances are not affected.
-LARGEST = 1e18
+#: Pairs of one row of the index that meet in one task of the rerank; a row found more often is dealt out in copies.
+HUB = 2000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -81,11 +82,13 @@ def fit(x: np.ndarray, m: int = BOOKS, k: int = WORDS, rounds: int = ROUNDS) ->
     return (start + np.linalg.solve(gram + np.eye(m * k), right - gram @ start)).reshape(m, k, -1).astype(np.float32)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the rows that take part: an id, and finite components, not all zero, of the most frequent length."""
+def usable(vectors: DataFrame, size: int | None = None) -> DataFrame:
+    """(vec_id, embedding) of the rows that take part: an id, and finite components, not all zero, of the length `size`, or else the most frequent one."""
     v = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.filter(F.coalesce(fine, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
+    if size is not None:
+        return v.filter(F.size("embedding") == size)
     sizes = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return v.filter(F.size("embedding") == (sizes[0]["d"] if sizes else 0))
 
@@ -96,11 +99,12 @@ def matrix(column) -> np.ndarray:
     return numbers.reshape(len(at) - 1, -1) if len(at) > 1 else np.zeros((0, 1))
 
 
-def as_floats(x: np.ndarray) -> np.ndarray:
-    return np.clip(x, -LARGEST, LARGEST).astype(np.float32)
+def as_floats(x: np.ndarray, scale: float) -> np.ndarray:
+    """Scaled by a power of two under which the table's largest component is below 1: no square leaves a float, and the order of distances stays."""
+    return (x * scale).astype(np.float32)
 
 
-def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
+def index(vectors: DataFrame, books: np.ndarray, scale: float = 1.0) -> DataFrame:
     """(vec_id, codes, norm) for every row."""
     told = vectors.sparkSession.sparkContext.broadcast(books)
 
@@ -108,7 +112,7 @@ def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                codes = encode(as_floats(matrix(part.column("embedding"))), told.value)
+                codes = encode(as_floats(matrix(part.column("embedding")), scale), told.value)
                 near = told.value[np.arange(codes.shape[1]), codes.astype(np.int64)].sum(1)
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near.astype(np.float64) ** 2).sum(1))], ["vec_id", "codes", "norm"])
 
@@ -124,7 +128,7 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], score[at]))[:k]]
 
 
-def search(stored: DataFrame, n: int, books: np.ndarray, asked: DataFrame, rerank: int = RERANK, most: int | None = None) -> DataFrame:
+def search(stored: DataFrame, n: int, books: np.ndarray, asked: DataFrame, rerank: int = RERANK, most: int | None = None, scale: float = 1.0) -> DataFrame:
     """(query_id, vec_id): the `rerank` rows of the index (of n rows) that are nearest by the approximation, for every query (vec_id, embedding)."""
     m = books.shape[0]
     told = stored.sparkSession.sparkContext.broadcast(books)
@@ -138,7 +142,7 @@ def search(stored: DataFrame, n: int, books: np.ndarray, asked: DataFrame, reran
     def answer(block, batch):
         codes, norm, ids = block
         own, which, found, scores = batch.column("query_id").to_numpy(), [], [], []
-        for i, q in enumerate(as_floats(matrix(batch.column("embedding")))):
+        for i, q in enumerate(as_floats(matrix(batch.column("embedding")), scale)):
             look = 2 * (told.value @ q).astype(np.float64)  # a row of products for each codebook
             score = norm.copy()
             for j in range(m):
@@ -160,8 +164,14 @@ def search(stored: DataFrame, n: int, books: np.ndarray, asked: DataFrame, reran
 
 
 def exact(found: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score): the distances of the pairs (query_id, vec_id) on the original vectors."""
-    pairs = found.join(rows.select("vec_id", F.col("embedding").alias("x")), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    """(query_id, vec_id, score): the distances of the pairs (query_id, vec_id) on the original vectors.
+
+    A row that many queries have found (a common vector, say) is copied, and its pairs are dealt out among the copies.
+    """
+    hubs = found.groupBy("vec_id").count().filter(F.col("count") > HUB).select("vec_id", F.ceil(F.col("count") / HUB).cast("int").alias("copies"))
+    own = rows.join(hubs, "vec_id", "left").select("vec_id", F.col("embedding").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    dealt = found.join(hubs, "vec_id", "left").select("vec_id", "query_id", F.pmod(F.xxhash64("query_id"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+    pairs = dealt.join(own, ["vec_id", "copy"]).join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
 
     def run(batches) -> Iterator:
         for batch in batches:
@@ -176,18 +186,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, by Euclidean distance on the vectors.
 
     A query's own id is no candidate. Vectors that are null or zero, that hold null or non-finite components, or whose
-    length is not the most frequent one take no part, nor do rows without an id; of equal distances the smaller vec_id
-    comes first; rows that repeat an id are candidates each, and as queries they are one. Fewer candidates than k: all
-    of them. An empty table gives no rows. Columns other than vec_id and embedding are not looked at.
+    length is not the most frequent one of `vectors` take no part, nor do rows without an id; of equal distances the
+    smaller vec_id comes first; rows that repeat an id are candidates each, and as queries they are one, the least
+    vector. Fewer candidates than k: all of them. An empty table gives no rows. Columns other than vec_id and
+    embedding are not looked at.
     """
     rows = usable(vectors)
-    n = rows.count()
+    told = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("largest"), F.first(F.size("embedding")).alias("d")).first()
+    n, scale = told["n"], math.ldexp(1.0, -max(-1000, min(1000, math.frexp(told["largest"] or 1.0)[1])))
     part = min(1.0, sample / max(n, 1))
     some = rows.filter(F.xxhash64("vec_id").bitwiseAND(F.lit((1 << 40) - 1)) < part * float(1 << 40)).select("embedding").toArrow()
-    books = fit(as_floats(matrix(some["embedding"])))
-    stored = written(index(rows, books), "index")
-    asked = usable(queries).dropDuplicates(["vec_id"])
-    found = exact(search(stored, n, books, asked, max(rerank, k), most), rows, asked)
+    books = fit(as_floats(matrix(some["embedding"]), scale))
+    stored = written(index(rows, books, scale), "index")
+    asked = usable(queries, told["d"] or 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    near = written(search(stored, n, books, asked, max(rerank, k), most, scale), "found")
+    found = exact(near, rows, asked)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
