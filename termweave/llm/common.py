@@ -34,13 +34,12 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again. Survives the loss of any executor.
 
-    `narrow`: the rows are short (ids, hashes, counts); they are brought into fewer files first, as a file for each
-    shuffle partition would be a small one. The partitions that computed them stay as many as they are.
+    `narrow`: the rows are short (ids, hashes, counts), and a file for each shuffle partition would be a small one: Spark
+    rebalances them by bytes, into as many files as they fill and no task larger than that.
     """
     path = fresh_path(df.sparkSession, tag)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if narrow and parts > 16:
-        df = df.repartition(max(16, parts // 16))
+    if narrow:
+        df = df.hint("rebalance")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,6 +4,7 @@ A Bloom filter is kept for every language, all of them sliced by bit into one ta
 languages whose filter has bit i set. ANDing the slots of an n-gram gives all languages that contain it, in as many
 reads as there are hash functions. A text's count for a language is the number of its n-grams whose mask has that bit,
 corrected for the rate at which that language's filter answers yes by chance; the largest corrected count decides.
+A language's filter leaves out n-grams that are rare in it, or far more frequent in another language.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ PER_LANGUAGE = 3000
 N, HASHES = 4, 3
 #: Slots of a filter for each n-gram of the language that has most, and slots at least.
 SLOTS_PER_GRAM, LEAST_SLOTS = 12, 1 << 16
-#: An n-gram belongs to a language if it occurs this often and its share there is this part of its largest share.
+#: An n-gram is put into a language's filter if it occurs this often there and its share is this part of its largest
+#: share: filters hold what tells languages apart, not all that was ever seen in one (README has the accuracy of both).
 LEAST, PART = 3, 0.25
 #: Characters of text taken at once.
 AT_ONCE = 250_000

@@ -62,7 +62,11 @@ def points(text: str) -> np.ndarray:
 
 
 def discounts(counts: DataFrame) -> list[float]:
-    """D1, D2 and D3+ from how many n-grams occur once, twice, three and four times."""
+    """D1, D2 and D3+ from how many n-grams occur once, twice, three and four times.
+
+    The estimate has no value where one of these is 0 (a corpus of a few words): then the discounts are 0.5, 1 and 1.5,
+    which keep every count positive.
+    """
     n = counts.agg(*[F.coalesce(F.sum(F.when(F.col("c") == i, 1)), F.lit(0)).alias(f"n{i}") for i in range(1, 5)]).first()
     if not all(n[f"n{i}"] for i in range(1, 5)):
         return [0.5, 1.0, 1.5]
@@ -265,9 +269,10 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     Trusted are the documents with labels, all of quality 1 and none toxic. Four fifths of them train the model, and
     the perplexities of the others give the thresholds. A document is kept if its perplexity is at most its language's
     threshold; a language without trusted documents held out takes the threshold of all such; null is a language like
-    others. Null and empty texts have no perplexity and are not kept. Without any trusted
-    text held out there is no threshold, and every document with text is kept. Repeated rows are judged alike; an empty table gives
-    no rows. Other columns are not looked at.
+    others. Null and empty texts have no perplexity and are not kept. Without any trusted text held out there is no
+    threshold, and every document with text is kept. Repeated rows are judged alike; an empty table gives no rows. Other
+    columns are not looked at. In a model of very few n-grams the discounts are fixed values (see discounts), and a
+    symbol's probability counts as 1e-15 at least.
     """
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id")
     good = written(good, "trusted")
