@@ -17,11 +17,37 @@ def merged(spans: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
+#: Characters of a tile: intervals are cut at its borders, so that a key with any number of them is swept in parts.
+TILE = 4096
+
+
+def covered(first: DataFrame, second: DataFrame, *key: str) -> DataFrame:
+    """Per key, how many characters the intervals [s, e) of each side cover, and how many both do: (key, covered_a, covered_b, overlap).
+
+    Every interval becomes an opening and a closing event; running through a key's events in order, the number of open
+    intervals of each side tells what the stretch up to the next event belongs to. No pair of intervals is made, and
+    equal ones count once before anything is sorted. Keys without characters on either side give no row.
+    """
+    def events(df: DataFrame, side: str) -> DataFrame:
+        s, e = F.col("s").cast("long"), F.col("e").cast("long")
+        tiles = F.sequence(F.floor(s / TILE), F.floor((e - 1) / TILE))
+        rows = df.filter("e > s").select(*key, s.alias("s"), e.alias("e"), F.explode(tiles).alias("_tile"))
+        rows = rows.select(*key, "_tile", F.greatest("s", F.col("_tile") * TILE).alias("s"), F.least("e", (F.col("_tile") + 1) * TILE).alias("e")).distinct()
+        ends = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("step")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("step")))
+        other = "b" if side == "a" else "a"
+        return rows.select(*key, "_tile", F.inline(ends)).groupBy(*key, "_tile", "at").agg(F.sum("step").alias(side)).withColumn(other, F.lit(0).cast("long"))
+
+    steps = events(first, "a").unionByName(events(second, "b")).groupBy(*key, "_tile", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))  # at most TILE + 1 in a tile
+    w = W.partitionBy(*key, "_tile").orderBy("at")
+    run = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = steps.select(*key, (F.lead("at").over(w) - F.col("at")).alias("size"), F.sum("a").over(run).alias("a"), F.sum("b").over(run).alias("b"))
+    size = lambda c: F.sum(F.when(c, F.col("size")).otherwise(0))
+    return rows.filter("size is not null").groupBy(*key).agg(size(F.col("a") > 0).alias("covered_a"), size(F.col("b") > 0).alias("covered_b"), size((F.col("a") > 0) & (F.col("b") > 0)).alias("overlap"))
+
+
 def overlap(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
-    """Per key, how many characters both unions share; a and b are merged, so no character counts twice."""
-    y = b.select(*key, F.col("s").alias("s2"), F.col("e").alias("e2"))
-    pairs = a.join(y, list(key)).filter("s < e2 and s2 < e")
-    return pairs.groupBy(*key).agg(F.sum(F.least("e", "e2") - F.greatest("s", "s2")).alias("overlap"))
+    """Per key, how many characters both unions share, for keys where that is any."""
+    return covered(a, b, *key).filter("overlap > 0").select(*key, "overlap")
 
 
 def validate_offsets(annotations: DataFrame, records: DataFrame) -> DataFrame:
@@ -41,9 +67,8 @@ def rationale_agreement(pred: DataFrame, ref: DataFrame) -> DataFrame:
     Both sides are rows of (record_id, code, s, e).
     """
     key = ["record_id", "code"]
-    p, r = merged(pred, *key), merged(ref, *key)
-    length = lambda df, name: df.groupBy(*key).agg(F.sum(F.col("e") - F.col("s")).alias(name))
-    rows = ref.select(*key).distinct().join(length(r, "r"), key, "left").join(length(p, "p"), key, "left").join(overlap(p, r, *key), key, "left")
+    both = covered(pred, ref, *key).select(*key, F.col("covered_a").alias("p"), F.col("covered_b").alias("r"), "overlap")
+    rows = ref.select(*key).distinct().join(both, key, "left")
     rows = rows.join(pred.select(*key).distinct().withColumn("prediction_present", F.lit(True)), key, "left").fillna(0, ["r", "p", "overlap"]).fillna(False, ["prediction_present"])
     share = lambda n: F.when(F.col(n) > 0, F.col("overlap") / F.nullif(n, F.lit(0))).otherwise(0.0)
     f1 = F.when(F.col("r") + F.col("p") > 0, 2.0 * F.col("overlap") / F.nullif(F.col("r") + F.col("p"), F.lit(0))).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termweave.functions import hashing, text
-from termweave.operators import audits, evaluation, explain, models, policy, retrieval, review
+from termweave.operators import agreement, audits, evaluation, explain, models, policy, reliability, retrieval, review
 from termweave.operators import spans as intervals
 from termweave.plans import frames
 from termweave.plans.frames import FEEDBACK, MULTILABEL, PARTS, PREDICTIONS, REVIEW, SPANS, read, rounded
@@ -549,6 +549,135 @@ def faithfulness(spark, d):
     return rounded(explain.faithfulness(e, c).select("record_id", "predicted_code", "explanation_status", "original_score", "evidence_only_score", "evidence_removed_score", "sufficiency_gap", "comprehensiveness_drop"))
 
 
+# ---- reliability: intervals, calibration
+
+
+def _weights_sql(key: str, replicates: int) -> str:
+    """(k, b, w): Poisson weights of every distinct key and replicate, by the same mixed hash; replicate 0 counts every document once."""
+    m = "18446744073709551616::UHUGEINT"
+    bounds = ", ".join(map(repr, reliability.poisson_bounds()))
+    return f"""x0 AS (SELECT k, b, (k::UHUGEINT + b::UHUGEINT * {reliability.GOLDEN}::UHUGEINT) % {m} AS x FROM (SELECT DISTINCT {key} AS k FROM docs), range(1, {replicates + 1}) t(b)),
+x1 AS (SELECT k, b, (xor(x, x >> 30) * {reliability.MIX1}::UHUGEINT) % {m} AS x FROM x0), x2 AS (SELECT k, b, (xor(x, x >> 27) * {reliability.MIX2}::UHUGEINT) % {m} AS x FROM x1),
+x3 AS (SELECT k, b, (xor(x, x >> 31) >> 11)::DOUBLE / 9007199254740992.0 AS u FROM x2),
+weights AS (SELECT k, b, len(list_filter([{bounds}], lambda c: c <= u))::DOUBLE AS w FROM x3 UNION ALL SELECT DISTINCT {key}, 0, 1.0 FROM docs)"""
+
+
+@query(f"""WITH {PREDICTIONS}, rows AS (SELECT ('0x' || substr(sha256('42:' || subject_id), 1, 15))::BIGINT AS k, status, correct, CASE WHEN confidence >= 0.6 THEN correct END AS auto, (confidence >= 0.6)::INT AS is_auto FROM pred),
+docs AS (SELECT k, status, 'accuracy' AS metric, sum(correct)::DOUBLE AS num, count(*)::DOUBLE AS den FROM rows GROUP BY ALL UNION ALL SELECT k, status, 'automatic_accuracy', sum(coalesce(auto, 0))::DOUBLE, sum(is_auto)::DOUBLE FROM rows GROUP BY ALL),
+{_weights_sql('k', 200)}, sums AS (SELECT status, metric, b, sum(num * w) AS num, sum(den * w) AS den FROM docs JOIN weights USING (k) GROUP BY ALL), v AS (SELECT *, CASE WHEN den <> 0 THEN num / den END AS value FROM sums)
+SELECT status AS "group", metric, round(max(value) FILTER (b = 0), 6) AS estimate, round(quantile_cont(value, 0.025) FILTER (b > 0), 6) AS low, round(quantile_cont(value, 0.975) FILTER (b > 0), 6) AS high, round(stddev_samp(value) FILTER (b > 0), 6) AS spread, count(value) FILTER (b > 0) AS n_replicates FROM v GROUP BY ALL""")
+def bootstrap_intervals(spark, d):
+    """Accuracy of all and of automatic decisions, by status, with intervals over customers: all orders of a customer are drawn together."""
+    auto = F.col("confidence") >= 0.6
+    ratios = {"accuracy": (F.col("correct"), F.lit(1)), "automatic_accuracy": (F.when(auto, F.col("correct")), auto.cast("int"))}
+    return rounded(reliability.bootstrap_intervals(frames.predictions(spark, d), ratios, "subject_id", "status", 200))
+
+
+def _bins_sql(bins: int) -> str:
+    return f"""per AS (SELECT confidence AS c, count(*) AS n, sum(correct) AS ok FROM pred GROUP BY 1),
+placed AS (SELECT *, floor((sum(n) OVER (ORDER BY c) - n) * {bins} / sum(n) OVER ()::DOUBLE)::INT AS bin FROM per),
+bins AS (SELECT bin, sum(n)::BIGINT AS n, sum(ok)::BIGINT AS ok, sum(n * c) / sum(n) AS mc, min(c) AS least, max(c) AS greatest FROM placed GROUP BY bin)"""
+
+
+@query(f"""WITH {PREDICTIONS}, {_bins_sql(15)}, e AS (SELECT sum(n * abs(ok / n::DOUBLE - mc)) / sum(n) AS ece, max(abs(ok / n::DOUBLE - mc)) AS mce, count(*) AS k FROM bins)
+SELECT count(*) AS n, round(avg((confidence - correct) ** 2), 6) AS brier, round(avg(confidence), 6) AS mean_confidence, round(avg(correct), 6) AS accuracy, round(max(ece), 6) AS expected_calibration_error, round(max(mce), 6) AS largest_calibration_error, max(k) AS n_bins FROM pred, e""")
+def calibration(spark, d):
+    return rounded(reliability.calibration(frames.predictions(spark, d)))
+
+
+@query(f"WITH {PREDICTIONS}, {_bins_sql(10)} SELECT bin, n, ok, round(ok / n::DOUBLE, 6) AS accuracy, round(mc, 6) AS mean_confidence, round(least, 6) AS least, round(greatest, 6) AS greatest FROM bins")
+def reliability_bins(spark, d):
+    return rounded(reliability.equal_mass_bins(frames.predictions(spark, d), 10))
+
+
+@query(f"""WITH {PREDICTIONS}, {_bins_sql(40)}, s AS (SELECT *, row_number() OVER (ORDER BY bin) AS i, sum(n) OVER (ORDER BY bin) AS cn, sum(ok) OVER (ORDER BY bin) AS ck FROM bins),
+spans AS (SELECT x.i AS a, y.i AS z, (y.ck - x.ck + x.ok) / (y.cn - x.cn + x.n)::DOUBLE AS v FROM s x JOIN s y ON x.i <= y.i),
+lows AS (SELECT s.i, a, min(v) AS v FROM s JOIN spans ON a <= s.i AND z >= s.i GROUP BY ALL), fitted AS (SELECT i, round(max(v), 12) AS v FROM lows GROUP BY i)
+SELECT (dense_rank() OVER (ORDER BY v) - 1)::INT AS step, round(min(least), 6) AS least, round(max(greatest), 6) AS greatest, sum(n)::BIGINT AS n, sum(ok)::BIGINT AS ok, round(v, 6) AS calibrated FROM fitted JOIN s USING (i) GROUP BY v""")
+def isotonic_steps(spark, d):
+    """The confidence's share of right predictions as a step function that never falls; in SQL by its formula of greatest least means."""
+    return rounded(reliability.isotonic(frames.predictions(spark, d), 40))
+
+
+# ---- agreement: coders, hierarchies, wordings
+
+
+RATINGS = "ratings AS (SELECT l_orderkey AS item, l_linenumber AS rater, min(l_returnflag || l_linestatus) AS code FROM lineitem GROUP BY ALL)"
+
+
+def ratings(spark, d):
+    """The lines of an order as coders that give it their flags; orders of fewer lines miss some ratings."""
+    li = read(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("rater"), F.concat("l_returnflag", "l_linestatus").alias("code"))
+
+
+@query(f"""WITH {RATINGS}, t AS (SELECT x.code AS a, y.code AS b FROM ratings x JOIN ratings y ON x.item = y.item AND x.rater = 1 AND y.rater = 2), n AS (SELECT count(*) AS n, avg((a = b)::INT) AS po FROM t),
+m AS (SELECT sum(na * nb) / ((SELECT n FROM n) ** 2)::DOUBLE AS pe FROM (SELECT a AS code, count(*) AS na FROM t GROUP BY 1) JOIN (SELECT b AS code, count(*) AS nb FROM t GROUP BY 1) USING (code))
+SELECT n, round(po, 6) AS observed, round(pe, 6) AS expected, round((po - pe) / (1 - pe), 6) AS kappa FROM n, m""")
+def coder_kappa(spark, d):
+    return rounded(agreement.kappa(ratings(spark, d), 1, 2))
+
+
+@query(f"""WITH {RATINGS}, u AS (SELECT item, code, count(*) AS c FROM ratings GROUP BY ALL), v AS (SELECT *, sum(c) OVER (PARTITION BY item) AS m FROM u QUALIFY m >= 2), o AS (SELECT sum(c * (c - 1) / (m - 1)::DOUBLE) AS agree, sum(c) AS n, count(DISTINCT item) AS k FROM v),
+e AS (SELECT sum(t * (t - 1)) AS pairs FROM (SELECT code, sum(c) AS t FROM v GROUP BY code)), r AS (SELECT k, n, 1 - agree / n AS dis, 1 - pairs / (n * (n - 1))::DOUBLE AS ex FROM o, e)
+SELECT k AS n_items, n::BIGINT AS n_ratings, round(dis, 6) AS observed, round(ex, 6) AS expected, round(1 - dis / ex, 6) AS alpha FROM r""")
+def coder_alpha(spark, d):
+    return rounded(agreement.alpha(ratings(spark, d)))
+
+
+@query(f"""WITH {RATINGS}, u AS (SELECT item, code, count(*) AS n FROM ratings GROUP BY ALL), g AS (SELECT item, sum(n)::BIGINT AS n_ratings, count(*) AS n_codes, list(code || ':' || n ORDER BY n DESC, code) AS c, first(code ORDER BY n DESC, code) AS top, max(n) AS best FROM u GROUP BY item HAVING count(*) > 1)
+SELECT item, n_ratings, n_codes, CASE WHEN best > 0.5 * n_ratings THEN top END AS majority, round(best / n_ratings::DOUBLE, 6) AS share, array_to_string(c, ',') AS codes FROM g""")
+def adjudication(spark, d):
+    rows = agreement.adjudication(ratings(spark, d))
+    return rounded(rows.withColumn("codes", F.array_join(F.transform("codes", lambda x: F.concat_ws(":", x["code"], x["n"].cast("string"))), ",")))
+
+
+NATIONS = """nat AS (SELECT 'N' || n_nationkey AS code, 'R' || n_regionkey AS region FROM nation), lines AS (SELECT l_orderkey, arg_max('N' || s_nationkey, (l_extendedprice, l_linenumber, l_partkey, l_suppkey)) AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
+pairs AS (SELECT 'N' || c_nationkey AS g, p FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lines ON l_orderkey = o_orderkey), j AS (SELECT g, p, a.region AS rg, b.region AS rp FROM pairs LEFT JOIN nat a ON a.code = g LEFT JOIN nat b ON b.code = p)"""
+
+
+def nation_pairs(spark, d):
+    """Orders: the customer's nation is gold, that of the supplier of the dearest line the prediction. And the hierarchy of nations, regions and the world."""
+    li = read(spark, d, "lineitem").join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    best = F.max_by(F.concat(F.lit("N"), "s_nationkey"), F.struct("l_extendedprice", "l_linenumber", "l_partkey", "l_suppkey")).alias("predicted_code")
+    own = read(spark, d, "orders").join(read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("N"), "c_nationkey").alias("gold_code")), "o_custkey")
+    pred = own.join(li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(best), "o_orderkey", "left")
+    n = read(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.concat(F.lit("R"), "n_regionkey").alias("parent"))
+    return pred, n.unionByName(n.select(F.col("parent").alias("code"), F.lit("WORLD").alias("parent")).distinct())
+
+
+@query(f"""WITH {NATIONS}, l AS (SELECT unnest([-1, 0, 1, 2]) AS level, g, p, rg, rp FROM j)
+SELECT level::INT AS level, count(*) AS n, count(*) FILTER (CASE level WHEN 0 THEN p IS NOT NULL WHEN 1 THEN rg = rp ELSE g = p END) AS n_agree, round(avg(coalesce(CASE level WHEN 0 THEN p IS NOT NULL WHEN 1 THEN rg = rp ELSE g = p END, false)::INT), 6) AS rate FROM l GROUP BY level""")
+def agreement_by_level(spark, d):
+    return rounded(agreement.agreement_by_level(*nation_pairs(spark, d)))
+
+
+@query(f"WITH {NATIONS} SELECT count(*) AS n, round(avg(CASE WHEN p IS NULL THEN 0 WHEN g = p THEN 1.0 WHEN rg = rp THEN 2.0 / 3 ELSE 1.0 / 3 END), 6) AS similarity FROM j")
+def hierarchy_similarity(spark, d):
+    return rounded(agreement.hierarchy_similarity(*nation_pairs(spark, d)))
+
+
+SURFACES = "sc AS (SELECT lower(trim(text, ' ')) AS surface, source AS code, count(*) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND trim(text, ' ') <> '' GROUP BY ALL)"
+
+
+def labelled(spark, d):
+    return read(spark, d, "documents").select(F.col("text").alias("surface"), F.col("source").alias("code"))
+
+
+@query(f"WITH {SURFACES} SELECT sha256(surface) AS surface_sha, sum(n)::BIGINT AS n, count(*) AS n_codes, first(code ORDER BY n DESC, code) AS majority, round(max(n) / sum(n)::DOUBLE, 6) AS share FROM sc GROUP BY surface HAVING count(*) > 1")
+def label_conflicts(spark, d):
+    """Texts that several sources carry."""
+    rows = agreement.conflicts(labelled(spark, d))
+    return rounded(rows.select(F.sha2("surface", 256).alias("surface_sha"), "n", "n_codes", "majority", "share"))
+
+
+@query(f"""WITH RECURSIVE {SURFACES}, e AS (SELECT DISTINCT a.code AS x, b.code AS y FROM sc a JOIN sc b USING (surface)), reach(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
+g AS (SELECT x AS code, min(y) AS grp FROM reach GROUP BY x), s AS (SELECT surface, min(code) AS code, count(*) AS k FROM sc GROUP BY surface)
+SELECT grp AS "group", (SELECT count(*) FROM g h WHERE h.grp = g.grp) AS n_codes, count(*) AS n_surfaces, count(*) FILTER (k > 1) AS n_conflicts FROM s JOIN g USING (code) GROUP BY grp HAVING (SELECT count(*) FROM g h WHERE h.grp = g.grp) > 1""")
+def conflict_groups(spark, d):
+    return agreement.conflict_groups(labelled(spark, d))
+
+
 # ---- intervals
 
 
