@@ -134,25 +134,28 @@ class Asked:
 CUTS = (0.3, 0.1, 0.0)
 
 
-def best_codes(sides: list[Side], shares: list[float], queries: list[list], n: int, seq: np.ndarray, k: int, tie: bool):
+def best_codes(sides: list[Side], shares: list[float], queries: list[list], n: int, seq: np.ndarray, k: int, tie: bool, allowed: list | None = None):
     """The k best codes of one query: (codes, scores, [score on a side], [item on a side or -1], [products of that item]).
 
     A code's score is the sum of its sides' best items' fused products, weighed by `shares`; zeros are left out, equal
     scores (to 12 decimals) go by the first side's score if `tie`, then by `seq`. Bounds of the grams not yet added
-    rule codes and items out, so that most products are never finished.
+    rule codes and items out, so that most products are never finished. allowed: for each side None, or which of its
+    items may be looked at.
     """
     asked = [Asked(side, q) for side, q in zip(sides, queries, strict=True)]
-    some = [np.arange(len(side.code)) for side in sides]
+    allowed = allowed or [None] * len(sides)
+    some = [np.arange(len(side.code)) if ok is None else np.flatnonzero(ok) for side, ok in zip(sides, allowed, strict=True)]
     for cut in CUTS:
         for a in asked:
             a.go_on(cut)
         if not cut and not any(a.left for a in asked):
             break
-        top = [side.by_code(a.partial, n) for side, a in zip(sides, asked, strict=True)]
+        held = [a.partial if ok is None else np.where(ok, a.partial, 0.0) for a, ok in zip(asked, allowed, strict=True)]
+        top = [side.by_code(p, n) for side, p in zip(sides, held, strict=True)]
         low = sum(f * t for f, t in zip(shares, top, strict=True))
         least = np.partition(low, n - k)[n - k] if n > k else 0.0
         alive = low + sum(f * a.left for f, a in zip(shares, asked, strict=True)) >= least - 1e-9
-        some = [np.flatnonzero(alive[side.code] & (a.partial + a.left >= t[side.code] - 1e-9)) for side, a, t in zip(sides, asked, top, strict=True)]
+        some = [np.flatnonzero(alive[side.code] & (p + a.left >= t[side.code] - 1e-9) & (True if ok is None else ok)) for side, a, p, t, ok in zip(sides, asked, held, top, allowed, strict=True)]
         if sum(map(len, some)) * 8 <= sum(len(side.code) for side in sides):
             break
     score, found, products = [], [], []

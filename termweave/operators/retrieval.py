@@ -93,10 +93,11 @@ def numbered(df: DataFrame) -> DataFrame:
         seed += 1
 
 
-def fit(corpus: DataFrame, grams: Callable, sublinear: bool = False, min_df: int = 1, max_features: int | None = None) -> Space:
+def fit(corpus: DataFrame, grams: Callable, sublinear: bool = False, min_df: int = 1, max_features: int | None = None, items: DataFrame | None = None) -> Space:
     """Fit a space on (item, text): idf = ln((1 + N) / (1 + df)) + 1. Blank text counts as `__empty__`.
 
-    With `max_features` the grams of the largest total frequency stay, ties to the smaller gram.
+    With `max_features` the grams of the largest total frequency stay, ties to the smaller gram. items: (item, text)
+    that get vectors, where these are not the corpus that grams are weighed by.
     """
     tf = counted(require_columns(corpus, {"item", "text"}).select("item", "text"), grams)
     df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
@@ -106,6 +107,9 @@ def fit(corpus: DataFrame, grams: Callable, sublinear: bool = False, min_df: int
     idf = kept(df.crossJoin(F.broadcast(n)).select("gram", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
     size = idf.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("numbers")).crossJoin(n.withColumnRenamed("n", "items")).first()
     idf = numbered(idf).select("gram", "gid", "idf")
+    if items is not None:
+        tf = counted(items.select("item", "text"), grams)
+        size = tf.join(idf, "gram", "left_semi").agg(F.count(F.lit(1)).alias("numbers"), F.count_distinct("item").alias("items")).first().asDict() | {"n": size["n"]}
     small = size["n"] <= BROADCAST_ROWS
     return Space(grams, sublinear, idf, weighted(tf, F.broadcast(idf) if small else idf, sublinear), size["numbers"], small, size["items"])
 
@@ -211,15 +215,18 @@ def top_codes(queries: DataFrame, sides: list[tuple[list[tuple[str, Space, float
     sides: (spaces with names and weights, owners (item, code, place), share); a code's score is the sum over the sides
     of the share times its best item's fused cosine. codes: (code, row_seq). Items are dealt into blocks by their code;
     a code of more than half a block is cut into parts, each with the code's items of all other sides. A code's score
-    is then reached in the part that has its best item, so the k best of every block hold the k best of all.
+    is then reached in the part that has its best item, so the k best of every block hold the k best of all. Where
+    queries have a column `at` and owners too, an item counts only for queries later than it.
     """
+    timed = "at" in queries.columns
     most = products.MOST if most is None else most
     numbers = sum(space.numbers for spaces, _, _ in sides for _, space, _ in spaces)
     asked, rows, fields = None, None, []
     wide = max(len(spaces) for spaces, _, _ in sides)
     none = lambda c, of: F.coalesce(c, F.array().cast(of))
     for i, (spaces, own, _) in enumerate(sides):
-        items = own.select("item", "code", F.col("place").cast("long").alias("place")).join(codes.select("code", "row_seq"), "code")
+        when = (F.col("at").cast("long") if timed and "at" in own.columns else F.lit(None).cast("long")).alias("at")
+        items = own.select("item", "code", F.col("place").cast("long").alias("place"), when).join(codes.select("code", "row_seq"), "code")
         for j, (_, space, _) in enumerate(spaces):
             q = query_vectors(queries, space).withColumnsRenamed({"ids": f"ids{i}_{j}", "ws": f"ws{i}_{j}"})
             asked = q if asked is None else asked.join(q, "query", "full_outer")
@@ -227,9 +234,11 @@ def top_codes(queries: DataFrame, sides: list[tuple[list[tuple[str, Space, float
             fields.append((f"{i}_{j}", "array<bigint>", "array<double>"))
         ready = [none(F.col(f"ids{j}") if j < len(spaces) else F.lit(None).cast("array<bigint>"), "array<bigint>").alias(f"ids{j}") for j in range(wide)]
         ready += [none(F.col(f"ws{j}") if j < len(spaces) else F.lit(None).cast("array<double>"), "array<double>").alias(f"ws{j}") for j in range(wide)]
-        items = items.select(F.lit(i).alias("side"), F.col("item").cast("binary").alias("item"), "code", "place", "row_seq", *ready)
+        items = items.select(F.lit(i).alias("side"), F.col("item").cast("binary").alias("item"), "code", "place", "row_seq", "at", *ready)
         rows = items if rows is None else rows.unionByName(items)
-    asked = asked.select("query", *[none(F.col(f"ids{n}"), a).alias(f"ids{n}") for n, a, _ in fields], *[none(F.col(f"ws{n}"), b).alias(f"ws{n}") for n, _, b in fields])
+    if timed:
+        asked = asked.join(queries.select("query", F.col("at").cast("long").alias("at")), "query")
+    asked = asked.select("query", *(["at"] if timed else []), *[none(F.col(f"ids{n}"), a).alias(f"ids{n}") for n, a, _ in fields], *[none(F.col(f"ws{n}"), b).alias(f"ws{n}") for n, _, b in fields])
     if numbers > most:
         size = sum(F.size(f"ids{j}") for j in range(wide))
         # At most 2 * numbers / most codes are that large
@@ -251,22 +260,25 @@ def top_codes(queries: DataFrame, sides: list[tuple[list[tuple[str, Space, float
         index, side, place = code.indices.to_numpy(), table["side"].to_numpy(), table["place"].to_numpy()
         seq = np.zeros(len(code.dictionary), np.int64)
         seq[index] = table["row_seq"].to_numpy()
-        own, items = [], []
+        own, items, times = [], [], []
         for i, n in enumerate(counts):
             at = np.flatnonzero(side == i)
             mine = table.take(pa.array(at))
             s = products.Side(index[at], place[at], [(products.one(mine[f"ids{j}"]), products.one(mine[f"ws{j}"])) for j in range(n)], weights[i])
             own.append(s)
             items.append(products.one(mine["item"]).take(pa.array(s.order)))
-        return own, items, code.dictionary, seq
+            seen = products.one(mine["at"]).take(pa.array(s.order))
+            times.append(None if seen.null_count == len(seen) else seen.fill_null(np.iinfo(np.int64).max).to_numpy())
+        return own, items, code.dictionary, seq, times
 
     def answer(block, batch):
-        own, items, names_, seq = block
+        own, items, names_, seq, times = block
+        now = batch.column("at").to_numpy(zero_copy_only=False) if timed else None
         parts = [[products.each(batch, f"ids{i}_{j}", f"ws{i}_{j}") for j in range(n)] for i, n in enumerate(counts)]
         which, code, score = [], [], []
         side, item, product = [[] for _ in counts], [[] for _ in counts], [[] for _ in names]
         for q in range(batch.num_rows):
-            at, whole, by_side, of_side, by_space = products.best_codes(own, shares, [[next(p) for p in ps] for ps in parts], len(seq), seq, k, tie)
+            at, whole, by_side, of_side, by_space = products.best_codes(own, shares, [[next(p) for p in ps] for ps in parts], len(seq), seq, k, tie, [None if t is None else t < now[q] for t in times] if timed else None)
             which.append(np.full(len(at), q))
             code.append(at)
             score.append(whole)

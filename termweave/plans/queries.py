@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termweave.functions import hashing, text
-from termweave.operators import agreement, audits, evaluation, explain, models, policy, reliability, retrieval, review
+from termweave.operators import agreement, audits, evaluation, explain, models, policy, reliability, retrieval, review, temporal
 from termweave.operators import spans as intervals
 from termweave.plans import frames
 from termweave.plans.frames import FEEDBACK, MULTILABEL, PARTS, PREDICTIONS, REVIEW, SPANS, read, rounded
@@ -302,6 +302,47 @@ def multilabel_centroid(spark, d):
     return rounded(retrieval.MultiLabelCoder(1.0, 3).fit(train, codes).rank(notes).select("record_id", "rank", "code", "score"))
 
 
+# ---- evaluation over time
+
+
+TIMED = f"""first AS (SELECT l_partkey, min(l_shipdate) AS seen FROM lineitem GROUP BY 1), timed AS (SELECT recs.* EXCLUDE (split), seen FROM recs JOIN first ON l_partkey::VARCHAR = record_id),
+cut AS (SELECT TIMESTAMP '1995-03-01' AS before), old AS (SELECT gold_code, text, min(row_seq) AS seq, min(seen) AS seen, gold_code || '|' || text AS item FROM timed GROUP BY gold_code, text),
+q AS (SELECT DISTINCT text || '@' || seen AS query, text, seen FROM timed WHERE seen >= (SELECT before FROM cut)),
+{space_sql('t', 'SELECT code AS item, term AS text FROM terms', grams_sql('text', 3, 5), False)}, {sims_sql('t', 'SELECT query, text FROM q', grams_sql('text', 3, 5), False)},
+h_tf AS (SELECT item, gram, count(*) AS tf FROM (SELECT item, unnest({grams_sql('text', 3, 5)}) AS gram FROM old) GROUP BY ALL),
+h_idf AS (SELECT gram, ln((1.0 + (SELECT count(*) FROM old, cut WHERE seen < before)) / (1.0 + count(*))) + 1.0 AS idf FROM h_tf JOIN old USING (item), cut WHERE seen < before GROUP BY gram),
+h_w AS (SELECT item, gram, w / sqrt(sum(w * w) OVER (PARTITION BY item)) AS w FROM (SELECT item, gram, tf * idf AS w FROM h_tf JOIN h_idf USING (gram))),
+{sims_sql('h', 'SELECT query, text FROM q', grams_sql('text', 3, 5), False)},
+hs AS (SELECT query, gold_code AS code, max(sim) AS s FROM h_s JOIN old USING (item) JOIN q USING (query) WHERE old.seen < q.seen GROUP BY ALL),
+allof AS (SELECT q.query, t.code, t.row_seq, coalesce(a.sim, 0) AS terminology_score, coalesce(b.s, 0) AS history_score, 0.5 * coalesce(a.sim, 0) + 0.5 * coalesce(b.s, 0) AS score
+  FROM q CROSS JOIN terms t LEFT JOIN t_s a ON a.query = q.query AND a.item = t.code LEFT JOIN hs b ON b.query = q.query AND b.code = t.code),
+top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, row_seq) AS rank FROM allof QUALIFY rank <= 3)"""
+
+
+def timed_records(spark, d):
+    """Parts as records of the day on which they were first shipped."""
+    first = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("row_seq")).agg(F.min("l_shipdate").alias("at"))
+    return frames.part_records(spark, d).drop("split").join(first, "row_seq")
+
+
+@query(f"WITH {PARTS}, {TIMED} SELECT record_id, rank::INT AS rank, code, round(score, 6) AS score, round(terminology_score, 6) AS terminology_score, round(history_score, 6) AS history_score FROM timed r JOIN top ON top.query = r.text || '@' || r.seen")
+def asof_topk(spark, d):
+    """The best three codes of every part from March 1995 on, by the terminology and the parts shipped before it."""
+    retrieval.release()
+    rows = timed_records(spark, d)
+    c = temporal.AsOfCoder(0.5, 3).fit(rows, frames.part_terms(spark, d), "1995-03-01")
+    return rounded(c.predict(rows.filter("at >= '1995-03-01'")).drop("history_item"))
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderdate AS day, CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'train' WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'val' ELSE 'test' END AS split FROM orders WHERE o_orderdate IS NOT NULL)
+SELECT o_custkey, count(DISTINCT split)::BIGINT AS n_splits, min(day) AS first_at, max(day) AS last_at FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1""")
+def period_leakage(spark, d):
+    """Customers whose orders lie in several periods."""
+    o = read(spark, d, "orders").withColumnRenamed("o_orderdate", "at")
+    rows = o.withColumn("split", temporal.period("at", "1998-01-01", "2000-01-01"))
+    return temporal.period_leaks(rows, "o_custkey")
+
+
 # ---- evaluation
 
 
