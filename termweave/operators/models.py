@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.operators.ledger import Caller, Ledger, acceptance, called  # noqa: F401
 from termweave.sources.records import row_key, row_keys
 
 PAYLOAD = "struct<ranked_codes:array<string>,overall_uncertainty:string,candidate_rationales:array<struct<code:string,rationale:string,evidence_quotes:array<string>>>>"
@@ -110,11 +111,17 @@ def rewritten(expl: DataFrame, model: Callable[[dict], object], allow: bool, cla
     return rows.withColumn("why", F.when(fine, F.col("answer.rationale")).otherwise(F.col("why"))).withColumn("explanation_source", F.when(fine, "llm_validated").otherwise("grounded_deterministic")).drop("pair", "answer", "error")
 
 
-def reranked(cases: DataFrame, model: Callable[[dict], object], allow: bool, classification: str) -> DataFrame:
-    """cases: record_id (and row_id), phrase, candidates (array of code, term, score). Adds accepted, errors and the candidates in their final order."""
+def reranked(cases: DataFrame, model: Callable[[dict], object] | Caller, allow: bool, classification: str, ledger: Ledger | None = None) -> DataFrame:
+    """cases: record_id (and row_id), phrase, candidates (array of code, term, score). Adds accepted, errors, from_ledger and the candidates in their final order.
+
+    With a ledger the model is a Caller, and each request (phrase and candidates) is asked once.
+    """
     require_consent(allow, classification, ("public",))
     key = row_key(cases)
-    answers = call(cases.select(*row_keys(cases), "phrase", F.to_json("candidates").alias("candidates")), model, key)
+    if ledger is None:
+        answers = call(cases.select(*row_keys(cases), "phrase", F.to_json("candidates").alias("candidates")), model, key).withColumn("from_ledger", F.lit(False))
+    else:
+        answers = called(cases.select(key, "phrase", F.to_json("candidates").alias("candidates")), model, ledger, key).select(key, "payload_json", "error", "from_ledger")
     rows = cases.join(answers, key, "left").withColumn("payload", F.from_json("payload_json", PAYLOAD))
     allowed = F.transform("candidates", lambda x: x["code"])
     rows = rows.withColumn("errors", F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("model_error:"), "error"))).when(F.col("payload").isNull(), F.array(F.lit("invalid_payload"))).otherwise(payload_errors(F.col("payload"), allowed, F.array("phrase"))))
