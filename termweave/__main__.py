@@ -32,6 +32,8 @@ COMMANDS = {
     "predict": (("history", "terminology", "new", "policy", "out"), ()),
     "predict-explain": (("history", "terminology", "new", "policy", "out"), ()),
     "explain": (("records", "terminology", "run"), ("seed",)),
+    "explain-notes": (("notes", "terminology", "run"), ()),
+    "real": (("records", "out"), ("seed", "target")),
     "packets": (("records", "terminology", "run", "out"), ("seed",)),
     "casebook": (("run",), ("limit",)),
     "rationales": (("explanations", "reference", "records", "out"), ()),
@@ -60,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
     terms = lambda path: source.terminology(strings(path))
     notes = lambda path: spark.read.parquet(path)
     policy = lambda: contracts.read_json(spark, a.policy)
-    selected = lambda: policy().get("selected_v2", policy())
+    selected = lambda: benchmark.frozen_config(spark, a.policy)
     say = lambda value: print(json.dumps(value, default=str))
     put = lambda df, path: df.write.mode("overwrite").parquet(path)
     match a.command:
@@ -113,6 +115,10 @@ def main(argv: list[str] | None = None) -> int:
             say(jobs.predict_and_explain(read(a.history), terms(a.terminology), read(a.new), policy(), a.out)[1])
         case "explain":
             say(jobs.explain_benchmark(read(a.records), terms(a.terminology), a.run, a.seed))
+        case "explain-notes":
+            say(jobs.explain_multilabel(notes(a.notes), terms(a.terminology), a.run))
+        case "real":
+            say(jobs.real_evaluation(read(a.records), out=a.out, target=a.target, seed=a.seed)["retrieval"])
         case "packets":
             pred = spark.read.parquet(f"{a.run}/predictions.parquet").select("record_id", "row_id", "confidence", "candidates")
             say(jobs.review_packets(pred.join(read(a.records).select("row_id", "text", "mention"), "row_id"), terms(a.terminology), a.out)[1])

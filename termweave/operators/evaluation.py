@@ -148,6 +148,20 @@ def coverage_curve(pred: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(total)).select("threshold", "n_auto", "n_correct", (F.col("n_auto") / F.col("total")).alias("coverage"), (F.col("n_correct") / F.col("n_auto")).alias("accuracy"))
 
 
+def curve_points(curve: DataFrame, n: int = 100) -> list[tuple[float, float]]:
+    """(coverage, accuracy) of a coverage curve for a chart: of each hundredth of coverage the last point, so `n` + 1 at most."""
+    rows = curve.groupBy(F.floor(F.col("coverage") * n).alias("b")).agg(F.max(F.struct("coverage", "accuracy")).alias("p")).orderBy("b")
+    return [(r["p"]["coverage"], r["p"]["accuracy"]) for r in rows.collect()]
+
+
+def metric_for(table: DataFrame, subgroup: str, metric: str) -> float | None:
+    """A metric of a subgroup, None where the group, its row or the value is missing."""
+    if metric not in table.columns:
+        return None
+    row = table.filter(F.col("subgroup") == subgroup).select(F.col(metric).cast("double").alias("v")).first()
+    return None if row is None else row["v"]
+
+
 def threshold_max_coverage(pred: DataFrame, target: float) -> DataFrame:
     """The threshold of most records whose accuracy reaches the target; no row where none does."""
     return coverage_curve(pred).filter(F.col("accuracy") + SLACK >= target).orderBy(F.desc("n_auto"), F.desc("accuracy"), "threshold").limit(1)

@@ -128,11 +128,15 @@ def changed_files(now: DataFrame, bundle: DataFrame) -> DataFrame:
 
 
 def audit_bundle(spark, release: str, files: dict[str, str], decision_semantics: dict) -> dict:
-    """A manifest of named files, with the SHA-256 of those that are there; the executors read them."""
+    """A manifest of named files and tables, with the SHA-256 of those that are there; the executors read them."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = lambda p: fs.Path(p)
     there = {n: path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(p)) for n, p in files.items()}
-    sums = {n: file_fingerprints(spark, [p]).first()["sha256"] for n, p in files.items() if there[n]}
+    # A folder's sum is that over its files' names and sums, in order
+    one = F.concat_ws(":", F.regexp_extract("path", r"([^/]+)$", 1), "sha256")
+    folder = lambda p: path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path(p)).isDirectory()
+    whole = lambda rows: rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n"), 256).alias("sha256"))
+    sums = {n: (whole(file_fingerprints(spark, [p])) if folder(p) else file_fingerprints(spark, [p])).first()["sha256"] for n, p in files.items() if there[n]}
     return {"artifact_schema_version": ARTIFACT_SCHEMA_VERSION, "release": release, "files": {n: {"path": p, "exists": there[n], "sha256": sums.get(n)} for n, p in files.items()}, "decision_semantics": dict(decision_semantics)}
 
 

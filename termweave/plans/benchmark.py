@@ -69,7 +69,7 @@ def leaks(rows: DataFrame, group: str = "record_id") -> dict[str, int]:
     return by.agg(*[F.count_if(F.array_contains("s", a) & F.array_contains("s", b)).alias(f"{a}-{b}") for a, b in pairs]).first().asDict()
 
 
-def reported(spark, out: str | None, result: dict, tables: dict[str, DataFrame], frozen: dict, contract, shared: dict, records: DataFrame, terms: DataFrame, seed: int, extra: dict | None = None) -> dict:
+def reported(spark, out: str | None, result: dict, tables: dict[str, DataFrame], frozen: dict, contract, shared: dict, records: DataFrame, terms: DataFrame, seed: int, extra: dict | None = None, charts: dict | None = None) -> dict:
     """Add the contract to the metrics and write a run's artifacts."""
     result["results_status"], result["results_reportable"] = contract.status, contract.reportable
     if out:
@@ -82,7 +82,7 @@ def reported(spark, out: str | None, result: dict, tables: dict[str, DataFrame],
         }
         for name, value in small.items():
             contracts.write_json(spark, f"{out}/{name}.json", value)
-        contracts.write_text(spark, f"{out}/report.html", contracts.html_report("Benchmark", {"selection": result.get("selection", []), "test": [result["test"]]}))
+        contracts.write_text(spark, f"{out}/report.html", contracts.html_report("Benchmark", {"selection": result.get("selection", []), "test": [result["test"]]}, charts))
         contracts.write_text(spark, f"{out}/card.md", contracts.card("Benchmark", {"policy": frozen, "leaks": shared}))
     return result
 
@@ -120,7 +120,8 @@ def measured(coder, of: Callable, table: list[dict], frozen: dict, records: Data
     }
     tables = {"predictions": diag, "validation_predictions": on_val, "terminology_only_test_predictions": base, "coverage_curve": evaluation.coverage_curve(on_test), "error_analysis": diag.filter("correct = 0")}
     extra = {"historical_memory_value": {"terminology_only_test_accuracy_at_1": plain["acc_at_1"], "selected_test_accuracy_at_1": first["acc_at_1"], "accuracy_at_1_delta": result["accuracy_delta"]}}
-    return reported(records.sparkSession, out, result, tables, frozen, c, shared, records, terms, seed, extra)
+    charts = {"Accuracy of what is automatic, by coverage": evaluation.curve_points(tables["coverage_curve"])} if out else None
+    return reported(records.sparkSession, out, result, tables, frozen, c, shared, records, terms, seed, extra, charts)
 
 
 def advanced_benchmark(records: DataFrame, terms: DataFrame, out: str | None = None, target: float = 0.95, seed: int = 42, encoders: dict[str, Callable] | None = None, rerankers: dict[str, Callable] | None = None, k: int = 10, real_data: bool = True) -> dict:
@@ -275,9 +276,19 @@ def confirmed_policy(coder, pool: DataFrame, used: DataFrame, n: int, target: fl
     return result
 
 
-def predict_uncoded(history: DataFrame, terms: DataFrame, new: DataFrame, frozen: dict, k: int = 10) -> DataFrame:
-    """Predictions of uncoded records under a frozen policy, one for each row: AUTO_CANDIDATE from its threshold on, else HUMAN_REVIEW."""
-    coder = retrieval.HistoricalCoder(frozen["history_weight"], k).fit(history, terms)
+def frozen_config(spark, path: str) -> dict[str, float]:
+    """history_weight and word_weight that an earlier run has frozen: of a result's selected hybrid, or of a policy itself. KeyError where one is missing."""
+    value = contracts.read_json(spark, path)
+    own = value.get("selected_v2", value)
+    return {n: float(own[n]) for n in ("history_weight", "word_weight")}
+
+
+def predict_uncoded(history: DataFrame, terms: DataFrame, new: DataFrame, frozen: dict, k: int = 10, trained: dict[str, Callable] | None = None) -> DataFrame:
+    """Predictions of uncoded records under a frozen policy, one for each row: AUTO_CANDIDATE from its threshold on, else HUMAN_REVIEW.
+
+    The model is the one that the policy names; `trained` has the encoders and rerankers by their names.
+    """
+    coder = advanced.from_policy(frozen, trained, k).fit(history, terms)
     p = retrieval.predictions(coder.predict(new))
     t = frozen.get("decision_threshold")
     return p.withColumn("decision", F.when(F.col("confidence") >= t, "AUTO_CANDIDATE").otherwise("HUMAN_REVIEW") if t is not None else F.lit("HUMAN_REVIEW"))

@@ -238,6 +238,24 @@ def choose_tabular(names: list[str], wanted: str) -> str | None:
     return min(tables, key=lambda n: (wanted.lower() not in n.lower(), ".csv" not in n.lower(), n.lower().endswith(".gz"), len(n), n), default=None)
 
 
+def fetched_table(spark: SparkSession, names: list[str], wanted: str, fetch, folder: str) -> DataFrame:
+    """The best table of a repository, fetched into `folder` (any store that Spark writes) and read as strings. ValueError if there is none.
+
+    fetch(name) gives a file's bytes; a file that is there already is not fetched again.
+    """
+    name = choose_tabular(names, wanted)
+    if name is None:
+        raise ValueError("The repository has no table")
+    to = f"{folder.rstrip('/')}/{name.rsplit('/', 1)[-1]}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        out = fs.create(p, True)
+        out.write(bytearray(fetch(name)))
+        out.close()
+    return read_strings(spark, to, "\t" if name.lower().removesuffix(".gz").endswith((".tsv", ".txt")) else ",")
+
+
 class Page(InputPartition):
     def __init__(self, offset: int, length: int) -> None:
         self.offset, self.length = offset, length

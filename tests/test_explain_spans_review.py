@@ -255,9 +255,9 @@ def test_contracts(spark, tmp_path):
     assert whole["software_release_complete"] and contracts.manifest_errors(whole) == []
     part = contracts.release_manifest("0.2.0", {c: c != "audit_replay" for c in contracts.CAPABILITIES})
     assert contracts.manifest_errors(part) == ["unexpected_release_version", "required_capabilities_missing", "missing:audit_replay"]
-    a = contracts.register(spark, str(tmp_path / "r.jsonl"), {"x": 1}, "t1")
-    assert a == contracts.register(spark, str(tmp_path / "r.jsonl"), {"x": 1}, "t2") and len(a) == 16
-    assert len((tmp_path / "r.jsonl").read_text().splitlines()) == 2
+    a = contracts.register(spark, str(tmp_path / "registry"), {"x": 1}, "t1")
+    assert a == contracts.register(spark, str(tmp_path / "registry"), {"x": 1}, "t2") and len(a) == 16
+    assert [(r.experiment_id, r.created_at_utc, r.x) for r in contracts.registered(spark, str(tmp_path / "registry")).collect()] == [(a, "t1", 1), (a, "t2", 1)]
     run = str(tmp_path / "run")
     contracts.write_json(spark, f"{run}/metrics.json", {"accuracy_at_1": 0.5})
     contracts.write_json(spark, f"{run}/results_contract.json", {"reportable": True})
