@@ -20,6 +20,8 @@ SHARE = 16
 OVERHEAD = 256
 #: Records that occur more often than this are numbered.
 REPEATS = 64
+#: Copies of a record whose numbers one task makes.
+CHUNK = 1024
 #: Repeated records, and starts of buckets, of at most so many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
 SEED = 20240607
@@ -50,7 +52,10 @@ def numbered(rows: DataFrame, same: list[str]) -> DataFrame:
     told = F.broadcast(often) if n <= BROADCAST_ROWS else often
     on = [F.col(c).eqNullSafe(F.col(f"often_{c}")) for c in same]
     many = rows.join(told, on, "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("c"))
-    many = many.select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("nth"))
+    # A record that a third of all rows repeat is dealt over tasks before its numbers are made, a CHUNK in each
+    many = many.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(c - 1) div {CHUNK}"))))
+    many = many.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*same), F.col("chunk"))  # a number that stays: so few rows would be brought together again
+    many = many.select(*rows.columns, F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least((F.col("chunk") + 1) * CHUNK, "c"))).alias("nth"))
     return rows.join(told, on, "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(many)
 
 
@@ -60,10 +65,13 @@ def shuffled(docs: DataFrame, n_shards: int, seed: int = SEED, text: str = "text
     Law `rows`: the shards' counts differ by one at most. Slots have no gaps. Null text has no bytes and size 16;
     repeated rows are dealt separately, each with its own slot; an empty table gives no rows. Columns of `docs` other
     than key and text are carried only with `payload`; clashing names (`size`, `shard`, ...) are overwritten by ours.
+    Columns of maps, which cannot be compared, travel as their entries.
     """
+    maps = [name for name, kind in docs.dtypes if kind.startswith("map<")]
+    docs = docs.withColumns({c: F.map_entries(c) for c in maps})
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
-        F.col(key).alias("key"), F.octet_length(body).cast("long").alias("bytes"), crc_unsigned(F.col(text)).alias("crc"), *([F.struct(*docs.columns).alias("row")] if payload else [])
+        F.col(key).alias("key"), F.octet_length(body).cast("long").alias("bytes"), crc_unsigned(F.col(text)).alias("crc"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if payload else [])
     )
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("bytes") + 16), F.lit(0)).alias("b")).first()
     n, buckets = total["n"], max(1, -(-(total["b"] + OVERHEAD * total["n"]) // (bucket_bytes or bucket_size(docs.sparkSession))))
@@ -90,7 +98,8 @@ def shuffled(docs: DataFrame, n_shards: int, seed: int = SEED, text: str = "text
     placed = placed.withColumn("shard", F.expr(f"cast((p * {n_shards}) div {max(n, 1)} as int)"))
     # First position of shard i: ceil(i * n / shards)
     placed = placed.withColumn("slot", F.col("p") - F.expr(f"(cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}"))
-    rest = [F.col(f"item.row.{c}").alias(c) for c in docs.columns if c not in (key, "size", "text_crc32", "shard", "slot", "bucket")] if payload else []
+    whole = lambda c: F.map_from_entries(F.col(f"item.row.`{c}`")) if c in maps else F.col(f"item.row.`{c}`")
+    rest = [whole(c).alias(c) for c in docs.columns if c not in (key, "size", "text_crc32", "shard", "slot", "bucket")] if payload else []
     return placed.select(F.col("item.key").alias(key), (F.col("item.bytes") + 16).alias("size"), F.col("item.crc").alias("text_crc32"), "shard", "slot", "bucket", *rest)
 
 
