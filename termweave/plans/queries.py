@@ -572,7 +572,13 @@ def masked_spans(spark, d):
     return docs.select("doc_id", F.sha2(text.without_spans("text", spans), 256).alias("masked_sha"))
 
 
-@query()
+#: Evidence of a part's codes in SQL: its text is one sentence, which supports a code if it holds a word or phrase of the code's term or synonyms.
+SUPPORT = """low AS (SELECT code, list_distinct(list_transform(list_filter(regexp_extract_all(term || ' ' || replace(synonyms, '|', ' '), '[A-Za-z0-9]+'), lambda x: length(x) >= 2), lambda x: lower(x))) AS target, list_transform(list_prepend(term, string_split(synonyms, '|')), lambda x: lower(x)) AS phrases FROM terms),
+held AS (SELECT r.record_id, r.text, top.rank, top.code, top.score, len(list_filter(regexp_extract_all(lower(r.text), '[a-z0-9]+'), lambda x: length(x) >= 2 AND list_contains(target, x))) > 0 OR len(list_filter(phrases, lambda x: contains(lower(r.text), x))) > 0 AS held
+  FROM recs r JOIN top ON top.query = r.text JOIN low USING (code) WHERE r.split = 'test')"""
+
+
+@query(f"""WITH {PARTS}, {top_sql(3, 0.25)}, {SUPPORT} SELECT record_id, rank::INT AS rank, code, round(score, 6) AS score, CASE WHEN held THEN text ELSE '' END AS quotes, CASE WHEN held THEN 'Supported by: ' || text ELSE 'No words of the text support this candidate.' END AS rationale FROM held""")
 def candidate_rationales(spark, d):
     c, test = coder(spark, d, k=3)
     top = retrieval.kept(c.predict(test).join(test.select("record_id", "text", "mention"), "record_id"))
@@ -580,7 +586,8 @@ def candidate_rationales(spark, d):
     return rounded(explain.candidate_rationales(top, terms, top_k=3).select("record_id", "rank", "code", "score", F.array_join("evidence_quotes", "; ").alias("quotes"), "rationale"))
 
 
-@query()
+@query(f"""WITH {PARTS}, {top_sql(1, 0.25)}, {SUPPORT} SELECT record_id, code AS predicted_code, CASE WHEN held THEN 'grounded' ELSE 'insufficient_grounding' END AS explanation_status, round(score, 6) AS original_score, CASE WHEN held THEN round(score, 6) ELSE 0 END AS evidence_only_score,
+CASE WHEN held THEN 0 ELSE round(score, 6) END AS evidence_removed_score, CASE WHEN held THEN 0 ELSE round(score, 6) END AS sufficiency_gap, CASE WHEN held THEN round(score, 6) ELSE 0 END AS comprehensiveness_drop FROM held""")
 def faithfulness(spark, d):
     """How much of the predicted code's score the evidence carries."""
     c, test = coder(spark, d, k=1)
