@@ -32,6 +32,9 @@ PARTS = frozenset(
     "newsletter subscribe subscription signup login paywall sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager share sharing social related recommended recommendations "
     "comment comments commentlist disqus respond replies popup popups modal overlay widget widgets skip skiplink hidden".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Words that also name the layout around an article: an element of these alone stays if the only article lies in it.
+LAYOUT = frozenset("sidebar sidebars menu menus nav navbar".split())
 GOOD = frozenset("article articles body blog content contents entry hentry main page post posts story text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text is a paragraph of its own; text in other ones counts as a paragraph of the element itself.
@@ -63,15 +66,16 @@ class Page:
     """Elements in page order (parent, name, points, the number after their last descendant) and blocks of text in them."""
 
     def __init__(self) -> None:
-        self.parent, self.name, self.end, self.good, self.semantic = [-1], [""], [0], [0], [False]
+        self.parent, self.name, self.end, self.good, self.semantic, self.doubtful = [-1], [""], [0], [0], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of it in links
 
-    def open(self, parent: int, name: str, good: int, semantic: bool) -> int:
+    def open(self, parent: int, name: str, good: int, semantic: bool, doubtful: bool) -> int:
         self.parent.append(parent)
         self.name.append(name)
         self.end.append(0)
         self.good.append(good)
         self.semantic.append(semantic)
+        self.doubtful.append(doubtful)
         return len(self.parent) - 1
 
 
@@ -80,13 +84,13 @@ def words_of(value: str) -> set[str]:
     return {w.lower() for part in value.split() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])", part) if w}
 
 
-def judged(name: str, attributes: str, inside: bool) -> tuple[bool, int, bool]:
-    """Whether an element is left out, the points of its class names, and whether it is marked as an article. inside: it lies in such a one."""
+def judged(name: str, attributes: str, inside: bool) -> tuple[bool, int, bool, bool]:
+    """Whether an element is left out, the points of its class names, whether it is marked as an article, and whether it is left out unless the article lies in it. inside: it lies in an article."""
     if name in DROPPED and not (name == "form" and "aspnetForm" in attributes):  # that one holds a whole page
-        return True, 0, False
+        return True, 0, False, False
     semantic = name in ("article", "main")
     if not attributes.strip(" /\t\r\n\f"):
-        return name == "header" and not inside, 0, semantic
+        return name == "header" and not inside, 0, semantic, False
     found = {}
     for m in ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
@@ -94,20 +98,23 @@ def judged(name: str, attributes: str, inside: bool) -> tuple[bool, int, bool]:
     semantic |= role in ("article", "main") or found.get("itemprop", "").lower() == "articlebody"
     style = re.sub(r"\s", "", found.get("style", "").lower())
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-        return True, 0, False
+        return True, 0, False, False
     if role in ROLES:
-        return True, 0, False
+        return True, 0, False, False
     words = words_of(found.get("class", "") + " " + found.get("id", ""))
     if name in ("html", "body"):
-        return False, 0, False
+        return False, 0, False, False
     good = bool(words & GOOD)
     # `no-sidebar` and `with-menu` tell of an element beside those
     named = bool(words & PARTS) and not words & {"no", "has", "with", "without"}
+    if named and words & COMMENTS and name != "main":
+        return True, 0, False, False
     if named and not (semantic and (good or name != "article")):
-        return True, 0, False
+        doubtful = not semantic and name not in INLINE and words & PARTS <= LAYOUT
+        return not doubtful, CLASS_POINTS if good and doubtful else 0, False, doubtful
     if (name == "header" or "header" in words) and not inside and not semantic and not (good and name != "header"):
-        return True, 0, False
-    return False, CLASS_POINTS if good else 0, semantic
+        return True, 0, False, False
+    return False, CLASS_POINTS if good else 0, semantic, False
 
 
 def read(html: str) -> Page:
@@ -259,12 +266,12 @@ def read(html: str) -> Page:
                 continue
             close(len(stack) - 1)
         _, above, out, link, inside = stack[-1]
-        dropped, good, semantic = (True, 0, False) if out else judged(name, html[m.end() : after - 1], inside)
+        dropped, good, semantic, doubtful = (True, 0, False, False) if out else judged(name, html[m.end() : after - 1], inside)
         number = above
         if not inline and not out:
             flush()
             if not dropped:
-                number = owner = page.open(above, name, good, semantic)
+                number = owner = page.open(above, name, good, semantic, doubtful)
         elif dropped and not out and pieces:
             pieces.append(" ")
         stack.append((name, number, out or dropped, link or name == "a", inside or semantic))
@@ -275,8 +282,26 @@ def read(html: str) -> Page:
     return page
 
 
+def settled(page: Page) -> None:
+    """Leave out the elements in doubt and their blocks, but for those around the page's only articles."""
+    n, out = len(page.parent), [False] * len(page.parent)
+    for i in range(1, n):
+        out[i] = out[page.parent[i]] or page.doubtful[i]
+    if not any(out):
+        return
+    if not any(s and not o for s, o in zip(page.semantic, out, strict=True)):
+        for i in [i for i in range(n) if page.semantic[i]]:
+            while i > 0:
+                page.doubtful[i] = False
+                i = page.parent[i]
+        for i in range(1, n):
+            out[i] = out[page.parent[i]] or page.doubtful[i]
+    page.blocks = [b for b in page.blocks if not out[b[0]]]
+
+
 def main_blocks(page: Page) -> list[str]:
     """The blocks of the container and of the siblings that go with it, in page order."""
+    settled(page)
     n = len(page.parent)
     points, text, links = [0.0] * n, [0] * n, [0] * n
     scored = [False] * n

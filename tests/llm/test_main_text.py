@@ -31,6 +31,10 @@ PAGES = {
     "inline": (f"<article><p>{LONG} <b>bo</b>ld&nbsp;\n\t<i>it</i> a<br>b &amp; &lt;p&gt; &#233;&eacute;&#x1F600; <a href='x>y'>link</a></p></article>", f"{LONG} bold it a b & <p> éé😀 link"),
     "broken": (f"<article><p><b>{LONG}<br><p>{MORE}</i></b><div>x</article></p>", f"{LONG} {MORE} x"),
     "scripts": (f'<article><script>var t="</p><p>no";</script><p>{LONG}<!-- <p>no</p> --><noscript>no</noscript><template><p>no</p></template><svg><text>no</text></svg></p><textarea>no</textarea></article>', LONG),
+    "layout": (f'<body><div class="layout sidebar-right"><div class="sidebar"><p>{MORE} {MORE}</p></div><article><p>{LONG}</p></article></div></body>', LONG),
+    "layout alone": (f'<body><div class="sidebar"><article><p>{MORE} {MORE}</p></article></div><div id="content"><article><p>{LONG}</p></article></div></body>', LONG),
+    "sidebar article": (f'<body><div class="rightSidebar"><p>{MORE} {MORE}</p></div><div><p>{LONG}</p></div></body>', LONG),
+    "comment bodies": (f'<main><p>{LONG}</p><ol class="commentlist"><li><article class="comment-body"><p>{MORE} {MORE} {MORE}</p></article></ol><article class="comment-body"><p>{MORE}</p></article></main>', LONG),
     "beside": (f'<body><div class="content no-sidebar"><p>{LONG}</p></div></body>', LONG),
     "table": (f"<table><tr><td>{LINKS}<td><p>{LONG}<p>{MORE}<tr><td>x</table>", f"{LONG} {MORE}"),
     "small": ('<body><div class="ad">Buy, buy, buy, buy, buy and buy again, all of you.</div><article><h1>Of.</h1><p>Of.</p></article><footer>No, no, no, no, no</footer></body>', "Of. Of."),
