@@ -120,10 +120,13 @@ def open_pairs(members: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs inside regions (sig, doc_id, label), of different labels, that are not ruled out.
 
     A region is dealt into blocks of about BLOCK members, and every two blocks of it meet in one task; only pairs that
-    sizes and profiles leave open come out.
+    sizes and profiles leave open come out. Regions of one block are not looked up, so that the members of a large one
+    never meet in one task.
     """
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK)
+    sizes = written(sizes.select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "large", narrow=True)
+    small = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+    rows = members.join(small, "sig", "left").fillna(1, ["blocks"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "label").join(base.select("doc_id", F.col("n_shingles").alias("n"), "profile"), "doc_id")
     rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
@@ -290,7 +293,8 @@ def _labelled(docs: DataFrame, base: DataFrame, members: DataFrame, percent: int
     near = 1 - percent / 100
     one = base.filter("doc_id is not null").select("doc_id", "n_shingles", "profile").dropDuplicates(["doc_id"])
     # Each region's pivot against its members. First a bound from the profiles; what it leaves open is compared exactly
-    pivots = members.groupBy("sig").agg(F.min("doc_id").alias("a"))
+    # Written, so that the join is not tied to the grouping and the members of a large region may be split
+    pivots = written(members.groupBy("sig").agg(F.min("doc_id").alias("a")), "pivots", narrow=True)
     pairs = members.join(pivots, "sig").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     bound = written(bounded(pairs, one), "bounds", narrow=True)
     left_open = F.expr(f"100 * (n_a + n_b - xor) >= {percent} * (n_a + n_b + xor)")
