@@ -75,6 +75,22 @@ def adjudication(ratings: DataFrame) -> DataFrame:
     return rows.select("item", "n_ratings", "n_codes", F.when(share > 0.5, top["code"]).alias("majority"), share.alias("share"), codes.alias("codes"))
 
 
+def coding_plan(items: DataFrame, raters: list[str], n: int | None = None, each: int = 2, seed: int = 42) -> DataFrame:
+    """(item, rater): `each` different coders for every item, or for `n` items drawn by a seeded hash; coders get about equally many, in all pairings of neighbours.
+
+    The same items and seed give the same plan, and items that are added change nothing for the others but who is drawn.
+    """
+    if not 1 <= each <= len(set(raters)) or len(set(raters)) != len(raters):
+        raise ValueError("Coders must differ, and there must be enough of them")
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("item").cast("string")), 256)
+    rows = items.select("item").filter(F.col("item").isNotNull()).distinct().withColumn("_h", digest)
+    rows = rows if n is None else rows.orderBy("_h", "item").limit(n)
+    first = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
+    names = F.array(*map(F.lit, raters))
+    own = F.explode(F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda i: F.get(names, ((first + i) % len(raters)).cast("int"))))
+    return rows.select("item", own.alias("rater"))
+
+
 # ---- hierarchies
 
 
@@ -173,6 +189,14 @@ def conflicts(labelled: DataFrame) -> DataFrame:
     return rows.select("surface", "n", "n_codes", F.col("b.code").alias("majority"), (-F.col("b.minus") / F.col("n")).alias("share"))
 
 
+def wordings(labelled: DataFrame) -> DataFrame:
+    """(code, n, n_surfaces, most_frequent, share): in how many wordings a code comes, and the share of its most frequent one (ties by wording)."""
+    per = surface_codes(labelled)
+    best = F.min(F.struct((-F.col("n")).alias("minus"), "surface"))
+    rows = per.groupBy("code").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_surfaces"), best.alias("b"))
+    return rows.select("code", "n", "n_surfaces", F.col("b.surface").alias("most_frequent"), (-F.col("b.minus") / F.col("n")).alias("share"))
+
+
 def code_groups(labelled: DataFrame) -> DataFrame:
     """(code, group): codes that wordings connect, directly or over other codes; a group is named by its smallest code.
 

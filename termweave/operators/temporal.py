@@ -29,6 +29,15 @@ def without_seen_subjects(test: DataFrame, train: DataFrame, group: str) -> Data
     return test.join(known, group, "left_anti")
 
 
+def sensitivity(test: DataFrame, train: DataFrame, group: str, correct: str = "correct") -> DataFrame:
+    """(part, n, n_subjects, accuracy) of all test rows, of those of subjects that training has, and of the others; a row without a subject is one of the others."""
+    known = train.select(group).filter(F.col(group).isNotNull()).distinct().withColumn("_known", F.lit(True))
+    rows = test.join(known, group, "left").withColumn("part", F.explode(F.array(F.lit("all"), F.when(F.col("_known"), "seen_subjects").otherwise("unseen_subjects"))))
+    # Subjects are counted from a row for each of them, as their number grows with the data
+    per = rows.groupBy("part", group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col(correct).cast("long"), F.lit(0))).alias("ok"))
+    return per.groupBy("part").agg(F.sum("n").alias("n"), F.count(group).alias("n_subjects"), (F.sum("ok") / F.sum("n")).alias("accuracy"))
+
+
 class AsOfCoder:
     """HistoricalCoder as of each record's time: a code's history score is its best history row that is older than the record.
 

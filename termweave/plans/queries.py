@@ -334,6 +334,14 @@ def asof_topk(spark, d):
     return rounded(c.predict(rows.filter("at >= '1995-03-01'")).drop("history_item"))
 
 
+@query(f"""WITH {PREDICTIONS}, known AS (SELECT DISTINCT subject_id FROM pred WHERE split = 'train'), t AS (SELECT p.*, k.subject_id IS NOT NULL AS seen FROM pred p LEFT JOIN known k USING (subject_id) WHERE split = 'test'),
+x AS (SELECT 'all' AS part, * FROM t UNION ALL SELECT CASE WHEN seen THEN 'seen_subjects' ELSE 'unseen_subjects' END, * FROM t) SELECT part, count(*) AS n, count(DISTINCT subject_id) AS n_subjects, round(avg(correct), 6) AS accuracy FROM x GROUP BY part""")
+def subject_sensitivity(spark, d):
+    """Accuracy on orders of customers that training has, and of others."""
+    p = frames.predictions(spark, d)
+    return rounded(temporal.sensitivity(p.filter("split = 'test'"), p.filter("split = 'train'"), "subject_id"))
+
+
 @query("""WITH s AS (SELECT o_custkey, o_orderdate AS day, CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'train' WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'val' ELSE 'test' END AS split FROM orders WHERE o_orderdate IS NOT NULL)
 SELECT o_custkey, count(DISTINCT split)::BIGINT AS n_splits, min(day) AS first_at, max(day) AS last_at FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1""")
 def period_leakage(spark, d):
@@ -680,6 +688,12 @@ def adjudication(spark, d):
     return rounded(rows.withColumn("codes", F.array_join(F.transform("codes", lambda x: F.concat_ws(":", x["code"], x["n"].cast("string"))), ",")))
 
 
+@query("SELECT o_orderkey AS item, ['r0', 'r1', 'r2', 'r3', 'r4'][((('0x' || substr(sha256('42:' || o_orderkey), 1, 8))::BIGINT + k) % 5)::INT + 1] AS rater FROM orders, range(2) t(k)")
+def coding_plan(spark, d):
+    """Two of five coders for every order."""
+    return agreement.coding_plan(read(spark, d, "orders").select(F.col("o_orderkey").alias("item")), [f"r{i}" for i in range(5)])
+
+
 NATIONS = """nat AS (SELECT 'N' || n_nationkey AS code, 'R' || n_regionkey AS region FROM nation), lines AS (SELECT l_orderkey, arg_max('N' || s_nationkey, (l_extendedprice, l_linenumber, l_partkey, l_suppkey)) AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
 pairs AS (SELECT 'N' || c_nationkey AS g, p FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lines ON l_orderkey = o_orderkey), j AS (SELECT g, p, a.region AS rg, b.region AS rp FROM pairs LEFT JOIN nat a ON a.code = g LEFT JOIN nat b ON b.code = p)"""
 
@@ -719,6 +733,13 @@ def label_conflicts(spark, d):
     return rounded(rows.select(F.sha2("surface", 256).alias("surface_sha"), "n", "n_codes", "majority", "share"))
 
 
+@query(f"WITH {SURFACES} SELECT code, sum(n)::BIGINT AS n, count(*) AS n_surfaces, sha256(first(surface ORDER BY n DESC, surface)) AS surface_sha, round(max(n) / sum(n)::DOUBLE, 6) AS share FROM sc GROUP BY code")
+def code_wordings(spark, d):
+    """In how many texts each source comes."""
+    rows = agreement.wordings(labelled(spark, d))
+    return rounded(rows.select("code", "n", "n_surfaces", F.sha2("most_frequent", 256).alias("surface_sha"), "share"))
+
+
 @query(f"""WITH RECURSIVE {SURFACES}, e AS (SELECT DISTINCT a.code AS x, b.code AS y FROM sc a JOIN sc b USING (surface)), reach(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
 g AS (SELECT x AS code, min(y) AS grp FROM reach GROUP BY x), s AS (SELECT surface, min(code) AS code, count(*) AS k FROM sc GROUP BY surface)
 SELECT grp AS "group", (SELECT count(*) FROM g h WHERE h.grp = g.grp) AS n_codes, count(*) AS n_surfaces, count(*) FILTER (k > 1) AS n_conflicts FROM s JOIN g USING (code) GROUP BY grp HAVING (SELECT count(*) FROM g h WHERE h.grp = g.grp) > 1""")

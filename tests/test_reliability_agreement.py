@@ -224,3 +224,32 @@ def test_conflicts_equal_brute_force(spark):
         g[2] += len(cs) > 1
     assert {r.group: (r.n_codes, r.n_surfaces, r.n_conflicts) for r in agreement.conflict_groups(df).collect()} == {g: (len(c), s, k) for g, (c, s, k) in want.items() if len(c) > 1}
     assert agreement.code_groups(df.limit(0)).count() == 0
+
+
+def test_wordings_of_a_code(spark):
+    df = spark.createDataFrame([("Pain ", "A"), ("pain", "A"), ("ache", "A"), ("rash", "B"), ("", "B"), (None, "C")], "surface string, code string")
+    got = {r.code: (r.n, r.n_surfaces, r.most_frequent, round(r.share, 3)) for r in agreement.wordings(df).collect()}
+    assert got == {"A": (3, 2, "pain", 0.667), "B": (1, 1, "rash", 1.0)}
+
+
+def test_coding_plan(spark):
+    items = spark.range(3000).select(F.col("id").cast("string").alias("item")).union(spark.createDataFrame([("7",), (None,)], "item string"))
+    plan = agreement.coding_plan(items, ["a", "b", "c", "d"], each=3)
+    per = plan.groupBy("item").agg(F.count_distinct("rater").alias("k"), F.count(F.lit(1)).alias("n"))
+    assert per.count() == 3000 and per.filter("k <> 3 or n <> 3").isEmpty()
+    assert all(2000 < r["count"] < 2500 for r in plan.groupBy("rater").count().collect())
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(plan) == key(agreement.coding_plan(items.repartition(7), ["a", "b", "c", "d"], each=3))
+    assert agreement.coding_plan(items, ["a", "b"], 50).select("item").distinct().count() == 50
+    for bad in ((["a"], 2), (["a", "a"], 2), ([], 1)):
+        with pytest.raises(ValueError):
+            agreement.coding_plan(items, bad[0], each=bad[1])
+
+
+def test_sensitivity_to_seen_subjects(spark):
+    from termweave.operators import temporal
+
+    ddl = "subject string, correct int"
+    test = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1), (None, 1), (None, None)], ddl)
+    got = {r.part: (r.n, r.n_subjects, r.accuracy) for r in temporal.sensitivity(test, spark.createDataFrame([("a", 1), (None, 1)], ddl), "subject").collect()}
+    assert got == {"all": (5, 2, 0.6), "seen_subjects": (2, 1, 0.5), "unseen_subjects": (3, 1, pytest.approx(2 / 3))}
