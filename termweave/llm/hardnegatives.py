@@ -207,7 +207,7 @@ def asked(anchors: DataFrame, rows: DataFrame, n: int, width: int, k: int, same:
                         c.append(v)
         return products.made(schema, [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)])
 
-    return products.against(anchors.withColumn("key", F.col("anchor_id")), rows.withColumn("key", F.col("vec_id")), n * max(width, 1), load, answer, kind, most)
+    return products.against(anchors.withColumn("key", F.col("anchor_id")), rows.withColumn("key", F.col("vec_id")), n * max(width, 1), load, answer, kind, most, k * POSITIVES)
 
 
 def first(found: DataFrame, by: list[str], k: int) -> DataFrame:

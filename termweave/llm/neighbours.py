@@ -158,7 +158,7 @@ def search(stored: DataFrame, n: int, books: np.ndarray, asked: DataFrame, reran
 
     items = stored.withColumn("key", F.col("vec_id"))
     queries = asked.select(F.col("vec_id").alias("query_id"), "embedding", F.col("vec_id").alias("key"))
-    out = products.against(queries, items, n * (m // 8 + 2), load, answer, kind, most)
+    out = products.against(queries, items, n * (m // 8 + 2), load, answer, kind, most, rerank)
     nth = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return out.withColumn("nth", nth).filter(F.col("nth") <= rerank).select("query_id", "vec_id").distinct()
 
