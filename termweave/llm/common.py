@@ -35,11 +35,11 @@ def written(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again. Survives the loss of any executor.
 
     `narrow`: the rows are short (ids, hashes, counts), and a file for each shuffle partition would be a small one: Spark
-    rebalances them by bytes, into as many files as they fill and no task larger than that.
+    rebalances them into a sixteenth of the partitions, and cuts those that are larger than its advised size.
     """
     path = fresh_path(df.sparkSession, tag)
     if narrow:
-        df = df.hint("rebalance")
+        df = df.hint("rebalance", max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
