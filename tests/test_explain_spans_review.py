@@ -288,7 +288,7 @@ def test_quality_names_each_failure_once(spark):
     ]
     q = explain.quality_summary(df).first()
     assert (q.n, q.n_decisions_downgraded, q.automatic_or_proposal_rate_before_quality_gate, q.automatic_or_proposal_rate_after_quality_gate) == (6, 3, 5 / 6, 2 / 6)
-    assert q.additional_review_rate_due_to_explanation_gate == 3 / 6 and explain.quality_cases(df.withColumn("record_id", F.lit("r"))).filter("decision_downgraded").count() == 3
+    assert q.additional_review_rate_due_to_explanation_gate == 3 / 6 and explain.quality_cases(df.withColumn("record_id", F.lit("r")).withColumn("predicted_code", F.lit("A"))).filter("decision_downgraded").count() == 3
 
 
 def test_annotation_audit(spark):
