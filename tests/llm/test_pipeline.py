@@ -99,7 +99,7 @@ def test_near_duplicates_keep_one_row_of_each(spark):
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
@@ -111,4 +111,4 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
