@@ -2,10 +2,12 @@
 
 A vector is approximated by a sum of full-dimensional codewords, one from each of several codebooks. The codebooks are
 fitted on a bounded sample: k-means on residuals, then least squares over all codebooks at once. Every vector is
-encoded by a beam search over the codebooks and stored with its codes and the norm of its approximation. A query makes
-a table of its products with all codewords; an approximate distance is then a sum of table entries and the stored norm.
-Blocks of queries meet blocks of the index in tasks of their own, so that neither is ever held whole; the best of each
-query by the approximation are joined with the original vectors and compared exactly.
+encoded by a beam search over the codebooks and stored with its codes, the norm of its approximation and its distance
+from it. A query makes a table of its products with all codewords; an approximate distance is then a sum of table
+entries and the stored norm. Blocks of queries meet blocks of the index in tasks of their own, so that neither is ever
+held whole. The best by the approximation are compared exactly, and after them every row whose approximation is not
+farther than the best so far by more than the row's own distance from it: by the triangle inequality no nearer row is
+left out, whatever the vectors are like. Where codebooks fit the vectors badly more rows are compared, not fewer found.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from termweave.operators import products
 #: Vectors that the codebooks are fitted on, about, by a hash of their ids.
 SAMPLE = 20_000
 BOOKS, WORDS, BEAM, ROUNDS = 32, 128, 4, 4
-#: Candidates that each query compares exactly.
+#: Candidates that each query compares exactly in a block before the bound of the others is known.
 RERANK = 200
+#: Rows that are compared at once.
+AT_ONCE = 8192
 #: Pairs of one row of the index that meet in one task of the rerank; a row found more often is dealt out in copies.
 HUB = 2000
 
@@ -99,24 +103,40 @@ def matrix(column) -> np.ndarray:
     return numbers.reshape(len(at) - 1, -1) if len(at) > 1 else np.zeros((0, 1))
 
 
-def as_floats(x: np.ndarray, scale: float) -> np.ndarray:
-    """Scaled by a power of two under which the table's largest component is below 1: no square leaves a float, and the order of distances stays."""
-    return (x * scale).astype(np.float32)
+def centred(x: np.ndarray, scale: float, centre: np.ndarray | float) -> np.ndarray:
+    """Scaled by a power of two under which the table's largest component is below 1, less the centre of the scaled vectors: no square overflows, and the order of distances stays."""
+    return x * scale - centre
 
 
-def index(vectors: DataFrame, books: np.ndarray, scale: float = 1.0) -> DataFrame:
-    """(vec_id, codes, norm) for every row."""
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, in doubles; where the squares would overflow or vanish, of the differences over the largest of them."""
+    gap = x - q
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt((gap**2).sum(1))
+    odd = np.flatnonzero(~((out > 1e-140) & (out < 1e150)))
+    if len(odd):
+        largest = np.abs(gap[odd]).max(1, initial=0.0)
+        part = np.divide(gap[odd], largest[:, None], out=np.zeros_like(gap[odd]), where=largest[:, None] > 0)
+        out[odd] = largest * np.sqrt((part**2).sum(1))
+    return out
+
+
+def index(vectors: DataFrame, books: np.ndarray, scale: float = 1.0, centre: np.ndarray | float = 0.0) -> DataFrame:
+    """(vec_id, codes, norm, off, embedding) for every row; off: the distance between the approximation and the vector, scaled."""
     told = vectors.sparkSession.sparkContext.broadcast(books)
+    ddl = "vec_id long, codes binary, norm double, off double, embedding array<double>"
 
     def run(batches) -> Iterator:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                codes = encode(as_floats(matrix(part.column("embedding")), scale), told.value)
-                near = told.value[np.arange(codes.shape[1]), codes.astype(np.int64)].sum(1)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near.astype(np.float64) ** 2).sum(1))], ["vec_id", "codes", "norm"])
+                x = centred(matrix(part.column("embedding")), scale, centre)
+                codes = encode(x.astype(np.float32), told.value)
+                near = told.value[np.arange(codes.shape[1]), codes.astype(np.int64)].sum(1, dtype=np.float64)
+                columns = [part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(1)), pa.array(distances(near, x)), part.column("embedding")]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "codes", "norm", "off", "embedding"])
 
-    return vectors.mapInArrow(run, "vec_id long, codes binary, norm double")
+    return vectors.mapInArrow(run, ddl)
 
 
 def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -128,39 +148,57 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], score[at]))[:k]]
 
 
-def search(stored: DataFrame, n: int, books: np.ndarray, asked: DataFrame, rerank: int = RERANK, most: int | None = None, scale: float = 1.0) -> DataFrame:
-    """(query_id, vec_id): the `rerank` rows of the index (of n rows) that are nearest by the approximation, for every query (vec_id, embedding)."""
-    m = books.shape[0]
+def search(stored: DataFrame, n: int, books: np.ndarray, asked: DataFrame, k: int, rerank: int = RERANK, most: int | None = None, scale: float = 1.0, centre: np.ndarray | float = 0.0) -> DataFrame:
+    """(query_id, vec_id): the k rows of the index (of n rows) that are nearest, for every query (vec_id, embedding).
+
+    `rerank` rows of a block, those nearest by the approximation, give a distance within which the k nearest lie; a row
+    is compared too unless its approximation is farther than that by more than `off`.
+    """
+    m, _, d = books.shape
     told = stored.sparkSession.sparkContext.broadcast(books)
     kind = products.kind_of("query_id long, vec_id long, score double")
     schema = kind[1]
 
     def load(table: pa.Table):
         codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(table.num_rows, m)
-        return np.ascontiguousarray(codes.T), table["norm"].to_numpy(), table["vec_id"].to_numpy()
+        return np.ascontiguousarray(codes.T), table["norm"].to_numpy(), table["off"].to_numpy(), table["vec_id"].to_numpy(), matrix(table["embedding"])
 
     def answer(block, batch):
-        codes, norm, ids = block
+        codes, norm, off, ids, x = block
         own, which, found, scores = batch.column("query_id").to_numpy(), [], [], []
-        for i, q in enumerate(as_floats(matrix(batch.column("embedding")), scale)):
-            look = 2 * (told.value @ q).astype(np.float64)  # a row of products for each codebook
-            score = norm.copy()
+        words, size = told.value.astype(np.float64), np.sqrt(norm)
+        compared = lambda at, q: np.concatenate([np.empty(0), *(distances(x[at[i : i + AT_ONCE]], q) for i in range(0, len(at), AT_ONCE))])
+        for i, q in enumerate(matrix(batch.column("embedding"))):
+            c = centred(q, scale, centre)
+            look = 2 * (words @ c)  # a row of products for each codebook
+            square = norm + c @ c
             for j in range(m):
-                score -= look[j][codes[j]]
-            score[ids == own[i]] = np.inf
-            at = best_of(score, ids, rerank)
-            at = at[np.isfinite(score[at])]
-            which.append(np.full(len(at), own[i]))
-            found.append(ids[at])
-            scores.append(score[at])
+                square -= look[j][codes[j]]
+            others = np.flatnonzero(ids != own[i])
+            near = np.sqrt(np.maximum(square[others], 0.0))
+            first = np.arange(len(others))
+            if len(others) > rerank:
+                first = np.argpartition(near**2 - off[others] ** 2, rerank - 1)[:rerank]
+            at, score = others[first], compared(others[first], q)
+            if len(others) > rerank:
+                within = np.partition(score, k - 1)[k - 1] * scale
+                # Sums of products are good to some 1e-14 of the squares
+                open_ = near - off[others] <= within * (1 + 1e-9) + 1e-7 * (np.sqrt(c @ c) + size[others]) + 1e-9 * off[others]
+                open_[first] = False
+                more = others[open_]
+                at, score = np.concatenate([at, more]), np.concatenate([score, compared(more, q)])
+            best = best_of(score, ids[at], k)
+            which.append(np.full(len(best), own[i]))
+            found.append(ids[at[best]])
+            scores.append(score[best])
         joined = lambda x, of: np.concatenate([np.empty(0, of), *x])
         return products.made(schema, [joined(which, np.int64), joined(found, np.int64), joined(scores, np.float64)])
 
     items = stored.withColumn("key", F.col("vec_id"))
     queries = asked.select(F.col("vec_id").alias("query_id"), "embedding", F.col("vec_id").alias("key"))
-    out = products.against(queries, items, n * (m // 8 + 2), load, answer, kind, most, rerank)
+    out = products.against(queries, items, n * (d + m // 8 + 3), load, answer, kind, most, k)
     nth = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return out.withColumn("nth", nth).filter(F.col("nth") <= rerank).select("query_id", "vec_id").distinct()
+    return out.withColumn("nth", nth).filter(F.col("nth") <= k).select("query_id", "vec_id").distinct()
 
 
 def exact(found: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -177,13 +215,13 @@ def exact(found: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                yield arrow_batch("query_id long, vec_id long, score double", part.column("query_id"), part.column("vec_id"), np.sqrt(((matrix(part.column("x")) - matrix(part.column("q"))) ** 2).sum(1)))
+                yield arrow_batch("query_id long, vec_id long, score double", part.column("query_id"), part.column("vec_id"), distances(matrix(part.column("x")), matrix(part.column("q"))))
 
     return pairs.select("query_id", "vec_id", "x", "q").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, rerank: int = RERANK, most: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found for each query, by Euclidean distance on the vectors.
+    """(query_id, rank, vec_id, score): the k nearest rows of each query, by Euclidean distance on the vectors.
 
     A query's own id is no candidate. Vectors that are null or zero, that hold null or non-finite components, or whose
     length is not the most frequent one of `vectors` take no part, nor do rows without an id; of equal distances the
@@ -196,10 +234,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
     n, scale = told["n"], math.ldexp(1.0, -max(-1000, min(1000, math.frexp(told["largest"] or 1.0)[1])))
     part = min(1.0, sample / max(n, 1))
     some = rows.filter(F.xxhash64("vec_id").bitwiseAND(F.lit((1 << 40) - 1)) < part * float(1 << 40)).select("embedding").toArrow()
-    books = fit(as_floats(matrix(some["embedding"]), scale))
-    stored = written(index(rows, books, scale), "index")
+    x = matrix(some["embedding"]) * scale
+    centre = x.mean(0) if len(x) else 0.0
+    books = fit((x - centre).astype(np.float32))
+    stored = written(index(rows, books, scale, centre), "index")
     asked = usable(queries, told["d"] or 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    near = written(search(stored, n, books, asked, max(rerank, k), most, scale), "found")
+    near = written(search(stored, n, books, asked, k, max(rerank, k), most, scale, centre), "found")
     found = exact(near, rows, asked)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

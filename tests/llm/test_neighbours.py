@@ -55,3 +55,20 @@ def test_repeated_query_ids_are_the_least_vector(spark):
     vec = spark.createDataFrame([(0, [2.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in neighbours.nearest(vec, vec.filter("vec_id = 0"), 5).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, pytest.approx(2**0.5))]
+
+
+@pytest.mark.parametrize("kind", ["tight clusters", "far from the origin", "many sizes"])
+@pytest.mark.parametrize("most", [None, 20_000])
+def test_nearest_whatever_the_vectors_are_like(spark, kind, most):
+    """Differences far below what codewords tell apart: all of the nearest are found, in one block of the index or in many."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 12))
+    if kind == "tight clusters":
+        x = rng.normal(size=(3, 12))[rng.integers(0, 3, 1500)] + 1e-9 * x
+    elif kind == "far from the origin":
+        x = 1e6 + x
+    else:
+        x = x * 10.0 ** rng.uniform(-6, 6, (1500, 1))
+    vec = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(vec, vec.filter("vec_id % 100 = 0"), 10, most=most).toPandas().sort_values("rank")
+    assert {q: rows["vec_id"].tolist() for q, rows in got.groupby("query_id")} == {q: plain(x, range(1500), (q, x[q]), 10) for q in range(0, 1500, 100)}
