@@ -26,6 +26,8 @@ from termweave.sources.records import alias_rows, require_columns, row_keys, wit
 BROADCAST_ROWS = 500_000
 #: Grams that are counted at once.
 GRAMS = 2_000_000
+#: Cosines that a task holds at once.
+COSINES = 2_000_000
 #: What is kept for reuse, so that it can be given back.
 KEPT: list[DataFrame] = []
 
@@ -571,8 +573,9 @@ def dense_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
         if not len(first):
             return products.made(schema, [batch.column("query").slice(0, 0), codes, np.empty(0)])
         q, n, out = unit_rows(batch.column("vector")), len(first), []
-        for at in range(0, len(q), 256):
-            out.append(np.maximum.reduceat(q[at : at + 256] @ x.T, first, axis=1).ravel())
+        step = max(1, COSINES // len(x))
+        for at in range(0, len(q), step):
+            out.append(np.maximum.reduceat(q[at : at + step] @ x.T, first, axis=1).ravel())
         which, code = np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q))
         return products.made(schema, [batch.column("query").take(pa.array(which)), codes.take(pa.array(code)), np.concatenate([np.empty(0), *out])])
 

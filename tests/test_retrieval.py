@@ -146,3 +146,15 @@ def test_notes_are_added_up_where_they_lie(spark, monkeypatch):
     norm = {code: sum(r.w**2 for r in w if r.code == code) ** 0.5 for code in "XY"}
     want = {(r.code, r.gram): round(r.w / norm[r.code], 9) for r in w}
     assert {(r["item"], r["gram"]): round(r["w"], 9) for r in c.centroids.postings.collect()} == want
+
+
+def test_cosines_are_held_in_bounded_parts(spark, monkeypatch):
+    """Parts of a few queries give the scores of all queries at once."""
+    monkeypatch.setattr(retrieval, "COSINES", 7)
+    rng = random.Random(4)
+    q = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(5)], "query long, vector array<double>")
+    items = spark.createDataFrame([(f"L{i % 2}", [rng.gauss(0, 1) for _ in range(3)]) for i in range(6)], "code string, vector array<double>")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    own = [tuple(r) for r in items.collect()]
+    want = {(r.query, c): round(max(cosine(r.vector, v) for code, v in own if code == c), 9) for r in q.collect() for c in ("L0", "L1")}
+    assert {(r.query, r.code): round(r.dense_score, 9) for r in retrieval.dense_scores(q, items).collect()} == want
