@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated a single time, also inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trimmed(c: Column | str) -> Column:
     """Without white space at either end, Unicode's included."""
     return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -51,18 +58,6 @@ def word_grams(c: Column | str) -> Column:
     return F.when(F.size(w) >= 2, F.concat(w, pairs)).otherwise(w)
 
 
-def tokens(c: Column | str) -> Column:
-    """Distinct lower-cased runs of at least two letters or digits of ASCII."""
-    return F.array_distinct(F.transform(F.filter(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 2), F.lower))
-
-
-def phrases(term: Column | str, synonyms: Column | str) -> Column:
-    """The term and its synonyms (between | ; or line feeds), trimmed, each once whatever its case."""
-    parts = F.filter(F.transform(F.concat(F.array(F.coalesce(col(term), F.lit(""))), F.split(F.coalesce(col(synonyms), F.lit("")), r"[|;\n]")), trimmed), lambda p: p != "")
-    low = F.transform(parts, F.lower)
-    return F.filter(parts, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
-
-
 def assertion(context: Column | str) -> Column:
     """The first class, in order of precedence, whose vocabulary occurs; `affirmed` if none does."""
     out = None
@@ -75,11 +70,11 @@ def assertion(context: Column | str) -> Column:
 def local_context(text: Column | str, start: Column | str, end: Column | str, window: int = 100) -> Column:
     """The words around [start, end): from the last full stop or line feed (at most `window` back) to the next one."""
     t, s, e = col(text), col(start), col(end)
-    before, after = F.substring(t, F.lit(1), s), F.substring(t, e + 1, F.length(t))
+    before = F.substring(t, F.greatest(s - window, F.lit(0)) + 1, F.least(s, F.lit(window)))
     tail = F.substring_index(F.substring_index(before, ".", -1), "\n", -1)
-    left = F.greatest(s - F.length(tail), s - window, F.lit(0))
-    right = F.when(after.rlike(r"[.\n]"), e + F.length(F.regexp_extract(after, r"^[^.\n]*[.\n]", 0))).otherwise(F.least(F.length(t), e + window))
-    return trimmed(F.substring(t, left + 1, right - left))
+    mark = F.length(F.regexp_extract(F.substring(t, e + 1, F.length(t)), r"^[^.\n]*[.\n]", 0))
+    ends = once(mark, lambda n: F.struct((s - F.length(tail)).alias("left"), F.when(n > 0, e + n).otherwise(F.least(F.length(t), e + window)).alias("right")))
+    return once(ends, lambda p: trimmed(F.substring(t, p["left"] + 1, p["right"] - p["left"])))
 
 
 def without_spans(text: Column | str, spans: Column | str) -> Column:

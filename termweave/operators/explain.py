@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from termweave.functions.text import assertion, local_context, phrases, tokens, trimmed, without_spans
+from termweave.functions.text import assertion, local_context, trimmed, without_spans
 from termweave.operators.products import kind_of, made
-from termweave.operators.retrieval import kept, text_key
+from termweave.operators.retrieval import kept
 from termweave.sources.records import row_key, row_keys
 
 SPAN = "array<struct<start:int,end:int,quote:string,source:string,score:double,matched_phrases:array<string>>>"
@@ -23,6 +26,19 @@ NO_SUPPORT = ("insufficient_grounding", "insufficient_affirmed_evidence")
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|$|\n)")
 #: Sentences that are handed on at once.
 AT_ONCE = 50_000
+WORD = re.compile("[A-Za-z0-9]+")
+#: Terms with their synonyms whose phrases a task keeps, and rows whose spans it hands on at once.
+KNOWN = 1024
+ROWS_AT_ONCE = 1024
+
+
+def cut_sentences(text: str | None) -> Iterator[tuple[int, int, str]]:
+    """(start, end, quote) of a text's sentences, trimmed."""
+    for m in SENTENCE.finditer(text or ""):
+        words = m.group()
+        if words[-1] != "\n" and (own := words.strip()):
+            at = m.start() + len(words) - len(words.lstrip())
+            yield at, at + len(own), own
 
 
 def sentences(df: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
@@ -37,14 +53,11 @@ def sentences(df: DataFrame, key: str = "record_id", text: str = "text") -> Data
         for batch in batches:
             which, start, end, quote = [], [], [], []
             for i, body in enumerate(batch.column(text)):
-                for m in SENTENCE.finditer(body.as_py() or ""):
-                    words = m.group()
-                    if words[-1] != "\n" and (own := words.strip()):
-                        at = m.start() + len(words) - len(words.lstrip())
-                        which.append(i)
-                        start.append(at)
-                        end.append(at + len(own))
-                        quote.append(own)
+                for at, to, own in cut_sentences(body.as_py()):
+                    which.append(i)
+                    start.append(at)
+                    end.append(to)
+                    quote.append(own)
                 if len(which) >= AT_ONCE:
                     yield made(schema, [batch.column(key).take(pa.array(which, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(quote, pa.string())])
                     which, start, end, quote = [], [], [], []
@@ -53,53 +66,83 @@ def sentences(df: DataFrame, key: str = "record_id", text: str = "text") -> Data
     return df.select(key, text).mapInArrow(run, kind)
 
 
-def explicit_span() -> Column:
-    """The first place of the mention, whatever its case: a span of score 2 with the phrases that it holds, or null. Uses columns text, mention and phrases."""
-    m = F.trim(F.coalesce("mention", F.lit("")))
-    at = F.expr("instr(lower(text), lower(trim(coalesce(mention, ''))))")
-    quote = F.substring(F.col("text"), at, F.length(m))
-    held = F.filter("phrases", lambda p: F.contains(F.lower(quote), F.lower(p)))
-    span = F.struct((at - 1).alias("start"), (at - 1 + F.length(m)).alias("end"), quote.alias("quote"), F.lit("explicit_mention").alias("source"), F.lit(2.0).alias("score"), held.alias("matched_phrases"))
-    return F.when((m != "") & (at > 0), span)
-
-
-def evidence_spans(df: DataFrame, key: str | None = None, max_spans: int = 3) -> DataFrame:
-    """(key, spans): evidence for rows of (key, text, mention, term, synonyms), in the order of the text; the key is row_id where there is one, else record_id.
+def known_phrases(term: str | None, synonyms: str | None) -> tuple[list[str], list[str], frozenset[str]]:
+    """The phrases of a term and its synonyms (between | ; or line feeds), each once whatever its case; the same lower-cased; their words."""
+    first = {}
+    for phrase in [term or "", *re.split(r"[|;\n]", synonyms or "")]:
+        if own := phrase.strip():
+            first.setdefault(own.lower(), own)
+    return list(first.values()), list(first), words_of(" ".join(first.values()))
+
+
+def words_of(text: str) -> frozenset[str]:
+    """Lower-cased runs of at least two letters or digits of ASCII."""
+    return frozenset(w.lower() for w in WORD.findall(text) if len(w) > 1)
+
+
+def spans_of(text: str | None, cut: list[tuple[int, int, str, str]], mention: str | None, known: tuple, max_spans: int) -> list[tuple]:
+    """A row's spans in the order of the text, out of its sentences (start, end, quote, lower-cased quote)."""
+    phrases, low_phrases, words = known
+    held = lambda low: [p for p, l in zip(phrases, low_phrases, strict=True) if l in low]
+    m = (mention or "").strip(" ")
+    low_m, target = m.lower(), words | words_of(mention or "")
+    found, at = [], (text or "").lower().find(low_m) if m else -1
+    for start, end, quote, low in cut:
+        if at < 0 or end <= at or start >= at + len(m):
+            hits = held(low)
+            # A word of the target is a part of the quote; most quotes have none, and are not cut into words
+            share = len(words_of(quote) & target) if any(t in low for t in target) else 0
+            score = share / max(len(target), 1) + 0.5 * len(hits) + (1.0 if m and low_m in low else 0.0)
+            if score > 0:
+                found.append((-score, start, end, quote, hits))
+    best = [(start, end, quote, "supporting_sentence", -minus, hits) for minus, start, end, quote, hits in sorted(found)[: max_spans - (at >= 0)]]
+    if at >= 0:
+        quote = text[at : at + len(m)]
+        best.append((at, at + len(m), quote, "explicit_mention", 2.0, held(quote.lower())))
+    return sorted(best)
+
+
+def with_spans(df: DataFrame, max_spans: int = 3) -> DataFrame:
+    """The rows of (text, mention, term, synonyms, ...) with `spans`: their evidence, in the order of the text.
 
     The explicit mention comes first; then sentences that do not overlap it, scored by the share of target words they
-    hold, half a point for each phrase and one for the mention; the best `max_spans` stay. Each text is cut into
-    sentences once, however many candidates share it.
+    hold, half a point for each phrase and one for the mention; the best `max_spans` stay. Rows get their spans where
+    they lie: nothing is shuffled. Candidates of a text that follow one another share its sentences, and rows of equal
+    term and synonyms their phrases.
     """
+    kind = StructType([*df.schema.fields, *StructType.fromDDL(f"spans {SPAN}").fields])
+    field = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("quote", pa.string()), ("source", pa.string()), ("score", pa.float64()), ("matched_phrases", pa.list_(pa.string()))]))
+    names, columns = [f.name for f in field.value_type], [*df.columns, "spans"]
+
+    def run(batches):
+        last, cut, known = None, [], lru_cache(KNOWN)(known_phrases)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part, spans = batch.slice(at, ROWS_AT_ONCE), []
+                for text, mention, term, synonyms in zip(*(part.column(c) for c in ("text", "mention", "term", "synonyms")), strict=True):
+                    text = text.as_py()
+                    if text != last:
+                        last, cut = text, [(start, end, quote, quote.lower()) for start, end, quote in cut_sentences(text)]
+                    own = spans_of(text, cut, mention.as_py(), known(term.as_py(), synonyms.as_py()), max_spans)
+                    spans.append([dict(zip(names, s, strict=True)) for s in own])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, field)], names=columns)
+
+    return df.mapInArrow(run, kind)
+
+
+def evidence_spans(df: DataFrame, key: str | None = None, max_spans: int = 3) -> DataFrame:
+    """(key, spans): with_spans() of rows of (key, text, mention, term, synonyms); the key is row_id where there is one, else record_id."""
     key = key or row_key(df)
-    base = df.select(key, "text", "mention", "term", "synonyms").withColumn("phrases", phrases("term", "synonyms")).withColumn("explicit", explicit_span())
-    target = F.array_union(tokens(F.concat_ws(" ", F.col("phrases"))), tokens("mention"))
-    base = base.withColumn("target", target).withColumn("doc", text_key("text"))
-    cut = sentences(base.select("doc", "text").dropDuplicates(["doc"]), "doc").withColumn("words", tokens("quote"))
-    rows = base.select(key, "doc", "mention", "explicit", "phrases", "target").join(cut, "doc")
-    rows = rows.filter(F.col("explicit").isNull() | (F.col("end") <= F.col("explicit.start")) | (F.col("start") >= F.col("explicit.end")))
-    low = F.lower("quote")
-    hits = F.filter("phrases", lambda p: F.contains(low, F.lower(p)))
-    m = F.lower(F.trim(F.coalesce("mention", F.lit(""))))
-    score = F.size(F.array_intersect("words", "target")) / F.greatest(F.size("target"), F.lit(1)) + 0.5 * F.size(hits) + F.when((m != "") & F.contains(low, m), 1.0).otherwise(0.0)
-    rows = rows.withColumn("hits", hits).withColumn("score", score).filter("score > 0")
-    left = max_spans - F.when(F.col("explicit").isNull(), 0).otherwise(1)
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "start"))).filter(F.col("_n") <= left)
-    span = F.struct("start", "end", "quote", F.lit("supporting_sentence").alias("source"), "score", F.col("hits").alias("matched_phrases"))
-    found = rows.groupBy(key).agg(F.collect_list(span).cast(SPAN).alias("found"))
-    none = F.array().cast(SPAN)
-    own = F.when(F.col("explicit").isNull(), none).otherwise(F.array("explicit").cast(SPAN))
-    return base.select(key, "explicit").join(found, key, "left").select(key, F.array_sort(F.concat(own, F.coalesce("found", none))).alias("spans"))
+    return with_spans(df.select(key, "text", "mention", "term", "synonyms"), max_spans).select(key, "spans")
 
 
 def audited_spans(text: Column | str, spans: Column | str) -> Column:
     """The spans with the context around each and its assertion class."""
     c = F.col(spans) if isinstance(spans, str) else spans
 
-    def one(s: Column) -> Column:
-        context = local_context(text, s["start"], s["end"])
-        return s.withField("assertion_context", context).withField("clinical_assertion", assertion(context))
-
-    return F.transform(c, one)
+    # The context becomes a field before it is judged, so that it is made once
+    near = F.transform(c, lambda s: s.withField("assertion_context", local_context(text, s["start"], s["end"])))
+    return F.transform(near, lambda s: s.withField("clinical_assertion", assertion(s["assertion_context"])))
 
 
 def audit_context(expl: DataFrame) -> DataFrame:
@@ -201,7 +244,7 @@ def explanations(pred: DataFrame, terms: DataFrame, cases: DataFrame | None = No
     key = row_key(pred)
     t = terms.select(F.col("code").alias("predicted_code"), "term", "synonyms", "definition", "hierarchy", "system", "knowledge_source")
     rows = pred.join(t, "predicted_code", "left").fillna("", ["term", "synonyms", "definition", "hierarchy", "knowledge_source"]).fillna("unspecified", ["system"])
-    rows = rows.join(evidence_spans(rows), key)
+    rows = with_spans(rows)
     if cases is not None:
         same = cases.join(pred.select(key, F.col("predicted_code").alias("code")), [key, "code"])
         same = same.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("rank"))).filter("_n <= 2")
