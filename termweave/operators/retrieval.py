@@ -630,15 +630,19 @@ def advanced(lexical: DataFrame, dense: DataFrame, pool: int = 50, top_k: int =
     pools are made, or what dense_pool() gives, which brings the ends of the scale along. A code from the dense pool
     alone has lexical score 0. Ties go to the smaller code.
     """
-    first = lambda df, c: df.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(F.desc(c), "code"))).filter(F.col("_n") <= pool).drop("_n")
-    lex = first(lexical.select("query", "code", F.col("score").alias("lexical_score")), "lexical_score")
+    place = lambda c: F.row_number().over(W.partitionBy("query").orderBy(F.desc(c), "code"))
+    first = lambda df, c: df.withColumn("_n", place(c)).filter(F.col("_n") <= pool).drop("_n")
+    lex = first(lexical.select("query", "code", F.col("score").alias("lexical_score")), "lexical_score").withColumn("_lexical", F.lit(True))
     if dense_weight > 0:
         within = F.when(F.col("high") <= F.col("low"), 0.0).otherwise((F.col("dense_score") - F.col("low")) / (F.col("high") - F.col("low"))) if "low" in dense.columns else min_max("dense_score", "query")
-        scaled = dense.withColumn("dense_scaled", within)
-        names = lex.select("query", "code").union(first(scaled, "dense_score").select("query", "code")).distinct()
+        scaled = dense.withColumn("_dense", place("dense_score") <= pool).withColumn("dense_scaled", within)
     else:
-        scaled, names = dense.withColumn("dense_scaled", F.lit(0.0)), lex.select("query", "code")
-    rows = names.join(lex, ["query", "code"], "left").join(scaled, ["query", "code"], "left").fillna(0.0)
+        scaled = dense.withColumn("_dense", F.lit(False)).withColumn("dense_scaled", F.lit(0.0))
+    # Sides that are dealt by query meet as groups without another shuffle; as joins on query and code they would be dealt anew
+    both = lex.unionByName(scaled, allowMissingColumns=True)
+    values = [c for c in both.columns if c not in ("query", "code")]
+    rows = both.groupBy("query", "code").agg(*[F.max(c).alias(c) for c in values])
+    rows = rows.filter(F.col("_lexical") | F.col("_dense")).fillna(0.0, values).drop("_lexical", "_dense")
     rows = rows.withColumn("retrieval_score", (1 - dense_weight) * F.col("lexical_score") + dense_weight * F.col("dense_scaled"))
     rows = first(rows, "retrieval_score").withColumn("score", F.col("retrieval_score"))
     if reranker is not None and rerank_weight > 0:

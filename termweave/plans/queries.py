@@ -271,7 +271,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, c
 SELECT record_id AS query, rank::INT AS rank, code, round(score, 6) AS score FROM p WHERE rank <= 2""")
 def pooled_fusion(spark, d):
     """Lexical and dense pools of three, fused."""
-    c = frames.candidates(spark, d).join(frames.predictions(spark, d).select("record_id"), "record_id").withColumnRenamed("record_id", "query")
+    c = frames.candidates(spark, d).withColumnRenamed("record_id", "query").join(read(spark, d, "orders").select(F.col("o_orderkey").alias("query")), "query")
     dense = c.select("query", "code", (F.col("score") * (1 + F.substring("code", 3, 1).cast("int")) / 10.0).alias("dense_score"))
     return rounded(retrieval.advanced(c, dense, pool=3, top_k=2, dense_weight=0.3).select("query", "rank", "code", "score"))
 

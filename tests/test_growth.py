@@ -2,12 +2,19 @@
 
 import __spark_entry__
 from termweave.operators import explain
+from termweave.plans import frames
 
 SF = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    most = "spark.sql.maxPlanStringLength"
+    was = df.sparkSession.conf.get(most)
+    df.sparkSession.conf.set(most, "1000000")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.set(most, was)
 
 
 def test_the_audit_shuffles_no_text(spark):
@@ -29,3 +36,11 @@ def test_spans_where_the_rows_lie(spark):
         [], [], [], [(14, 17, "red", "explicit_mention", 2.0, ["red"])],
     ]
     assert [len(r.spans) for r in explain.evidence_spans(df, max_spans=1).collect()] == [1, 0, 0, 0, 1]
+
+
+def test_fused_pools_are_dealt_once_and_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(frames, "ROWS", 500)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    df = __spark_entry__.queries()["pooled_fusion"](spark, SF)
+    assert plan(df).count("Exchange hashpartitioning") == plan(df).count("REPARTITION_BY_NUM") > 0
+    assert df.rdd.getNumPartitions() == -(-lines // 500) > 4
