@@ -25,6 +25,8 @@ from termweave.sources.records import alias_rows, require_columns, row_keys, wit
 BROADCAST_ROWS = 500_000
 #: Cosines that a task holds at once.
 COSINES = 2_000_000
+#: Texts of a partition in which their grams are made.
+TEXTS = 5_000
 #: What is kept for reuse, so that it can be given back.
 KEPT: list[DataFrame] = []
 
@@ -302,10 +304,18 @@ def best_of_parts(top: DataFrame, sides: list) -> DataFrame:
     return top.groupBy("query", "code").agg(F.max("score").alias("score"), *best).select("query", "code", "score", *[f"b{i}.*" for i in range(len(sides))])
 
 
+def dealt(texts: DataFrame, key: str, rows: int = 0) -> DataFrame:
+    """Dealt by a key into partitions of at most about TEXTS of `rows` texts, and into one for each shuffle partition at least.
+
+    Spark merges partitions by their bytes, and a text takes a hundred times its bytes as grams.
+    """
+    return texts.repartition(max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TEXTS)), key)
+
+
 def by_text(records: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Score each distinct query text once and give the scores to all rows with it. Records are (record_id, query_text) and row_id, where there is one."""
     named = records.withColumn("query", text_key("query_text"))
-    texts = named.groupBy("query").agg(F.min("query_text").alias("text"))
+    texts = dealt(named.groupBy("query").agg(F.min("query_text").alias("text")), "query")
     return named.select(*row_keys(named), "query").join(score(texts), "query")
 
 

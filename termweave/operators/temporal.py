@@ -74,7 +74,8 @@ class AsOfCoder:
         text = F.when(F.length("mention") > 0, F.col("mention")).otherwise(F.col("text"))
         named = rows.select(*row_keys(rows), text.alias("text"), when.alias("at"))
         named = named.withColumn("query", retrieval.text_key(F.concat_ws("\u0001", F.col("at").cast("string"), "text")))
-        return named.select(*row_keys(named), "query"), named.groupBy("query").agg(F.min("text").alias("text"), F.min("at").alias("at"))
+        queries = retrieval.kept(named.groupBy("query").agg(F.min("text").alias("text"), F.min("at").alias("at")))
+        return named.select(*row_keys(named), "query"), retrieval.dealt(queries, "query", queries.count())
 
     def owners(self) -> DataFrame:
         return self.history.select("item", F.col("gold_code").alias("code"), F.col("seq").alias("place"), "at")

@@ -1,7 +1,7 @@
 """What keeps the work of a query from growing faster than its input."""
 
 import __spark_entry__
-from termweave.operators import explain
+from termweave.operators import explain, retrieval, temporal
 from termweave.plans import frames
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +44,12 @@ def test_fused_pools_are_dealt_once_and_by_their_rows(spark, monkeypatch):
     df = __spark_entry__.queries()["pooled_fusion"](spark, SF)
     assert plan(df).count("Exchange hashpartitioning") == plan(df).count("REPARTITION_BY_NUM") > 0
     assert df.rdd.getNumPartitions() == -(-lines // 500) > 4
+
+
+def test_queries_of_records_in_time_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TEXTS", 10)
+    coder = temporal.AsOfCoder()
+    coder.before = "2000-01-01"
+    records = spark.range(95).selectExpr("cast(id as string) AS record_id", "concat('text ', id) AS text", "'' AS mention", "timestamp'2001-01-01' AS at")
+    named, queries = coder.asked(records)
+    assert queries.rdd.getNumPartitions() == 10 and queries.count() == named.count() == 95
