@@ -286,14 +286,13 @@ def candidate_rationales(candidates: DataFrame, terms: DataFrame, cases: DataFra
     """A row per displayed candidate with its own evidence. candidates: record_id (and row_id), text, mention, rank, code, score."""
     key = row_key(candidates)
     rows = candidates.filter(F.col("rank") <= top_k).join(terms.select("code", "term", "synonyms", "definition"), "code", "left").fillna("", ["term", "synonyms", "definition"])
-    rows = rows.withColumn("pair", F.concat_ws("\u0001", key, "code"))
-    rows = rows.join(evidence_spans(rows, "pair"), "pair")
+    rows = with_spans(rows)
     if cases is not None:
         near = cases.withColumn("_n", F.row_number().over(W.partitionBy(key, "code").orderBy("rank"))).filter("_n <= 2")
         rows = rows.join(near.groupBy(key, "code").agg(F.array_sort(F.collect_list(F.struct("_n", "case_text"))).alias("historical_support")), [key, "code"], "left")
     quotes = F.transform("spans", lambda s: s["quote"])
     why = F.when(F.size(quotes) > 0, F.concat(F.lit("Supported by: "), F.array_join(quotes, "; "))).otherwise("No words of the text support this candidate.")
-    return rows.drop("pair").withColumn("evidence_quotes", quotes).withColumn("rationale", why)
+    return rows.withColumn("evidence_quotes", quotes).withColumn("rationale", why)
 
 
 def review_packets(rationales: DataFrame, routed: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """What keeps the work of a query from growing faster than its input."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from termweave.operators import explain, retrieval, temporal
 from termweave.plans import frames
@@ -53,3 +55,12 @@ def test_queries_of_records_in_time_are_dealt_by_their_number(spark, monkeypatch
     records = spark.range(95).selectExpr("cast(id as string) AS record_id", "concat('text ', id) AS text", "'' AS mention", "timestamp'2001-01-01' AS at")
     named, queries = coder.asked(records)
     assert queries.rdd.getNumPartitions() == 10 and queries.count() == named.count() == 95
+
+
+def test_rationales_join_no_evidence(spark):
+    rows = [(1, "red rash", "", 1, "A", 0.5), (1, "red rash", "", 2, "B", 0.4), (1, "red rash", "", 2, "B", 0.4)]
+    terms = spark.createDataFrame([("A", "Rash", "red|blue", ""), ("B", "cough", "", "")], "code string, term string, synonyms string, definition string")
+    df = explain.candidate_rationales(spark.createDataFrame(rows, "record_id long, text string, mention string, rank int, code string, score double"), F.broadcast(terms))
+    assert "Exchange hashpartitioning" not in plan(df)
+    # A candidate that is there twice stays two rows
+    assert sorted((r.code, r.evidence_quotes) for r in df.collect()) == [("A", ["red rash"]), ("B", []), ("B", [])]
