@@ -50,9 +50,15 @@ def char_grams(c: Column | str, low: int, high: int) -> Column:
     return F.flatten(F.transform(tokens, of))
 
 
+def words(c: Column | str) -> Column:
+    """Words of two or more word characters."""
+    # Runs of word characters end where \b is; it would only be looked for twice more
+    return F.regexp_extract_all(F.lower(col(c)), F.lit(r"(?U)\w{2,}+"), F.lit(0))
+
+
 def word_grams(c: Column | str) -> Column:
     """Words of two or more word characters, and pairs of neighbours."""
-    w = F.regexp_extract_all(F.lower(col(c)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    w = words(c)
     # Over two slices, as an expression outside a lambda is not evaluated anew for each element
     pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
     return F.when(F.size(w) >= 2, F.concat(w, pairs)).otherwise(w)

@@ -8,16 +8,20 @@ no second product.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termweave.functions.text import char_grams, nonempty, word_grams
+from termweave.functions.text import EMPTY, char_grams, nonempty, word_grams, words
 from termweave.operators import products
 from termweave.sources.records import alias_rows, require_columns, row_keys, with_row_id
 
@@ -27,6 +31,14 @@ BROADCAST_ROWS = 500_000
 COSINES = 2_000_000
 #: Texts of a partition in which their grams are made.
 TEXTS = 5_000
+#: Words of texts that are counted at once, and weights that are added up at once.
+WORDS = 150_000
+#: Grams whose counts a task holds before it hands them on, and sums of codes' weights likewise.
+HELD, SUMS = 400_000, 2_000_000
+#: Characters of texts for each partition in which the counts of their grams meet.
+CHARS = 4_000_000
+#: Grams of such a partition that are handed on at least.
+FIRST = 1_000
 #: What is kept for reuse, so that it can be given back.
 KEPT: list[DataFrame] = []
 
@@ -74,6 +86,251 @@ def counted(items: DataFrame, grams: Callable) -> DataFrame:
     return items.select("item", F.explode(grams(nonempty("text"))).alias("gram")).groupBy("item", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def apart(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key no other row has, and the others, or None if there are no others. Nulls are one key."""
+    many = rows.groupBy(F.col(key).alias("_many")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_many")
+    if many.isEmpty():
+        return rows, None
+    same = F.col(key).eqNullSafe(F.col("_many"))
+    return rows.join(many, same, "left_anti"), rows.join(many, same, "left_semi")
+
+
+def worded(rows: DataFrame, *keep: str) -> DataFrame:
+    """(words, ...) of (item, text, ...): the words that word_grams() makes its grams of, in as many partitions as there are cores at least."""
+    spark = rows.sparkSession
+    if rows.select(F.spark_partition_id().alias("p")).distinct().count() < spark.sparkContext.defaultParallelism:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        rows = rows.select("item", "text", *keep).repartition(parts, F.xxhash64("item"))
+    # White space at the ends of a text is no part of its words
+    body = F.when(F.coalesce("text", F.lit("")).rlike(r"(?U)\S"), F.col("text")).otherwise(EMPTY)
+    return rows.select(words(body).alias("words"), *keep)
+
+
+def coded(batch: pa.RecordBatch, code: Callable[[list[str]], np.ndarray], most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of parts of a batch of worded(), of `most` words or one row: (first row, row behind the last one, and for each gram its row in the part and its key).
+
+    code: the numbers of distinct words, -1 for those that are none of the grams' words. A word's key is its number, a
+    pair's the first one's plus 1 in the upper half, and the second one's in the lower half.
+    """
+    column = batch.column("words")
+    at, begin = np.asarray(column.offsets).astype(np.int64), 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
+        told = column.slice(begin, end - begin).flatten().dictionary_encode()
+        word = code(told.dictionary.to_pylist())[told.indices.to_numpy()]
+        row = np.repeat(np.arange(end - begin), np.diff(at[begin : end + 1]))
+        pair = np.flatnonzero((row[1:] == row[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0))
+        some = np.flatnonzero(word >= 0)
+        yield begin, end, np.concatenate([row[some], row[pair]]), np.concatenate([word[some], ((word[pair] + 1) << 32) | word[pair + 1]])
+        begin = end
+
+
+def added(key: np.ndarray, *numbers: np.ndarray) -> list[np.ndarray]:
+    """The distinct keys, ascending, and the sums of their numbers."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return [key[first], *[np.add.reduceat(n[order], first) if len(first) else n for n in numbers]]
+
+
+class Held:
+    """Sums by keys, at most so many of them and one part's more."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.parts, self.size = most, [], 0
+
+    def add(self, *part: np.ndarray) -> bool:
+        """Whether the sums should be taken now."""
+        self.parts.append(part)
+        self.size += len(part[0])
+        if self.size > self.most:
+            self.parts = [added(*map(np.concatenate, zip(*self.parts, strict=True)))]
+            self.size = len(self.parts[0][0])
+        return self.size > self.most // 2 and len(self.parts) == 1
+
+    def take(self) -> list[np.ndarray] | None:
+        parts, self.parts, self.size = self.parts, [], 0
+        return added(*map(np.concatenate, zip(*parts, strict=True))) if parts else None
+
+
+def bucket(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
+    """Which of n buckets grams lie in, by the CRCs of their words; the second one of a word alone is 0."""
+    with np.errstate(over="ignore"):
+        x = (first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(32))) % np.uint64(n)).astype(np.int64)
+
+
+def packed(grams: pa.Array, df: np.ndarray, total: np.ndarray, to: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row (bucket, counts) for each bucket: Spark deals these, and no row for a gram."""
+    order = np.argsort(to, kind="stable")
+    own = pa.record_batch([grams.take(pa.array(order)), pa.array(df[order]), pa.array(total[order])], COUNTS)
+    first = np.flatnonzero(np.diff(to[order], prepend=-1))
+    for begin, end in zip(first, np.append(first, len(order))[1:], strict=True):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, COUNTS) as stream:
+            stream.write_batch(own.slice(begin, end - begin))
+        yield products.made(schema, [pa.array([to[order[begin]]]), pa.array([out.getvalue().to_pybytes()], pa.binary())])
+
+
+#: Counts of grams as tasks hand them on.
+COUNTS = pa.schema([("gram", pa.string()), ("df", pa.int64()), ("total", pa.int64())])
+
+
+def totals(items: DataFrame, n: int) -> DataFrame:
+    """(bucket, counts), of n buckets: how often word_grams() of rows that are an item each occur, counted where the texts lie."""
+    kind, schema = products.kind_of("bucket int, counts binary")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        number, held = defaultdict(), Held(HELD)
+        number.default_factory = number.__len__
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            names = list(number)
+            crc = np.fromiter((crc32(w.encode()) for w in names), np.int64, len(names))
+            key, df, total = held.take() or [np.empty(0, np.int64)] * 3
+            names = pa.array(names, pa.string())
+            for at in range(0, len(key), HELD):
+                k = key[at : at + HELD]
+                one, two = k[k >> 32 == 0], k[k >> 32 > 0]
+                left, right = (two >> 32) - 1, two & 0xFFFFFFFF
+                both = pc.binary_join_element_wise(names.take(pa.array(left)), names.take(pa.array(right)), " ")
+                to = np.concatenate([bucket(crc[one], np.zeros(len(one)), n), bucket(crc[left], crc[right], n)])
+                yield from packed(pa.concat_arrays([names.take(pa.array(one)), both]), df[at : at + HELD], total[at : at + HELD], to, schema)
+            number.clear()
+
+        code = lambda ws: np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
+        for batch in batches:
+            for begin, end, row, key in coded(batch, code, WORDS):
+                own = pa.array(key).dictionary_encode()
+                gram = own.indices.to_numpy().astype(np.int64)
+                place = np.sort(gram * (end - begin) + row)
+                size = len(own.dictionary)
+                df = np.bincount(place[np.r_[True, place[1:] != place[:-1]]] // (end - begin), minlength=size) if len(place) else np.zeros(0, np.int64)
+                if held.add(own.dictionary.to_numpy(), df, np.bincount(gram, minlength=size)):
+                    yield from rows()
+        yield from rows()
+
+    return worded(items).mapInArrow(run, kind)
+
+
+def as_totals(counts: DataFrame, n: int) -> DataFrame:
+    """Rows (gram, df, total) as totals() gives them."""
+    kind, schema = products.kind_of("bucket int, counts binary")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [[crc32(w.encode()) for w in g.split(" ")] for g in batch.column("gram").to_pylist()]
+            to = bucket(np.array([e[0] for e in ends], np.int64), np.array([e[1] if len(e) > 1 else 0 for e in ends], np.int64), n)
+            yield from packed(batch.column("gram"), batch.column("df").to_numpy(), batch.column("total").to_numpy(), to, schema)
+
+    return counts.select("gram", "df", "total").mapInArrow(run, kind)
+
+
+def met(counts: DataFrame, n: int, min_df: int, most: int) -> DataFrame:
+    """(gram, df, total) of totals(): of each bucket the `most` grams of at least `min_df` and the largest totals, ties to the smaller gram; the next one has -1 as its df."""
+    kind, _ = products.kind_of("gram string, df long, total long")
+
+    def added_up(tables: list[pa.Table]) -> pa.Table:
+        got = pa.concat_tables(tables).group_by("gram", use_threads=False).aggregate([("df", "sum"), ("total", "sum")])
+        return pa.table([got["gram"], got["df_sum"], got["total_sum"]], COUNTS)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, size, whole = [], 0, 0
+        for batch in batches:
+            for blob in batch.column("counts"):
+                held.append(pa.ipc.open_stream(blob.as_py()).read_all())
+                size += held[-1].num_rows
+                if size > products.ROWS + 2 * whole:
+                    held = [added_up(held)]
+                    size = whole = held[0].num_rows
+        if held:
+            table = added_up(held)
+            table = table.filter(pc.greater_equal(table["df"], min_df))
+            if table.num_rows > most:
+                least = np.partition(table["total"].to_numpy(), table.num_rows - most - 1)[table.num_rows - most - 1]
+                table = table.filter(pc.greater_equal(table["total"], least)).sort_by([("total", "descending"), ("gram", "ascending")]).slice(0, most + 1)
+                table = table.set_column(1, "df", pa.array(np.append(table["df"].to_numpy()[:-1], -1)))
+            yield from table.to_batches()
+
+    return counts.repartitionById(n, "bucket").mapInArrow(run, kind)
+
+
+def label_sums(items: DataFrame, idf: DataFrame) -> DataFrame:
+    """(code, gid, w): the sums of the unit vectors (word_grams(), sublinear) of each code's rows, for rows (item, text, codes) that are an item each.
+
+    idf: a dictionary of BROADCAST_ROWS rows at most. The sums are made where the texts lie.
+    """
+    told = items.sparkSession.sparkContext.broadcast(idf.select("gram", "gid", "idf").toArrow().combine_chunks())
+    kind, schema = products.kind_of("code string, gid long, w double")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        space, number, codes, held = told.value, {}, {}, Held(SUMS)
+        names = [g.split(" ") for g in space["gram"].to_pylist()]
+        for ws in names:
+            for w in ws:
+                number.setdefault(w, len(number))
+        keys = np.array([number[ws[0]] if len(ws) == 1 else ((number[ws[0]] + 1) << 32) | number[ws[1]] for ws in names], np.int64)
+        order = np.argsort(keys)
+        keys, gid, weight = keys[order], space["gid"].to_numpy()[order], space["idf"].to_numpy()[order]
+        del names
+        code = lambda ws: np.fromiter(map(number.get, ws, repeat(-1)), np.int64, len(ws))
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            known = pa.array(list(codes), pa.string())
+            key, w = held.take() or [np.empty(0, np.int64)] * 2
+            for at in range(0, len(key), products.ROWS):
+                k = key[at : at + products.ROWS]
+                yield products.made(schema, [known.take(pa.array(k // len(gid))), gid[k % len(gid)], w[at : at + products.ROWS]])
+            codes.clear()
+
+        for batch in batches if len(keys) else ():
+            labels = batch.column("codes")
+            own, of = labels.flatten().to_pylist(), np.asarray(labels.offsets).astype(np.int64)
+            of -= of[0]
+            for begin, end, row, key in coded(batch, code, WORDS):
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                some = keys[place] == key
+                pair, tf = np.unique(row[some] * len(keys) + place[some], return_counts=True)
+                row, place = np.divmod(pair, len(keys))
+                w = (1.0 + np.log(tf)) * weight[place]
+                w /= np.sqrt(np.bincount(row, w * w, end - begin))[row]
+                first = np.searchsorted(row, np.arange(end - begin + 1))
+                # A label of a row takes all weights of the row
+                label = np.arange(of[begin], of[end])
+                whose = np.repeat(np.arange(end - begin), np.diff(of[begin : end + 1]))
+                size = np.diff(first)[whose]
+                ends, at = np.cumsum(size), 0
+                while at < len(label):
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right")))
+                    take = products.ranges(first[whose[at:to]], size[at:to])
+                    which = np.array([codes.setdefault(own[i], len(codes)) for i in label[at:to]], np.int64)
+                    if held.add(*added(np.repeat(which, size[at:to]) * len(keys) + place[take], w[take])):
+                        yield from rows()
+                    at = to
+        yield from rows()
+
+    return worded(items, "codes").mapInArrow(run, kind).groupBy("code", "gid").agg(F.sum("w").alias("w"))
+
+
+def frequencies(corpus: DataFrame, grams: Callable, min_df: int = 1, most: int | None = None) -> DataFrame:
+    """(gram, df, total) of (item, text), of at least `min_df`. most: how many of the largest totals are asked for; texts are long then."""
+    counts = lambda rows: counted(rows, grams).groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    if most is None or grams is not word_grams:
+        return counts(corpus).filter(F.col("df") >= min_df)
+    chars = corpus.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    n = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // CHARS))
+    lone, rest = apart(corpus, "item")
+    rows = totals(lone, n)
+    rows = rows if rest is None else rows.unionByName(as_totals(counts(rest), n))
+    # Buckets are alike, as a hash makes them; where one has more of the first grams than it handed on, all hand on more
+    own = 8 * -(-most // n) + FIRST
+    while True:
+        first = kept(met(rows, n, min_df, min(own, most)).orderBy(F.desc("total"), "gram").limit(most))
+        if first.filter("df < 0").isEmpty():
+            return first
+        own *= 8
+
+
 def weighted(tf: DataFrame, idf: DataFrame, sublinear: bool) -> DataFrame:
     """(item, gram, gid, w) of unit length; grams that the space does not know are dropped before."""
     w = tf.join(idf, "gram").withColumn("w", (F.lit(1.0) + F.log("tf") if sublinear else F.col("tf").cast("double")) * F.col("idf"))
@@ -103,8 +360,9 @@ def fit(corpus: DataFrame, grams: Callable, sublinear: bool = False, min_df: int
     With `max_features` the grams of the largest total frequency stay, ties to the smaller gram. items: (item, text)
     that get vectors, where these are not the corpus that grams are weighed by.
     """
-    tf = counted(require_columns(corpus, {"item", "text"}).select("item", "text"), grams)
-    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    corpus = require_columns(corpus, {"item", "text"}).select("item", "text")
+    tf = counted(corpus, grams)
+    df = frequencies(corpus, grams, min_df, max_features)
     if max_features is not None:
         df = df.orderBy(F.desc("total"), "gram").limit(max_features)
     n = corpus.agg(F.count_distinct("item").alias("n"))
@@ -339,15 +597,15 @@ def history_text(df: DataFrame) -> DataFrame:
 def ranked(scores: DataFrame, codes: DataFrame, queries: DataFrame, k: int, order: list[Column] | None = None) -> DataFrame:
     """(query, rank, code, ...): the k best codes of every query.
 
-    The order is that over all codes: best score first, ties by the terminology's row_seq. Codes that share nothing
+    The order is that over all codes: best score first, ties by the terminology's row_seq, then by the code. Codes that share nothing
     with the query have score 0; the first 2k codes suffice to fill up with them, as at most k - 1 of these matched.
     """
     extra = [c for c in scores.columns if c not in ("query", "code")]
-    order = order or [F.desc(F.round("score", 12)), F.col("row_seq")]  # sums may differ in their last bits from run to run
+    order = order or [F.desc(F.round("score", 12)), F.col("row_seq"), F.col("code")]  # sums may differ in their last bits from run to run
     top = scores.join(codes.select("code", "row_seq"), "code").withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k)
     item = F.struct("rank", "code", *extra)
     lists = queries.select("query").distinct().join(top.groupBy("query").agg(F.array_sort(F.collect_list(item)).alias("own")), "query", "left")
-    first = codes.orderBy("row_seq").limit(2 * k).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_seq", "code"))), lambda x: x["code"]).alias("first"))
+    first = codes.orderBy("row_seq", "code").limit(2 * k).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_seq", "code"))), lambda x: x["code"]).alias("first"))
     kinds = dict(scores.dtypes)
     zero = lambda c: F.lit(0.0) if kinds[c] == "double" else F.lit(None).cast(kinds[c])
     own = F.coalesce("own", F.array().cast(top.select(F.array(item).alias("a")).schema["a"].dataType))
@@ -677,12 +935,26 @@ class MultiLabelCoder:
         self.notes = fit(history.select(F.col("record_id").alias("item"), "text"), word_grams, True, 1 if n < 50 else 2, self.most)
         self.labels = history.select(F.col("record_id").alias("item"), F.explode(F.array_distinct("gold_codes")).alias("code")).join(self.codes.select("code"), "code", "left_semi")
         # The mean of a code's rows, again of unit length; the number of rows cancels out
-        mean = self.notes.postings.join(self.labels, "item").groupBy(F.col("code").alias("item"), "gram", "gid").agg(F.sum("w").alias("w"))
+        mean = self.sums(history).join(self.codes.select("code"), "code", "left_semi")
+        mean = mean.join(F.broadcast(self.notes.idf) if self.notes.small else self.notes.idf, "gid").select(F.col("code").alias("item"), "gram", "gid", "w")
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("item")))
         centroids = kept(mean.select("item", "gram", "gid", (F.col("w") / norm).alias("w")))
         self.centroids = Space(word_grams, True, self.notes.idf, centroids, centroids.count(), self.notes.small, self.codes.count())
         return self
 
+    def sums(self, history: DataFrame) -> DataFrame:
+        """(code, gid, w): the sums of the vectors of each code's notes. Notes of several rows are put together first; of others only sums leave the tasks."""
+        none = F.array().cast("array<string>")
+        notes = history.filter("record_id is not null").select(F.col("record_id").alias("item"), "text", F.coalesce(F.array_distinct(F.array_compact("gold_codes")), none).alias("codes"))
+        lone, rest = apart(notes, "item") if self.notes.small else (None, notes)
+        own = None if lone is None else label_sums(lone, self.notes.idf)
+        if rest is None:
+            return own
+        vectors = weighted(counted(rest, word_grams), F.broadcast(self.notes.idf) if self.notes.small else self.notes.idf, True)
+        labels = rest.select("item", F.explode("codes").alias("code")).distinct()
+        rows = vectors.join(labels, "item").select("code", "gid", "w")
+        return (rows if own is None else own.unionByName(rows)).groupBy("code", "gid").agg(F.sum("w").alias("w"))
+
     def scores(self, texts: DataFrame) -> DataFrame:
         term = similarities(texts, self.terms).select("query", F.col("item").alias("code"), F.col("sim").alias("terminology_score"))
         past = similarities(texts, self.centroids).select("query", F.col("item").alias("code"), F.col("sim").alias("history_score"))

@@ -296,9 +296,9 @@ def multilabel_centroid(spark, d):
     docs = read(spark, d, "documents").filter("text is not null")
     train = docs.select(F.col("doc_id").cast("string").alias("record_id"), "text", F.array_compact(F.array(F.concat(F.lit("B"), "lang"), F.concat(F.lit("S"), (F.col("doc_id") % 5).cast("string")))).alias("gold_codes"))
     labels = train.select(F.explode("gold_codes").alias("code"), F.col("record_id").cast("long").alias("doc_id")).groupBy("code").agg(F.min("doc_id").alias("row_seq"))
-    codes = labels.select("code", F.col("code").alias("term"), F.col("row_seq"))
-    notes = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("record_id"), "text")
     retrieval.release()
+    codes = retrieval.kept(labels.select("code", F.col("code").alias("term"), F.col("row_seq")))
+    notes = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("record_id"), "text")
     return rounded(retrieval.MultiLabelCoder(1.0, 3).fit(train, codes).rank(notes).select("record_id", "rank", "code", "score"))
 
 

@@ -64,3 +64,10 @@ def test_rationales_join_no_evidence(spark):
     assert "Exchange hashpartitioning" not in plan(df)
     # A candidate that is there twice stays two rows
     assert sorted((r.code, r.evidence_quotes) for r in df.collect()) == [("A", ["red rash"]), ("B", []), ("B", [])]
+
+
+def test_no_row_for_a_gram_of_a_note_is_shuffled(spark):
+    docs = spark.createDataFrame([(str(i), f"red rash {i % 3}x and red fever", ["A"]) for i in range(60)], "record_id string, text string, gold_codes array<string>")
+    coder = retrieval.MultiLabelCoder(1.0, 3).fit(docs, spark.createDataFrame([("A", "x", 0)], "code string, term string, row_seq long"))
+    for df in (coder.notes.idf, coder.centroids.postings):
+        assert "MapInArrow" in plan(df) and "Generate explode" not in plan(df)

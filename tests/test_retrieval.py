@@ -141,3 +141,43 @@ def test_cosines_are_held_in_bounded_parts(spark, monkeypatch):
     own = [tuple(r) for r in items.collect()]
     want = {(r.query, c): round(max(cosine(r.vector, v) for code, v in own if code == c), 9) for r in q.collect() for c in ("L0", "L1")}
     assert {(r.query, r.code): round(r.dense_score, 9) for r in retrieval.dense_scores(q, items).collect()} == want
+
+
+NOTES = [("a", "one two two three two three", ["X", "Y", "X"]), ("b", "two three four", ["X", None]), ("c", " \u2003 ", ["Y"]), ("d", "one two", None), ("e", "four five", []), ("f", "Two one two", ["Y"]), ("f", "one three", ["Y", "Z"]), (None, "one two", ["X"]), (None, "six", ["Y"]), ("g", None, ["X"])]
+
+
+@pytest.mark.parametrize("notes", [NOTES, [n for n in NOTES if n[0] not in ("f", None)], []])
+def test_grams_of_notes_are_added_up_where_the_notes_lie(spark, monkeypatch, notes):
+    """Counts and the sums of a code's notes are those of the joins, in parts of a few words too, for notes of several rows too."""
+    monkeypatch.setattr(retrieval, "WORDS", 4)
+    monkeypatch.setattr(retrieval, "HELD", 6)
+    monkeypatch.setattr(retrieval, "SUMS", 6)
+    monkeypatch.setattr(retrieval, "FIRST", -15)
+    docs = spark.createDataFrame(notes, "record_id string, text string, gold_codes array<string>")
+    own = docs.select(F.col("record_id").alias("item"), "text")
+    plain = retrieval.counted(own, text.word_grams).groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    first = lambda df, least, n: sorted([tuple(r) for r in df.collect() if r.df >= least], key=lambda r: (-r[2], r[0]))[:n]
+    for least, n in ((1, 100), (2, 100), (1, 7), (2, 7)):
+        assert first(retrieval.frequencies(own, text.word_grams, least, n), 1, n) == first(plain, least, n)
+    terms = spark.createDataFrame([("X", "one", 1), ("Y", "two", 2)], "code string, term string, row_seq long")
+    c = retrieval.MultiLabelCoder(1.0, 3).fit(docs, terms)
+    sums = c.notes.postings.join(c.labels.distinct(), "item").groupBy("code", "gram").agg(F.sum("w").alias("w")).collect()
+    norm = {code: math.sqrt(sum(r.w**2 for r in sums if r.code == code)) for code in "XY"}
+    want = {(r.code, r.gram): round(r.w / norm[r.code], 9) for r in sums}
+    assert {(r["item"], r["gram"]): round(r["w"], 9) for r in c.centroids.postings.collect()} == want
+
+
+def test_words_are_whole_runs_at_every_character(spark):
+    """Every character of Unicode between, before and behind letters: the words are those that \\b ends."""
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([("".join(f"a{c}b {c}a b{c} {c}{c}x{c} " for c in chars[i : i + 500]),) for i in range(0, len(chars), 500)], "t string")
+    df = df.select(text.words("t").alias("got"), F.regexp_extract_all(F.lower("t"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)).alias("want"))
+    assert df.filter("got <> want OR size(got) = 0 AND size(want) > 0").count() == 0 < df.filter("size(got) > 100").count()
+
+
+def test_codes_of_equal_score_and_place_go_by_code(spark):
+    codes = spark.createDataFrame([(c, 0) for c in "DBCA"], "code string, row_seq long").coalesce(1)
+    queries = spark.createDataFrame([("q",), ("r",)], "query string")
+    scores = spark.createDataFrame([("q", c, 0.5) for c in "DBCA"], "query string, code string, score double").coalesce(1)
+    got = {(r["query"], r["rank"]): r.code for r in retrieval.ranked(scores, codes, queries, 2).collect()}
+    assert got == {("q", 1): "A", ("q", 2): "B", ("r", 1): "A", ("r", 2): "B"}
